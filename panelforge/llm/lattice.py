@@ -21,10 +21,16 @@ MARK = "▁"
 LITERAL = "\udc81"
 SHIFT = 2.7
 NONE = -math.inf
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: A segment is a run of line ends, or space marks with what follows them; no piece crosses its bounds.
+SEGMENT = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Segments longer than this are not remembered; a memory that reaches MEMORY entries starts anew.
 REMEMBERED = 40
-MEMORY = 150_000
+MEMORY = 100_000
+#: Segments that are worked out together, in arrays.
+BLOCK = 8192
+_PRIME = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = 20
 
 
 def load_vocabulary(model_file: str) -> dict:
@@ -65,8 +71,9 @@ class Lattice:
         for p in vocabulary["pieces"]:
             for k in range(1, len(p)):
                 self.tree.setdefault(p[:k], NONE)
-        if any(MARK in p.lstrip(MARK) for p in self.pieces):
-            raise ValueError("a piece of this vocabulary crosses a cut before a space mark")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces):
+            raise ValueError("a piece of this vocabulary crosses the bounds of a segment")
+        self._tables()
         self.best_memory: dict[str, tuple[float, bytes]] = {}
         self.best_older: dict[str, tuple[float, bytes]] = {}
         self.sum_memory: dict[str, float] = {}
@@ -115,29 +122,137 @@ class Lattice:
             end = a
         return ids[::-1]
 
-    def best(self, s: str) -> tuple[float, bytes]:
-        """Score and ids (int32, packed) of the best path through one segment."""
-        got = self.best_memory.get(s) or self.best_older.get(s)
-        if got is None:
-            score, back = self._paths(s, len(s), 0)
-            got = (score[-1], np.array(self._walk(s, back, 0, len(s)), np.int32).tobytes())
-        if len(s) <= REMEMBERED:
-            if len(self.best_memory) >= MEMORY:  # what was not met since the last time is forgotten
-                self.best_memory, self.best_older = {}, self.best_memory
-            self.best_memory[s] = got
-        return got
+    # -- many segments at once: substrings are looked up by rolling hashes --------------------------------------
+
+    def _tables(self) -> None:
+        names = list(self.pieces)
+        codes, ends = _codes(names)
+        prefix = self._prefix_hashes(codes, ends)
+        keys = prefix[np.arange(len(names)), ends]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces of this vocabulary have the same hash")
+        self.keys = np.append(keys, np.uint64(0))
+        self.weights = np.append([self.pieces[p][1] for p in names], NONE)
+        self.ids = np.append([self.pieces[p][0] for p in names], -1).astype(np.int32)
+        self.slots = np.full(1 << _SLOTS, -1, np.int32)
+        self.slots[(keys * _SPREAD) >> np.uint64(64 - _SLOTS)] = np.arange(len(names), dtype=np.int32)
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+        self.powers = np.cumprod(np.full(self.longest, _PRIME, np.uint64))
+        self.known = {p for p in names if len(p) == 1}
+
+    @staticmethod
+    def _prefix_hashes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        for t in range(codes.shape[1]):
+            out[:, t + 1] = out[:, t] * _PRIME + codes[:, t]
+        return out
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Index of the piece with each hash; -1 for none."""
+        at = self.slots[(h * _SPREAD) >> np.uint64(64 - _SLOTS)]
+        wrong = np.flatnonzero((at >= 0) & (self.keys[at] != h))
+        if len(wrong):  # another piece has the slot
+            near = np.minimum(np.searchsorted(self.sorted, h[wrong]), len(self.sorted) - 1)
+            at[wrong] = np.where(self.sorted[near] == h[wrong], self.order[near], -1)
+        return at
+
+    def _block(self, segments: list[str], summed: bool):
+        """The recursion over all of ``segments``, longest first: scores at their ends, and the last steps' lengths and pieces."""
+        codes, ends = _codes(segments)
+        hashes = self._prefix_hashes(codes, ends)
+        n, width = codes.shape
+        alpha = np.full((n, width + 1), NONE)
+        alpha[:, 0] = 0.0
+        step, piece = np.zeros((n, width + 1), np.int8), np.full((n, width + 1), -1, np.int32)
+        for t in range(1, width + 1):
+            m = int(np.searchsorted(-ends, -t, side="right"))  # segments at least t long
+            reach = min(t, self.longest)
+            scores = np.empty((reach, m))
+            found = np.empty((reach, m), np.int32)
+            for k in range(1, reach + 1):
+                at = self._find(hashes[:m, t] - hashes[:m, t - k] * self.powers[k - 1])
+                found[reach - k] = at  # of equal scores the longest last piece wins, as in _paths
+                scores[reach - k] = alpha[:m, t - k] + self.weights[at]
+            best = scores.argmax(axis=0)
+            top = scores[best, np.arange(m)]
+            if summed:
+                alpha[:m, t] = top + np.log(np.exp(scores - top).sum(axis=0))
+            else:
+                alpha[:m, t] = top
+                step[:m, t] = reach - best
+                piece[:m, t] = found[best, np.arange(m)]
+        return alpha[np.arange(n), ends], ends, step, piece
+
+    def _fill(self, segments: list[str], summed: bool) -> None:
+        """Remember the results of short segments that are not yet known."""
+        memory = self.sum_memory if summed else self.best_memory
+        older = self.sum_older if summed else self.best_older
+        new = [s for s in set(segments) if s not in memory]
+        if len(memory) + len(new) >= MEMORY:  # what was not met since the last time is forgotten
+            if summed:
+                self.sum_memory, self.sum_older = {}, memory
+            else:
+                self.best_memory, self.best_older = {}, memory
+            memory, older = (self.sum_memory, self.sum_older) if summed else (self.best_memory, self.best_older)
+            new = list(set(segments))
+        hard = []
+        for s in new:
+            if s in older:
+                memory[s] = older[s]
+            elif len(s) > REMEMBERED or not self.known.issuperset(s):
+                memory[s] = self._sum(s) if summed else self._best(s)
+            else:
+                hard.append(s)
+        hard.sort(key=len, reverse=True)
+        for at in range(0, len(hard), BLOCK):
+            some = hard[at : at + BLOCK]
+            scores, ends, step, piece = self._block(some, summed)
+            if summed:
+                memory.update(zip(some, scores.tolist(), strict=True))
+                continue
+            pos, rows, steps = ends.copy(), np.arange(len(some)), []
+            while pos.any():
+                steps.append(np.where(pos > 0, self.ids[piece[rows, pos]], -1))
+                pos = pos - step[rows, pos]
+            path = np.array(steps[::-1], np.int32).T
+            packed = path[path >= 0].tobytes()
+            bounds = np.cumsum((path >= 0).sum(axis=1)) * 4
+            a = 0
+            for s, score, b in zip(some, scores.tolist(), bounds.tolist(), strict=True):
+                memory[s] = (score, packed[a:b])
+                a = b
+
+    def _best(self, s: str) -> tuple[float, bytes]:
+        score, back = self._paths(s, len(s), 0)
+        return score[-1], np.array(self._walk(s, back, 0, len(s)), np.int32).tobytes()
+
+    def encode_all(self, normalized: list[str]) -> list[tuple[float, np.ndarray]]:
+        """Score and ids of the best path through each whole normalized text."""
+        split = [SEGMENT.findall(x) for x in normalized]
+        self._fill([s for x in split for s in x], False)
+        out = []
+        for x in split:
+            found = [self.best_memory[s] for s in x]
+            out.append((math.fsum([w for w, _ in found]), np.frombuffer(b"".join([i for _, i in found]), np.int32)))
+        return out
 
     def encode(self, normalized: str) -> tuple[float, np.ndarray]:
-        """Score and ids of the best path through a whole normalized text."""
-        get, best = self.best_memory.get, self.best
-        found = [get(s) or best(s) for s in SEGMENT.findall(normalized)]
-        return math.fsum([w for w, _ in found]), np.frombuffer(b"".join([x for _, x in found]), np.int32)
+        """Score and ids of the best path through one whole normalized text."""
+        return self.encode_all([normalized])[0]
+
+    def likelihood_all(self, normalized: list[str]) -> list[float]:
+        """Natural log of each text's probability, summed over all segmentations (forward recursion in logs)."""
+        split = [SEGMENT.findall(x) for x in normalized]
+        self._fill([s for x in split for s in x], True)
+        memory = self.sum_memory
+        return [math.fsum([memory[s] for s in x]) for x in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose encoding ``ids`` is."""
-        ids = [int(i) for i in ids]
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
         try:
-            return "".join([self.strings[i] for i in ids]).replace(MARK, " ")[1:]
+            return "".join(map(self.strings.__getitem__, ids)).replace(MARK, " ")[1:]
         except KeyError:  # bytes of longer characters
             pass
         parts, run = [], bytearray()
@@ -174,21 +289,6 @@ class Lattice:
                 alpha[a + 1] = np.logaddexp(alpha[a + 1], w)
         return float(alpha[n])
 
-    def _total(self, s: str) -> float:
-        got = self.sum_older.get(s)
-        if got is None:
-            got = self._sum(s)
-        if len(s) <= REMEMBERED:
-            if len(self.sum_memory) >= MEMORY:
-                self.sum_memory, self.sum_older = {}, self.sum_memory
-            self.sum_memory[s] = got
-        return got
-
-    def likelihood(self, normalized: str) -> float:
-        """Natural log of the probability, summed over all segmentations (forward recursion in logs)."""
-        get, total = self.sum_memory.get, self._total
-        return math.fsum([get(s) or total(s) for s in SEGMENT.findall(normalized)])
-
     # -- giant texts: max-plus transfer matrices -------------------------------------------------------------
 
     def _cuts(self, s: str, body: int) -> tuple[int, int] | None:
@@ -231,6 +331,15 @@ class Lattice:
         return ids + self._walk(tail, self._paths(tail, body - last, 0)[1], 0, body - last + leave)
 
 
+def _codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and one, a row each, and the lengths."""
+    ends = np.array([len(s) for s in segments])
+    flat = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros((len(segments), int(ends.max())), np.uint64)
+    out[np.arange(out.shape[1]) < ends[:, None]] = flat.astype(np.uint64) + np.uint64(1)
+    return out, ends
+
+
 def _octets(char: str) -> bytes:
     return (MARK if char == LITERAL else char).encode("utf-8", "surrogatepass")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .lattice import LITERAL, MARK, NONE, Lattice, load_vocabulary, max_plus
+from .lattice import Lattice, load_vocabulary, max_plus
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text.
@@ -44,14 +44,12 @@ def _encoder(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                scores, ids, good = [], [], []
-                for text in batch.column(batch.num_columns - 1).to_pylist():
-                    score, found = lattice.encode(lattice.normalize(text or ""))
-                    scores.append(score)
-                    ids.append(found)
-                    good.append(lattice.decode(found) == (text or ""))
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = [text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]
+                found = lattice.encode_all([lattice.normalize(text) for text in texts])
+                scores, ids = [x for x, _ in found], [x for _, x in found]
+                good = [lattice.decode(x) == text for x, text in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(list(map(len, ids)), pa.int64()), pa.array(scores, pa.float64()), _lists(ids, pa.int32()), pa.array(good)],
                     names=[*batch.schema.names[:-1], "n_pieces", "score", "pieces", "round_trip"],
