@@ -6,9 +6,10 @@
    not with each other, so a group of n near copies gives some n pairs.
 3. A joint likelihood estimate from both sketches drops pairs far below the threshold; the rest are confirmed
    on their whole sets.
-4. Links give components.  Members of a bucket that are still in different components are then paired across
-   components, confirmed in the same way, and the components are worked out once more, so that pivots lose no
-   link.
+4. Links give components.  Buckets whose members are still in different components are then gathered into
+   groups (buckets that share a member), and a group's sets are compared in blocks of some hundred: a task gets
+   two blocks and returns only the links across components that hold on the whole sets.  So pivots lose no
+   link, and no pairs are emitted.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8 ** 6) ** 48 < 1e-6; sets are compared by
 64-bit hashes of their shingles.
@@ -38,6 +39,10 @@ ESTIMATE_FLOOR = 0.8 - 6 * (0.8 * 0.2 / ss.REGISTERS) ** 0.5
 #: Up to this many documents to compare, their ids are broadcast to find their texts; above, texts are shuffled.
 MOST_BROADCAST_IDS = 1_000_000
 
+#: Sets in a block, and shared shingles that are counted at once.
+BLOCK = 128
+COLUMNS = 1 << 14
+
 SKETCH = "row long, doc_id long, n_shingles long, digest binary, sketch binary"
 
 
@@ -128,24 +133,82 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    values = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
+    often = np.bincount(column) > 1  # a shingle of one set is in no intersection
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        some, cols = owner[a:b], column[a:b] - at
+        left, right = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
+        first = some < len(x)
+        left[some[first], cols[first]] = 1
+        right[some[~first] - len(x), cols[~first]] = 1
+        out += left @ right.T
+    return out
+
+
+def _across(percent: int):
+    """Links across components between the two blocks of a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block = table.column("block").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = intersections([sets[i] for i in a], [sets[i] for i in b])
+        size = np.array([len(e) for e in sets])
+        linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (component[a][:, None] != component[b][None, :])
+        p, q = np.nonzero(linked)
+        return pa.table({"node": node[a[p]], "pivot": node[b[q]]})
+
+    return run
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
+    """(node, pivot, elements): the sets of the wanted nodes, for each partner."""
+    found = classes.select(F.col("node").alias("at"), F.col("doc_id").alias("id"), "digest")
+    wanted = materialize(wanted.join(found, wanted["node"] == found["at"]).select("node", "pivot", "digest", "id"), f"{name}-wanted")
+    texts = docs.join(small_side(wanted, MOST_BROADCAST_IDS), F.col("doc_id") == F.col("id"))
+    return texts.select("node", "pivot", "digest", "text").mapInArrow(_sets(k), "node long, pivot long, elements binary")
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (node, pivot) that hold on the whole sets."""
     size = classes.select("node", "n_shingles", "sketch")
     pairs = pairs.join(size, "node").withColumnsRenamed({"n_shingles": "n_a", "sketch": "a"})
     pairs = pairs.join(size.withColumnsRenamed({"node": "pivot", "n_shingles": "n_b", "sketch": "b"}), "pivot")
     pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    likely = materialize(pairs.select("node", "pivot", "n_a", "n_b", "a", "b").mapInArrow(_likely, "node long, pivot long"), f"{name}-likely")
-    found = classes.select(F.col("node").alias("at"), F.col("doc_id").alias("id"), "digest")
+    likely = materialize(pairs.select("node", "pivot", "n_a", "n_b", "a", "b").mapInArrow(_likely, "node long, pivot long"), "likely")
+    left = _texts(likely, classes, docs, k, "members").withColumnRenamed("elements", "a")
+    alone = likely.select(F.col("pivot").alias("node")).distinct().withColumn("pivot", F.lit(None).cast("long"))
+    right = _texts(alone, classes, docs, k, "pivots")
+    both = left.join(right.select(F.col("node").alias("pivot"), F.col("elements").alias("b")), "pivot").select("node", "pivot", "a", "b")
+    return materialize(both.mapInArrow(_confirm(percent), "node long, pivot long").distinct(), "links")
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(wanted.join(found, wanted["node"] == found["at"]).select("node", "pivot", "digest", "id"), f"{name}-wanted")
-        texts = docs.join(small_side(wanted, MOST_BROADCAST_IDS), F.col("doc_id") == F.col("id"))
-        return texts.select("node", "pivot", "digest", "text").mapInArrow(_sets(k), "node long, pivot long, elements binary")
 
-    left = sets(likely).withColumnRenamed("elements", "a")
-    right = sets(likely.select(F.col("pivot").alias("node")).distinct().withColumn("pivot", F.lit(None).cast("long")))
-    both = left.join(right.select(F.col("node").alias("pivot"), F.col("elements").alias("b")), "pivot").select("node", "pivot", "a", "b")
-    return materialize(both.mapInArrow(_confirm(percent), "node long, pivot long").distinct(), f"{name}-links")
+def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that hold between members (key, node, component) of the same buckets in different components."""
+    star = open_.join(open_.groupBy("key").agg(F.min("node").alias("pivot")), "key").where("node != pivot").select("node", "pivot").distinct()
+    groups = components(star).withColumnRenamed("component", "bucket_group")
+    counts = groups.groupBy("bucket_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    at = groups.join(counts, "bucket_group").join(open_.select("node", "component").distinct(), "node").withColumn("block", spread)
+    at = materialize(at, "groups")
+    sets = _texts(at.select("node").withColumn("pivot", F.lit(None).cast("long")), classes, docs, k, "open").select("node", "elements")
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j"))
+    )
+    dealt = sets.join(at, "node").withColumn("task", F.explode(tasks)).select("bucket_group", "task.i", "task.j", "block", "node", "component", "elements")
+    return materialize(dealt.groupBy("bucket_group", "i", "j").applyInArrow(_across(percent), "node long, pivot long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,19 +247,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
     pairs = members.select("key", "node").join(pivots, "key").where("node != pivot").select("node", "pivot").distinct()
-    links = _links(pairs, classes, docs, shingle, percent, "pivots")
+    links = _links(pairs, classes, docs, shingle, percent)
 
     labels = components(links)
     at = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    at = at.join(classes.select("node", "n_shingles"), "node")
     mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = materialize(at.join(mixed, "key"), "open")
-    other = open_.select("key", F.col("node").alias("pivot"), F.col("component").alias("c"), F.col("n_shingles").alias("n"))
-    fits = (F.col("component") < F.col("c")) & (F.least("n_shingles", "n") * 100 >= F.greatest("n_shingles", "n") * percent)
-    across = open_.join(other, (open_["key"] == other["key"]) & fits).select("node", "pivot").distinct()
-    tested = pairs.select(F.least("node", "pivot").alias("lo"), F.greatest("node", "pivot").alias("hi"))
-    across = across.join(tested, (F.least("node", "pivot") == F.col("lo")) & (F.greatest("node", "pivot") == F.col("hi")), "left_anti")
-    more = _links(across, classes, docs, shingle, percent, "across")
+    more = _links_across(materialize(at.join(mixed, "key"), "open"), classes, docs, shingle, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
