@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, sentencepiece_codec
+from . import lm_scoring, mixing, near_dedup, sentencepiece_codec
 from .quality_rules import quality_rules
 
 
@@ -26,9 +26,19 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_near_dedup": op5_near_dedup,
+        "op10_mixing": op10_mixing,
     }
