@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, mixing, near_dedup, sentencepiece_codec
+from . import html_extraction, language_id, lm_scoring, mixing, near_dedup, sentencepiece_codec, topk
 from .quality_rules import quality_rules
 
 
@@ -30,6 +30,18 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,5 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_html_extraction": op8_html_extraction,
+        "op9_topk": op9_topk,
         "op10_mixing": op10_mixing,
     }
