@@ -232,10 +232,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sketched = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_sketcher(shingle), SKETCH)
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; ``keep`` may name a unique number to take for a row."""
+    number = F.col(keep[0]) if keep else F.monotonically_increasing_id()
+    docs = docs.select(number.alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    sketched = docs.select("row", "doc_id", "text").mapInArrow(_sketcher(shingle), SKETCH)
     rows = materialize(sketched, "sketches")
     least = F.min_by(F.struct("row", "doc_id"), F.struct("doc_id", "row"))
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(least.alias("x"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -259,6 +260,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
     named = classes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(first, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    number = [F.col("row").alias(c) for c in keep]
+    out = out.select(*number, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, the one with the smallest id; of rows with that id and text, one."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, shingle=shingle, percent=percent, keep=("_row",))
+    # of repeated rows of the kept id the first; a document without words is its own group
+    first = groups.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("_row").alias("_row")).select("_row")
+    alone = groups.where("n_shingles = 0").select("_row")
+    kept = materialize(first.unionByName(alone), "kept")
+    return numbered.join(small_side(kept, MOST_BROADCAST_IDS), "_row", "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, lm_scoring, mixing, near_dedup, sentencepiece_codec, topk
+from . import chat_formatting, html_extraction, language_id, lm_scoring, mixing, near_dedup, sentencepiece_codec, topk, toxicity
 from .quality_rules import quality_rules
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_messages(table(spark, sf_dir, "conversations"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -30,6 +34,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -49,9 +57,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_chat_formatting": op2_chat_formatting,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_html_extraction": op8_html_extraction,
         "op9_topk": op9_topk,
