@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity
 from panelforge.llm.common import materialize
-from panelforge.llm.quality_rules import drop_low_quality
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine finds toxic go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose host fails, go."""
-    return drop_low_quality(docs)
+    return quality_rules.drop_low_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group with a similarity of 0.8 or more on five-word shingles."""
+    return near_dedup.drop_near_duplicates(docs, shingle=5)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of the sources take it."""
+    return mixing.take(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as the ids of its pieces."""
+    return sentencepiece_codec.encode(docs, "doc_id", "lang", "source")
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [
+    ("toxicity", toxic),
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", encoded),
+]
 
-#: Pivotal rounding and a trained classifier have no SQL form; the pipeline is tested on fixtures.
+#: A trained classifier and pivotal rounding have no SQL form; the pipeline is tested against brute force on fixtures.
 ORACLE_SQL = None
 
 
