@@ -1,2 +1,2 @@
 """Queries over the derived panel, each with the SQL it is held against."""
-PLANS = ("windows", "joins")
+PLANS = ("windows", "joins", "scores")
