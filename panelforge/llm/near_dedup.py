@@ -214,22 +214,33 @@ def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links lead to, for every node of a link.
 
-    Labels travel along links and then jump to the label of their label, so the rounds grow with the logarithm
-    of a component's length.
+    By contraction: every node points to its smallest neighbour, if that is smaller than itself; pointers jump
+    to where pointers lead until they stand; links are then drawn between the nodes pointed to, and those
+    within one go.  Each round at least halves the nodes that still have links, and a node can't be larger
+    than what points to it, so the last one is the smallest of its component.
     """
-    edges = links.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(edges.distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).withColumnRenamed("a", "v"), "labels")
+    whole: DataFrame | None = None
+    edges = materialize(links.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).where("x < y").distinct(), "edges")
     while True:
-        told = edges.join(labels, edges["b"] == labels["v"]).groupBy("a").agg(F.min("l").alias("m"))
-        nearer = labels.join(told, labels["v"] == told["a"], "left").select("v", F.least("l", "m").alias("n"), "l")
-        far = labels.select(F.col("v").alias("w"), F.col("l").alias("far"))
-        after = nearer.join(far, nearer["n"] == far["w"], "left").select("v", F.least("n", "far").alias("l"), (F.least("n", "far") < F.col("l")).alias("moved"))
-        after = materialize(after, "labels")
-        labels = after.select("v", "l")
-        if after.where("moved").isEmpty():
-            return labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
+        ends = edges.select(F.col("y").alias("v"), F.col("x").alias("p")).unionByName(edges.select(F.col("x").alias("v"), F.col("x").alias("p")))
+        points = materialize(ends.groupBy("v").agg(F.min("p").alias("p")), "points")
+        while True:
+            ahead = points.select(F.col("v").alias("at"), F.col("p").alias("far"))
+            jumped = points.join(ahead, points["p"] == ahead["at"]).select("v", F.col("far").alias("p"), (F.col("far") < F.col("p")).alias("moved"))
+            jumped = materialize(jumped, "points")
+            points = jumped.select("v", "p")
+            if jumped.where("moved").isEmpty():
+                break
+        if whole is None:
+            whole = points.select(F.col("v").alias("node"), F.col("p").alias("component"))
+        else:
+            root = points.select(F.col("v").alias("component"), F.col("p").alias("root"))
+            whole = materialize(whole.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+        left, right = points.select(F.col("v").alias("x"), F.col("p").alias("a")), points.select(F.col("v").alias("y"), F.col("p").alias("b"))
+        drawn = edges.join(left, "x").join(right, "y").where("a <> b")
+        edges = materialize(drawn.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "edges")
+        if edges.isEmpty():
+            return whole
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
