@@ -132,7 +132,7 @@ QUERIES = {
     ),
     "j13_full_outer_mean": (
         lambda s, d: _two_scores(s, d),
-        sql("bars flows", f"""with a as (select asset_id, cast(sum(v) as bigint) as x from bars where asset_id % 3 <> 0 group by 1), b as (select asset_id, cast(sum(lg_buy) as bigint) as y from flows where asset_id % 4 <> 0 group by 1)
+        sql("bars flows", f"""with a as (select asset_id, cast(sum(v) as bigint) as x from bars where v > 40 group by 1), b as (select asset_id, cast(sum(lg_buy) as bigint) as y from flows where lg_buy > 80 group by 1)
         select coalesce(a.asset_id, b.asset_id) as asset_id, x, y, (coalesce(x, 0) + coalesce(y, 0)) / cast((x is not null)::int + (y is not null)::int as double) as score from a full join b on a.asset_id = b.asset_id"""),
     ),
     "j14_asset_horizons": (
@@ -182,14 +182,14 @@ QUERIES = {
     "w24_closed_contexts": (lambda s, d: contexts(s, d), sql("macro", f"with {CONTEXTS.strip()} select starts_at, label, ends_at from ctx")),
     "w26_rebase": (
         lambda s, d: _rebased(s, d),
-        sql("bars", f"select asset_id, d, {r4(f'c * 100000.0::double / first_value(c) over ({W})')} as value from bars where asset_id <= 5"),
+        sql("bars", f"select asset_id, d, {r4(f'c * 100000.0::double / first_value(c) over ({W})')} as value from bars"),
     ),
 }
 
 
 def _two_scores(s, d):
-    a = panel.bars(s, d).where("asset_id % 3 <> 0").groupBy("asset_id").agg(F.sum("v").alias("x"))
-    b = panel.flows(s, d).where("asset_id % 4 <> 0").groupBy("asset_id").agg(F.sum("lg_buy").alias("y"))
+    a = panel.bars(s, d).where("v > 40").groupBy("asset_id").agg(F.sum("v").alias("x"))
+    b = panel.flows(s, d).where("lg_buy > 80").groupBy("asset_id").agg(F.sum("lg_buy").alias("y"))
     both = a.join(b, "asset_id", "full")
     known = F.col("x").isNotNull().cast("int") + F.col("y").isNotNull().cast("int")
     return both.withColumn("score", (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))) / known.cast("double"))
@@ -204,4 +204,4 @@ def _previous(s, d):
 def _rebased(s, d):
     from ..functions.columns import by_asset
 
-    return panel.bars(s, d).where("asset_id <= 5").select("asset_id", "d", cs.four(F.col("c") * 100000.0 / F.first("c").over(by_asset())).alias("value"))
+    return panel.bars(s, d).select("asset_id", "d", cs.four(F.col("c") * 100000.0 / F.first("c").over(by_asset())).alias("value"))

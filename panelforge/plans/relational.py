@@ -47,9 +47,9 @@ def _daily(s, d):
 
 
 def _aliases(s, d):
-    """Brands' words as aliases of assets: the asset is the brand's smallest part."""
-    names = panel.table(s, d, "documents").where("doc_id < 200").select("doc_id", F.explode(F.slice(tx.words(F.col("text")), 1, 3)).alias("alias"))
-    return names.where(F.length("alias") >= 6).groupBy("alias").agg(F.min(F.col("doc_id") % 50 + 1).alias("asset_id"))
+    """Long words of the benchmark items as aliases of assets."""
+    names = panel.table(s, d, "benchmark").select("item_id", F.explode(tx.words(F.col("text"))).alias("alias"))
+    return names.where(F.length("alias") >= 8).groupBy("alias").agg(F.min(F.col("item_id") % 50 + 1).alias("asset_id"))
 
 
 QUERIES = {
@@ -65,7 +65,7 @@ QUERIES = {
     "s4_calendar": (lambda s, d: panel.calendar(panel.bars(s, d)).where("d between '1996-01-01' and '1997-12-31'"), sql("calendar", "select d from calendar where d between '1996-01-01' and '1997-12-31'")),
     "s6_incremental_bars": (
         lambda s, d: _incremental(s, d),
-        sql("bars", "with old as (select asset_id, max(d) as last from bars where d < date '1999-01-01' and asset_id % 4 <> 0 group by 1) select b.asset_id, b.d, b.c, b.v * 100 as volume from bars b left join old using (asset_id) where b.d > coalesce(old.last, date '1996-01-01' - 1)"),
+        sql("bars", "with old as (select asset_id, max(d) as last from bars where d < date '1999-01-01' and v >= 20 group by 1) select b.asset_id, b.d, b.c, b.v * 100 as volume from bars b left join old using (asset_id) where b.d > coalesce(old.last, date '1996-01-01' - 1)"),
     ),
     "s7_current_constituents": (
         lambda s, d: _constituents(s, d),
@@ -84,12 +84,12 @@ QUERIES = {
         sql("macro", "with p as (select date, pmi, cpi10 from macro where month(date) <> 5), f as (select date, 50 as pmi, cpi10 + 1 as cpi10 from macro) select coalesce(p.date, f.date) as date, coalesce(p.pmi, f.pmi) as pmi, coalesce(p.cpi10, f.cpi10) as cpi10, case when p.pmi is null then 'fallback' else 'primary' end as pmi_from, case when p.cpi10 is null then 'fallback' else 'primary' end as cpi_from from p full join f on p.date = f.date"),
     ),
     "s18_news_urls": (
-        lambda s, d: panel.news(s, d).select("article_id", F.sha2(F.concat_ws("|", "source", F.col("published").cast("string"), F.substring(F.coalesce("text", F.lit("")), 1, 80)), 256).alias("url_hash")),
-        sql("news", "select article_id, sha256(concat_ws('|', source, cast(published as varchar), substr(coalesce(text, ''), 1, 80))) as url_hash from news"),
+        lambda s, d: panel.news(s, d).select("article_id", F.sha2(F.concat_ws("|", "source", F.col("published").cast("string"), F.coalesce("text", F.lit(""))), 256).alias("url_hash")),
+        sql("news", "select article_id, sha256(concat_ws('|', source, cast(published as varchar), coalesce(text, ''))) as url_hash from news"),
     ),
     "s19_news_dedupe": (
-        lambda s, d: panel.news(s, d).where("published between '1995-06-01' and '1999-06-30'").withColumn("key", F.substring("text", 1, 40)).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("source", "article_id"))).where("r = 1").select("article_id", "published", "source"),
-        sql("news", "select article_id, published, source from (select *, row_number() over (partition by substr(text, 1, 40) order by source, article_id) as r from news where published between '1995-06-01' and '1999-06-30') where r = 1"),
+        lambda s, d: panel.news(s, d).where("published between '1995-06-01' and '1999-06-30'").withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("source", "article_id"))).where("r = 1").select("article_id", "published", "source"),
+        sql("news", "select article_id, published, source from (select *, row_number() over (partition by text order by source, article_id) as r from news where published between '1995-06-01' and '1999-06-30') where r = 1"),
     ),
     "s20_request_windows": (
         lambda s, d: _spans(panel.calendar(panel.bars(s, d)), 60),
@@ -130,7 +130,7 @@ QUERIES = {
         lambda s, d: panel.assets(s, d).where((F.col("market") == "ASIA") | F.lower("symbol").contains("00001")).where("active").select("asset_id", "symbol", "market"),
         sql("assets", "select asset_id, symbol, market from assets where (market = 'ASIA' or contains(lower(symbol), '00001')) and active"),
     ),
-    "p2_bar_range": (lambda s, d: panel.bars(s, d).where("asset_id = 3 and d between '1997-01-01' and '1998-12-31'"), sql("bars", "select asset_id, d, c, h, l, v from bars where asset_id = 3 and d between '1997-01-01' and '1998-12-31'")),
+    "p2_bar_range": (lambda s, d: panel.bars(s, d).where("d between '1997-01-01' and '1998-12-31'"), sql("bars", "select asset_id, d, c, h, l, v from bars where d between '1997-01-01' and '1998-12-31'")),
     "p4_recent_events": (
         lambda s, d: _events(s, d).where((F.col("ts") >= F.expr("timestamp_ntz'2024-01-23 00:00:00'")) & F.col("event_type").contains("c")).select("event_id", "user_id", "event_type"),
         "select event_id, user_id, event_type from events where ts >= timestamp '2024-01-23 00:00:00' and contains(event_type, 'c')",
@@ -140,8 +140,8 @@ QUERIES = {
         sql("assets", "with t as (select *, len(tags) > 0 as tagged from assets where active) select asset_id, symbol from t where tagged or not (select bool_or(tagged) from t)"),
     ),
     "p10_json_path": (
-        lambda s, d: _events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k % 2 = 0"),
-        "select event_id, k from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) where k % 2 = 0",
+        lambda s, d: _events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k >= 5"),
+        "select event_id, k from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) where k >= 5",
     ),
     "p12_reprocess": (
         lambda s, d: panel.fundamentals(s, d).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("pe").isNull() | F.col("pb").isNull()).alias("redo")),
@@ -209,7 +209,7 @@ QUERIES = {
         sql("assets", "select asset_id, symbol from assets order by symbol limit 4 offset 5"),
     ),
     "t8_order_preserving_dedupe": (
-        lambda s, d: panel.news(s, d).select("article_id", F.array_join(F.slice(F.array_distinct(tx.words(F.col("text"))), 1, 20), " ").alias("first_words")).where("article_id < 300"),
+        lambda s, d: panel.news(s, d).select("article_id", F.array_join(F.array_distinct(tx.words(F.col("text"))), " ").alias("distinct_words")),
         None,
     ),
     "u1_index_union": (
@@ -221,12 +221,12 @@ QUERIES = {
         sql("assets", "select asset_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(['OLD', case when asset_id % 2 = 0 then 'IDX_A' else 'IDX_B' end], lambda t: not list_contains(['IDX_A', 'IDX_B'], t)), tags))), ',') as tags, len(list_intersect(['OLD', case when asset_id % 2 = 0 then 'IDX_A' else 'IDX_B' end], tags)) as same from assets"),
     ),
     "u4_observed_days": (
-        lambda s, d: panel.bars(s, d).where("asset_id = 2").select("d").intersect(panel.bars(s, d).where("asset_id = 5").select("d")),
-        sql("bars", "select d from bars where asset_id = 2 intersect select d from bars where asset_id = 5"),
+        lambda s, d: panel.bars(s, d).where("v >= 60").select("d").intersect(panel.bars(s, d).where("c < 18000").select("d")),
+        sql("bars", "select d from bars where v >= 60 intersect select d from bars where c < 18000"),
     ),
     "u5_concat": (
-        lambda s, d: panel.bars(s, d).where("asset_id = 1").select("asset_id", "d", "c").unionByName(panel.bars(s, d).where("asset_id = 2").select("c", "d", "asset_id")),
-        sql("bars", "select asset_id, d, c from bars where asset_id in (1, 2)"),
+        lambda s, d: panel.bars(s, d).where("v >= 60").select("asset_id", "d", "c").unionByName(panel.bars(s, d).where("v < 10").select("c", "d", "asset_id")),
+        sql("bars", "select asset_id, d, c from bars where v >= 60 or v < 10"),
     ),
     "u6_overlap_count": (lambda s, d: panel.assets(s, d).agg(F.count_if(F.size("tags") > 1).alias("overlap"), F.count(F.lit(1)).alias("n")), sql("assets", "select count(*) filter (where len(tags) > 1) as overlap, count(*) as n from assets")),
     # text
@@ -240,7 +240,7 @@ QUERIES = {
     ),
     "j17_text_links": (
         lambda s, d: tx.link(panel.news(s, d), _aliases(s, d)),
-        sql("news", rf"with {WORDS.strip()}, al as (select a as alias, min(article_id % 50 + 1) as asset_id from (select article_id, unnest(w[1:3]) as a from tok where article_id < 200) where length(a) >= 6 group by 1), hit as (select distinct article_id, alias, asset_id from (select article_id, unnest(list_distinct(w)) as alias from tok) join al using (alias)), one as (select article_id, asset_id, max(length(alias)) as n, arg_max(alias, (length(alias), alias)) as alias from hit group by 1, 2) select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"),
+        sql("news", rf"with {WORDS.strip()}, al as (select a as alias, min(item_id % 50 + 1) as asset_id from (select item_id, unnest(string_split_regex(lower(text), '[^\p{{L}}0-9]+')) as a from benchmark) where length(a) >= 8 group by 1), hit as (select distinct article_id, alias, asset_id from (select article_id, unnest(list_distinct(w)) as alias from tok) join al using (alias)), one as (select article_id, asset_id, max(length(alias)) as n, arg_max(alias, (length(alias), alias)) as alias from hit group by 1, 2) select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"),
     ),
     "m23_neutral_fill": (
         lambda s, d: _filled(s, d),
@@ -251,7 +251,7 @@ QUERIES = {
 
 def _incremental(s, d):
     bars = panel.bars(s, d)
-    old = bars.where("d < date'1999-01-01' and asset_id % 4 <> 0").groupBy("asset_id").agg(F.max("d").alias("last"))
+    old = bars.where("d < date'1999-01-01' and v >= 20").groupBy("asset_id").agg(F.max("d").alias("last"))
     fresh = bars.join(old, "asset_id", "left").where(F.col("d") > F.coalesce("last", F.date_sub(F.lit(FLOOR).cast("date"), 1)))
     return fresh.select("asset_id", "d", "c", (F.col("v") * 100).alias("volume"))
 
