@@ -73,24 +73,31 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def code(words: list[str], width: int | None = None) -> np.ndarray:
     """Code points of words, a row each, 0 behind the end."""
-    width = width or max(map(len, words), default=1)
+    ends = np.array([len(w) for w in words], np.int64)
+    width = width or int(ends.max(initial=1))
     out = np.zeros((len(words), width), np.uint32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(width) < ends[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def kernels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``kernel`` of many pairs, in blocks of about equal lengths that are cut to those."""
+    out = np.empty(len(a), np.float32)
+    la, lb = (a > 0).sum(axis=1), (b > 0).sum(axis=1)
+    order = np.lexsort((lb, la))
+    for k in range(0, len(a), PAIRS):
+        rows = order[k : k + PAIRS]
+        out[rows] = kernel(a[rows, : la[rows].max()], b[rows, : lb[rows].max()])
     return out
 
 
 def _own(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([kernel(codes[k : k + PAIRS], codes[k : k + PAIRS]) for k in range(0, len(codes), PAIRS)] or [np.empty(0, np.float32)])
+    return kernels(codes, codes)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray) -> np.ndarray:
     """Normalized kernels of pairs of rows, to the power POWER."""
-    out = np.empty(len(a), np.float32)
-    for k in range(0, len(a), PAIRS):
-        s = slice(k, k + PAIRS)
-        out[s] = kernel(a[s], b[s])
-    return np.clip(out / np.sqrt(np.maximum(own_a * own_b, 1e-30)), 0, 1) ** POWER
+    return np.clip(kernels(a, b) / np.sqrt(np.maximum(own_a * own_b, 1e-30)), 0, 1) ** POWER
 
 
 def _masks(codes: np.ndarray, gap: int) -> np.ndarray:
@@ -129,6 +136,7 @@ class Features:
         self.masks = _masks(self.codes, 1)
         self.need = np.ceil(np.bitwise_count(self.masks).sum(axis=1) * 0.5)
         self.memory: dict[str, list[tuple[int, float]] | None] = {}
+        self.older: dict[str, list[tuple[int, float]] | None] = {}
 
     def _learn(self, new: list[str]) -> None:
         """Remember the kernels of tokens with all landmarks; None where all are about 0."""
@@ -161,11 +169,13 @@ class Features:
     def of(self, texts: list[str]) -> np.ndarray:
         """One row a text: the largest kernel with each landmark."""
         split = [set(tokens(t)) for t in texts]
-        new = {w for x in split for w in x if w not in self.memory}
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = {w for x in split for w in x}
-        self._learn(sorted(new))
+        met = set().union(*split)
+        if len(self.memory) + len(met) > MEMORY:  # what was not met since the last time is forgotten
+            self.memory, self.older = {}, self.memory
+        new = met - self.memory.keys()
+        again = new & self.older.keys()
+        self.memory |= {w: self.older[w] for w in again}
+        self._learn(sorted(new - again))
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
         get = self.memory.get
         for i, x in enumerate(split):
