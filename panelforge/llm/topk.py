@@ -12,6 +12,7 @@ Defined cases
   than a query's for that query, and null ids;
 - an empty vector has score 0 with every other empty vector;
 - equal scores: the smaller vec_id first; a box whose bound equals the k-th score is still opened;
+- scores beyond the range of a long are ranked as they are and returned as its ends;
 - repeated rows are separate candidates; a query's own id is never one; an empty table gives an empty result.
 """
 
@@ -34,6 +35,7 @@ QUERIES = 512
 LEAF = 128
 #: Integers up to this size are exact in double arithmetic.
 EXACT = 2.0**53
+LIMIT = 2**63 - 1
 
 
 class Tree:
@@ -127,7 +129,7 @@ def _search(k: int):
                 if top * float(np.abs(q).sum()) >= EXACT:
                     tree, q = WideTree(own_ids, points), np.array([int(v) for v in x], object)
                     tree.points = np.array([[int(v) for v in row] for row in points], object).reshape(points.shape)
-                out += [(query, i, s) for s, i in tree.search(q, query, k, -np.inf if kth is None else kth)]
+                out += [(query, i, max(-LIMIT, min(LIMIT, s))) for s, i in tree.search(q, query, k, -np.inf if kth is None else kth)]
         q, i, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
 
