@@ -268,9 +268,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = classes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, "component").select("digest", "component_id")
+    # written, so that the join with a large component's members is of two exchanges, which can be split
+    first = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = labels.join(materialize(first, "first"), "component").select("node", "component_id")
+    named = classes.select("node", "digest", F.col("doc_id").alias("own")).join(found, "node", "left")
+    named = named.select("digest", F.coalesce("component_id", "own").alias("component_id"))
     out = rows.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
     number = [F.col("row").alias(c) for c in keep]
     out = out.select(*number, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
