@@ -23,7 +23,7 @@ from .windows import RSI, W, lag, mean_sql, r4, spread_sql
 
 def board(s, d):
     """Each asset's newest bar, factor row, prediction, indicators and sentiment; suggested first."""
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     last = pit.latest(bars, "asset_id", "d").select("asset_id", F.col("d").alias("bar_d"), "c")
     factor = pit.latest(factors(s, d), "asset_id", "d").select("asset_id", "composite", "bottom")
     rsi = pit.latest(ind.rsi_columns(bars).select("asset_id", "d", sc.four(F.col("rsi")).alias("rsi")), "asset_id", "d").drop("d")
@@ -81,7 +81,7 @@ def screeners(s, d):
 
 def quality_report(s, d):
     """Issues by kind and severity: missing bars, missing fundamentals and flows, uncovered and overlapping contexts, stale macro."""
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     days = panel.calendar(bars)
     keys = bars.select("asset_id", "d")
     held = pit.coverage(days, contexts(s, d))
@@ -118,7 +118,7 @@ union all select 'null_pmi', 'critical', count(*) filter (where pmi is null) fro
 
 def candidates(s, d, top: int = 3):
     """The best assets of each factor day with entry decisions and planned exits, for three runs of different slots."""
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     picks = sc.top_k(factors(s, d), top, F.desc("bottom"), F.asc("asset_id")).select("d", "asset_id", "rank", "bottom")
     ahead = pit.next_row(bars, 20, 20).select("asset_id", "d", "exit_d")
     x = picks.join(sc.decision_inputs(bars), ["asset_id", "d"]).join(ahead, ["asset_id", "d"])
@@ -147,7 +147,7 @@ def comparison(s, d):
 
 
 def feature_matrix(s, d):
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     sent = tx.sentiment(panel.news(s, d).select("article_id", "published", "text"))
     daily = sent.groupBy("published").agg(F.sum(F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long")).alias("m"), F.count(F.lit(1)).alias("n"))
     daily = daily.select("published", sc.four(F.col("m") / (F.col("n") * 1000000.0)).alias("sentiment"))
@@ -174,7 +174,7 @@ select *, {r4('rsi * rs_score')} as rsi_x_rs, {r4('rs_score * composite')} as rs
 def forest(s, d):
     """Labels at seven days against the matrix: fitted before 1999, scored from then on."""
     x = feature_matrix(s, d)
-    moves = pit.next_row(panel.bars(s, d), 7).where("exit_d is not null")
+    moves = pit.next_row(panel.shared_bars(s, d), 7).where("exit_d is not null")
     label = F.when((F.col("exit_c") - F.col("c")) * 100 >= 2 * F.col("c"), "UP").when((F.col("exit_c") - F.col("c")) * 100 <= -2 * F.col("c"), "DOWN").otherwise("FLAT")
     rows = x.join(moves.select("asset_id", "d", label.alias("label")), ["asset_id", "d"])
     model = ft.fit_forest(rows.where("d < '1999-01-01'"), ["rsi", "ret_3", "ret_5", "ret_10", "rel_volume_5", "volatility_bp", "rs_score", "composite", "pmi", "curve"])

@@ -45,7 +45,7 @@ def _asof_fundamentals(s, d):
 
 
 def _returns(s, d):
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     return cs.weighted_returns(bars, panel.membership(panel.calendar(bars), panel.assets(s, d)), panel.fundamentals(s, d))
 
 

@@ -58,7 +58,7 @@ factor as (select asset_id, d, {r4('fundamental')} as fundamental, {r4('flow')}
 
 
 def factors(s, d):
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     days = bars.where(F.dayofmonth("d") == 15).select("asset_id", "d")
     return sc.factor_scores(days, panel.fundamentals(s, d), ind.flow_windows(panel.flows(s, d)), sc.technical_reversal(bars))
 
@@ -89,7 +89,7 @@ DECIDED = ("asset_id", "d", "horizon", "c", "p", "label", "target", "stop", "rew
 
 def heuristics_in(s, d):
     """The 15th of each month: momentum, sentiment from the id, RS score, bottom probability, phase, by horizon."""
-    bars = panel.bars(s, d)
+    bars = panel.shared_bars(s, d)
     mom = ind.momentum(bars).select("asset_id", "d", F.col("mom_5d").alias("mom5"))
     rs = cs.rs_score(bars).select("asset_id", "d", F.col("rs_score").alias("rs"))
     x = factors(s, d).select("asset_id", "d", "bottom").join(mom, ["asset_id", "d"]).join(rs, ["asset_id", "d"])

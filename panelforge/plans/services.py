@@ -91,7 +91,7 @@ def _batch(s, d):
     """Newest heuristic prediction of every asset and horizon with its trade decision: the batch that is stored."""
     p = predictions(s, d)
     newest = p.withColumn("r", F.row_number().over(Window.partitionBy("asset_id", "horizon").orderBy(F.desc("d")))).where("r = 1")
-    x = newest.join(sc.decision_inputs(panel.bars(s, d)), ["asset_id", "d"]).withColumn("p", F.col("up"))
+    x = newest.join(sc.decision_inputs(panel.shared_bars(s, d)), ["asset_id", "d"]).withColumn("p", F.col("up"))
     return sc.decide(x).select("asset_id", "d", "horizon", "label", "up", "target", "stop", "reward_risk", "trade_score", "suggested")
 
 

@@ -35,6 +35,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("asset_id", "d", "c", (F.col("c") + F.col("up")).alias("h"), F.greatest(F.col("c") - F.col("dn"), F.lit(1)).alias("l"), "v")
 
 
+def shared_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bars``, kept in memory and on disk for the branches of one query; what a lost executor held is worked out again."""
+    return bars(spark, sf_dir).persist()
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset_id, symbol, country, market, active and tags."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
