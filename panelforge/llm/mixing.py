@@ -190,8 +190,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns it came with."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    plan = copies(numbered.withColumn("row", F.col("_row"))).where("copies > 0")
+    narrow = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if narrow["rows"] == narrow["ids"]:
+        numbered = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    else:  # ids that repeat, or are null: rows need numbers of their own, which a written copy keeps
+        numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    plan = copies(numbered.select(F.col("_row").alias("row"), "doc_id", "source", "text")).where("copies > 0")
     plan = materialize(plan.select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "plan")
     taken = numbered.join(small_side(plan, MOST_BROADCAST_ROWS), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

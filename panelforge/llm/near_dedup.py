@@ -281,6 +281,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest id; of rows with that id and text, one."""
+    narrow = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if narrow["rows"] == narrow["ids"]:
+        groups = near_duplicates(docs, shingle=shingle, percent=percent)
+        kept = materialize(groups.where("kept or n_shingles = 0").select("doc_id"), "kept")
+        return docs.join(small_side(kept, MOST_BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns)
+    # ids that repeat, or are null: rows need numbers of their own, which a written copy keeps
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = near_duplicates(numbered, shingle=shingle, percent=percent, keep=("_row",))
     # of repeated rows of the kept id the first; a document without words is its own group
