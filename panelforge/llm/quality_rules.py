@@ -157,11 +157,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
     tagged = docs.withColumn("_host", host_of(F.col("source").cast("string")))
-    # the texts are read once more for their own verdicts rather than copied to disk between
-    narrow = base_rules(tagged.select("text", "_host"), "_host")
-    bad = host_verdicts(narrow.select(F.col("_host").alias("host"), "base_failed")).where("host_failed")
-    bad = materialize(bad.select(F.col("host").alias("_host")), "bad-hosts")
     carried = [F.col(c).alias(f"_kept_{c}") for c in docs.columns]
-    passed = base_rules(tagged.select("text", "_host", *carried), "_host", *[f"_kept_{c}" for c in docs.columns]).where(~F.col("base_failed"))
-    passed = passed.join(small_side(bad, MOST_BROADCAST_HOSTS), "_host", "left_anti")
+    rules = base_rules(tagged.select("text", "_host", *carried), "_host", *[f"_kept_{c}" for c in docs.columns])
+    # written before anything is filtered: a filter pushed below the counts would split a text anew for every window
+    rules = materialize(rules, "quality-docs")
+    bad = host_verdicts(rules.select(F.col("_host").alias("host"), "base_failed")).where("host_failed")
+    bad = materialize(bad.select(F.col("host").alias("_host")), "bad-hosts")
+    passed = rules.where(~F.col("base_failed")).join(small_side(bad, MOST_BROADCAST_HOSTS), "_host", "left_anti")
     return passed.select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])
