@@ -120,17 +120,11 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    spread = F.col("m") * (1 - F.col("m"))
-    strength = F.when((F.col("v") > 0) & (F.col("v") < spread), F.greatest(spread / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(WEAK_PRIOR))
-    prior = prior.select("m", strength.alias("strength"))
-    hosts = hosts.crossJoin(F.broadcast(prior))  # one row of two numbers
-    return hosts.select(
-        "host",
-        "n_docs",
-        "n_failed",
-        ((F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).alias("host_rate"),
-    ).withColumn("host_failed", F.col("host_rate") > MAX_HOST_RATE)
+    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers, null without hosts
+    spread = (m or 0.0) * (1 - (m or 0.0))
+    strength = max(spread / v - 1, 1.0) if v and v < spread else WEAK_PRIOR
+    shrunk = (F.col("n_failed") + F.lit((m or 0.0) * strength)) / (F.col("n_docs") + F.lit(strength))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn("host_failed", F.col("host_rate") > MAX_HOST_RATE)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
