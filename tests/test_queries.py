@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+from numbers import Real
 
 import duckdb
 import pandas as pd
@@ -26,7 +27,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if pd.isna(v) else (round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).replace(" 00:00:00", ""))
+    clean = lambda v: None if pd.isna(v) else (round(float(v), 6) if isinstance(v, Real) and not isinstance(v, bool) else str(v).replace(" 00:00:00", ""))
     return sorted(map(str, (tuple(clean(v) for v in r) for r in frame.itertuples(index=False))))
 
 
