@@ -16,8 +16,11 @@ A pair at the threshold shares no bucket with probability (1 - 0.8 ** 6) ** 48 <
 
 Defined cases
 - null text or no word: empty set, linked with nothing, its own component;
+- rows are told apart by a unique number: the id where every row has its own, else one that is written with them;
 - repeated rows: each row is returned, with the component of its set; equal sets are linked;
-- the same id with different texts: each row has the component of its own text;
+- the same id with different texts: each row has the component of its own text, though both may report that id;
+- ``component_id`` is the smallest id in the component that is not null, and null where all are;
+- ``kept`` holds for one row of each component: that of the smallest id, null ids last; of equal ids, the first row;
 - ties for pivots go to the smaller class; empty table: empty result; extra columns are not read.
 """
 
@@ -98,22 +101,19 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(k: int):
-    """(wanted node, partner, digest, text) to (node, partner, set); rows of another text with the same id go."""
+    """(wanted node, partner, text) to (node, partner, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = ss.Shingler(k)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                nodes, others, sets, last, found = [], [], [], None, None
-                for node, other, want, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sets, last, found = [], None, None
+                for text in batch.column(2).to_pylist():
                     if text is not last:
-                        last, found = text, shingler.shingles(text)
-                    if ss.digest(found) == want:
-                        nodes.append(node)
-                        others.append(other)
-                        sets.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(sets, pa.binary())], names=["node", "pivot", "elements"])
+                        last, found = text, shingler.shingles(text).tobytes()
+                    sets.append(found)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "pivot", "elements"])
 
     return run
 
@@ -173,12 +173,10 @@ def _across(percent: int):
     return run
 
 
-def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
-    """(node, pivot, elements): the sets of the wanted nodes, for each partner."""
-    found = classes.select(F.col("node").alias("at"), F.col("doc_id").alias("id"), "digest")
-    wanted = materialize(wanted.join(found, wanted["node"] == found["at"]).select("node", "pivot", "digest", "id"), f"{name}-wanted")
-    texts = docs.join(small_side(wanted, MOST_BROADCAST_IDS), F.col("doc_id") == F.col("id"))
-    return texts.select("node", "pivot", "digest", "text").mapInArrow(_sets(k), "node long, pivot long, elements binary")
+def _texts(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, pivot, elements): the sets of the wanted nodes, which are row numbers, for each partner."""
+    texts = docs.join(small_side(wanted, MOST_BROADCAST_IDS), F.col("row") == F.col("node"))
+    return texts.select("node", "pivot", "text").mapInArrow(_sets(k), "node long, pivot long, elements binary")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,14 +186,14 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     pairs = pairs.join(size.withColumnsRenamed({"node": "pivot", "n_shingles": "n_b", "sketch": "b"}), "pivot")
     pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     likely = materialize(pairs.select("node", "pivot", "n_a", "n_b", "a", "b").mapInArrow(_likely, "node long, pivot long"), "likely")
-    left = _texts(likely, classes, docs, k, "members").withColumnRenamed("elements", "a")
+    left = _texts(likely, docs, k).withColumnRenamed("elements", "a")
     alone = likely.select(F.col("pivot").alias("node")).distinct().withColumn("pivot", F.lit(None).cast("long"))
-    right = _texts(alone, classes, docs, k, "pivots")
+    right = _texts(alone, docs, k)
     both = left.join(right.select(F.col("node").alias("pivot"), F.col("elements").alias("b")), "pivot").select("node", "pivot", "a", "b")
     return materialize(both.mapInArrow(_confirm(percent), "node long, pivot long").distinct(), "links")
 
 
-def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links_across(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that hold between members (key, node, component) of the same buckets in different components."""
     star = open_.join(open_.groupBy("key").agg(F.min("node").alias("pivot")), "key").where("node != pivot").select("node", "pivot").distinct()
     groups = components(star).withColumnRenamed("component", "bucket_group")
@@ -203,7 +201,7 @@ def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     at = groups.join(counts, "bucket_group").join(open_.select("node", "component").distinct(), "node").withColumn("block", spread)
     at = materialize(at, "groups")
-    sets = _texts(at.select("node").withColumn("pivot", F.lit(None).cast("long")), classes, docs, k, "open").select("node", "elements")
+    sets = _texts(at.select("node").withColumn("pivot", F.lit(None).cast("long")), docs, k).select("node", "elements")
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j"))
     )
@@ -243,13 +241,20 @@ def components(links: DataFrame) -> DataFrame:
             return whole
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; ``keep`` may name a unique number to take for a row."""
-    number = F.col(keep[0]) if keep else F.monotonically_increasing_id()
-    docs = docs.select(number.alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that numbers its rows; no copy is written where the ids do."""
+    narrow = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if narrow["rows"] == narrow["ids"]:
+        return docs, "doc_id"
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+
+
+def _grouped(docs: DataFrame, number: str, shingle: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and kept of every row."""
+    docs = docs.select(F.col(number).cast("long").alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketched = docs.select("row", "doc_id", "text").mapInArrow(_sketcher(shingle), SKETCH)
     rows = materialize(sketched, "sketches")
-    least = F.min_by(F.struct("row", "doc_id"), F.struct("doc_id", "row"))
+    least = F.min_by(F.struct("row", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(least.alias("x"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), "n_shingles", "digest", "sketch"), "classes")
 
@@ -264,33 +269,31 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
     labels = components(links)
     at = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    more = _links_across(materialize(at.join(mixed, "key"), "open"), classes, docs, shingle, percent)
+    more = _links_across(materialize(at.join(mixed, "key"), "open"), docs, shingle, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
     # written, so that the join with a large component's members is of two exchanges, which can be split
-    first = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = labels.join(materialize(first, "first"), "component").select("node", "component_id")
+    first = labels.join(classes.select("node", "doc_id"), "node").groupBy("component")
+    first = first.agg(F.min("doc_id").alias("component_id"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("survivor"))
+    found = labels.join(materialize(first, "first"), "component").select("node", "component_id", "survivor")
     named = classes.select("node", "digest", F.col("doc_id").alias("own")).join(found, "node", "left")
-    named = named.select("digest", F.coalesce("component_id", "own").alias("component_id"))
+    named = named.select("digest", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("survivor", "node").alias("survivor"))
     out = rows.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    number = [F.col("row").alias(c) for c in keep]
-    out = out.select(*number, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # a document without words is its own group
+    kept = (F.col("n_shingles") == 0) | (F.col("row") == F.col("survivor"))
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    docs, number = _numbered(docs.select("doc_id", "text"))
+    return _grouped(docs, number, shingle, percent).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the smallest id; of rows with that id and text, one."""
-    narrow = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if narrow["rows"] == narrow["ids"]:
-        groups = near_duplicates(docs, shingle=shingle, percent=percent)
-        kept = materialize(groups.where("kept or n_shingles = 0").select("doc_id"), "kept")
-        return docs.join(small_side(kept, MOST_BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns)
-    # ids that repeat, or are null: rows need numbers of their own, which a written copy keeps
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, shingle=shingle, percent=percent, keep=("_row",))
-    # of repeated rows of the kept id the first; a document without words is its own group
-    first = groups.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("_row").alias("_row")).select("_row")
-    alone = groups.where("n_shingles = 0").select("_row")
-    kept = materialize(first.unionByName(alone), "kept")
-    return numbered.join(small_side(kept, MOST_BROADCAST_IDS), "_row", "left_semi").select(*docs.columns)
+    """One row of each group, the one with the smallest id; of equal ids, the first."""
+    numbered, number = _numbered(docs)
+    kept = _grouped(numbered, number, shingle, percent).where("kept").select(F.col("row").alias(number))
+    kept = materialize(kept, "kept")
+    return numbered.join(small_side(kept, MOST_BROADCAST_IDS), number, "left_semi").select(*docs.columns)

@@ -72,6 +72,27 @@ def test_same_id_with_different_texts(docs):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_null_and_repeated_ids(docs):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-2] + ["x", "y"])
+    text = " ".join(base)
+    rows = [(None, text), (9, text), (9, text), (None, near), (7, near)]  # one group, its smallest id is 7
+    rows += [(None, "alone with no id at all"), (None, None), (None, "")]  # each its own
+    rows += [(None, "p q r s t u"), (None, "p q r s t u"), (None, "P  q r s t u")]  # a group without an id
+    rows += [(1, "first text of an id"), (1, "quite another text under that"), (1, "quite another text under that")]
+    table = docs(*[(i, t, "en", "s") for i, t in rows])
+    got = nd.near_duplicates(table).collect()
+    assert len(got) == len(rows)
+    assert sum(r.component_id == 7 for r in got) == 5
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in got if r.kept) == sorted(
+        [("7", "7", 59), ("None", "None", 5), ("None", "None", 0), ("None", "None", 0), ("None", "None", 5), ("1", "1", 4), ("1", "1", 4)]
+    )
+    assert all(r.kept is not None for r in got)
+    left = [(r.doc_id, (r.text or "").lower().split()) for r in nd.drop_near_duplicates(table, shingle=2).collect()]
+    want = [(7, near), (None, rows[5][1]), (None, ""), (None, ""), (None, "p q r s t u"), (1, rows[11][1]), (1, rows[12][1])]
+    assert sorted(map(str, left)) == sorted(str((i, t.split())) for i, t in want)
+
+
 def test_components_of_chains_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(50, 50), (60, 61), (61, 60)]
     got = {r.node: r.component for r in nd.components(spark.createDataFrame(links, "node long, pivot long")).collect()}
