@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: A word is a run of bytes outside the ASCII white space \x20 \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_scratch: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            root = set_dir.get()
-        else:
-            root = "/tmp/panelforge-checkpoints"
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _clean(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; what stays is scratch
-        return
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -44,11 +18,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     from here.  The folder is removed when the driver exits.
     """
     spark = df.sparkSession
-    if spark.sparkContext.applicationId not in _scratch:
-        base = f"{scratch_root(spark)}/panelforge-{uuid.uuid4().hex}"
-        _scratch[spark.sparkContext.applicationId] = base
-        atexit.register(_clean, spark, base)
-    path = f"{_scratch[spark.sparkContext.applicationId]}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

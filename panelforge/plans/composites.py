@@ -13,6 +13,7 @@ from ..operators import pointintime as pit
 from ..operators import scoring as sc
 from ..operators import text as tx
 from ..sources import panel
+from ..sources.scratch import is_folder, scratch_path
 from ..streaming import alerts
 from .cte import sql
 from .joins import CONTEXTS, contexts
@@ -183,16 +184,19 @@ def forest(s, d):
 
 def alert_stream(s, d):
     """The events as a stream from files, through the stateful operator, run until all are read."""
-    import uuid
-
     path = f"{d}/events.parquet"
     schema = s.read.parquet(path).schema
-    name = f"alerts_{uuid.uuid4().hex[:8]}"
-    folder, file = path.rsplit("/", 1)
-    stream = s.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    query = alerts.fired_stream(stream, 95.0).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    reader = s.readStream.schema(schema)
+    if is_folder(s, path):
+        stream = reader.parquet(path)
+    else:  # a stream reads folders only
+        folder, file = path.rsplit("/", 1)
+        stream = reader.option("pathGlobFilter", file).parquet(folder)
+    out = alerts.fired_stream(stream, 95.0)
+    to = scratch_path(s, "alerts")
+    query = out.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{to}-checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.table(name)
+    return s.read.schema(out.schema).parquet(to)
 
 
 def curve_points(s, d):

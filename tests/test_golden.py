@@ -13,6 +13,7 @@ from panelforge.operators import pointintime as pit
 from panelforge.operators import scoring as sc
 from panelforge.operators import signals as sig
 from panelforge.operators import text as tx
+from panelforge.plans import composites
 from panelforge.plans.scores import prune_plan
 from panelforge.sources import sinks
 from panelforge.streaming import alerts
@@ -186,3 +187,21 @@ def test_alert_cooldown(spark):
     ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h) for h in (0, 1, 6, 7, 13)]
     events = spark.createDataFrame(pd.DataFrame({"event_type": "a", "event_id": range(5), "ts": ts, "value": 99.0}), "event_type string, event_id long, ts timestamp_ntz, value double")
     assert sorted(r.event_id for r in alerts.fired(events, 95.0).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_alert_stream_reads_files_and_folders(spark, tmp_path, parts):
+    rows = [(i, "ab"[i % 2], DAY + timedelta(hours=i), 96.0 if i % 3 else 90.0) for i in range(60)]
+    events = pd.DataFrame(rows, columns=["event_id", "event_type", "ts", "value"])
+    events["ts"] = pd.to_datetime(events["ts"]) + pd.to_timedelta(events["event_id"], unit="h")
+    table = tmp_path / "events.parquet"
+    if parts:
+        table.mkdir()
+        for k in range(parts):
+            events[k::parts].to_parquet(table / f"part-{k}.parquet", coerce_timestamps="us")
+    else:
+        events.to_parquet(table, coerce_timestamps="us")
+    d = f"file://{tmp_path}"
+    got = composites.alert_stream(spark, d).select("event_type", "event_id").collect()
+    want = alerts.fired(spark.read.parquet(f"{d}/events.parquet"), 95.0).select("event_type", "event_id").collect()
+    assert len(got) > 4 and sorted(got) == sorted(want)
