@@ -5,8 +5,9 @@ An assistant's text may be, or hold in ``<tool_call>`` marks, one JSON call or a
 ``{"tool_call_id", "content"}``.  Calls and results are hash-joined by conversation and identifier; calls are
 ordered topologically by ``depends_on`` (level 0 needs nothing; else one more than the deepest call needed);
 arguments are validated against the schema of their tool; each message becomes one JSON text with sorted keys
-and no spaces, its calls in order of level and place.  A message is a row, so a conversation of any length is
-never gathered into one task.
+and no spaces, its calls in order of level and place.  A message is a row, so the texts of a conversation are
+never gathered into one task.  Chains of calls of any length are ordered: a conversation's needs, as numbers, are
+folded in one task if there are at most ``FOLD`` of them, else level by level for as long as a call gains a level.
 
 Defined cases
 - text that is no call or result stays plain content; null text or role: JSON null;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,8 +41,8 @@ SCHEMAS = {
     "lookup": {"id": ("integer", True), "exact": ("boolean", False)},
 }
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
-#: Levels of dependence that are followed; deeper calls are unordered.
-DEPTH = 64
+#: Needs of a conversation, as four numbers each, that one task folds.
+FOLD = 200_000
 
 PARSED = (
     "row long, conv_id long, turn long, role string, text string, kind string, place int, call_id string, name string, "
@@ -145,15 +147,47 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return owned, matched
 
 
-def order(calls: DataFrame) -> DataFrame:
+def fold_levels(needs: pa.Table) -> pa.Table:
+    """(row, place, level) of the calls with needs of one conversation; those without an order are left out."""
+    calls = list(zip(needs.column("row").to_pylist(), needs.column("place").to_pylist(), strict=True))
+    needed = list(zip(needs.column("need_row").to_pylist(), needs.column("need_place").to_pylist(), strict=True))
+    waits = Counter(calls)
+    users = defaultdict(list)
+    for call, need in zip(calls, needed, strict=True):
+        users[need].append(call)  # an unknown call, (None, None), never gets a level
+    ready = [need for need in users if need not in waits and need[0] is not None]
+    levels = dict.fromkeys(waits, 0)
+    done = []
+    while ready:
+        need = ready.pop()
+        above = levels.get(need, 0) + 1
+        for call in users.get(need, ()):
+            levels[call] = max(levels[call], above)
+            waits[call] -= 1
+            if not waits[call]:
+                ready.append(call)
+                done.append((*call, levels[call]))
+    columns = zip(*done, strict=True) if done else ([], [], [])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "place", "level"])
+
+
+def order(calls: DataFrame, fold: int = FOLD) -> DataFrame:
     """Adds ``level``; null where there is no order."""
     needs = calls.select("conv_id", "row", "place", F.explode(F.array_distinct("depends_on")).alias("call_id"))
     owners = calls.where("owner").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("row").alias("need_row"), F.col("place").alias("need_place"))
     needs = needs.join(owners, needs["conv_id"].eqNullSafe(owners["c"]) & (needs["call_id"] == owners["i"]), "left")
-    needs = materialize(needs.select("row", "place", "need_row", "need_place"), "needs")
-    levels = materialize(calls.select("row", "place", F.when(F.size("depends_on") == 0, F.lit(0)).alias("level")), "levels")
-    rounds = 0 if needs.isEmpty() else DEPTH
-    for _ in range(rounds):
+    needs = materialize(needs.select("conv_id", "row", "place", "need_row", "need_place"), "needs")
+    levels = calls.select("row", "place", F.when(F.size("depends_on") == 0, F.lit(0)).alias("level"))
+    if needs.isEmpty():
+        return calls.join(levels, ["row", "place"])
+    large = materialize(needs.groupBy(F.col("conv_id").alias("c")).count().where(F.col("count") > fold).select("c"), "large")
+    same = needs["conv_id"].eqNullSafe(large["c"])
+    folded = needs.join(large, same, "left_anti").groupBy("conv_id").applyInArrow(fold_levels, "row long, place int, level int")
+    folded = folded.withColumnRenamed("level", "reached")
+    levels = materialize(levels.join(folded, ["row", "place"], "left").select("row", "place", F.coalesce("level", "reached").alias("level")), "levels")
+    rest = not large.isEmpty()
+    needs = needs.join(large, same, "left_semi")
+    while rest:
         below = levels.select(F.col("row").alias("need_row"), F.col("place").alias("need_place"), "level")
         known = needs.join(below, ["need_row", "need_place"], "left").groupBy("row", "place")
         known = known.agg(F.when(F.count("level") == F.count(F.lit(1)), F.max("level") + 1).alias("reached"))
@@ -161,8 +195,7 @@ def order(calls: DataFrame) -> DataFrame:
         new = F.col("level").isNull() & F.col("reached").isNotNull()
         after = materialize(after.select("row", "place", F.coalesce("level", "reached").alias("level"), new.alias("new")), "levels")
         levels = after.drop("new")
-        if after.where("new").isEmpty():
-            break
+        rest = not after.where("new").isEmpty()
     return calls.join(levels, ["row", "place"])
 
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from panelforge.llm import chat_formatting as cf
 
 TURNS = "conv_id long, turn long, role string, text string, extra string"
@@ -55,3 +57,24 @@ def test_chains_are_followed_level_by_level(spark):
     rows = [(1, i, "assistant", call(f"c{i}", "fetch", {"url": "u"}, *([f"c{i + 1}"] if i < 6 else []))) for i in range(7)]
     got = {r.turn: json.loads(r.json)["tool_calls"][0]["level"] for r in formatted(spark, *rows).collect()}
     assert got == {i: 6 - i for i in range(7)}
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 400
+    rows = [(None, i, "assistant", call(f"c{i}", "fetch", {"url": "u"}, *([f"c{i - 1}", "c0"] if i else []))) for i in range(n)]
+    rows += [(None, i, "tool", json.dumps({"tool_call_id": f"c{i}", "content": "x"})) for i in range(n)]
+    got = [r for r in formatted(spark, *rows).collect() if r.role == "assistant"]
+    calls = {r.turn: json.loads(r.json)["tool_calls"][0] for r in got}
+    assert {i: (c["level"], c["status"]) for i, c in calls.items()} == {i: (i, "linked") for i in range(n)}
+    assert sum(r.n_linked for r in got) == n
+
+
+@pytest.mark.parametrize("fold", [0, 5, 1000])
+def test_levels_by_folds_and_by_rounds_are_equal(spark, fold):
+    needs = {"a": [], "b": ["a"], "c": ["a", "b"], "d": ["c", "a"], "e": ["nobody", "a"], "f": ["g"], "g": ["f"], "h": ["g", "a"], "i": ["i"], "j": ["d", "b", "b"]}
+    want = {"a": 0, "b": 1, "c": 2, "d": 3, "j": 4}
+    rows = [(conv, k, 0, i, True, list(x)) for conv in (1, None) for k, (i, x) in enumerate(needs.items(), 100 * (conv or 2))]
+    rows += [(3, 500, 0, "a", True, []), (3, 500, 1, "z", True, ["a"]), (3, 501, 0, "a", False, ["z"])]  # a few needs; the last is a duplicate
+    calls = spark.createDataFrame(rows, "conv_id long, row long, place int, call_id string, owner boolean, depends_on array<string>")
+    got = {(r.conv_id, r.call_id, r.row): r.level for r in cf.order(calls, fold).collect()}
+    assert got == {(c, i, r): want.get(i) for c, r, _, i, _, _ in rows if c != 3} | {(3, "a", 500): 0, (3, "z", 500): 1, (3, "a", 501): 2}
