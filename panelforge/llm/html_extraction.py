@@ -8,6 +8,9 @@ blocks inherit only from blocks of the same article, where good is the default.
 Defined cases
 - null or empty html, or no good block: empty text, 0 characters;
 - cut-off markup: an unfinished tag, comment, script or style ends with the page; unclosed elements end with it too;
+- omitted end tags: as in HTML, p, li, dt, dd, option, optgroup, tr, td, th, table sections, captions and headings end
+  where a sibling or, for p and option, a block starts; every element ends with the one around it; an end tag of
+  nothing that is open, or of something outside the table cell it stands in, is ignored;
 - a character reference that is none stays as it stands; ``<`` before anything but a name is text;
 - repeated rows: each is extracted; an empty table gives an empty result; other columns are not read.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,9 +54,34 @@ BLOCKS = frozenset(
     """.split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Which elements a start tag ends, and which elements keep it from ending those outside of them.
+CELLS = frozenset("table td th caption".split())
+TABLE = frozenset(["table"])
+SECTIONS = frozenset("tbody thead tfoot".split())
+LISTED = BLOCKS - frozenset("address div p".split())
+#: Starts that end an open paragraph or option.
+ENDS_P = BLOCKS - SECTIONS - HEADINGS - frozenset("body caption frameset html legend option select td textarea th title tr".split()) | HEADINGS
+STARTS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(["li"]), LISTED),
+    "dt": (frozenset(["dt", "dd"]), LISTED),
+    "dd": (frozenset(["dt", "dd"]), LISTED),
+    "option": (frozenset(["option"]), CELLS | {"select", "datalist", "optgroup"}),
+    "optgroup": (frozenset(["option", "optgroup"]), CELLS | {"select", "datalist"}),
+    "button": (frozenset(["button"]), CELLS),
+    "tr": (frozenset(["tr", "caption"]), TABLE),
+    "td": (frozenset(["td", "th", "caption"]), TABLE),
+    "th": (frozenset(["td", "th", "caption"]), TABLE),
+} | {name: (SECTIONS | {"tr", "caption"}, TABLE) for name in SECTIONS}
+PARAGRAPHS = frozenset(["p"]), CELLS | {"button"}
+OPTIONS = frozenset(["option"]), CELLS | {"select", "datalist"}
+#: What keeps an end tag from ending an element outside; cells keep most.
+ENDS = {"li": CELLS | {"ul", "ol"}, "p": PARAGRAPHS[1], "table": frozenset()} | dict.fromkeys(["tr", "td", "th", "caption", *SECTIONS], TABLE)
 ARTICLES = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: Elements that are followed while they are open, besides a boilerplate element that is in a line.
+OPENED = BLOCKS - VOID - {"html", "body"} | {"button", "datalist", "optgroup"}
+
 RAW = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<!\[CDATA\[|\]\]>",
     re.S | re.I,
@@ -78,6 +107,67 @@ class Block:
         self.label = ""
 
 
+class Open:
+    """The open elements, outermost first, and which of them is boilerplate (-1: none)."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.bad = -1
+
+    def find(self, names: frozenset[str], stops: frozenset[str]) -> int:
+        """The place of the innermost element of ``names``, unless one of ``stops`` is further in; else -1."""
+        if any(self.count[name] for name in names):
+            for at in range(len(self.names) - 1, -1, -1):
+                if self.names[at] in names:
+                    return at
+                if self.names[at] in stops:
+                    break
+        return -1
+
+    def cut(self, at: int) -> None:
+        """End the element at a place, and all in it."""
+        self.count.subtract(self.names[at:])
+        del self.names[at:]
+        if self.bad >= at:
+            self.bad = -1
+
+    def end_all(self, names: frozenset[str], stops: frozenset[str]) -> None:
+        while (at := self.find(names, stops)) >= 0:
+            self.cut(at)
+
+    def start(self, name: str) -> None:
+        """End what the start of an element ends."""
+        if name in STARTS:
+            self.end_all(*STARTS[name])
+        if name in ENDS_P:
+            self.end_all(*PARAGRAPHS)
+            self.end_all(*OPTIONS)
+        if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            self.cut(len(self.names) - 1)
+
+    def push(self, name: str, bad: bool) -> None:
+        if bad:
+            self.bad = len(self.names)
+        self.names.append(name)
+        self.count[name] += 1
+
+    def end(self, name: str) -> None:
+        at = self.find(HEADINGS if name in HEADINGS else frozenset([name]), ENDS.get(name, CELLS))
+        if at < 0:
+            return
+        if name in OPENED:
+            self.cut(at)
+            return
+        # an element in a line ends alone: blocks in it go on
+        del self.names[at]
+        self.count[name] -= 1
+        if self.bad == at:
+            self.bad = -1
+        elif self.bad > at:
+            self.bad -= 1
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; ``article`` numbers the article a block is in, 0 for none."""
     page = RAW.sub(" ", page)
@@ -85,7 +175,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = 0
     in_link = heading = False
-    bad_tag, bad_depth = "", 0  # the boilerplate element that is open, and how deep it is nested in its like
+    opened = Open()
     article, article_tag, article_depth, articles = 0, "", 0, 0
 
     def flush() -> None:
@@ -93,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(links, len(text)), article, bool(bad_tag), heading))
+                out.append(Block(text, min(links, len(text)), article, opened.bad >= 0, heading))
         parts, links = [], 0
 
     def add(text: str) -> None:
@@ -109,24 +199,29 @@ def blocks(page: str) -> list[Block]:
         at = tag.end()
         name = (tag[2] or "").lower()
         closing = tag[1] == "/"
+        if opened.names and opened.names[-1] == "textarea" and not (closing and name == "textarea"):
+            continue  # plain text
         if name == "a":
             in_link = not closing
         elif name == "br":
             add(" ")
-        if name in BLOCKS:
+        if name in BLOCKS or (opened.bad >= 0 and (name in OPENED or opened.count[name])):
             flush()
-        if bad_tag:
-            if name == bad_tag:
-                bad_depth += -1 if closing else 1
-                if not bad_depth:
-                    bad_tag = ""
-        elif not closing and name not in VOID:
-            named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(tag[3] or ""))
-            outside_header = name == "header" and not article
-            if name in BOILERPLATE or outside_header or (named and name not in ("html", "body") and BOILERPLATE_NAME.search(named.lower())):
-                flush()
-                bad_tag, bad_depth = name, 1
-        if not bad_tag and name in ARTICLES:
+        if closing:
+            opened.end(name)
+        else:
+            opened.start(name)
+            bad = False
+            if opened.bad < 0 and name not in VOID:
+                named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(tag[3] or ""))
+                outside_header = name == "header" and not article
+                bad = bool(name in BOILERPLATE or outside_header or (named and name not in ("html", "body") and BOILERPLATE_NAME.search(named.lower())))
+                if bad:
+                    flush()
+            nested = opened.bad >= 0 and opened.names[opened.bad] == name  # in its like
+            if (bad or name in OPENED or nested) and not (name == "form" and opened.count[name]):  # forms do not nest
+                opened.push(name, bad)
+        if opened.bad < 0 and name in ARTICLES:
             if article_tag == name:
                 article_depth += -1 if closing else 1
                 if not article_depth:

@@ -30,6 +30,43 @@ def test_nothing_to_find(page):
     assert main_text(page) == ""
 
 
+OMITTED = [
+    "<p class='ad'>Buy<p>{0}",
+    "<p class='ad'>Buy<article><p>{0}</article>",
+    "<div><p class='notice'>x</div><article>{0}</article>",
+    "<div><p class='notice'>x<span>y</div></p><p>{0}<p>{0}",
+    "<ul><li class='menu'>x<li>{0}</ul>",
+    "<ul><li class='menu'>x<p>y<ul><li>z</ul>w</ul><p>{0}",
+    "<dl><dt class='share'>x<dd>{0}</dl>",
+    "<table><tr class='ad'><td>x<tr><td>{0}</table>",
+    "<table><tr><td class='sidebar'>x<p>y</table><p>{0}",
+    "<table><tr><td><div class='ad'>x</div></div><td>{0}</table>",
+    "<table><thead class='ad'><tr><td>x<tbody><tr><td>{0}</table>",
+    "<datalist><option>a<option>b</datalist><p>{0}",
+    "<option>a<p>{0}",
+    "<div><select><optgroup><option>a<option>b</select></div><p>{0}",
+    "<div><label>a<input></div><p>{0}",
+    "<div><form><p>x<form><p>y</form></div><p>{0}",
+    "<h2 class='promo'>x</h3><p>{0}",
+    "<p><span class='ad'>x<p>{0}",
+    "<section><nav><ul><li><a>x</a></section><p>{0}",
+    "<div><textarea></div><p>x</textarea><p>{0}</div>",
+]
+
+
+@pytest.mark.parametrize("page", OMITTED)
+def test_boilerplate_ends_where_an_end_tag_is_omitted(page):
+    text = LONG.strip()
+    assert main_text(f"<body>{page.format(text)}</body>") == "\n\n".join([text] * page.count("{0}"))
+
+
+def test_boilerplate_holds_to_its_end():
+    text = LONG.strip()
+    for page in ("<div class='ad'><p>{0}<div>{0}</div><p>{0}</div><p>{0}", "<p>{0}<ul class='menu'><li>{0}<li>{0}<ul><li>{0}</ul>{0}</ul>", "<aside><table><tr><td>{0}</aside><td>{0}</table>{0}</aside><p>{0}"):
+        assert main_text(page.format(text)) == text
+    assert main_text("<article><p>One <span class='ad'>Buy <span>the</span> best</span> two</p></article>") == "One\n\ntwo"
+
+
 def test_cut_off_pages():
     assert main_text("<article><p>Whole text.</p><p>Half te") == "Whole text.\n\nHalf te"
     assert main_text("<article><p>Whole text.</p><p clas") == "Whole text."
