@@ -56,3 +56,24 @@ def link(articles: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
     one = hits.groupBy("article_id", "asset_id").agg(F.max(F.struct(F.length("alias").alias("n"), F.col("alias"))).alias("b"))
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("b.n"), "asset_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("article_id", "asset_id", F.col("b.alias").alias("alias"), "rank")
+
+
+def link_anywhere(articles: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
+    """article_id, asset_id, alias, rank: as ``link``, for aliases that stand anywhere in the text, as the reference links.
+
+    An alias of digits is a whole run of digits of the text as it is; any other is part of the lower-cased text, both
+    without white space.  The text's pieces of the lengths that aliases have are joined to aliases by equality.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", "")
+    digits = F.col("alias").rlike(r"^(?U)\d+$")
+    known = aliases.select("asset_id", "alias", digits.alias("digits"), F.when(digits, F.col("alias")).otherwise(bare(F.col("alias"))).alias("piece")).where("piece <> ''")
+    sizes = known.where("not digits").agg(F.array_sort(F.collect_set(F.length("piece")))).first()[0]  # as many as there are lengths
+    text = F.coalesce(F.col("text"), F.lit(""))
+    runs = articles.select("article_id", F.lit(True).alias("digits"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(\d+)")))).alias("piece"))
+    each = articles.select("article_id", bare(text).alias("t"), F.explode(F.lit(sizes).cast("array<int>")).alias("n")).where(F.length("t") >= F.col("n"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda at: F.substring(F.col("t"), at, F.col("n")))
+    pieces = each.select("article_id", F.lit(False).alias("digits"), F.explode(F.array_distinct(cut)).alias("piece"))
+    hits = runs.unionByName(pieces).join(known, ["digits", "piece"])
+    one = hits.groupBy("article_id", "asset_id").agg(F.max(F.struct(F.length("piece").alias("n"), F.col("alias"))).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("b.n"), "asset_id"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= most).select("article_id", "asset_id", F.col("b.alias").alias("alias"), "rank")

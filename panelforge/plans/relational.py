@@ -52,6 +52,14 @@ def _aliases(s, d):
     return names.where(F.length("alias") >= 8).groupBy("alias").agg(F.min(F.col("item_id") % 50 + 1).alias("asset_id"))
 
 
+def _all_aliases(s, d):
+    """Symbols and keys of assets, and all words of the benchmark items."""
+    known = panel.assets(s, d)
+    names = panel.table(s, d, "benchmark").select((F.col("item_id") % 50 + 1).alias("asset_id"), F.explode(tx.words(F.col("text"))).alias("alias"))
+    keys = known.select("asset_id", F.explode(F.array("symbol", F.lpad(F.col("asset_id").cast("string"), 6, "0"))).alias("alias"))
+    return names.groupBy("alias").agg(F.min("asset_id").alias("asset_id")).select("asset_id", "alias").unionByName(keys)
+
+
 QUERIES = {
     # scans and sources
     "s1_windowed_scan": (
@@ -242,6 +250,7 @@ QUERIES = {
         lambda s, d: tx.link(panel.news(s, d), _aliases(s, d)),
         sql("news", rf"with {WORDS.strip()}, al as (select a as alias, min(item_id % 50 + 1) as asset_id from (select item_id, unnest(string_split_regex(lower(text), '[^\p{{L}}0-9]+')) as a from benchmark) where length(a) >= 8 group by 1), hit as (select distinct article_id, alias, asset_id from (select article_id, unnest(list_distinct(w)) as alias from tok) join al using (alias)), one as (select article_id, asset_id, max(length(alias)) as n, arg_max(alias, (length(alias), alias)) as alias from hit group by 1, 2) select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"),
     ),
+    "j17_alias_links": (lambda s, d: tx.link_anywhere(panel.news(s, d), _all_aliases(s, d)), None),
     "m23_neutral_fill": (
         lambda s, d: _filled(s, d),
         sql("news assets", f"with {SENT.strip()}, sc as (select article_id % 50 + 1 as asset_id, sum(cast(floor(s * 1000000 + 0.5) as bigint)) as m, count(*) as n from sent group by 1) select asset_id, coalesce(cast(floor(cast(m as double) / (n * 100.0::double) + 0.5) as bigint), 0) as mean_e4, coalesce(n, 0) as n from assets left join sc using (asset_id) where active"),

@@ -183,6 +183,18 @@ def test_text(spark):
     assert [(r.article_id, r.asset_id) for r in tx.link(docs, aliases).collect()] == [(1, 9)]
 
 
+def test_aliases_are_linked_anywhere_in_the_text(spark):
+    texts = {1: "Bought SH600000 and\nKweichow  Mou\ttai.", 2: "今天贵州茅 台上涨", 3: "no 16000005 here", 4: None, 5: "xchipcox", 6: "a b c d e f g h i j"}
+    docs = spark.createDataFrame(list(texts.items()), "article_id long, text string")
+    names = [("600000", 1), ("Kweichow Moutai", 2), ("moutai", 2), ("贵州茅台", 3), ("Chipco", 4), (" ", 5)] + [(c, 10 + k) for k, c in enumerate("jihgfedcba")]
+    aliases = spark.createDataFrame(names, "alias string, asset_id long")
+    got = {}
+    for r in tx.link_anywhere(docs, aliases).where("length(alias) > 1").orderBy("article_id", "rank").collect():
+        got.setdefault(r.article_id, []).append((r.asset_id, r.alias))
+    assert got == {1: [(2, "Kweichow Moutai"), (1, "600000")], 2: [(3, "贵州茅台")], 5: [(4, "Chipco")]}
+    assert [r.asset_id for r in tx.link_anywhere(docs, aliases).where("article_id = 6").orderBy("rank").collect()] == list(range(10, 18))
+
+
 def test_alert_cooldown(spark):
     ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h) for h in (0, 1, 6, 7, 13)]
     events = spark.createDataFrame(pd.DataFrame({"event_type": "a", "event_id": range(5), "ts": ts, "value": 99.0}), "event_type string, event_id long, ts timestamp_ntz, value double")
