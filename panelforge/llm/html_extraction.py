@@ -8,6 +8,13 @@ blocks inherit only from blocks of the same article, where good is the default.
 Defined cases
 - null or empty html, or no good block: empty text, 0 characters;
 - cut-off markup: an unfinished tag, comment, script or style ends with the page; unclosed elements end with it too;
+- a head needs no end tag: what can stand in it has no text of its own, and its title is not read;
+- scripts, styles and titles are plain text to their end tags; svg drawings end where they are closed, at once if they
+  are closed in their start tag, or where an element starts that can't be part of them; formulas are text;
+- a name that speaks of boilerplate does not hide an article: parts named for search or sharing, and forms, that
+  an article or main part is in or is itself do not count; other names, as of sidebars, don't if the page marks no
+  other article; those of comments only if there would be no text.  A page without any text is read again, past such
+  names of layout;
 - omitted end tags: as in HTML, p, li, dt, dd, option, optgroup, tr, td, th, table sections, captions and headings end
   where a sibling or, for p and option, a block starts; every element ends with the one around it; an end tag of
   nothing that is open, or of something outside the table cell it stands in, is ignored;
@@ -38,15 +45,22 @@ STOP_WORDS = frozenset(
     nos o para pero por porque que se ser si sin sobre su sus también un una y ya
     """.split()
 )
-#: Elements that are never part of an article.
-BOILERPLATE = frozenset("nav footer aside form menu dialog button select textarea fieldset label option".split())
-#: Parts of class and id names, and roles, of elements that are none either.
-BOILERPLATE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|banners?|sidebars?|side-?bars?|widgets?|cookies?|consent|gdpr|"
-    r"notices?|alerts?|popups?|modals?|overlays?|nav|navbar|navigation|menus?|breadcrumbs?|footers?|site-?header|masthead|topbar|toolbar|"
-    r"comments?|disqus|replies|reviews|discussion|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|"
-    r"complementary|contentinfo|alertdialog)(?:$|[\s_-])"
-)
+#: Elements that are never part of an article, and those whose content only stands in for what they show.
+FALLBACK = frozenset("noscript template object canvas audio video annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog button select textarea fieldset label option".split()) | FALLBACK
+#: Parts of class and id names, and roles, of elements that are none either, by how much they say: names of layout that
+#: wrappers of an article may have, other names of boilerplate, and those of readers' comments.
+LAYOUT, PART, COMMENT, HARD = 1, 2, 3, 4
+NAMES = [
+    (COMMENT, r"comments?|disqus|replies|reviews|discussion"),
+    (
+        PART,
+        r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|related|recommended|cookies?|consent|gdpr|popups?|newsletter|notices?|alerts?|modals?|overlays?|"
+        r"sidebars?|side-?bars?|widgets?|footers?|breadcrumbs?|complementary|contentinfo|alertdialog|menus?|navigation|pagination|pager",
+    ),
+    (LAYOUT, r"banners?|nav|navbar|site-?header|masthead|topbar|toolbar|share|sharing|social|subscribe|signup|login|search"),
+]
+BOILERPLATE_NAME = re.compile("(?:^|[\\s_-])(?<!\\bhas[_-])(?<!\\bwith[_-])(?<!\\bno[_-])(?:" + "|".join(f"({names})" for _, names in NAMES) + ")(?=$|[\\s_-])")
 BLOCKS = frozenset(
     """
     address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6
@@ -82,11 +96,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are followed while they are open, besides a boilerplate element that is in a line.
 OPENED = BLOCKS - VOID - {"html", "body"} | {"button", "datalist", "optgroup"}
 
-RAW = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<!\[CDATA\[|\]\]>",
+#: A quote delimits a value only where the value starts.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: Comments; elements of plain text with all they hold; tags; what else is no text.
+TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?:script|style)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</(?:script|style)(?=[\s/>])[^>]*>|\Z)|\Z)"
+    rf"|<(?P<raw>title|iframe)(?=[\s/>]){_ATTRIBUTES}>.*?</(?P=raw)(?=[\s/>])[^>]*>"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<with>{_ATTRIBUTES})>"
+    r"|<!\[CDATA\[|<[/!?]?[a-zA-Z?!/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?]?[a-zA-Z?!/][^>]*(?:>|\Z)""")
+# Elements that can't be part of a drawing, and parts of one that may hold them.
+NOT_DRAWN = BLOCKS - {"title"} | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
+HOLDS = frozenset("foreignobject desc title".split())
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -108,12 +131,13 @@ class Block:
 
 
 class Open:
-    """The open elements, outermost first, and which of them is boilerplate (-1: none)."""
+    """The open elements, outermost first, which of them is boilerplate (-1: none), and which is while no article is open."""
 
     def __init__(self) -> None:
         self.names: list[str] = []
         self.count: Counter[str] = Counter()
-        self.bad = -1
+        self.bad = self.held = -1
+        self.why = 0
 
     def find(self, names: frozenset[str], stops: frozenset[str]) -> int:
         """The place of the innermost element of ``names``, unless one of ``stops`` is further in; else -1."""
@@ -131,6 +155,8 @@ class Open:
         del self.names[at:]
         if self.bad >= at:
             self.bad = -1
+        if self.held >= at:
+            self.held = -1
 
     def end_all(self, names: frozenset[str], stops: frozenset[str]) -> None:
         while (at := self.find(names, stops)) >= 0:
@@ -146,9 +172,9 @@ class Open:
         if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
             self.cut(len(self.names) - 1)
 
-    def push(self, name: str, bad: bool) -> None:
-        if bad:
-            self.bad = len(self.names)
+    def push(self, name: str, why: int) -> None:
+        if why:
+            self.bad, self.why = len(self.names), why
         self.names.append(name)
         self.count[name] += 1
 
@@ -166,11 +192,30 @@ class Open:
             self.bad = -1
         elif self.bad > at:
             self.bad -= 1
+        if self.held == at:
+            self.held = -1
+        elif self.held > at:
+            self.held -= 1
+
+
+def boilerplate(name: str, attributes: str, in_article: bool) -> int:
+    """Why an element is boilerplate by its own name or names: ``LAYOUT`` to ``HARD``; 0 if it is not."""
+    if name in BOILERPLATE:
+        return LAYOUT if name == "form" else HARD
+    if name == "header" and not in_article:
+        return HARD
+    if name in ("html", "body") or not attributes:
+        return 0
+    named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)).lower()
+    found = {NAMES[m.lastindex - 1][0] for m in BOILERPLATE_NAME.finditer(named)} if named else ()
+    return max(found, default=0)
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; ``article`` numbers the article a block is in, 0 for none."""
-    page = RAW.sub(" ", page)
+def blocks(page: str, around: int = LAYOUT, anywhere: int = 0) -> list[Block]:
+    """The blocks of a page in order; ``article`` numbers the article a block is in, 0 for none.
+
+    Names up to ``around`` do not make boilerplate of an article or what it is in; names up to ``anywhere`` of nothing.
+    """
     out: list[Block] = []
     parts: list[str] = []
     links = 0
@@ -181,7 +226,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal parts, links
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, min(links, len(text)), article, opened.bad >= 0, heading))
         parts, links = [], 0
@@ -189,16 +234,34 @@ def blocks(page: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal links
         if text:
+            text = entities.unescape(text) if "&" in text else text
             parts.append(text)
             if in_link:
                 links += len(text.strip())
 
-    at = 0
+    at = drawn = held = 0
     for tag in TAG.finditer(page):
-        add(page[at : tag.start()])
+        if not drawn:
+            add(page[at : tag.start()])
         at = tag.end()
-        name = (tag[2] or "").lower()
-        closing = tag[1] == "/"
+        name = (tag["name"] or "").lower()
+        closing = tag["end"] == "/"
+        closed = not closing and (tag["with"] or "").endswith("/")
+        if drawn:  # in an svg: its own tags, until it ends
+            if name == "svg" and not closed:
+                drawn += -1 if closing else 1
+                held = held if drawn else 0
+            elif name in HOLDS and not closed:
+                held = max(0, held + (-1 if closing else 1))
+            elif name in NOT_DRAWN and not closing and not held:
+                drawn = 0
+            if drawn or name == "svg" or name not in NOT_DRAWN:
+                continue
+        elif name == "svg":
+            drawn = int(not closing and not closed)
+            continue
+        elif name in FALLBACK and closed:
+            continue
         if opened.names and opened.names[-1] == "textarea" and not (closing and name == "textarea"):
             continue  # plain text
         if name == "a":
@@ -211,21 +274,27 @@ def blocks(page: str) -> list[Block]:
             opened.end(name)
         else:
             opened.start(name)
-            bad = False
-            if opened.bad < 0 and name not in VOID:
-                named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(tag[3] or ""))
-                outside_header = name == "header" and not article
-                bad = bool(name in BOILERPLATE or outside_header or (named and name not in ("html", "body") and BOILERPLATE_NAME.search(named.lower())))
-                if bad:
+            why = 0
+            if name not in VOID and (opened.bad < 0 or name in ARTICLES):
+                why = boilerplate(name, tag["with"] or "", bool(article))
+                if why <= anywhere or (name in ARTICLES and why <= around):
+                    why = 0
+                if opened.bad >= 0:  # an article in boilerplate
+                    if not why and not article and opened.why <= around:
+                        opened.held, opened.bad = opened.bad, -1
+                    else:
+                        why = 0
+                if why:
                     flush()
             nested = opened.bad >= 0 and opened.names[opened.bad] == name  # in its like
-            if (bad or name in OPENED or nested) and not (name == "form" and opened.count[name]):  # forms do not nest
-                opened.push(name, bad)
+            if (why or name in OPENED or nested) and not (name == "form" and opened.count[name]):  # forms do not nest
+                opened.push(name, why)
         if opened.bad < 0 and name in ARTICLES:
             if article_tag == name:
                 article_depth += -1 if closing else 1
                 if not article_depth:
                     article, article_tag = 0, ""
+                    opened.bad, opened.held = opened.held, -1
             elif not article_tag and not closing:
                 articles += 1
                 article, article_tag, article_depth = articles, name, 1
@@ -288,14 +357,27 @@ def second_pass(found: list[Block], marked: bool) -> None:
             block.label = first[min(near, key=lambda j: (abs(j - i), first[j] == "bad"))]
 
 
-def main_text(page: str | None) -> str:
-    """The good blocks of a page, joined by an empty line."""
-    found = blocks(page or "")
+def _good(page: str, around: int, anywhere: int) -> tuple[str, bool]:
+    """The good blocks, joined by an empty line, and whether the page marks an article."""
+    found = blocks(page, around, anywhere)
     marked = any(b.article and not b.boilerplate for b in found)
     for block in found:
         block.label = first_pass(block, marked)
     second_pass(found, marked)
-    return "\n\n".join(b.text for b in found if b.label == "good")
+    return "\n\n".join(b.text for b in found if b.label == "good"), marked
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: read once, and again only where names may have hidden it."""
+    text, marked = _good(page or "", LAYOUT, 0)
+    if not marked and page:
+        again, marked = _good(page, PART, 0)
+        text = again if marked else text
+    for around, anywhere in ((COMMENT, 0), (COMMENT, LAYOUT)):
+        if text or not page:
+            break
+        text, _ = _good(page, around, anywhere)
+    return text
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from panelforge.llm import topk
 from panelforge.llm.html_extraction import extract, main_text
@@ -60,6 +62,59 @@ def test_boilerplate_ends_where_an_end_tag_is_omitted(page):
     assert main_text(f"<body>{page.format(text)}</body>") == "\n\n".join([text] * page.count("{0}"))
 
 
+FOUND = [
+    "<html><head><title>A title</title><meta charset=utf-8><body><article><p>{0}</article>",
+    "<html><head><title>T</title><article><p>{0}</article>",
+    "<body><svg viewBox='0 0 1 1' class=\"a>b\"/><article><p>{0}</article>",
+    "<svg><path d='M0'><article><p>{0}</article>",
+    "<svg><svg/><foreignObject><div>drawn</div></foreignObject><svg></svg><text>drawn</text></svg><p>{0}",
+    "<p class='share'>Share<p>{0}",
+    "<article class='post search'><p>{0}</article>",
+    "<div class='main social'><article>{0}</article></div>",
+    "<div class='main social'><p>Share<article>{0}</article><p>Share</div><p>Share",
+    "<form id='page'><input><main><p>{0}</main><p>Send</form>",
+    "<div class='content has-sidebar'><p>{0}</div>",
+    "<div class='sidebar'><article>{0}</article></div>",
+    "<div class='search-page'><p>{0}</div>",
+    "<article><p>{0}</article><div class='related'><article>Other things that are here for you to read and see.</article></div>",
+    "<article><p>{0}<section class='comments'><article class='comment'>It is the best of all that I have seen.</article></section></article>",
+    "<section class='reviews'><article>{0}</article></section>",
+    "<!--><article><p>{0}</article><!-- x -->",
+    "<p title=it's>{0}</p><p class=a'b></p>",
+    "<a title='<script>'></a><p>{0}</p>",
+    "<video src=x /><canvas></canvas><p>{0}",
+    "<div><video src=x><p>no</div><p>{0}",
+    "<iframe src=x><p>{0}",
+]
+
+
+@pytest.mark.parametrize("page", FOUND)
+def test_valid_forms_do_not_hide_the_article(page):
+    assert main_text(page.format(LONG.strip())) == LONG.strip()
+
+
+def test_references_are_decoded_once_and_formulas_are_text():
+    assert main_text("<article>&am<b>p;lt;</b> &amp;lt; <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> ]]&gt;</article>") == "&amp;lt; &lt; x=2\n\n]]>"
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "comments", "newsletter popup"])
+def test_pages_of_boilerplate_have_no_text(name):
+    assert main_text(f"<body><div class='{name}'><p>{LONG}</div><nav>{LONG}</nav>") == ""
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["div", "section", "form", "main", "table><tr><td", "ul><li"]), max_size=4), st.lists(st.sampled_from(["search", "social", "share", "wide", "post", ""]), min_size=4, max_size=4), st.booleans())
+def test_wrappers_do_not_hide_the_article(wrappers, names, ended):
+    start = "".join(f"<{w}>" if ">" in w else f"<{w} class='{n}'>" for w, n in zip(wrappers, names, strict=False))
+    ends = "".join(f"</{w.split('>')[0]}>" for w in reversed(wrappers)) if ended else ""
+    assert main_text(f"<head><title>T</title><body>{start}<article class='{names[3]}'><p>{LONG}<p>{LONG}</article>{ends}") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_very_long_pages_with_omitted_end_tags():
+    page = "<head><title>T<b></title><article>" + "<p class=x>" + f"<p>{LONG}" * 4000
+    assert main_text(page) == "\n\n".join([LONG.strip()] * 4000)
+
+
 def test_boilerplate_holds_to_its_end():
     text = LONG.strip()
     for page in ("<div class='ad'><p>{0}<div>{0}</div><p>{0}</div><p>{0}", "<p>{0}<ul class='menu'><li>{0}<li>{0}<ul><li>{0}</ul>{0}</ul>", "<aside><table><tr><td>{0}</aside><td>{0}</table>{0}</aside><p>{0}"):
