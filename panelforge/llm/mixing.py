@@ -15,19 +15,20 @@ leaves are rounded the same way, level by level, until a source has one left, se
 
 Defined cases
 - null text: size 0, its copies count no words; null source: a source of its own, last in order;
-- repeated rows: each is rounded on its own; ties of size are ordered by a hash of id and text;
+- repeated rows: each is rounded on its own; ties of size are ordered by a hash of id, source and text;
 - a source without words: target 0, nothing taken; an empty table: an empty result;
-- reruns agree: all randomness is a hash of the ids and ``SEED``.
+- reruns agree, however the table is laid out: all randomness is a hash of id, source, text and ``SEED``, and of a number
+  that only tells fully equal rows apart, which are counted through; sums are over whole numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_side
+from .common import WORD, materialize, partitions, small_side
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -39,6 +40,8 @@ FAN_IN = 64
 CLASSES = 16 * 64
 EPS = 1e-9
 HEAD = 40
+#: Parts of a word in which sums are taken, so that their order makes no difference.
+UNITS = 1 << 20
 #: Up to this many rows, a plan (two numbers a row) is broadcast to the texts; above, the texts are shuffled.
 MOST_BROADCAST_ROWS = 1_000_000
 
@@ -51,10 +54,31 @@ def sizes(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text").alias("tie"),
+        F.xxhash64("doc_id", "source", "text").alias("tie"),
     )
 
 
+def _through(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Adds ``name``: 0, 1, ... through the rows of equal ``keys`` in the order of the written column ``row``.
+
+    Rows are numbered within their writing task and begin where the tasks before ended, so no task holds all rows of
+    one key; the window over tasks has one row a task and key.
+    """
+    df = df.withColumn("_task", F.shiftright(F.col("row"), 33))
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy("row")) - 1
+    return df.withColumn("_in", inside).join(starts, [*keys, "_task"]).withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_task")
+
+
+def told_apart(sized: DataFrame) -> DataFrame:
+    """``tie`` of fully equal rows mixed with their number; which of them gets which number makes no difference."""
+    equal = sized.groupBy("tie").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("tie")
+    again = _through(sized.select("tie", "row").join(equal, "tie", "left_semi"), "_k", "tie").where("_k > 0")
+    again = materialize(again.select("row", F.xxhash64("tie", "_k").alias("_tie")), "equal-rows")
+    return sized.join(again, "row", "left").withColumn("tie", F.coalesce("_tie", "tie")).drop("_tie")
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """source, source_size, target: shares by weight of all words, none above ``MOST_COPIES`` times its source.
 
@@ -62,10 +86,17 @@ def targets(sized: DataFrame) -> DataFrame:
     that would pass it; the driver sees three sums a round.  The table has one row a source.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
-    place = (F.row_number().over(order) - 1) % len(WEIGHTS)
+    # numbered in order without one task for all: ranges in order, each sorted, and where each begins
+    sorted_ = sources.repartitionByRange(partitions(sized), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    sorted_ = materialize(sorted_.withColumn("at", F.monotonically_increasing_id()), "sources")
+    task = F.shiftright(F.col("at"), 33)
+    counts = sorted_.groupBy(task.alias("task")).count().orderBy("task").collect()  # as many as there are partitions
+    begins, start = F.lit(0), 0
+    for r in counts:
+        begins, start = F.when(task == r["task"], F.lit(start)).otherwise(begins), start + r["count"]
+    place = (begins + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % len(WEIGHTS)
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (place + 1).cast("int"))
-    sources = materialize(sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST_COPIES), "sources")
+    sources = materialize(sorted_.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST_COPIES).alias("cap")), "sources")
     total = float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     rate = 0.0
     while True:
@@ -118,15 +149,18 @@ def _uniform(ids: np.ndarray, level: int) -> np.ndarray:
 
 
 def _round(level: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "tie", "row"])
-        p = pivot(group["p"].to_numpy(), group["size"].to_numpy(), _uniform(group["tie"].to_numpy() ^ group["row"].to_numpy(), level))
-        return group.assign(p=p)[["row", "source_no", "band", "salt", "size", "tie", "p"]]
+    def run(group: pa.Table) -> pa.Table:
+        size, tie = group.column("size").to_numpy(), group.column("tie").to_numpy()
+        order = np.lexsort((tie, size))
+        group = group.take(pa.array(order))
+        p = pivot(group.column("p").to_numpy(), size[order], _uniform(tie[order], level))
+        return group.select(NAMES[:-1]).append_column("p", pa.array(p))
 
     return run
 
 
 ROUNDED = "row long, source_no long, band long, salt long, size long, tie long, p double"
+NAMES = [x.split()[0] for x in ROUNDED.split(", ")]
 
 
 def _part(wanted: Column) -> Column:
@@ -141,17 +175,17 @@ def _settle() -> Column:
 
 def copies(docs: DataFrame) -> DataFrame:
     """row, doc_id, size, source_size, target and copies (long) of every row; ``docs`` has a unique ``row``."""
-    sized = materialize(sizes(docs), "sizes")
+    sized = materialize(told_apart(materialize(sizes(docs), "sizes")), "sizes")
     goal = targets(sized).withColumn("source_no", F.xxhash64("source"))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("wanted")
     known = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("row", "doc_id", "size", "tie", "source_no", "source_size", "target", wanted)
     is_head = F.col("size") * HEAD >= F.greatest("source_size", F.lit(1))
     heads = known.where(is_head).withColumns({"band": F.lit(0).cast("long"), "salt": F.lit(0).cast("long"), "p": _part(F.col("wanted"))})
-    heads = materialize(heads.groupBy("source_no").applyInPandas(_round(100), ROUNDED), "heads")
+    heads = materialize(heads.groupBy("source_no").applyInArrow(_round(100), ROUNDED), "heads")
     heads = heads.withColumn("p", _settle())
-    missed = known.join(heads.select("row", "p"), "row").groupBy("source_no").agg(F.sum((F.col("p") - _part(F.col("wanted"))) * F.col("size")).alias("excess"))
+    missed = known.join(heads.select("row", "p"), "row").groupBy("source_no").agg(F.sum(F.round((F.col("p") - _part(F.col("wanted"))) * F.col("size") * UNITS).cast("long")).alias("excess"))
     rest = known.where(~is_head).groupBy("source_no").agg(F.sum("size").alias("rest"))
-    shift = materialize(missed.join(rest, "source_no").select("source_no", (F.col("excess") / F.greatest("rest", F.lit(1))).alias("shift")), "shift")
+    shift = materialize(missed.join(rest, "source_no").select("source_no", (F.col("excess") / F.lit(UNITS) / F.greatest("rest", F.lit(1))).alias("shift")), "shift")
     moved = F.when(is_head, F.col("wanted")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(MOST_COPIES), F.col("wanted") - F.coalesce("shift", F.lit(0.0)))))
     known = known.join(shift, "source_no", "left").withColumn("wanted", moved).withColumns({"head": is_head, "whole": F.floor(F.col("wanted") + EPS), "p": _part(F.col("wanted"))})
     known = materialize(known.withColumn("band", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 16).cast("long")), "known")
@@ -159,12 +193,12 @@ def copies(docs: DataFrame) -> DataFrame:
     counts = materialize(counts, "leaves")  # a few hundred rows a source
     salts = counts.agg(F.coalesce(F.max("salts"), F.lit(1))).first()[0]
     left = known.where((F.col("p") > EPS) & ~F.col("head")).join(counts, ["source_no", "band"])
-    left = left.withColumn("salt", F.pmod(F.xxhash64("tie", "row"), F.col("salts"))).select("row", "source_no", "band", "salt", "size", "tie", "p")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("tie"), F.col("salts"))).select("row", "source_no", "band", "salt", "size", "tie", "p")
 
     settled = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
     classes, level, done = CLASSES, 0, []
     while True:
-        current = materialize(left.groupBy("source_no", "band", "salt").applyInPandas(_round(level), ROUNDED), "rounded")
+        current = materialize(left.groupBy("source_no", "band", "salt").applyInArrow(_round(level), ROUNDED), "rounded")
         done.append(current.where(settled))
         left = current.where(~settled)
         level += 1

@@ -25,7 +25,7 @@ def targets(sizes):
 
 
 def test_targets_and_taken_words(docs):
-    rows = corpus()
+    rows = corpus(500)
     table = docs(*rows)
     got = mixing.mix(table).collect()
     size = {i: len((t or "").split()) for i, t, _, _ in rows}
@@ -42,9 +42,25 @@ def test_targets_and_taken_words(docs):
         taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(300, 0.03 * t), s
-    again = {r.doc_id: r.taken for r in mixing.mix(table.repartition(7)).collect()}
-    assert sum(again.values()) and len(again) == len(got)
-    assert {r.doc_id: r.taken for r in mixing.mix(table).collect()} == {r.doc_id: r.taken for r in got}
+
+
+def test_the_layout_makes_no_difference(docs):
+    rows = corpus(150) + [(5, "same text in two rows", None, "a")] * 5 + [(None, "no id " * 9, None, "b")] * 40 + [(6, "other source", None, "a"), (6, "other source", None, "c")]
+    got = lambda t: sorted(map(str, mixing.mix(t).collect()))
+    once = got(docs(*rows))
+    laid = docs(*reversed(rows)).repartition(7, "text")
+    assert got(laid) == once and got(docs(*rows).coalesce(1)) == once
+    taken = lambda t: sorted(map(str, mixing.take(t).collect()))
+    assert taken(laid) == taken(docs(*rows))
+    assert len({r for r in once if "doc_id=None" in r}) == 2  # equal rows are rounded each on their own
+
+
+def test_many_sources_are_in_order(docs):
+    names = [None, *[f"s{i:03d}" for i in range(50)], "é", "Z", "日"]
+    got = mixing.mix(docs(*[(i, "w " * (10 + i % 3), None, s) for i, s in enumerate(names)])).collect()
+    size = {names[r.doc_id]: r.size for r in got}
+    want = targets(size)
+    assert all(r.target == pytest.approx(want[names[r.doc_id]]) for r in got)
 
 
 def test_pivot_keeps_words_and_probabilities():
