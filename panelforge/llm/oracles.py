@@ -32,9 +32,9 @@ judged as (
   select *, n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.REPEAT_PERCENT} as base_failed from rules),
 hosts as (
   select host, count(*)::double as n_docs, sum(base_failed::int)::double as n_failed from judged where host is not null group by host),
-moments as (select avg(n_failed / n_docs) as m, var_pop(n_failed / n_docs) as v from hosts),
-prior as (
-  select m, case when v > 0 and v < m * (1 - m) then greatest(m * (1 - m) / v - 1, 1.0::double) else {q.WEAK_PRIOR}::double end as strength from moments),
+moments as (select avg(n_failed / n_docs) as m, var_pop(n_failed / n_docs) as v, avg(1 / n_docs) as q from hosts),
+shares as (select m, case when m * (1 - m) > 0 and q < 1 then (v / (m * (1 - m)) - q) / (1 - q) else 0.0::double end as share from moments),
+prior as (select m, case when share > 0 then greatest(1 / share - 1, 1.0::double) else {q.WEAK_PRIOR}::double end as strength from shares),
 verdicts as (
   select host, (n_failed + m * strength) / (n_docs + strength) > {q.MAX_HOST_RATE}::double as host_failed from hosts, prior)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,

@@ -38,31 +38,10 @@ def host_of(source: Column) -> Column:
     return F.when(host != "", host)
 
 
-def _covered(hashes: Column) -> Column:
-    """Words in windows found twice or more; ``hashes`` has one hash for each window."""
-    tagged = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i")))
-    # one pass over the windows in order of hash: positions whose neighbour has the same hash
-    runs = F.aggregate(
-        F.array_sort(tagged),
-        F.struct(
-            F.lit(None).cast("struct<h:bigint,i:int>").alias("last"),
-            F.lit(False).alias("same"),
-            F.array().cast("array<int>").alias("at"),
-        ),
-        lambda a, x: F.struct(
-            x.alias("last"),
-            (a["last"]["h"] == x["h"]).alias("same"),
-            F.when(
-                a["last"]["h"] == x["h"],
-                F.when(a["same"], F.concat(a["at"], F.array(x["i"]))).otherwise(F.concat(a["at"], F.array(a["last"]["i"], x["i"]))),
-            )
-            .otherwise(a["at"])
-            .alias("at"),
-        ),
-        lambda a: F.array_sort(a["at"]),
-    )
+def _covered(at: Column) -> Column:
+    """Words that windows of ``WINDOW`` words cover; ``at`` has the windows' places in order.  The fold holds two numbers."""
     return F.aggregate(
-        runs,
+        at,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")),
         lambda a: a["n"],
@@ -73,7 +52,11 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
     """Counts and base verdict of every document; ``keep`` names further columns to carry.
 
     All in built-in functions.  Windows are compared by 64-bit hashes; only texts that hold a repeated
-    window pay for sorting them.
+    window pay for sorting them: a window is repeated if a neighbour in order of hash has its hash.  The work follows
+    n log n of a text's words, whatever repeats in it.
+
+    The result must be written before it is filtered: the optimizer pushes a filter on ``base_failed`` below these
+    projections, where it splits the text anew for every window.  ``quality_rules`` and ``drop_low_quality`` do so.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
@@ -94,13 +77,21 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
         ).otherwise(F.array().cast("array<bigint>")),
     )
     step = step.withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
+    tagged = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i")))
+    step = step.withColumn("_sorted", F.when(F.col("_repeats"), F.sort_array(tagged))).drop("_hashes")
+    following = F.slice("_sorted", F.lit(2), F.size("_sorted"))
+    alike = F.zip_with("_sorted", following, lambda x, y: F.struct(x["i"].alias("i"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("next")))
+    step = step.withColumn("_alike", F.when(F.col("_repeats"), alike)).drop("_sorted")
+    before = F.concat(F.array(F.lit(False)), F.transform("_alike", lambda x: x["next"]))
+    hits = F.zip_with("_alike", before, lambda x, last: F.when(x["next"] | last, x["i"]))  # null behind the end
+    step = step.withColumn("_at", F.when(F.col("_repeats"), F.sort_array(F.filter(hits, lambda i: i.isNotNull())))).drop("_alike")
     step = step.select(
         *keep,
         "n_words",
         "word_chars",
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_repeats"), _covered(F.col("_hashes"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("_repeats"), _covered(F.col("_at"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     return step.withColumn(
         "base_failed",
@@ -111,8 +102,10 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
 def host_verdicts(rules: DataFrame) -> DataFrame:
     """host, n_docs, n_failed, host_rate, host_failed from rows of (host, base_failed).
 
-    The beta prior is fitted by moments: with m the mean and v the variance of the hosts' rates,
-    a + b = m (1 - m) / v - 1; where v is 0 or too large, a + b is ``WEAK_PRIOR``.
+    The beta prior is fitted by moments.  With m and v the mean and variance of the hosts' rates, and q the mean of
+    1 / documents, sampling alone makes v = m (1 - m) q; what is above that is the share r = (v / (m (1 - m)) - q) / (1 - q)
+    that hosts differ by, and a + b = 1 / r - 1, at least 1.  Where r is no positive number (all hosts have one document,
+    one rate, or differ no more than by chance), a + b is ``WEAK_PRIOR``.
     """
     hosts = (
         rules.where(F.col("host").isNotNull())
@@ -120,9 +113,10 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers, null without hosts
+    m, v, q = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_docs"))).first()  # three numbers, null without hosts
     spread = (m or 0.0) * (1 - (m or 0.0))
-    strength = max(spread / v - 1, 1.0) if v and v < spread else WEAK_PRIOR
+    share = (v / spread - q) / (1 - q) if spread > 0 and q < 1 else 0.0
+    strength = max(1 / share - 1, 1.0) if share > 0 else WEAK_PRIOR
     shrunk = (F.col("n_failed") + F.lit((m or 0.0) * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn("host_failed", F.col("host_rate") > MAX_HOST_RATE)
 
