@@ -4,13 +4,17 @@ An assistant's text may be, or hold in ``<tool_call>`` marks, one JSON call or a
 ``{"id", "name", "arguments", "depends_on"}``; the text of a turn of role ``tool`` is a result
 ``{"tool_call_id", "content"}``.  Calls and results are hash-joined by conversation and identifier; calls are
 ordered topologically by ``depends_on`` (level 0 needs nothing; else one more than the deepest call needed);
-arguments are validated against the schema of their tool; each message becomes one JSON text with sorted keys
+arguments are validated against the JSON Schema of their tool, nested parts included; each message becomes one JSON text with sorted keys
 and no spaces, its calls in order of level and place.  A message is a row, so the texts of a conversation are
 never gathered into one task.  Chains of calls of any length are ordered: a conversation's needs, as numbers, are
-folded in one task if there are at most ``FOLD`` of them, else level by level for as long as a call gains a level.
+folded in one task if there are at most ``FOLD`` of them.  Larger ones are dealt to blocks by turn; each block is folded
+as far as the levels known so far lead, round by round for as long as a call gains a level, so that rounds follow how
+often a chain changes blocks and not how long it is.
 
 Defined cases
-- text that is no call or result stays plain content; null text or role: JSON null;
+- text that is no call or result stays plain content; null text or role: JSON null; so does JSON without a canonical form
+  (``json_schema``: NaN, numbers out of range, lone surrogates, brackets nested beyond a reader's limit);
+- a tool without a schema: its calls have the error ``unknown tool``;
 - a call without an id gets no result; a result whose call is unknown, or has a result already, is ``unmatched``;
 - an id used twice in a conversation: the first call by turn and place owns it, later ones are ``duplicate``;
 - a call in a cycle, or that needs an unknown call, has a null level and status ``unordered``, and comes last;
@@ -20,27 +24,32 @@ Defined cases
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .json_schema import canonical, errors, read
 
 MARKED = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
-#: Parameters of the tools that calls are validated against: type, and whether it is needed.
+
+
+def _tool(required: str, **properties: dict) -> dict:
+    return {"type": "object", "properties": properties, "required": required.split(), "additionalProperties": False}
+
+
+#: JSON Schemas of the arguments of the tools that the query validates against; callers pass their own.
 SCHEMAS = {
-    "search": {"query": ("string", True), "limit": ("integer", False)},
-    "calculate": {"expression": ("string", True)},
-    "weather": {"place": ("string", True), "days": ("integer", False)},
-    "fetch": {"url": ("string", True)},
-    "lookup": {"id": ("integer", True), "exact": ("boolean", False)},
+    "search": _tool("query", query={"type": "string", "minLength": 1}, limit={"type": "integer", "minimum": 1, "maximum": 1000}, filters={"type": "array", "items": _tool("field value", field={"type": "string"}, value={"type": ["string", "number", "boolean"]})}),
+    "calculate": _tool("expression", expression={"type": "string"}),
+    "weather": _tool("place", place={"type": "string"}, days={"type": "integer", "minimum": 0}, unit={"enum": ["C", "F"]}),
+    "fetch": _tool("url", url={"type": "string"}, headers={"type": "object", "additionalProperties": {"type": "string"}}),
+    "lookup": _tool("id", id={"type": "integer"}, exact={"type": "boolean"}),
 }
-TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 #: Needs of a conversation, as four numbers each, that one task folds.
 FOLD = 200_000
 
@@ -50,11 +59,6 @@ PARSED = (
 )
 
 
-def canonical(value: object) -> str:
-    """JSON with sorted keys and no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
 def calls_in(text: str) -> list[dict]:
     """The calls that a text is or holds."""
     bodies = MARKED.findall(text)
@@ -63,7 +67,7 @@ def calls_in(text: str) -> list[dict]:
     found = []
     for body in bodies:
         try:
-            value = json.loads(body)
+            value = read(body)
         except ValueError:
             continue
         found += [c for c in (value if isinstance(value, list) else [value]) if isinstance(c, dict) and isinstance(c.get("name"), str)]
@@ -72,17 +76,13 @@ def calls_in(text: str) -> list[dict]:
 
 def errors_of(name: str, arguments: object, schemas: dict) -> list[str]:
     """What is wrong with a call's arguments, in order."""
-    if name not in schemas:
-        return ["unknown tool"]
-    if not isinstance(arguments, dict):
-        return ["arguments are no object"]
-    spec = schemas[name]
-    wrong = [f"missing {p}" for p, (_, need) in spec.items() if need and p not in arguments]
-    wrong += [f"unknown {p}" for p in arguments if p not in spec]
-    for p, (kind, _) in spec.items():
-        if p in arguments and (not isinstance(arguments[p], TYPES[kind]) or (kind in ("integer", "number") and isinstance(arguments[p], bool))):
-            wrong.append(f"{p} is no {kind}")
-    return sorted(wrong)
+    return errors(arguments, schemas[name]) if name in schemas else ["unknown tool"]
+
+
+def schemas_of(tools: DataFrame) -> dict:
+    """Schemas by tool from rows of (name, schema as JSON text); of several the last in order of text.  A list of tools."""
+    rows = tools.groupBy("name").agg(F.max("schema").alias("schema")).where("name is not null and schema is not null").collect()
+    return {r["name"]: read(r["schema"]) for r in rows}
 
 
 def _text(value: object) -> str | None:
@@ -103,7 +103,7 @@ def _parser(schemas):
             return
         if text and role == "tool":
             try:
-                value = json.loads(text)
+                value = read(text)
             except ValueError:
                 value = None
             if isinstance(value, dict) and "tool_call_id" in value:
@@ -148,55 +148,67 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fold_levels(needs: pa.Table) -> pa.Table:
-    """(row, place, level) of the calls with needs of one conversation; those without an order are left out."""
+    """(row, place, level) of the calls whose level follows from the needs of one group; the others are left out.
+
+    ``known`` is the level of a need, where it is known already.
+    """
     calls = list(zip(needs.column("row").to_pylist(), needs.column("place").to_pylist(), strict=True))
     needed = list(zip(needs.column("need_row").to_pylist(), needs.column("need_place").to_pylist(), strict=True))
     waits = Counter(calls)
-    users = defaultdict(list)
-    for call, need in zip(calls, needed, strict=True):
-        users[need].append(call)  # an unknown call, (None, None), never gets a level
-    ready = [need for need in users if need not in waits and need[0] is not None]
     levels = dict.fromkeys(waits, 0)
-    done = []
+    users, done = defaultdict(list), []
+
+    def settle(call: tuple, above: int) -> None:
+        levels[call] = max(levels[call], above)
+        waits[call] -= 1
+        if not waits[call]:
+            ready.append(call)
+            done.append((*call, levels[call]))
+
+    ready: list[tuple] = []
+    for call, need, level in zip(calls, needed, needs.column("known").to_pylist(), strict=True):
+        if level is None:
+            users[need].append(call)  # an unknown call, (None, None), never gets a level
+        else:
+            settle(call, level + 1)
     while ready:
         need = ready.pop()
-        above = levels.get(need, 0) + 1
-        for call in users.get(need, ()):
-            levels[call] = max(levels[call], above)
-            waits[call] -= 1
-            if not waits[call]:
-                ready.append(call)
-                done.append((*call, levels[call]))
+        for call in users.pop(need, ()):
+            settle(call, levels[need] + 1)
     columns = zip(*done, strict=True) if done else ([], [], [])
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "place", "level"])
 
 
 def order(calls: DataFrame, fold: int = FOLD) -> DataFrame:
     """Adds ``level``; null where there is no order."""
-    needs = calls.select("conv_id", "row", "place", F.explode(F.array_distinct("depends_on")).alias("call_id"))
+    needs = calls.select("conv_id", "turn", "row", "place", F.explode(F.array_distinct("depends_on")).alias("call_id"))
     owners = calls.where("owner").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("row").alias("need_row"), F.col("place").alias("need_place"))
     needs = needs.join(owners, needs["conv_id"].eqNullSafe(owners["c"]) & (needs["call_id"] == owners["i"]), "left")
-    needs = materialize(needs.select("conv_id", "row", "place", "need_row", "need_place"), "needs")
+    needs = materialize(needs.select("conv_id", "turn", "row", "place", "need_row", "need_place"), "needs")
     levels = calls.select("row", "place", F.when(F.size("depends_on") == 0, F.lit(0)).alias("level"))
     if needs.isEmpty():
         return calls.join(levels, ["row", "place"])
-    large = materialize(needs.groupBy(F.col("conv_id").alias("c")).count().where(F.col("count") > fold).select("c"), "large")
-    same = needs["conv_id"].eqNullSafe(large["c"])
-    folded = needs.join(large, same, "left_anti").groupBy("conv_id").applyInArrow(fold_levels, "row long, place int, level int")
-    folded = folded.withColumnRenamed("level", "reached")
-    levels = materialize(levels.join(folded, ["row", "place"], "left").select("row", "place", F.coalesce("level", "reached").alias("level")), "levels")
-    rest = not large.isEmpty()
-    needs = needs.join(large, same, "left_semi")
-    while rest:
-        below = levels.select(F.col("row").alias("need_row"), F.col("place").alias("need_place"), "level")
-        known = needs.join(below, ["need_row", "need_place"], "left").groupBy("row", "place")
-        known = known.agg(F.when(F.count("level") == F.count(F.lit(1)), F.max("level") + 1).alias("reached"))
-        after = levels.join(known, ["row", "place"], "left")
-        new = F.col("level").isNull() & F.col("reached").isNotNull()
-        after = materialize(after.select("row", "place", F.coalesce("level", "reached").alias("level"), new.alias("new")), "levels")
-        levels = after.drop("new")
-        rest = not after.where("new").isEmpty()
-    return calls.join(levels, ["row", "place"])
+    levels = materialize(levels, "levels")
+    # a large conversation's blocks: ranges of turns with about ``fold`` needs, and parts of a turn with more
+    at = needs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold)
+    turns = needs.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.count(F.lit(1)).alias("in_turn"))
+    turns = turns.join(at, turns["c"].eqNullSafe(at["conv_id"])).drop("conv_id", "n")
+    before = F.sum("in_turn").over(Window.partitionBy("c").orderBy(F.col("t").asc_nulls_first()))  # one row a turn
+    turns = materialize(turns.withColumn("block", F.floor(before / max(1, fold))).withColumn("parts", F.ceil(F.col("in_turn") / max(1, fold))), "blocks")
+    dealt = needs.join(turns, needs["conv_id"].eqNullSafe(turns["c"]) & needs["turn"].eqNullSafe(turns["t"]), "left")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row", "place"), F.col("parts"))).otherwise(F.lit(0))
+    dealt = materialize(dealt.select("conv_id", F.coalesce("block", F.lit(0)).alias("block"), part.alias("part"), F.col("c").isNotNull() | F.col("block").isNotNull(), "row", "place", "need_row", "need_place").toDF("conv_id", "block", "part", "large", "row", "place", "need_row", "need_place"), "needs")
+    rest, large = dealt, not turns.isEmpty()
+    while True:
+        known = levels.where("level is not null").select(F.col("row").alias("r"), F.col("place").alias("p"), F.col("level").alias("known"))
+        met = rest.join(known, (rest["need_row"] == known["r"]) & (rest["need_place"] == known["p"]), "left")
+        folded = met.groupBy("conv_id", "block", "part").applyInArrow(fold_levels, "row long, place int, level int").withColumnRenamed("level", "reached")
+        folded = materialize(folded, "folded")
+        levels = materialize(levels.join(folded, ["row", "place"], "left").select("row", "place", F.coalesce("level", "reached").alias("level")), "levels")
+        if not large or folded.isEmpty():
+            return calls.join(levels, ["row", "place"])
+        # what has a level by now is done
+        rest = materialize(rest.where("large").join(folded.select("row", "place"), ["row", "place"], "left_anti").select(*dealt.columns), "needs")
 
 
 def format_messages(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
