@@ -6,7 +6,8 @@ piece of its own is spelt in UTF-8 bytes.
 
 No piece of the vocabulary has the space mark after another character, so a text falls apart before every
 run of space marks: no piece crosses such a cut.  Best paths and sums are worked out per segment between
-cuts and remembered, as segments repeat.
+cuts and remembered, as segments repeat.  Weights are whole multiples of 1 / ``GRAIN``, so that sums are exact, equal
+paths tie however a text is split, and of equal paths the one whose last piece is longest wins, piece by piece.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ MARK = "▁"
 #: Stands for a space mark that the text itself holds; no valid text has a lone surrogate.
 LITERAL = "\udc81"
 SHIFT = 2.7
+GRAIN = 1 << 24
 NONE = -math.inf
 #: A segment is a run of line ends, or space marks with what follows them; no piece crosses its bounds.
 SEGMENT = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -49,8 +51,9 @@ def load_vocabulary(model_file: str) -> dict:
         else:
             pieces[model.id_to_piece(i)] = (i, -score if score > -1e8 else float(size))
     z = math.log(sum(1 / (r + SHIFT) for _, r in pieces.values()) + len(octets) / (size + SHIFT) + 1 / SHIFT)
-    weights = {p: (i, -math.log(r + SHIFT) - z) for p, (i, r) in pieces.items()}
-    return {"pieces": weights, "bytes": octets, "byte_weight": -math.log(size + SHIFT) - z, "end_weight": -math.log(SHIFT) - z}
+    weight = lambda r: round((-math.log(r + SHIFT) - z) * GRAIN) / GRAIN
+    weights = {p: (i, weight(r)) for p, (i, r) in pieces.items()}
+    return {"pieces": weights, "bytes": octets, "byte_weight": weight(size), "end_weight": weight(0)}
 
 
 class Lattice:
@@ -93,12 +96,16 @@ class Lattice:
         """Weight of a character in bytes; -inf if it is a piece."""
         return NONE if char in self.pieces else self.byte_weight * len(_octets(char))
 
-    def _paths(self, s: str, body: int, entry: int) -> tuple[list[float], list[int]]:
-        """Best scores of positions 0..len(s) from ``entry``, and where their last piece starts, before ``body``."""
+    def _paths(self, s: str, body: int, start: list[float]) -> tuple[list[float], list[int]]:
+        """Best scores of positions 0..len(s), and where their last pieces start, before ``body``.
+
+        ``start`` has the scores of the first positions as they are reached from before; where no piece from within is
+        better, the last piece starts at -1.
+        """
         n, get, longest = len(s), self.tree.get, self.longest
         score, back = [NONE] * (n + 1), [-1] * (n + 1)
-        score[entry] = 0.0
-        for a in range(entry, min(body, n)):
+        score[: len(start)] = start[: n + 1]
+        for a in range(min(body, n)):
             base = score[a]
             if base == NONE:
                 continue
@@ -114,13 +121,13 @@ class Lattice:
                 back[a + 1] = a
         return score, back
 
-    def _walk(self, s: str, back: list[int], entry: int, end: int) -> list[int]:
+    def _walk(self, s: str, back: list[int], end: int) -> tuple[int, list[int]]:
+        """Where the best path to ``end`` enters, and its ids."""
         ids: list[int] = []
-        while end > entry:
-            a = back[end]
+        while (a := back[end]) >= 0:
             ids += reversed(self.spell(s, a, end))
             end = a
-        return ids[::-1]
+        return end, ids[::-1]
 
     # -- many segments at once: substrings are looked up by rolling hashes --------------------------------------
 
@@ -184,24 +191,28 @@ class Lattice:
                 piece[:m, t] = found[best, np.arange(m)]
         return alpha[np.arange(n), ends], ends, step, piece
 
-    def _fill(self, segments: list[str], summed: bool) -> None:
-        """Remember the results of short segments that are not yet known."""
+    def _results(self, segments: list[str], summed: bool):
+        """Looks up the results of segments: the short ones are remembered, the long ones kept for this call only."""
         memory = self.sum_memory if summed else self.best_memory
         older = self.sum_older if summed else self.best_older
-        new = [s for s in set(segments) if s not in memory]
+        distinct = set(segments)
+        alone = self._sum if summed else self._best
+        long = {s: alone(s) for s in distinct if len(s) > REMEMBERED}
+        distinct -= long.keys()
+        new = [s for s in distinct if s not in memory]
         if len(memory) + len(new) >= MEMORY:  # what was not met since the last time is forgotten
             if summed:
                 self.sum_memory, self.sum_older = {}, memory
             else:
                 self.best_memory, self.best_older = {}, memory
             memory, older = (self.sum_memory, self.sum_older) if summed else (self.best_memory, self.best_older)
-            new = list(set(segments))
+            new = list(distinct)
         hard = []
         for s in new:
             if s in older:
                 memory[s] = older[s]
-            elif len(s) > REMEMBERED or not self.known.issuperset(s):
-                memory[s] = self._sum(s) if summed else self._best(s)
+            elif not self.known.issuperset(s):
+                memory[s] = alone(s)
             else:
                 hard.append(s)
         hard.sort(key=len, reverse=True)
@@ -222,18 +233,21 @@ class Lattice:
             for s, score, b in zip(some, scores.tolist(), bounds.tolist(), strict=True):
                 memory[s] = (score, packed[a:b])
                 a = b
+        if not long:
+            return memory.__getitem__
+        return lambda s: memory[s] if s in memory else long[s]
 
     def _best(self, s: str) -> tuple[float, bytes]:
-        score, back = self._paths(s, len(s), 0)
-        return score[-1], np.array(self._walk(s, back, 0, len(s)), np.int32).tobytes()
+        score, back = self._paths(s, len(s), [0.0])
+        return score[-1], np.array(self._walk(s, back, len(s))[1], np.int32).tobytes()
 
     def encode_all(self, normalized: list[str]) -> list[tuple[float, np.ndarray]]:
         """Score and ids of the best path through each whole normalized text."""
         split = [SEGMENT.findall(x) for x in normalized]
-        self._fill([s for x in split for s in x], False)
+        result = self._results([s for x in split for s in x], False)
         out = []
         for x in split:
-            found = [self.best_memory[s] for s in x]
+            found = [result(s) for s in x]
             out.append((math.fsum([w for w, _ in found]), np.frombuffer(b"".join([i for _, i in found]), np.int32)))
         return out
 
@@ -244,9 +258,8 @@ class Lattice:
     def likelihood_all(self, normalized: list[str]) -> list[float]:
         """Natural log of each text's probability, summed over all segmentations (forward recursion in logs)."""
         split = [SEGMENT.findall(x) for x in normalized]
-        self._fill([s for x in split for s in x], True)
-        memory = self.sum_memory
-        return [math.fsum([memory[s] for s in x]) for x in split]
+        result = self._results([s for x in split for s in x], True)
+        return [math.fsum([result(s) for s in x]) for x in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose encoding ``ids`` is."""
@@ -289,46 +302,73 @@ class Lattice:
                 alpha[a + 1] = np.logaddexp(alpha[a + 1], w)
         return float(alpha[n])
 
-    # -- giant texts: max-plus transfer matrices -------------------------------------------------------------
+    # -- giant texts: transfer matrices between boundary states ------------------------------------------------
+    # A state is how many characters a piece reaches over the boundary between two chunks.
 
     def _cuts(self, s: str, body: int) -> tuple[int, int] | None:
         """First and last position in the body that no piece crosses, both at least one piece inside."""
         cuts = [m.start() for m in SEGMENT.finditer(s, 0, body) if self.longest <= m.start() <= body - self.longest]
         return (cuts[0], cuts[-1]) if cuts else None
 
-    def transfer(self, s: str, body: int) -> np.ndarray:
-        """Max-plus matrix of one chunk: ``s`` holds ``body`` characters and up to a piece's length more.
+    def _reach(self, s: str, body: int, start: np.ndarray, summed: bool) -> np.ndarray:
+        """Scores of positions 0..len(s), best or summed, a column an entry; ``start`` has those of the first positions."""
+        n, get, longest = len(s), self.tree.get, self.longest
+        add = np.logaddexp if summed else np.maximum
+        out = np.full((n + 1, start.shape[1]), NONE)
+        out[: len(start)] = start[: n + 1]
+        for a in range(min(body, n)):
+            base = out[a]
+            for e in range(a + 1, min(n, a + longest) + 1):
+                w = get(s[a:e])
+                if w is None:
+                    break
+                if w != NONE:
+                    add(out[e], base + w, out=out[e])
+            if (w := self._spelt(s[a])) != NONE:
+                add(out[a + 1], base + w, out=out[a + 1])
+        return out
+
+    def transfer(self, s: str, body: int, summed: bool = False) -> np.ndarray:
+        """Matrix of one chunk, max-plus or log-sum: ``s`` holds ``body`` characters and up to a piece's length more.
 
-        Entry i, j: the best score from i characters into the chunk to j characters beyond its end.
+        Entry i, j: the best score, or the sum over all ways, from i characters into the chunk to j characters beyond its end.
         """
         k = self.longest
-        out = np.full((k, k), NONE)
+        eye = np.full((k, k), NONE)
+        np.fill_diagonal(eye, 0.0)
         cuts = self._cuts(s, body)
-        if cuts is None:
-            for i in range(min(k, body + 1)):
-                score, _ = self._paths(s, body, i)
-                for j in range(min(k, len(s) - body + 1)):
-                    out[i, j] = score[body + j]
-            return out
-        first, last = cuts
-        middle = self.encode(s[first:last])[0]
-        tail, _ = self._paths(s[last:], body - last, 0)
-        exits = [tail[body - last + j] if body + j <= len(s) else NONE for j in range(k)]
-        for i in range(k):
-            score, _ = self._paths(s[:first], first, i)
-            out[i] = [score[first] + middle + x for x in exits]
+        first, last = cuts or (0, 0)
+        rows = self._reach(s[last:], body - last, np.zeros((1, 1)) if cuts else eye, summed)[body - last : body - last + k].T
+        out = np.full((k, k), NONE)
+        if cuts:
+            middle = self.likelihood_all([s[first:last]])[0] if summed else self.encode(s[first:last])[0]
+            rows = self._reach(s[:first], first, eye, summed)[first][:, None] + middle + rows
+        out[:, : rows.shape[1]] = rows
         return out
 
-    def backtrace(self, s: str, body: int, entry: int, leave: int) -> list[int]:
-        """Ids of the best path of one chunk between given boundary states, on its own."""
+    def trace(self, s: str, body: int, start: list[float]) -> tuple[list[int], list[int], list[list[int]]]:
+        """The best paths of one chunk to every exit state, on their own: entry states, ids all share, and the ids after.
+
+        ``start`` has the best scores of the entry states.  An exit that can't be reached has entry -1.
+        """
         cuts = self._cuts(s, body)
-        if cuts is None:
-            return self._walk(s, self._paths(s, body, entry)[1], entry, body + leave)
-        first, last = cuts
-        ids = self._walk(s[:first], self._paths(s[:first], first, entry)[1], entry, first)
-        ids += self.encode(s[first:last])[1].tolist()
+        first, last = cuts or (0, 0)
+        entry, shared = 0, []
+        if cuts:
+            entry, shared = self._walk(s[:first], self._paths(s[:first], first, start)[1], first)
+            shared = shared + self.encode(s[first:last])[1].tolist()
         tail = s[last:]
-        return ids + self._walk(tail, self._paths(tail, body - last, 0)[1], 0, body - last + leave)
+        score, back = self._paths(tail, body - last, [0.0] if cuts else start)
+        entries, tails = [], []
+        for e in range(body - last, body - last + self.longest):
+            if e > len(tail) or score[e] == NONE:
+                entries.append(-1)
+                tails.append([])
+                continue
+            at, ids = self._walk(tail, back, e)
+            entries.append(entry if cuts else at)
+            tails.append(ids)
+        return entries, shared, tails
 
 
 def _codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -347,3 +387,56 @@ def _octets(char: str) -> bytes:
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The associative product of two transfer matrices."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for sums of probabilities in logs."""
+    return np.logaddexp.reduce(a[:, :, None] + b[None, :, :], axis=1)
+
+
+def product_tree(matrices: list[np.ndarray], product) -> list[list[tuple[int, np.ndarray]]]:
+    """Levels of products of neighbours up to one; each as whole units of 1 / ``GRAIN`` and a matrix whose largest entry is 0.
+
+    Split so, the entries stay exact however long the text is.
+    """
+
+    def level(m: np.ndarray, units: int = 0) -> tuple[int, np.ndarray]:
+        top = m.max()
+        top = math.floor(top * GRAIN) / GRAIN if top > NONE else 0.0
+        return units + round(top * GRAIN), m - top
+
+    levels = [[level(m) for m in matrices]]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        levels.append([level(product(x[k][1], x[k + 1][1]), x[k][0] + x[k + 1][0]) if k + 1 < len(x) else x[k] for k in range(0, len(x), 2)])
+    return levels
+
+
+def total(levels: list[list[tuple[int, np.ndarray]]]) -> float:
+    """From the start of the text to its end."""
+    units, m = levels[-1][0]
+    return units / GRAIN + float(m[0, 0])
+
+
+def entry_scores(levels: list[list[tuple[int, np.ndarray]]]) -> list[np.ndarray]:
+    """Best scores of every chunk's entry states, less the best of them, from the tree of max-plus products downwards."""
+    start = np.full(len(levels[0][0][1]), NONE)
+    start[0] = 0.0
+    vectors = [start]
+    for level in reversed(levels[:-1]):
+        wider = []
+        for k, v in enumerate(vectors):
+            wider.append(v)
+            if 2 * k + 1 < len(level):
+                after = (v[:, None] + level[2 * k][1]).max(axis=0)
+                wider.append(after - after.max())
+        vectors = wider
+    return vectors
+
+
+def exit_states(entries: list[list[int]]) -> list[int]:
+    """The exit state of every chunk: the last ends with the text, and a chunk's entry is the exit of the one before."""
+    out = [0]
+    for chunk in reversed(entries[1:]):
+        out.append(chunk[out[-1]])
+    return out[::-1]

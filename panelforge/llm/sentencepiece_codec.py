@@ -2,13 +2,15 @@
 
 A text of up to ``CHUNK`` characters is one max-plus recursion.  A longer one is split into chunks that
 become rows: each yields the transfer matrix between its boundary states (how far a piece reaches over a
-boundary), the matrices are combined by the associative max-plus product, which fixes the states, and each
-chunk is then traced back on its own.
+boundary), the matrices are combined by the associative max-plus product, which gives the best scores of each
+chunk's entry states, and each chunk is then traced back on its own, from every exit state; the states in which
+the paths meet pick the one that is used.  The products of one text are a task: a text has at most 2 GB, so they are
+some 32,000 matrices of 2 kB.
 
 Defined cases
 - null text: no pieces, score 0, ``round_trip`` true; empty text likewise;
-- ties between paths: the first found from the left wins; a split text has the same best score, but may tie
-  otherwise;
+- ties between paths: from the end of the text, the longest last piece wins, then the longest before it, and so on; a
+  split text has the same pieces as the whole one, as sums of weights are exact (``lattice``);
 - characters that are no piece, and space marks in the text, become UTF-8 byte pieces, so decoding is exact;
 - repeated rows are encoded each; an empty table gives an empty result; other columns are not read.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .lattice import Lattice, load_vocabulary, max_plus
+from .lattice import Lattice, entry_scores, exit_states, load_vocabulary, max_plus, product_tree, total
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text.
@@ -85,12 +87,12 @@ def _splitter(reach: int, size: int):
     return run
 
 
-def _transfers(vocabulary):
+def _transfers(vocabulary, summed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value)
         for batch in batches:
             found = [
-                lattice.transfer(part.decode("utf-8", "surrogatepass"), body).tobytes()
+                lattice.transfer(part.decode("utf-8", "surrogatepass"), body, summed).tobytes()
                 for body, part in zip(batch.column("body").to_pylist(), batch.column("part").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
@@ -98,48 +100,53 @@ def _transfers(vocabulary):
     return run
 
 
-def boundary_states(matrices: list[np.ndarray]) -> tuple[float, list[tuple[int, int]]]:
-    """Best score, and the (entry, exit) state of every chunk, by a tree of max-plus products."""
-    levels = [matrices]
-    while len(levels[-1]) > 1:
-        level = levels[-1]
-        levels.append([max_plus(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)])
-    states = [(0, 0)]
-    for level in reversed(levels[:-1]):
-        wider = []
-        for k, (i, j) in enumerate(states):
-            if 2 * k + 1 < len(level):
-                middle = int(np.argmax(level[2 * k][i, :] + level[2 * k + 1][:, j]))
-                wider += [(i, middle), (middle, j)]
-            else:
-                wider.append((i, j))
-        states = wider
-    return float(levels[-1][0][0, 0]), states
-
-
-def _combine(side: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        score, states = boundary_states([np.frombuffer(m, np.float64).reshape(side, side) for m in group["matrix"]])
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "entry": [i for i, _ in states], "leave": [j for _, j in states], "score": score})
+def matrices_of(parts: DataFrame, vocabulary, summed: bool = False) -> DataFrame:
+    """row, chunk and matrix of every chunk."""
+    return parts.mapInArrow(_transfers(vocabulary, summed), "row long, chunk long, matrix binary")
+
+
+def chunks_of(giants: DataFrame, reach: int, size: int) -> DataFrame:
+    """row, chunk, body and part of the texts of ``giants`` (row, text), dealt evenly and written."""
+    parts = giants.mapInArrow(_splitter(reach, size), "row long, chunk long, body long, part binary")
+    return materialize(parts.repartition(F.col("row"), F.col("chunk")), "chunks")
+
+
+def in_order(group: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """A text's rows in order of chunk, and its matrices."""
+    group = group.sort_values("chunk")
+    found = [np.frombuffer(m, np.float64) for m in group["matrix"]]
+    return group, [m.reshape(int(len(m) ** 0.5), -1) for m in found]
 
-    return run
 
+def _combine(group: pd.DataFrame) -> pd.DataFrame:
+    group, matrices = in_order(group)
+    levels = product_tree(matrices, max_plus)
+    return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "start": [v.tobytes() for v in entry_scores(levels)], "score": total(levels)})
 
-def _backtraces(vocabulary):
+
+def _traces(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value)
         for batch in batches:
             cols = batch.to_pydict()
-            ids = [
-                np.array(lattice.backtrace(p.decode("utf-8", "surrogatepass"), b, i, j), np.int32)
-                for p, b, i, j in zip(cols["part"], cols["body"], cols["entry"], cols["leave"], strict=True)
+            found = [
+                lattice.trace(p.decode("utf-8", "surrogatepass"), b, np.frombuffer(v, np.float64).tolist())
+                for p, b, v in zip(cols["part"], cols["body"], cols["start"], strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), batch.column("score"), _lists(ids, pa.int32())], names=["row", "chunk", "score", "ids"])
+            kinds = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("chunk"), batch.column("score"), *[pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)]],
+                names=["row", "chunk", "score", "entries", "shared", "tails"],
+            )
 
     return run
 
 
+def _exits(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("chunk")
+    return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "leave": exit_states(group["entries"].tolist())})
+
+
 def _decoder(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value)
@@ -160,7 +167,7 @@ def decode(encoded: DataFrame, *keep: str, model_file: str = MODEL) -> DataFrame
 def encode(docs: DataFrame, *keep: str, model_file: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """The ``keep`` columns with n_pieces, score, pieces and round_trip of every text.
 
-    Only giant texts are shuffled: their chunks' matrices, a few kB each, meet by text, and then their ids.
+    Only giant texts are shuffled: their chunks' matrices, a few kB each, meet by text, then states, and then their ids.
     """
     spark = docs.sparkSession
     table = load_vocabulary(model_file)
@@ -181,11 +188,12 @@ def encode(docs: DataFrame, *keep: str, model_file: str = MODEL, chunk: int = CH
     short = docs.where(~giant).mapInArrow(_encoder(vocabulary), out)
     # numbered once and written, so that the numbers stay when a stage is redone
     giants = materialize(docs.where(giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    parts = giants.select("_row", "text").mapInArrow(_splitter(side - 1, chunk), "row long, chunk long, body long, part binary")
-    parts = materialize(parts.repartition(F.col("row"), F.col("chunk")), "chunks")
-    matrices = parts.mapInArrow(_transfers(vocabulary), "row long, chunk long, matrix binary")
-    states = matrices.groupBy("row").applyInPandas(_combine(side), "row long, chunk long, entry long, leave long, score double")
-    traced = parts.join(states, ["row", "chunk"]).mapInArrow(_backtraces(vocabulary), "row long, chunk long, score double, ids array<int>")
+    parts = chunks_of(giants.select("_row", "text"), side - 1, chunk)
+    starts = matrices_of(parts, vocabulary).groupBy("row").applyInPandas(_combine, "row long, chunk long, start binary, score double")
+    traced = parts.join(starts, ["row", "chunk"]).mapInArrow(_traces(vocabulary), "row long, chunk long, score double, entries array<int>, shared array<int>, tails array<array<int>>")
+    traced = materialize(traced, "traces")
+    leaves = traced.select("row", "chunk", "entries").groupBy("row").applyInPandas(_exits, "row long, chunk long, leave int")
+    traced = traced.join(leaves, ["row", "chunk"]).select("row", "chunk", "score", F.concat("shared", F.element_at("tails", F.col("leave") + 1)).alias("ids"))
     whole = traced.groupBy("row").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
     whole = whole.select(F.col("row").alias("_row"), "score", F.flatten("all.ids").alias("pieces"))
     back = decode(whole, "_row", "score", "pieces", model_file=model_file).withColumnRenamed("text", "_decoded")
