@@ -1,17 +1,19 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree over bytes: contexts of up to three bytes, the longest where they are frequent.
+Each language has a context tree over bytes, with every context of up to ``ORDER`` bytes that training met.
 A byte seen in a context gets its share of the count, one not seen escapes to the next shorter context (method
 C, with the bytes already excluded), down to equal shares.  The statistics are frozen after training, so a
 text's code length is a sum over its bytes, and the shortest code names the language.
 
 The trees are fitted on a sample of ``SAMPLE`` documents a language, picked by a hash of the id; all else covers
-every document and every byte.
+every document and every byte.  Trees are sparse: one sorted array of the bytes seen in the contexts of an order, and
+one of their escapes, so their size follows the sample and not the number of languages times contexts.
 
 Defined cases
 - null text, or text without a letter: ``und`` with score 0; so too where nothing could be learnt;
 - a null language teaches nothing; equal code lengths: the first language in order of code points;
-- repeated rows: each is predicted; an empty table gives an empty result; other columns are not read.
+- repeated rows: each is predicted, and counted if it is in the sample; an empty table gives an empty result; other
+  columns are not read; a very long text is read in spans, whole.
 """
 
 from __future__ import annotations
@@ -30,101 +32,138 @@ FOLDS = 4
 HELD_OUT = 2
 #: Documents a language that the trees are fitted on, about.
 SAMPLE = 2000
+#: Bytes of the longest contexts, at most seven.
 ORDER = 3
-#: Contexts of the longest order that a tree keeps: the most frequent ones.
-NODES = 8000
+#: Numbers in the memory of code lengths of a task, over all languages.
+MEMORY = 1 << 22
 #: Bytes of a text that are looked up at once.
 SPAN = 1 << 20
-#: Up to this many languages, their sizes are broadcast.
-MOST_LANGUAGES = 100_000
+#: Up to this many languages, their sizes (a name and a number each) are broadcast.
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(b"\n" * ORDER + text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def grams(text: str) -> np.ndarray:
+    """Every byte of a text with the ``ORDER`` bytes before it, as one number; line ends stand before the text."""
+    x = np.frombuffer(b"\n" * ORDER + text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    out = np.zeros(max(0, len(x) - ORDER), np.uint64)
+    for k in range(ORDER + 1):
+        out = (out << np.uint64(8)) | x[k : k + len(out)]
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = _bytes(text).astype(np.uint32)
-            if len(x) > ORDER:
-                by_lang.setdefault(lang, []).append((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:])
-        for lang, grams in by_lang.items():
-            values, counts = np.unique(np.concatenate(grams), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 200):
+            batch = whole.slice(start, 200)
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    by_lang.setdefault(lang, []).append(grams(text))
+            for lang, found in by_lang.items():
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, at = np.unique(keys, return_inverse=True)
+    return values, np.bincount(at, n, minlength=len(values))
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted key is there, and its value (of another key where it is not)."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, values[at]
+
+
+class Tree:
+    """One language: for each order, bits of the bytes seen in a context, and bits of a context's escape."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, symbols: int):
+        self.uniform = np.log2(symbols)
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        byte = np.uint64(8)
+        for order in range(ORDER + 1):
+            keys, count = _summed(gram & np.uint64((1 << 8 * (order + 1)) - 1), n)
+            contexts, at = np.unique(keys >> byte, return_inverse=True)
+            total, kinds = np.bincount(at, count), np.bincount(at)
+            # what the next shorter context gives to the bytes that are excluded
+            excluded = np.bincount(at, np.exp2(-self._bits(keys, order - 1)))
+            room = np.clip(1 - excluded, 0, 1)
+            full = room < 1e-12  # nothing is left to escape to
+            whole = np.where(full, total, total + kinds)
+            bits = np.log2(whole)[at] - np.log2(count)
+            escape = np.where(full, np.inf, np.log2(np.where(full, 1, room)) + np.log2(whole) - np.log2(kinds))
+            self.orders.append((keys, bits.astype(np.float32), contexts, escape.astype(np.float32)))
+
+    def _bits(self, gram: np.ndarray, order: int) -> np.ndarray:
+        """Code lengths of grams of ``order`` bytes and one."""
+        out = np.zeros(len(gram))
+        open_ = np.arange(len(gram))
+        for k in range(order, -1, -1):
+            keys, bits, contexts, escape = self.orders[k]
+            some = gram[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
+            hit, value = _lookup(keys, bits, some)
+            out[open_[hit]] += value[hit]
+            open_, some = open_[~hit], some[~hit]
+            if not len(open_):
+                return out
+            known, value = _lookup(contexts, escape, some >> np.uint64(8))
+            out[open_[known]] += value[known]
+        out[open_] += self.uniform
+        return out
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        return self._bits(gram, ORDER)
 
 
 class Model:
-    """Code lengths in bits by context, byte and language, as dense tables."""
-
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(grams)
-        seen = np.zeros(256, bool)
-        for g, _ in grams.values():
-            seen[g & 255] = True
-            seen[(g >> 8) & 255] = seen[(g >> 16) & 255] = seen[(g >> 24) & 255] = True
-        s = self.symbols = int(seen.sum()) + 1  # the last stands for bytes that training has not met
-        self.of_byte = np.where(seen, np.cumsum(seen) - 1, s - 1).astype(np.int32)
-        parts = []
-        for lang in self.langs:
-            g, n = grams[lang]
-            a, b, c, d = (self.of_byte[(g >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0))
-            parts.append((a, b, c, d, n.astype(float)))
-        # nodes of the longest order: the most frequent over all languages
-        key = np.concatenate([(a * s + b) * s + c for a, b, c, _, _ in parts])
-        contexts, inverse = np.unique(key, return_inverse=True)
-        weight = np.bincount(inverse, np.concatenate([p[4] for p in parts]))
-        deep = np.sort(contexts[np.argsort(-weight, kind="stable")[:NODES]])
-        two = np.unique(key % (s * s))
-        one = np.unique(key % s)
-        langs = len(self.langs)
-        uniform = np.full((1, s, langs), 1.0 / s)
-        root = self._node([(np.zeros(len(d), int), d, n) for _, _, _, d, n in parts], 1, uniform, np.zeros(1, int))
-        first = self._node([(np.searchsorted(one, c), d, n) for _, _, c, d, n in parts], len(one), root, np.zeros(len(one), int))
-        second = self._node([(np.searchsorted(two, b * s + c), d, n) for _, b, c, d, n in parts], len(two), first, np.searchsorted(one, two % s))
-        third = []
-        for a, b, c, d, n in parts:
-            k = (a * s + b) * s + c
-            at = np.minimum(np.searchsorted(deep, k), len(deep) - 1)
-            hit = deep[at] == k
-            third.append((at[hit], d[hit], n[hit]))
-        third = self._node(third, len(deep), second, np.searchsorted(two, deep % (s * s)))
-        self.bits = -np.log2(np.concatenate([root, first, second, third])).astype(np.float32)
-        # the longest context that the trees have, for every three bytes
-        node = np.zeros((s, s, s), np.int32)
-        node[:, :, one] = 1 + np.arange(len(one))
-        node[:, two // s, two % s] = 1 + len(one) + np.arange(len(two))
-        node.reshape(-1)[deep] = 1 + len(one) + len(two) + np.arange(len(deep))
-        self.node = node.reshape(-1)
-
-    def _node(self, parts, size: int, shorter: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probabilities of all nodes of one order from (node, symbol, count) by language."""
-        s = self.symbols
-        out = np.empty((size, s, len(parts)))
-        for k, (at, symbol, n) in enumerate(parts):
-            counts = np.bincount(at * s + symbol, n, minlength=size * s).reshape(size, s)
-            total, kinds = counts.sum(axis=1), (counts > 0).sum(axis=1)
-            below = shorter[parent, :, k]
-            free = np.where(counts > 0, 0.0, below)
-            room = free.sum(axis=1)
-            whole = np.where(room > 0, total + kinds, total)
-            escaped = np.divide(kinds, room * whole, out=np.zeros(size), where=(room > 0) & (whole > 0))
-            p = np.divide(counts, whole[:, None], out=np.zeros((size, s)), where=whole[:, None] > 0) + free * escaped[:, None]
-            out[:, :, k] = np.where(total[:, None] > 0, p, below)
-        return out
+    """The trees of all languages; ``symbols`` is the number of bytes that training met, and one for all others."""
+
+    def __init__(self, found: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(found)
+        seen = np.unique(np.concatenate([g & np.uint64(255) for g, _ in found.values()]))
+        self.seen = np.zeros(256, bool)
+        self.seen[seen.astype(int)] = True
+        self.symbols = len(seen) + 1
+        self.trees = [Tree(*found[x], self.symbols) for x in self.langs]
+        self._memory()
+
+    def _memory(self) -> None:
+        """Grams met before, one in a slot, and their code lengths."""
+        self.shift = np.uint64(64 - max(8, int(np.log2(MEMORY / len(self.langs)))))
+        slots = 1 << (64 - int(self.shift))
+        self.met = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
+        self.known = np.zeros((slots, len(self.langs)), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("met", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._memory()
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths of grams, a column a language; all bytes that training has not met count as one."""
+        return np.stack([t.bits(gram) for t in self.trees], axis=1)
 
     def lengths(self, text: str) -> np.ndarray:
         """Code length of a whole text in each language."""
-        x = self.of_byte[_bytes(text)]
+        gram = grams(text)
         out = np.zeros(len(self.langs))
-        s = self.symbols
-        for at in range(ORDER, len(x), SPAN):
-            end = min(len(x), at + SPAN)
-            context = (x[at - 3 : end - 3] * s + x[at - 2 : end - 2]) * s + x[at - 1 : end - 1]
-            out += self.bits[self.node[context], x[at:end]].sum(axis=0, dtype=np.float64)
+        for at in range(0, len(gram), SPAN):
+            some = gram[at : at + SPAN]
+            slot = (some * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+            wrong = self.met[slot] != some
+            if wrong.any():
+                new = np.unique(some[wrong])
+                place = (new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+                self.met[place], self.known[place] = new, self.bits(new)
+                wrong = self.met[slot] != some  # another gram has the slot
+            out += self.known[slot[~wrong]].sum(axis=0, dtype=np.float64)
+            if wrong.any():
+                out += self.bits(some[wrong]).astype(np.float32).sum(axis=0, dtype=np.float64)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -142,13 +181,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     # one row a language; texts must not be dealt by language
     some = docs.join(small_side(materialize(sizes, "languages"), MOST_LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows") < F.lit(float(sample) * (1 << 30)))
-    grams = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = grams.toArrow()  # at most a sample's distinct runs of four bytes
+    counts = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = counts.toArrow()  # at most a sample's distinct runs of four bytes
     if not table.num_rows:
         return None
-    lang = np.array(table.column("lang").to_pylist())
-    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    return Model({x: (gram[lang == x], n[lang == x]) for x in set(lang.tolist())})
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    code, gram, n = lang.indices.to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(float)
+    order = np.argsort(code, kind="stable")
+    parts = np.split(order, np.cumsum(np.bincount(code))[:-1])
+    return Model({x: (gram[at], n[at]) for x, at in zip(lang.dictionary.to_pylist(), parts, strict=True)})
 
 
 def _predictor(model):
@@ -170,5 +211,5 @@ def identify(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     held = F.coalesce(fold() % FOLDS == HELD_OUT, F.lit(False))
     trees = train(docs.where(~held).select("doc_id", "lang", "text"), sample)
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # NODES bounds its size
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # 12 bytes for each run of up to ORDER + 1 bytes that differs within a language's sample
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")

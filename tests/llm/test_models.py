@@ -33,12 +33,57 @@ def test_language_id(docs, many):
     assert language_id.identify(docs((1, "text", None, None))).first().lang_pred == "und"
 
 
-def test_language_model_is_a_distribution(docs, many):
+def ppm(counts, symbols, context, byte):
+    """Probability of a byte by method C with exclusion, by recursion over dictionaries; ``symbols``: equal shares at the end."""
+    if context is None:
+        return 1 / symbols
+    shorter = context[1:] if context else None
+    seen = {b: n for (c, b), n in counts.items() if c == context}
+    if not seen:
+        return ppm(counts, symbols, shorter, byte)
+    room = 1 - sum(ppm(counts, symbols, shorter, b) for b in seen)
+    whole = sum(seen.values()) + (len(seen) if room > 1e-12 else 0)
+    if byte in seen:
+        return seen[byte] / whole
+    return len(seen) / whole * ppm(counts, symbols, shorter, byte) / room
+
+
+def test_code_lengths_match_the_recursion(docs):
+    texts = {"x": ["abracadabra", "abra", "cab a"], "y": ["banana band", "nab"]}
+    model = language_id.train(docs(*[(i, t, lang, None) for lang, some in texts.items() for i, t in enumerate(some, len(lang) * 10)]))
+    assert model.langs == ["x", "y"] and model.symbols == 1 + len(set("".join(sum(texts.values(), []))))
+    for lang, column in (("x", 0), ("y", 1)):
+        counts = {}
+        for t in texts[lang]:
+            padded = "\n\n\n" + t
+            for i in range(3, len(padded)):
+                for k in range(4):
+                    key = (padded[i - k : i], padded[i])
+                    counts[key] = counts.get(key, 0) + 1
+        for text in ("abracadabra", "banana", "zebra cab", "a", "nn na ba"):
+            padded = "\n\n\n" + text
+            want = -sum(np.log2(ppm(counts, model.symbols, padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
+            assert model.lengths(text)[column] == pytest.approx(want, rel=1e-5), (lang, text)
+
+
+def test_code_lengths_are_a_distribution_and_the_memory_changes_nothing(docs, many):
     model = language_id.train(docs(*many))
-    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(axis=1), 1, atol=1e-4)
-    x = language_id._bytes(many[0][1])
-    direct = sum(model.bits[model.node[(model.of_byte[a] * model.symbols + model.of_byte[b]) * model.symbols + model.of_byte[c]], model.of_byte[d]].astype(float) for a, b, c, d in zip(x, x[1:], x[2:], x[3:], strict=False))
-    assert np.allclose(model.lengths(many[0][1]), direct)
+    for before in (b"the", b"qqq", b"\n\n\n", b"sch"):
+        base = np.uint64(int.from_bytes(before, "big") << 8)
+        seen = np.flatnonzero(model.seen).astype(np.uint64)
+        unseen = np.uint64(np.flatnonzero(~model.seen)[0])
+        bits = model.bits(base | np.append(seen, unseen))
+        assert np.allclose(np.exp2(-bits).sum(axis=0), 1, atol=1e-4)
+    small = language_id.Model.__new__(language_id.Model)
+    small.__setstate__(model.__getstate__())
+    small.shift, small.met, small.known = np.uint64(62), small.met[:4].copy(), small.known[:4].copy()
+    for _, text, _, _ in many[:20]:
+        assert np.allclose(small.lengths(text), model.lengths(text)) and np.allclose(model.lengths(text), model.bits(language_id.grams(text)).sum(axis=0), rtol=1e-5)
+
+
+def test_repeated_rows_and_ties(docs):
+    rows = [(1, "abc abc", "p", None), (1, "abc abc", "p", None), (3, "abc abc", "o", None), (3, "abc abc", "o", None)]
+    assert {r.lang_pred for r in language_id.identify(docs(*rows)).collect()} == {"o"}  # equal lengths: the first by code point
 
 
 def brute_kernel(s, t, lam, n=3):
