@@ -3,8 +3,13 @@
 The kernel of two words sums their common subsequences of three letters, each weighted by ``DECAY`` to the
 power of its span in both, so an insult with a letter put in, left out or spaced out stays close to the plain
 one.  Landmarks are words of the labelled training documents that are frequent in toxic ones and rare in
-others.  A text is described by its closest word to each landmark, mapped by the inverse root of the
-landmarks' kernel matrix (Nystroem), and scored by a linear support vector machine with a fitted sigmoid.
+others, picked so that they cover all toxic documents of the sample and not only the most frequent insults.  A text
+is described by its closest word to each landmark, mapped by the inverse root of the landmarks' kernel matrix
+(Nystroem), and scored by a linear support vector machine with a fitted sigmoid.
+
+A word's kernels with all landmarks at once are sums over its three-letter subsequences, which are looked up among
+those of the landmarks; what is left out by a bound (``Features``) could only be below ``LEAST_KERNEL``, which the
+description sets to 0.
 
 Only a bounded, hashed sample of ``EACH`` training documents a class is fitted on; every text is scored whole.
 
@@ -12,13 +17,17 @@ Defined cases
 - null or empty text: a text without words, scored like any other;
 - several labels of one document: toxic if one says so; null labels teach nothing;
 - training documents of one class only, or none: every score is the share of toxic ones (0 without any);
-- repeated rows: each is scored; an empty table gives an empty result; lang and source are not read.
+- repeated rows: each is scored, and teaches if it is sampled; an empty table gives an empty result; lang and source are
+  not read; words beyond ``WINDOW`` letters are read in overlapping windows, none is cut.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +41,13 @@ HELD_OUT = 1
 THRESHOLD = 0.7
 #: Training documents of either class that the model is fitted on, about.
 EACH = 3000
-LANDMARKS = 96
-CANDIDATES = 1500
-#: A landmark occurs in this share of the toxic training documents at least, and in three of them.
-LEAST_SHARE = 0.008
+#: Landmarks at most, and the words that they are picked from: the most telling of the sample.
+LANDMARKS = 192
+CANDIDATES = 8000
+#: Toxic training documents that a landmark occurs in, at least.
+LEAST_SUPPORT = 3
+#: Landmarks that a toxic document of the sample has, where there are so many, before one is picked for others only.
+COVER = 2
 LENGTH = 3
 DECAY = 0.85
 POWER = 2
@@ -44,6 +56,8 @@ WINDOW = 20
 #: Kernels below this (after POWER) count as 0.
 LEAST_KERNEL = 0.05
 MEMORY = 200_000
+#: Letters of a subsequence are packed into one number.
+BITS = np.uint64(21)
 PAIRS = 4096
 NOT_LETTER = re.compile(r"[\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
@@ -100,19 +114,18 @@ def similarity(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarra
     return np.clip(kernels(a, b) / np.sqrt(np.maximum(own_a * own_b, 1e-30)), 0, 1) ** POWER
 
 
-def _masks(codes: np.ndarray, gap: int) -> np.ndarray:
-    """128 bits of the ordered pairs of letters at most ``gap`` apart."""
-    out = np.zeros((len(codes), 2), np.uint64)
-    one = np.uint64(1)
-    for d in range(1, gap + 1):
-        for i in range(codes.shape[1] - d):
-            a, b = codes[:, i], codes[:, i + d]
-            h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(25)
-            bit = np.where(b > 0, one << (h & np.uint32(63)).astype(np.uint64), np.uint64(0))
-            high = h >= 64
-            out[:, 0] |= np.where(high, np.uint64(0), bit)
-            out[:, 1] |= np.where(high, bit, np.uint64(0))
-    return out
+@functools.cache
+def _threes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all three-letter subsequences of a word of ``n`` letters, and their weights."""
+    at = np.array(list(combinations(range(n), LENGTH)), np.int64).reshape(-1, LENGTH)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
+def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed three-letter subsequences of words of one length, a row each, and the weights of the columns."""
+    at, weight = _threes(codes.shape[1])
+    x = codes.astype(np.uint64)
+    return (x[:, at[:, 0]] << (BITS + BITS)) | (x[:, at[:, 1]] << BITS) | x[:, at[:, 2]], weight
 
 
 def letters(token: str) -> str:
@@ -131,40 +144,72 @@ class Features:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = code(landmarks)
-        self.own = _own(self.codes)
-        self.masks = _masks(self.codes, 1)
-        self.need = np.ceil(np.bitwise_count(self.masks).sum(axis=1) * 0.5)
+        self.own = _own(code(landmarks))
+        keys, rows, values = [], [], []
+        for m, word in enumerate(landmarks):
+            found, weight = subsequences(code([word]))
+            keys.append(found[0])
+            rows.append(np.full(len(weight), m))
+            values.append(weight)
+        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        #: Weight of each subsequence in each landmark.
+        self.table = np.zeros((len(self.keys) + 1, len(landmarks)), np.float32)
+        np.add.at(self.table, (at, np.concatenate(rows)), np.concatenate(values))
         self.memory: dict[str, list[tuple[int, float]] | None] = {}
         self.older: dict[str, list[tuple[int, float]] | None] = {}
 
+    def kernels(self, codes: np.ndarray) -> np.ndarray:
+        """Kernels of words of one length with all landmarks."""
+        out = np.zeros((len(codes), len(self.landmarks)), np.float32)
+        if codes.shape[1] < LENGTH:
+            return out
+        found, weight = subsequences(codes)
+        at = np.searchsorted(self.keys, found)
+        at[at == len(self.keys)] = 0
+        word, column = np.nonzero(self.keys[at] == found)
+        if len(word):
+            parts = self.table[at[word, column]] * weight[column, None].astype(np.float32)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            out[word[first]] = np.add.reduceat(parts, first)
+        return out
+
+    def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, landmark and similarity of all pairs with at least ``LEAST_KERNEL``, for words of one length.
+
+        A word's kernel with itself is at least the sum of its subsequences' squared weights, as equal ones only add;
+        words that don't reach ``LEAST_KERNEL`` with that are not worked out further.
+        """
+        both = self.kernels(codes)
+        least = (_threes(codes.shape[1])[1] ** 2).sum() if codes.shape[1] >= LENGTH else 1.0
+        w, m = np.nonzero(both * both >= LEAST_KERNEL ** (2 / POWER) * 0.999 * least * self.own)
+        used, back = np.unique(w, return_inverse=True)
+        own = _own(codes[used]) if len(used) else np.zeros(0)
+        value = np.clip(both[w, m] / np.sqrt(np.maximum(own[back] * self.own[m], 1e-30)), 0, 1) ** POWER
+        good = value >= LEAST_KERNEL
+        return w[good], m[good], value[good]
+
     def _learn(self, new: list[str]) -> None:
-        """Remember the kernels of tokens with all landmarks; None where all are about 0."""
+        """Remember the similarities of tokens with landmarks; None where all are about 0."""
         memory = self.memory
-        parts: list[str] = []
-        owner: list[int] = []
-        for k, token in enumerate(new):
+        parts: dict[int, tuple[list[str], list[str]]] = {}
+        for token in new:
             memory[token] = None
             word = letters(token)
             if len(word) >= LENGTH:
                 for at in range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2):
-                    parts.append(word[at : at + WINDOW])
-                    owner.append(k)
-        for at in range(0, len(parts), 2 * PAIRS):
-            some = code(parts[at : at + 2 * PAIRS], WINDOW)
-            masks = _masks(some, 3)
-            shared = np.bitwise_count(masks[:, None, 0] & self.masks[None, :, 0]) + np.bitwise_count(masks[:, None, 1] & self.masks[None, :, 1])
-            w, m = np.nonzero(shared >= self.need)
-            if not len(w):
-                continue
-            used, back = np.unique(w, return_inverse=True)
-            own = _own(some[used])
-            values = similarity(some[w], self.codes[m], own[back], self.own[m])
-            for i in np.flatnonzero(values >= LEAST_KERNEL).tolist():
-                token = new[owner[at + int(w[i])]]
-                if memory[token] is None:
-                    memory[token] = []
-                memory[token].append((int(m[i]), float(values[i])))
+                    part = word[at : at + WINDOW]
+                    some = parts.setdefault(len(part), ([], []))
+                    some[0].append(part)
+                    some[1].append(token)
+        for n, (words, owners) in parts.items():
+            step = max(64, 2_000_000 // (n * n * n + 1))
+            for at in range(0, len(words), step):
+                w, m, value = self.near(code(words[at : at + step], n))
+                for i, j, v in zip(w.tolist(), m.tolist(), value.tolist(), strict=True):
+                    token = owners[at + i]
+                    if memory[token] is None:
+                        memory[token] = []
+                    memory[token].append((j, v))
 
     def of(self, texts: list[str]) -> np.ndarray:
         """One row a text: the largest kernel with each landmark."""
@@ -281,33 +326,48 @@ def _sample(docs: DataFrame, labels: DataFrame, each: int) -> DataFrame:
     return docs.select("doc_id", "text").join(small_side(some, 4 * each), "doc_id").select("doc_id", "toxic", "text")
 
 
+def cover(telling: list[tuple[str, float, list[int]]]) -> list[str]:
+    """Words that cover their documents, each ``COVER`` times where it can be, none a near copy of another.
+
+    ``telling`` has words, what they tell, and their toxic documents.  The word with the most (what it tells, by the root
+    of the documents not yet covered) is next; a word's worth only falls, so a queue finds it.
+    """
+    covered: dict[int, int] = {}
+    queue = [(-worth * len(docs) ** 0.5, word, worth, docs) for word, worth, docs in telling]
+    heapq.heapify(queue)
+    kept: list[str] = []
+    codes, own = np.zeros((0, WINDOW), np.uint32), np.zeros(0, np.float32)
+    while queue and len(kept) < LANDMARKS:
+        score, word, worth, docs = heapq.heappop(queue)
+        now = -worth * sum(covered.get(d, 0) < COVER for d in docs) ** 0.5
+        if now > score:
+            if now < 0:
+                heapq.heappush(queue, (now, word, worth, docs))
+            continue
+        one = code([word], WINDOW)
+        own_one = _own(one)
+        if not len(kept) or similarity(np.repeat(one, len(kept), 0), codes, np.repeat(own_one, len(kept)), own).max() <= 0.6:
+            kept.append(word)
+            codes, own = np.vstack([codes, one]), np.append(own, own_one)
+        for d in docs:  # a near copy's documents are covered by its like
+            covered[d] = covered.get(d, 0) + 1
+    return kept
+
+
 def _landmarks(sample: DataFrame) -> list[str]:
-    """Words of toxic training documents, most telling first, none a near copy of another."""
+    """Words of toxic training documents that tell them from others."""
     word = F.regexp_replace(F.lower("word"), r"[^\p{L}]+", "")
     each = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SPACE))).alias("word"))
     each = each.select("doc_id", "toxic", word.alias("word")).where((F.length("word") >= LENGTH) & (F.length("word") <= WINDOW)).distinct()
-    counts = each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    # a list of toxic documents has at most the sample's
+    counts = each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.array_sort(F.collect_list(F.when(F.col("toxic") == 1, F.col("doc_id")))).alias("docs"))
     bad, good = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not bad or not good:
         return []
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    telling = counts.where(F.col("bad") >= max(3, LEAST_SHARE * bad)).withColumn("odds", odds).where("odds > 1.5")
-    best = telling.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(CANDIDATES).select("word").collect()
-    words = [r["word"] for r in best]
-    if not words:
-        return []
-    codes = code(words)
-    own = _own(codes)
-    kept: list[int] = []
-    for i in range(len(words)):
-        if kept:
-            k = np.array(kept)
-            if similarity(np.repeat(codes[i : i + 1], len(k), 0), codes[k], np.repeat(own[i : i + 1], len(k)), own[k]).max() > 0.6:
-                continue
-        kept.append(i)
-        if len(kept) == LANDMARKS:
-            break
-    return [words[i] for i in kept]
+    telling = counts.where(F.col("bad") >= LEAST_SUPPORT).withColumn("odds", odds).where("odds > 1.5")
+    best = telling.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(CANDIDATES).select("word", "odds", "docs").collect()
+    return cover([(r["word"], r["odds"], r["docs"]) for r in best])
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model:

@@ -106,6 +106,54 @@ def test_kernel_matches_enumeration():
     assert np.allclose(got, [brute_kernel(a, b, toxicity.DECAY) for a, b in pairs], rtol=1e-4)
 
 
+def test_all_kernels_above_the_least_are_found():
+    rng = random.Random(7)
+    landmarks = ["idiot", "scumbag", "moron", "aaaa", "abcabcabcabc", "dumkopf", "日本語話"]
+    features = toxicity.Features(landmarks)
+    words = {"idiot", "i", "ab", "aaa", "aaaaaaaaaaaaaaaaaaaa", "abcabc"}
+    for x in landmarks:
+        for _ in range(80):
+            w = list(x)
+            for _ in range(rng.randrange(4)):
+                w.insert(rng.randrange(len(w) + 1), rng.choice("aeioxyz日"))
+            rng.random() < 0.3 and rng.shuffle(w)
+            words.add("".join(w)[: toxicity.WINDOW])
+    for n in {len(w) for w in words}:
+        some = sorted(w for w in words if len(w) == n)
+        w, m, value = features.near(toxicity.code(some))
+        got = {(some[i], landmarks[j]): v for i, j, v in zip(w, m, value, strict=True)}
+        for a in some:
+            for b in landmarks:
+                k = brute_kernel(a, b, toxicity.DECAY)
+                want = (k / max(1e-30, brute_kernel(a, a, toxicity.DECAY) * brute_kernel(b, b, toxicity.DECAY)) ** 0.5) ** toxicity.POWER
+                if abs(want - toxicity.LEAST_KERNEL) > 1e-4:
+                    assert ((a, b) in got) == (want > toxicity.LEAST_KERNEL), (a, b, want)
+                if (a, b) in got:
+                    assert got[a, b] == pytest.approx(want, abs=2e-3)
+
+
+def test_rare_insults_are_covered():
+    telling = [("common", 4.0, list(range(1000)))] + [(f"{c}{d}zq{c}", 2.0, [1000 + 3 * k, 1001 + 3 * k, 1002 + 3 * k]) for k, (c, d) in enumerate((a, b) for a in "abcdefgh" for b in "klmnop")]
+    assert set(toxicity.cover(telling)) == {w for w, _, _ in telling} and toxicity.cover([]) == []
+
+
+def test_toxicity_of_many_rare_insults(docs, spark):
+    rng = random.Random(11)
+    bad = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(1500):
+        w, toxic = prose(rng, EN, 30).split(), i % 3 == 0
+        if toxic:
+            w.insert(rng.randrange(len(w)), bad[(i // 3) % 60])
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    rows += rows[:5]  # repeated rows
+    got = toxicity.score(docs(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in held]) > 0.95
+
+
 def test_spaced_and_marked_words():
     assert "idiot" in toxicity.tokens("you i d i o t there") and toxicity.letters("i-d.i_ot!") == "idiot"
 
