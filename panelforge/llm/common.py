@@ -38,6 +38,16 @@ def plain_docs(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in columns])
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is, for a shuffled join."""
+#: Bytes of a side that is broadcast, at most.
+MOST_BROADCAST = 16 << 20
+
+
+def small_side(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``most_bytes``, else as it is, for a shuffled join.
+
+    A row is taken to have 64 bytes of overhead in the join's table, and its columns at their widths; ``df`` has narrow
+    columns only (numbers, or names of some length).  The rows are the same either way.
+    """
+    width = 64 + sum(8 if f.dataType.simpleString() not in ("string", "binary") else 256 for f in df.schema)
+    most_rows = most_bytes // width
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

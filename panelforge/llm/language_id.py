@@ -38,8 +38,6 @@ ORDER = 3
 MEMORY = 1 << 22
 #: Bytes of a text that are looked up at once.
 SPAN = 1 << 20
-#: Up to this many languages, their sizes (a name and a number each) are broadcast.
-MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -180,7 +178,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     # one row a language; texts must not be dealt by language
-    some = docs.join(small_side(materialize(sizes, "languages"), MOST_LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows") < F.lit(float(sample) * (1 << 30)))
+    some = docs.join(small_side(materialize(sizes, "languages")), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows") < F.lit(float(sample) * (1 << 30)))
     counts = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most a sample's distinct runs of four bytes
     if not table.num_rows:

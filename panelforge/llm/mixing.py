@@ -42,8 +42,6 @@ EPS = 1e-9
 HEAD = 40
 #: Parts of a word in which sums are taken, so that their order makes no difference.
 UNITS = 1 << 20
-#: Up to this many rows, a plan (two numbers a row) is broadcast to the texts; above, the texts are shuffled.
-MOST_BROADCAST_ROWS = 1_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -231,5 +229,5 @@ def take(docs: DataFrame) -> DataFrame:
         numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     plan = copies(numbered.select(F.col("_row").alias("row"), "doc_id", "source", "text")).where("copies > 0")
     plan = materialize(plan.select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "plan")
-    taken = numbered.join(small_side(plan, MOST_BROADCAST_ROWS), "_row")
+    taken = numbered.join(small_side(plan), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -6,10 +6,13 @@
    not with each other, so a group of n near copies gives some n pairs.
 3. A joint likelihood estimate from both sketches drops pairs far below the threshold; the rest are confirmed
    on their whole sets.
-4. Links give components.  Buckets whose members are still in different components are then gathered into
-   groups (buckets that share a member), and a group's sets are compared in blocks of some hundred: a task gets
-   two blocks and returns only the links across components that hold on the whole sets.  So pivots lose no
-   link, and no pairs are emitted.
+4. Links give components.  Buckets whose members are still in different components are compared whole: a bucket's
+   members are dealt to blocks by size class, as sets of which one has less than 0.8 of the other can't link, and a
+   task gets two blocks of sketches.  It looks at pairs across components that share no earlier band and whose estimate
+   is high enough, and returns the members that have such a pair; only their sets are then shipped, for each pair of
+   blocks, and compared in full.  What is returned are links that join components, fewer than a task has members.  So
+   pivots lose no link, and no pairs are emitted.  For a bucket of n texts that resemble each other without being linked,
+   sketches (some 600 bytes) are shipped n * n / ``BLOCK`` times at most, three times that over neighbouring classes.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8 ** 6) ** 48 < 1e-6; sets are compared by
 64-bit hashes of their shingles.
@@ -26,6 +29,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +43,9 @@ from .common import materialize, small_side
 PERCENT = 80
 #: Pairs whose estimate is lower are not compared in full: six standard errors below the threshold.
 ESTIMATE_FLOOR = 0.8 - 6 * (0.8 * 0.2 / ss.REGISTERS) ** 0.5
-#: Up to this many documents to compare, their ids are broadcast to find their texts; above, texts are shuffled.
-MOST_BROADCAST_IDS = 1_000_000
-
-#: Sets in a block, and shared shingles that are counted at once.
-BLOCK = 128
-COLUMNS = 1 << 14
+#: Members in a block, and pairs of them that are estimated at once.
+BLOCK = 512
+PAIRS = 20_000
 
 SKETCH = "row long, doc_id long, n_shingles long, digest binary, sketch binary"
 
@@ -83,7 +84,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 2000)
             if batch.num_rows:
                 keys = ss.band_keys(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), ss.BANDS))], names=["key", "node"])
+                band = np.tile(np.arange(ss.BANDS, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), ss.BANDS)), pa.array(band)], names=["key", "node", "band"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,9 +125,7 @@ def _confirm(percent: int):
         for batch in batches:
             nodes, pivots = [], []
             for node, pivot, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent):
                     nodes.append(node)
                     pivots.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(pivots, pa.int64())], names=["node", "pivot"])
@@ -133,49 +133,84 @@ def _confirm(percent: int):
     return run
 
 
-def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
-    out = np.zeros((len(x), len(y)), np.float32)
-    values = np.concatenate([*x, *y])
-    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    column = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
-    often = np.bincount(column) > 1  # a shingle of one set is in no intersection
-    keep = often[column]
-    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
-    for at in range(0, int(often.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [at, at + COLUMNS])
-        some, cols = owner[a:b], column[a:b] - at
-        left, right = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
-        first = some < len(x)
-        left[some[first], cols[first]] = 1
-        right[some[~first] - len(x), cols[~first]] = 1
-        out += left @ right.T
-    return out
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+MEMBER = "key long, i int, j int, block int, band int, node long, component long, n_shingles long, sketch binary"
+
+
+def _open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs between the two blocks of a task that may link components.
+
+    They are in different components, close in size, share no band before this one, and their estimate is high enough.
+    """
+    low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    block, component, n = (table.column(c).to_numpy() for c in ("block", "component", "n_shingles"))
+    sketch, band = _matrix(table.column("sketch")), table.column("band")[0].as_py()
+    keys = ss.band_keys(sketch)[:, :band]
+    p_all, q_all = [], []
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    rows = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), rows):
+        a = left[at : at + rows]
+        near = np.minimum(n[a][:, None], n[right][None, :]) * 100 >= np.maximum(n[a][:, None], n[right][None, :]) * percent
+        near &= component[a][:, None] != component[right][None, :]
+        if low == high:
+            near &= a[:, None] < right[None, :]
+        p, q = np.nonzero(near)
+        p, q = a[p], right[q]
+        fresh = ~(keys[p] == keys[q]).any(axis=1)
+        p, q = p[fresh], q[fresh]
+        good = ss.similarity(sketch[p], sketch[q], n[p].astype(float), n[q].astype(float)) >= ESTIMATE_FLOOR
+        p_all.append(p[good])
+        q_all.append(q[good])
+    return np.concatenate([np.empty(0, int), *p_all]), np.concatenate([np.empty(0, int), *q_all])
+
+
+def _candidates(percent: int):
+    """The members of a task that have a pair to compare."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q = _open_pairs(table, percent)
+        return table.take(pa.array(np.unique(np.concatenate([p, q])))).select(MEMBER_NAMES)
+
+    return run
 
 
 def _across(percent: int):
-    """Links across components between the two blocks of a task."""
+    """Links that join components between the two blocks of a task, as a forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
+        p, q = _open_pairs(table, percent)
         node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
         sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        both = intersections([sets[i] for i in a], [sets[i] for i in b])
-        size = np.array([len(e) for e in sets])
-        linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (component[a][:, None] != component[b][None, :])
-        p, q = np.nonzero(linked)
-        return pa.table({"node": node[a[p]], "pivot": node[b[q]]})
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            x, y = find(component[i]), find(component[j])
+            if x != y and _linked(sets[i], sets[j], percent):
+                root[x] = y
+                out.append((node[i], node[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"node": pa.array(a, pa.int64()), "pivot": pa.array(b, pa.int64())})
 
     return run
 
 
+MEMBER_NAMES = _names(MEMBER)
+
+
 def _texts(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, pivot, elements): the sets of the wanted nodes, which are row numbers, for each partner."""
-    texts = docs.join(small_side(wanted, MOST_BROADCAST_IDS), F.col("row") == F.col("node"))
+    texts = docs.join(small_side(wanted), F.col("row") == F.col("node"))
     return texts.select("node", "pivot", "text").mapInArrow(_sets(k), "node long, pivot long, elements binary")
 
 
@@ -193,20 +228,29 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     return materialize(both.mapInArrow(_confirm(percent), "node long, pivot long").distinct(), "links")
 
 
-def _links_across(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that hold between members (key, node, component) of the same buckets in different components."""
-    star = open_.join(open_.groupBy("key").agg(F.min("node").alias("pivot")), "key").where("node != pivot").select("node", "pivot").distinct()
-    groups = components(star).withColumnRenamed("component", "bucket_group")
-    counts = groups.groupBy("bucket_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that hold between members (key, node, component, band) of the same buckets in different components."""
+    members = open_.join(classes.select("node", "n_shingles", "sketch"), "node")
+    size_class = F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent))).cast("int")
+    members = materialize(members.withColumn("class", size_class), "open-members")
+    sizes = members.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "blocks")  # so that a bucket's join is of two exchanges, which can be split
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    at = groups.join(counts, "bucket_group").join(open_.select("node", "component").distinct(), "node").withColumn("block", spread)
-    at = materialize(at, "groups")
-    sets = _texts(at.select("node").withColumn("pivot", F.lit(None).cast("long")), docs, k).select("node", "elements")
-    tasks = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j"))
-    )
-    dealt = sets.join(at, "node").withColumn("task", F.explode(tasks)).select("bucket_group", "task.i", "task.j", "block", "node", "component", "elements")
-    return materialize(dealt.groupBy("bucket_group", "i", "j").applyInArrow(_across(percent), "node long, pivot long"), "links")
+    at = members.join(sizes, ["key", "class"])
+    for step in (-1, 1):
+        beside = sizes.select("key", (F.col("class") - step).alias("class"), F.col("blocks").alias("below" if step < 0 else "above"))
+        at = at.join(beside, ["key", "class"], "left")
+    # a block's number has its class in front; a task has two blocks of one class or of neighbours
+    number = lambda step, t: (F.col("class") + step) * (1 << 20) + t
+    own = number(0, spread)
+    parts = []
+    for step, blocks in ((0, F.col("blocks")), (-1, F.coalesce("below", F.lit(0))), (1, F.coalesce("above", F.lit(0)))):
+        parts.append(F.when(blocks > 0, F.transform(F.sequence(F.lit(0), blocks - 1), lambda t, s=step: F.struct(F.least(own, number(s, t)).alias("i"), F.greatest(own, number(s, t)).alias("j")))).otherwise(F.array()))
+    dealt = at.withColumn("block", own).withColumn("task", F.explode(F.concat(*parts))).select("key", "task.i", "task.j", "block", "band", "node", "component", "n_shingles", "sketch")
+    near = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_candidates(percent), MEMBER), "candidates")
+    sets = _texts(near.select("node").distinct().withColumn("pivot", F.lit(None).cast("long")), docs, k).select("node", "elements")
+    links = near.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_across(percent), "node long, pivot long")
+    return materialize(links, "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,18 +302,19 @@ def _grouped(docs: DataFrame, number: str, shingle: int, percent: int) -> DataFr
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(least.alias("x"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), "n_shingles", "digest", "sketch"), "classes")
 
-    banded = classes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    banded = classes.select("node", "sketch").mapInArrow(_bands, "key long, node long, band int")
+    # written, as are the pivots, so that a large bucket's join is of two exchanges, which can be split
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = materialize(banded.join(shared, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
-    pairs = members.select("key", "node").join(pivots, "key").where("node != pivot").select("node", "pivot").distinct()
+    pairs = members.select("key", "node").join(materialize(pivots, "pivots"), "key").where("node != pivot").select("node", "pivot").distinct()
     links = _links(pairs, classes, docs, shingle, percent)
 
     labels = components(links)
-    at = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    at = members.select("key", "node", "band").join(labels, "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    more = _links_across(materialize(at.join(mixed, "key"), "open"), docs, shingle, percent)
+    more = _links_across(materialize(at.join(materialize(mixed, "mixed"), "key"), "open"), classes, docs, shingle, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -296,4 +341,4 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PE
     numbered, number = _numbered(docs)
     kept = _grouped(numbered, number, shingle, percent).where("kept").select(F.col("row").alias(number))
     kept = materialize(kept, "kept")
-    return numbered.join(small_side(kept, MOST_BROADCAST_IDS), number, "left_semi").select(*docs.columns)
+    return numbered.join(small_side(kept), number, "left_semi").select(*docs.columns)

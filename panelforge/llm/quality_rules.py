@@ -28,8 +28,6 @@ MAX_HOST_RATE = 0.5
 WEAK_PRIOR = 10.0
 #: A host's key in the join is split this many ways, so that one large host does not fill one task.
 SALTS = 16
-#: Above this many rejected hosts the texts are joined by shuffle.
-MOST_BROADCAST_HOSTS = 100_000
 
 
 def host_of(source: Column) -> Column:
@@ -151,5 +149,5 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
     rules = materialize(rules, "quality-docs")
     bad = host_verdicts(rules.select(F.col("_host").alias("host"), "base_failed")).where("host_failed")
     bad = materialize(bad.select(F.col("host").alias("_host")), "bad-hosts")
-    passed = rules.where(~F.col("base_failed")).join(small_side(bad, MOST_BROADCAST_HOSTS), "_host", "left_anti")
+    passed = rules.where(~F.col("base_failed")).join(small_side(bad), "_host", "left_anti")
     return passed.select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])

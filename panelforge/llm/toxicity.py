@@ -323,7 +323,7 @@ def _sample(docs: DataFrame, labels: DataFrame, each: int) -> DataFrame:
     for toxic, n in sizes.items():
         least = F.when(F.col("toxic") == toxic, F.lit(min(1.0, each / n))).otherwise(least)
     some = materialize(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < least), "sampled")
-    return docs.select("doc_id", "text").join(small_side(some, 4 * each), "doc_id").select("doc_id", "toxic", "text")
+    return docs.select("doc_id", "text").join(small_side(some), "doc_id").select("doc_id", "toxic", "text")
 
 
 def cover(telling: list[tuple[str, float, list[int]]]) -> list[str]:

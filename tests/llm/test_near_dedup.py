@@ -110,8 +110,14 @@ def test_registers_estimate_similarity_and_merge():
     assert abs(est - j) < 0.12
 
 
-def test_blockwise_intersections():
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
-    got = nd.intersections(sets[:4], sets[4:])
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+def test_open_buckets_are_compared_whole(docs, monkeypatch):
+    """Many texts near the threshold, of several sizes, with few members a block: no link may be lost."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    rng = random.Random(9)
+    shared = [f"p{i}" for i in range(90)]
+    texts = {}
+    for i in range(90):  # a passage that all share, with 10 to 30 words of their own: some pairs link, most do not
+        own = [f"o{rng.randrange(60)}" for _ in range(rng.randrange(10, 31))]
+        texts[i] = " ".join(shared + own)
+    got = {r.doc_id: r for r in nd.near_duplicates(docs(*[(i, t, None, None) for i, t in texts.items()])).collect()}
+    assert {i: (r.component_id, r.n_shingles) for i, r in got.items()} == brute(texts, 2)
