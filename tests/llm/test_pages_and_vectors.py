@@ -137,21 +137,24 @@ def test_extract_table(spark):
 def brute(rows, every, k):
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
-    for q, x in good:
-        if q % every == 0:
-            hits = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in good if i != q and len(v) == len(x))
+    for q in {q for q, _ in good if q % every == 0}:
+        asked = {tuple(x) for i, x in good if i == q}
+        hits = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for x in asked for i, v in good if i != q and len(v) == len(x))
+        if hits:
             out[q] = [(i, -s) for s, i in hits[:k]]
     return out
 
 
-@pytest.mark.parametrize("shard", [10_000, 60])
-def test_topk_matches_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, block, part", [(10_000, 10_000, 1 << 20), (60, 3, 1000)])
+def test_topk_matches_brute_force(spark, shard, block, part):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 6) for i in range(300)]
     rows += [(5000, None), (5050, [1.0, None] + [0.0] * 4), (5100, [float("nan")] * 6), (5150, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(6000 + i, rng.normal(size=3).tolist()) for i in range(80)] + [(9000, []), (9001, [])]  # other lengths
+    rows += [(50, rows[50][1]), (51, rows[51][1]), (51, rows[51][1]), (3, [9.0] * 6), (100, rng.normal(size=6).tolist())]  # repeated rows and ids
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, score int")
     got = {}
-    for r in topk.nearest(table, shard=shard).orderBy("query_id", "rank").collect():
+    for r in topk.nearest(table, shard=shard, block=block, part=part).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute(rows, 50, 5)
 
@@ -166,7 +169,7 @@ def test_large_products_are_exact():
     rng = np.random.default_rng(0)
     v = [[float(int(x)) for x in rng.integers(-(10**9), 10**9, 4)] for _ in range(300)]
     v[7] = v[8]
-    asked = pa.table({"query_id": pa.array([0, 7, 50]), "asked": [v[0], v[7], v[50]], "kth": pa.array([None] * 3, pa.float64())})
+    asked = pa.table({"query_id": pa.array([0, 7, 50]), "asked": [v[0], v[7], v[50]], "kth": pa.array([None] * 3, pa.float64()), "home": [0] * 3})
     got = topk._search(5)(pa.table({"vec_id": pa.array(range(300)), "x": v}), asked).to_pylist()
     for q in (0, 7, 50):
         best = sorted((-sum(int(a) * int(b) for a, b in zip(v[q], x, strict=True)), i) for i, x in enumerate(v) if i != q)[:5]
