@@ -46,6 +46,9 @@ ESTIMATE_FLOOR = 0.8 - 6 * (0.8 * 0.2 / ss.REGISTERS) ** 0.5
 #: Members in a block, and pairs of them that are estimated at once.
 BLOCK = 512
 PAIRS = 20_000
+#: Buckets with up to so many members are compared whole, in bundles of about so many members.
+SMALL = 128
+BUNDLE = 4096
 
 SKETCH = "row long, doc_id long, n_shingles long, digest binary, sketch binary"
 
@@ -138,35 +141,55 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-MEMBER = "key long, i int, j int, block int, band int, node long, component long, n_shingles long, sketch binary"
+MEMBER = "key long, i long, j long, block long, bucket long, band int, node long, component long, n_shingles long, sketch binary"
 
 
-def _open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs between the two blocks of a task that may link components.
-
-    They are in different components, close in size, share no band before this one, and their estimate is high enough.
-    """
+def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that a task compares, some at a time: within each small bucket, or between two blocks."""
     low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    block, component, n = (table.column(c).to_numpy() for c in ("block", "component", "n_shingles"))
-    sketch, band = _matrix(table.column("sketch")), table.column("band")[0].as_py()
-    keys = ss.band_keys(sketch)[:, :band]
-    p_all, q_all = [], []
+    if low < 0:
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+        some: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for rows in np.split(order, starts[1:]):
+            p, q = np.triu_indices(len(rows), 1)
+            some.append((rows[p], rows[q]))
+            n += len(p)
+            if n >= PAIRS:
+                yield tuple(map(np.concatenate, zip(*some, strict=True)))
+                some, n = [], 0
+        if some:
+            yield tuple(map(np.concatenate, zip(*some, strict=True)))
+        return
+    block = table.column("block").to_numpy()
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     rows = max(1, PAIRS // max(1, len(right)))
     for at in range(0, len(left), rows):
         a = left[at : at + rows]
-        near = np.minimum(n[a][:, None], n[right][None, :]) * 100 >= np.maximum(n[a][:, None], n[right][None, :]) * percent
-        near &= component[a][:, None] != component[right][None, :]
-        if low == high:
-            near &= a[:, None] < right[None, :]
-        p, q = np.nonzero(near)
-        p, q = a[p], right[q]
-        fresh = ~(keys[p] == keys[q]).any(axis=1)
+        p, q = np.repeat(a, len(right)), np.tile(right, len(a))
+        yield (p[p < q], q[p < q]) if low == high else (p, q)
+
+
+def _open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a task that may link components.
+
+    They are in different components, close in size, share no band before this one, and their estimate is high enough.
+    """
+    band, component, n = (table.column(c).to_numpy() for c in ("band", "component", "n_shingles"))
+    sketch = _matrix(table.column("sketch"))
+    keys = ss.band_keys(sketch)
+    p_all, q_all = [np.empty(0, int)], [np.empty(0, int)]
+    for p, q in _pairs(table):
+        near = (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent) & (component[p] != component[q])
+        p, q = p[near], q[near]
+        fresh = (keys[p] == keys[q]).argmax(axis=1) == band[p]
         p, q = p[fresh], q[fresh]
         good = ss.similarity(sketch[p], sketch[q], n[p].astype(float), n[q].astype(float)) >= ESTIMATE_FLOOR
         p_all.append(p[good])
         q_all.append(q[good])
-    return np.concatenate([np.empty(0, int), *p_all]), np.concatenate([np.empty(0, int), *q_all])
+    return np.concatenate(p_all), np.concatenate(q_all)
 
 
 def _candidates(percent: int):
@@ -230,23 +253,31 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
 
 def _links_across(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that hold between members (key, node, component, band) of the same buckets in different components."""
-    members = open_.join(classes.select("node", "n_shingles", "sketch"), "node")
+    members = materialize(open_.join(classes.select("node", "n_shingles", "sketch"), "node"), "open-sketches")
+    # written, so that a bucket's joins are of two exchanges, which can be split
+    totals = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "totals")
     size_class = F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent))).cast("int")
-    members = materialize(members.withColumn("class", size_class), "open-members")
-    sizes = members.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = materialize(sizes, "blocks")  # so that a bucket's join is of two exchanges, which can be split
+    members = materialize(members.join(totals, "key").withColumn("class", size_class), "open-members")
+    bundles = max(1, (totals.where(F.col("members") <= SMALL).agg(F.sum("members")).first()[0] or 0) // BUNDLE)
+    rest = ("band", "node", "component", "n_shingles", "sketch")
+    none = F.lit(-1).cast("long")
+    small = members.where(F.col("members") <= SMALL).select(F.pmod(F.xxhash64("key"), F.lit(bundles)).alias("key"), none.alias("i"), none.alias("j"), none.alias("block"), F.col("key").alias("bucket"), *rest)
+
+    large = members.where(F.col("members") > SMALL)
+    sizes = materialize(large.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    at = members.join(sizes, ["key", "class"])
+    at = large.join(sizes, ["key", "class"])
     for step in (-1, 1):
         beside = sizes.select("key", (F.col("class") - step).alias("class"), F.col("blocks").alias("below" if step < 0 else "above"))
         at = at.join(beside, ["key", "class"], "left")
     # a block's number has its class in front; a task has two blocks of one class or of neighbours
-    number = lambda step, t: (F.col("class") + step) * (1 << 20) + t
+    number = lambda step, t: (F.col("class") + step).cast("long") * (1 << 32) + t
     own = number(0, spread)
     parts = []
     for step, blocks in ((0, F.col("blocks")), (-1, F.coalesce("below", F.lit(0))), (1, F.coalesce("above", F.lit(0)))):
         parts.append(F.when(blocks > 0, F.transform(F.sequence(F.lit(0), blocks - 1), lambda t, s=step: F.struct(F.least(own, number(s, t)).alias("i"), F.greatest(own, number(s, t)).alias("j")))).otherwise(F.array()))
-    dealt = at.withColumn("block", own).withColumn("task", F.explode(F.concat(*parts))).select("key", "task.i", "task.j", "block", "band", "node", "component", "n_shingles", "sketch")
+    dealt = at.withColumn("block", own).withColumn("task", F.explode(F.concat(*parts)))
+    dealt = small.unionByName(dealt.select("key", "task.i", "task.j", "block", F.col("key").alias("bucket"), *rest))
     near = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_candidates(percent), MEMBER), "candidates")
     sets = _texts(near.select("node").distinct().withColumn("pivot", F.lit(None).cast("long")), docs, k).select("node", "elements")
     links = near.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_across(percent), "node long, pivot long")

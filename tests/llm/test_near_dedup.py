@@ -110,9 +110,11 @@ def test_registers_estimate_similarity_and_merge():
     assert abs(est - j) < 0.12
 
 
-def test_open_buckets_are_compared_whole(docs, monkeypatch):
+@pytest.mark.parametrize("small", [0, 10])
+def test_open_buckets_are_compared_whole(docs, monkeypatch, small):
     """Many texts near the threshold, of several sizes, with few members a block: no link may be lost."""
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "SMALL", small)
     rng = random.Random(9)
     shared = [f"p{i}" for i in range(90)]
     texts = {}
