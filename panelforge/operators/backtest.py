@@ -1,7 +1,8 @@
 """Backtests: a cash-constrained fold over the trading days of each run, and what is read from its curve.
 
 Candidates and prices are set-based; only the fold, which depends on its own past, runs in Python, one group a run.
-A run's group has its trading days times the few candidates of a day, whatever the panel's size.
+A run's group has the bars of its candidates from their entry to their planned exit, so it grows with the candidates and
+not with the panel.
 """
 
 from __future__ import annotations
@@ -70,10 +71,13 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
 def run(candidates: DataFrame, prices: DataFrame, runs: DataFrame) -> DataFrame:
     """Daily state of every run.  ``candidates``: run_id, d, asset_id, rank, exit_d, target, stop.
 
-    A run sees the bars of its candidates only, from the first entry on.
+    A run sees a candidate's bars from its entry to its planned exit, by which it is sold: no others can matter to it.
     """
-    names = candidates.select("run_id", "asset_id").distinct()
-    seen = prices.select("asset_id", "d", F.col("c").cast("double").alias("c")).join(names, "asset_id")
+    spans = candidates.select("run_id", "asset_id", F.col("d").alias("from_d"), "exit_d")
+    bars = prices.select("asset_id", "d", F.col("c").cast("double").alias("c"))
+    # spans are some days long: each day of one meets its bar by equality
+    days = spans.select("run_id", "asset_id", F.explode(F.sequence("from_d", "exit_d", F.expr("interval 1 day"))).alias("d")).distinct()
+    seen = days.join(bars, ["asset_id", "d"])
     picks = candidates.withColumn("candidate", F.lit(True))
     both = seen.join(picks, ["run_id", "d", "asset_id"], "left").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
     both = both.join(F.broadcast(runs), "run_id")

@@ -146,7 +146,7 @@ def closes(bars: DataFrame) -> DataFrame:
     return bars.groupBy("asset_id").agg(F.transform(rows, lambda r: r["c"].cast("double")).alias("closes"))
 
 
-def ema_latest(bars: DataFrame, periods: tuple[int, ...] = (5, 12, 26, 50)) -> DataFrame:
+def ema_latest(bars: DataFrame, periods: tuple[int, ...] = SMA_PERIODS) -> DataFrame:
     return closes(bars).select("asset_id", *[four(ema_fold(F.col("closes"), p)).alias(f"ema_{p}") for p in periods])
 
 

@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
 
-#: Frequent tokens of the test prose, used as a lexicon; callers pass their own.
-POSITIVE = ("thatin", "hehely", "thing", "inter", "ander")
-NEGATIVE = ("ononst", "inoran", "erble", "anies", "reth")
-CONCEPTS = {"thes": ("thes", "these"), "onan": ("onan",), "erin": ("erin", "inger"), "leque": ("leque", "aux"), "mente": ("mente",), "keit": ("keit", "heit")}
+# Words that count as good or bad news, and the concepts with the keywords that tag them.
+POSITIVE = ("增长", "利好", "突破", "看涨", "回升", "改善", "超预期", "盈利", "buy", "bullish", "upgrade", "outperform")
+NEGATIVE = ("下滑", "利空", "下跌", "看跌", "风险", "亏损", "恶化", "裁员", "sell", "bearish", "downgrade", "underperform")
+CONCEPTS = {
+    "AI": ("ai", "人工智能", "大模型", "算力"),
+    "芯片": ("芯片", "半导体", "集成电路", "光刻"),
+    "新能源": ("新能源", "锂电", "光伏", "储能", "电池"),
+    "白酒": ("白酒", "茅台", "五粮液", "泸州老窖"),
+    "医药": ("医药", "创新药", "医疗", "医保"),
+    "消费": ("消费", "零售", "电商", "食品饮料"),
+    "银行": ("银行", "信贷", "存款", "贷款"),
+    "保险": ("保险", "寿险", "财险"),
+    "地产": ("地产", "房地产", "楼市", "物业"),
+    "军工": ("军工", "航天", "航空装备", "国防"),
+    "汽车": ("汽车", "新能源车", "robotaxi", "无人驾驶"),
+    "航运": ("航运", "港口", "海运"),
+    "航空": ("航空", "客机", "机场"),
+}
 
 
 def words(text: Column) -> Column:

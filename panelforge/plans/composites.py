@@ -11,43 +11,79 @@ from ..operators import features as ft
 from ..operators import indicators as ind
 from ..operators import pointintime as pit
 from ..operators import scoring as sc
-from ..operators import text as tx
 from ..sources import panel
 from ..sources.scratch import is_folder, scratch_path
 from ..streaming import alerts
+from . import lexicon
 from .cte import sql
-from .joins import CONTEXTS, contexts
-from .relational import SENT
-from .scores import FACTORS, HEURISTIC, PHASES, case, factors, predictions
+from .joins import CONTEXTS, MEMBERS, RET, contexts
+from .relational import ASSET_WEEK, asset_week
+from .scores import DAY_SENTIMENT, DECIDE, FACTORS, HEURISTIC, INPUTS, PHASES, case, day_sentiment, factors, predictions
 from .windows import RSI, W, lag, mean_sql, r4, spread_sql
+from .windows import _ema as ema_sql
 
 
 def board(s, d):
-    """Each asset's newest bar, factor row, prediction, indicators and sentiment; suggested first."""
+    """Each active asset's newest bar, factors, predictions by horizon, RSI, bands, averages, MACD, RS score and sentiment.
+
+    All parts are one row an asset, from aggregates that keep the newest row.
+    """
     bars = panel.shared_bars(s, d)
-    last = pit.latest(bars, "asset_id", "d").select("asset_id", F.col("d").alias("bar_d"), "c")
-    factor = pit.latest(factors(s, d), "asset_id", "d").select("asset_id", "composite", "bottom")
-    rsi = pit.latest(ind.rsi_columns(bars).select("asset_id", "d", sc.four(F.col("rsi")).alias("rsi")), "asset_id", "d").drop("d")
-    bands = pit.latest(ind.bollinger(bars).select("asset_id", "d", "middle", "upper", "lower"), "asset_id", "d").drop("d")
-    rs = pit.latest(cs.rs_score(bars).select("asset_id", "d", "rs_score"), "asset_id", "d").drop("d")
-    out = last.join(panel.assets(s, d).where("active").select("asset_id", "symbol", "market"), "asset_id")
-    for part in (factor, rsi, bands, rs):
+    newest = lambda x: pit.latest(x, "asset_id", "d").drop("d")
+    out = pit.latest(bars, "asset_id", "d").select("asset_id", F.col("d").alias("bar_d"), "c")
+    out = out.join(panel.assets(s, d).where("active").select("asset_id", "symbol", "market"), "asset_id")
+    newest_of = lambda c, h: F.max_by(c, F.when(F.col("horizon") == h, F.col("d")))
+    ups = predictions(s, d).groupBy("asset_id").agg(*[newest_of("up", h).alias(f"up_{h}") for h in (3, 7, 30)], newest_of("label", 7).alias("label_7"))
+    week = pit.latest(asset_week(s, d), "asset_id", "published").select("asset_id", F.floor(F.col("x") * 10000 + 0.5).alias("sentiment_e4"))
+    parts = [
+        newest(factors(s, d).select("asset_id", "d", "composite", "bottom")),
+        newest(ind.rsi_columns(bars).select("asset_id", "d", sc.four(F.col("rsi")).alias("rsi"))),
+        newest(ind.bollinger(bars).select("asset_id", "d", "middle", "upper", "lower")),
+        newest(ind.sma(bars).select("asset_id", "d", "sma_20", "sma_50")),
+        ind.macd_latest(bars),
+        newest(cs.rs_score(bars).select("asset_id", "d", "rs_score")),
+        ups,
+        week,
+    ]
+    for part in parts:
         out = out.join(part, "asset_id", "left")
-    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("bottom"), "asset_id"))  # one row an asset
-    return out.withColumn("place", rank)
+    return out.withColumn("suggested", F.coalesce((F.col("label_7") == "UP") & (F.col("bottom") >= 0.5), F.lit(False)))
+
+
+def board_page(rows, *, market: str | None = None, search: str = "", suggested: bool | None = None, sort: str = "bottom", descending: bool = True, page: int = 1, size: int = 20):
+    """A page of the board: filters, search in the symbol, any column as order, nulls last, ties by asset.
+
+    Page and size are clamped to 1 and up and to 1..100; an unknown column sorts by ``bottom``.  The order is a top-k: no
+    task ranks all rows.
+    """
+    page, size = max(1, page), min(100, max(1, size))
+    if market is not None:
+        rows = rows.where(F.col("market") == market)
+    if search.strip():
+        rows = rows.where(F.lower("symbol").contains(search.strip().lower()))
+    if suggested is not None:
+        rows = rows.where(F.col("suggested") == suggested)
+    key = F.col(sort if sort in rows.columns else "bottom")
+    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "asset_id").offset((page - 1) * size).limit(size)
 
 
-BOARD = f"""{FACTORS},
+BOARD = f"""{HEURISTIC}, {ASSET_WEEK},
 lb as (select asset_id, max(d) as bar_d, arg_max(c, d) as c from bars group by 1),
 lf as (select asset_id, arg_max(composite, d) as composite, arg_max(bottom, d) as bottom from factor group by 1),
 lr as (select asset_id, arg_max({r4('rsi')}, d) as rsi from rsi group by 1),
 bb as (select asset_id, d, {mean_sql('c', 20)} as mid, {spread_sql('c', 20)} as dev from bars),
 bl as (select asset_id, arg_max({r4('mid')}, d) as middle, arg_max({r4('mid + 2.0::double * dev')}, d) as upper, arg_max({r4('mid - 2.0::double * dev')}, d) as lower from bb where mid is not null group by 1),
+sm as (select asset_id, d, {r4(mean_sql('c', 20))} as sma_20, {r4(mean_sql('c', 50))} as sma_50, row_number() over (partition by asset_id order by d desc) as r from bars),
+cl as (select asset_id, list(cast(c as double) order by d) as x from bars group by asset_id),
+mc as (select asset_id, {r4(ema_sql(12) + ' - ' + ema_sql(26))} as macd from cl),
 b20 as (select asset_id, d, (c - lag(c, 20) over ({W})) * 1.0::double / lag(c, 20) over ({W}) as ret from bars),
 br as (select asset_id, d, {r4('1 - cast(row_number() over (partition by d order by ret desc, asset_id) - 1 as double) / count(*) over (partition by d)')} as rs from b20 where ret is not null),
-rl as (select asset_id, arg_max(rs, d) as rs_score from br group by 1)
-select asset_id, bar_d, c, symbol, market, composite, bottom, rsi, middle, upper, lower, rs_score, row_number() over (order by bottom desc nulls last, asset_id) as place
-from lb join (select asset_id, symbol, market from assets where active) a using (asset_id) left join lf using (asset_id) left join lr using (asset_id) left join bl using (asset_id) left join rl using (asset_id)"""
+rl as (select asset_id, arg_max(rs, d) as rs_score from br group by 1),
+lp as (select asset_id, arg_max(up, d) filter (where horizon = 7) as up_7, arg_max(label, d) filter (where horizon = 7) as label_7, arg_max(up, d) filter (where horizon = 3) as up_3, arg_max(up, d) filter (where horizon = 30) as up_30 from hq group by 1),
+lw as (select asset_id, cast(floor(arg_max(x, published) * 10000 + 0.5) as bigint) as sentiment_e4 from aw group by 1),
+board as (select asset_id, bar_d, lb.c, symbol, market, composite, bottom, rsi, middle, upper, lower, sma_20, sma_50, macd, rs_score, up_7, label_7, up_3, up_30, sentiment_e4, coalesce(label_7 = 'UP' and bottom >= 0.5, false) as suggested
+  from lb join (select asset_id, symbol, market from assets where active) a using (asset_id) left join lf using (asset_id) left join lr using (asset_id) left join bl using (asset_id) left join (select asset_id, sma_20, sma_50 from sm where r = 1) s1 using (asset_id)
+  left join mc using (asset_id) left join rl using (asset_id) left join lp using (asset_id) left join lw using (asset_id))"""
 
 
 def bottom_candidates(s, d):
@@ -123,11 +159,19 @@ def candidates(s, d, top: int = 3):
     picks = sc.top_k(factors(s, d), top, F.desc("bottom"), F.asc("asset_id")).select("d", "asset_id", "rank", "bottom")
     ahead = pit.next_row(bars, 20, 20).select("asset_id", "d", "exit_d")
     x = picks.join(sc.decision_inputs(bars), ["asset_id", "d"]).join(ahead, ["asset_id", "d"])
-    x = sc.decide(x.withColumns({"p": F.col("bottom"), "label": F.lit("UP"), "horizon": F.lit(7)}))
+    x = sc.decide(x.where("exit_d is not null").withColumns({"p": F.col("bottom"), "label": F.lit("UP"), "horizon": F.lit(7)}))
     runs = _runs(s)
     return x.select("asset_id", "d", "rank", "exit_d", "target", "stop").crossJoin(F.broadcast(runs.select("run_id"))), bars, runs
 
 
+CANDIDATES = f"""{FACTORS}, {INPUTS.strip()},
+pk as (select d, asset_id, bottom, row_number() over (partition by d order by bottom desc, asset_id) as rank from factor),
+ex as (select b.asset_id, b.d, min(e.d) as exit_d from (select b.* from bars b join pk on pk.asset_id = b.asset_id and pk.d = b.d and pk.rank <= 3) b join bars e on e.asset_id = b.asset_id and e.d >= b.d + 20 and e.d <= b.d + 40 group by 1, 2),
+dj as (select di.*, mid + 2 * dev as upper, mid - 2 * dev as lower, cast(di.c as double) as k, di.c * 1.01::double as up1, 7 as horizon, 'UP' as label, bottom as p, pk.rank, ex.exit_d
+       from pk join di on di.asset_id = pk.asset_id and di.d = pk.d join ex on ex.asset_id = pk.asset_id and ex.d = pk.d where pk.rank <= 3), {DECIDE.strip()},
+cand as (select run_id, asset_id, d, rank, exit_d, target, stop from decided, (values (1), (2), (3)) as rn(run_id))"""
+
+
 def _runs(s):
     return s.createDataFrame([(1, 2, 1.0), (2, 5, 0.5), (3, 10, 0.2)], "run_id long, slots long, fraction double")
 
@@ -149,25 +193,22 @@ def comparison(s, d):
 
 def feature_matrix(s, d):
     bars = panel.shared_bars(s, d)
-    sent = tx.sentiment(panel.news(s, d).select("article_id", "published", "text"))
-    daily = sent.groupBy("published").agg(F.sum(F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long")).alias("m"), F.count(F.lit(1)).alias("n"))
-    daily = daily.select("published", sc.four(F.col("m") / (F.col("n") * 1000000.0)).alias("sentiment"))
+    daily = day_sentiment(s, d, panel.calendar(bars)).withColumnRenamed("d", "published")
     return ft.matrix(bars, cs.rs_score(bars), factors(s, d), panel.macro(s, d), daily)
 
 
-MATRIX = f"""{FACTORS}, {SENT.strip()},
-ds as (select published, {r4('cast(sum(cast(floor(s * 1000000 + 0.5) as bigint)) as double) / (count(*) * 1000000.0::double)')} as sentiment from sent group by 1),
+MATRIX = f"""{FACTORS}, {DAY_SENTIMENT},
 m20 as (select asset_id, d, (c - lag(c, 20) over ({W})) * 1.0::double / lag(c, 20) over ({W}) as ret from bars),
 mr as (select asset_id, d, {r4('1 - cast(row_number() over (partition by d order by ret desc, asset_id) - 1 as double) / count(*) over (partition by d)')} as rs_score from m20 where ret is not null),
 mb as (select asset_id, d, coalesce(cast(floor(cast((c - {lag('c', 1)}) * 10000 as double) / {lag('c', 1)} + 0.5) as bigint), 0) as bp from bars),
 mv as (select asset_id, d, {r4('case when count(bp) over w >= 2 then sqrt(cast(count(bp) over w * sum(bp * bp) over w - sum(bp) over w * sum(bp) over w as double)) / cast(count(bp) over w as double) else 0.0::double end')} as volatility_bp from mb window w as ({W} rows between 4 preceding and current row)),
-mx as (select asset_id, d, c, h, l, v, {r4('rsi')} as rsi, {', '.join(f"coalesce({r4(f'(c - {lag("c", n)}) * 1.0::double / {lag("c", n)}')}, 0.0::double) as ret_{n}" for n in (3, 5, 10))},
+mx as materialized (select asset_id, d, c, h, l, v, {r4('rsi')} as rsi, {', '.join(f"coalesce({r4(f'(c - {lag("c", n)}) * 1.0::double / {lag("c", n)}')}, 0.0::double) as ret_{n}" for n in (3, 5, 10))},
        {', '.join(f"{r4(f'coalesce({lag("rsi", k)}, rsi)')} as rsi_lag_{k}, {r4(f'rsi - coalesce({lag("rsi", k)}, rsi)')} as rsi_delta_{k}" for k in (3, 5, 10))},
        {', '.join(r4(f"coalesce(cast(v * count(v) over w{n} as double) / nullif(cast(sum(v) over w{n} as double), 0), 1.0::double)") + f" as rel_volume_{n}" for n in (5, 20))}
        from rsi window w5 as ({W} rows between 4 preceding and current row), w20 as ({W} rows between 19 preceding and current row)),
 my as (select mx.*, volatility_bp, coalesce(rs_score, 0.5::double) as rs_score, coalesce(f.fundamental, 0.5::double) as fundamental, coalesce(f.flow, 0.5::double) as flow, coalesce(f.technical, 0.5::double) as technical,
-              coalesce(f.composite, 0.5::double) as composite, coalesce(ds.sentiment, 0.0::double) as sentiment, coalesce(cast(macro.pmi as double), 50.0::double) as pmi, coalesce((y10 - y2) / 100.0::double, 0.0::double) as curve
-       from mx join mv using (asset_id, d) left join mr using (asset_id, d) left join ds on ds.published = mx.d left join macro on macro.date = date_trunc('month', mx.d)
+              coalesce(f.composite, 0.5::double) as composite, coalesce(da.sentiment, 0.0::double) as sentiment, coalesce(cast(macro.pmi as double), 50.0::double) as pmi, coalesce((y10 - y2) / 100.0::double, 0.0::double) as curve
+       from mx join mv using (asset_id, d) left join mr using (asset_id, d) left join da on da.d = mx.d left join macro on macro.date = date_trunc('month', mx.d)
        left join (select mx.asset_id, mx.d, x.fundamental, x.flow, x.technical, x.composite from mx asof join factor x on mx.asset_id = x.asset_id and mx.d >= x.d) f on f.asset_id = mx.asset_id and f.d = mx.d)
 select *, {r4('rsi * rs_score')} as rsi_x_rs, {r4('rs_score * composite')} as rs_x_composite, {r4('rel_volume_5 * ret_5')} as volume_x_ret, {r4('sentiment * pmi')} as sentiment_x_pmi, {r4('flow * technical')} as flow_x_technical from my"""
 
@@ -207,12 +248,18 @@ def curve_points(s, d):
     return one.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max("date").alias("date"), F.max_by("y", "date").alias("y"))
 
 
+ALERTS = f"with recursive e as (select event_type, event_id, epoch(ts)::bigint as t, row_number() over (partition by event_type order by ts, event_id) as r from events where value > 95), f as (select event_type, event_id, t, r from e where r = 1 union all select e.event_type, e.event_id, e.t, e.r from f join e on e.event_type = f.event_type and e.r = (select min(x.r) from e x where x.event_type = f.event_type and x.t >= f.t + {alerts.COOLDOWN_S} and x.r > f.r)) select event_type, event_id from f"
+
 QUERIES = {
-    "qa_stock_board": (board, sql("bars assets fundamentals flows", BOARD)),
+    "qa_stock_board": (board, sql("bars assets fundamentals flows macro news", f"{BOARD} select * from board")),
+    "qa_board_page": (
+        lambda s, d: board_page(board(s, d), search="00", sort="rs_score", page=2, size=7),
+        sql("bars assets fundamentals flows macro news", f"{BOARD} select * from board where contains(lower(symbol), '00') order by rs_score desc nulls last, asset_id limit 7 offset 7"),
+    ),
     "qb_bottom_candidates": (
         bottom_candidates,
         sql(
-            "bars fundamentals flows macro",
+            "bars fundamentals flows macro news",
             f"{HEURISTIC}, cur as (select arg_max(phase, date) as phase from ph), nf as (select asset_id, max(d) as d, arg_max(fundamental, d) as fundamental, arg_max(flow, d) as flow, arg_max(technical, d) as technical from factor group by 1), "
             f"wx as (select nf.*, phase, {', '.join(f'({case("phase", sc.PHASE_WEIGHTS, 0, k)}) as w{k}' for k in range(3))} from nf, cur), "
             "hl as (select asset_id, arg_max(up, d) as up, arg_max(label, d) as label from hq where horizon = 7 group by 1) "
@@ -260,13 +307,13 @@ QUERIES = {
     ),
     "b3_combined_candidates": (
         lambda s, d: _combined(s, d),
-        sql("bars fundamentals flows macro", f"{HEURISTIC}, p as (select asset_id, d, up as a from hq where horizon = 7), q as (select asset_id, d, bottom as b from factor where bottom >= 0.45), j as (select coalesce(p.asset_id, q.asset_id) as asset_id, coalesce(p.d, q.d) as d, {r4('(coalesce(a, 0.0::double) + coalesce(b, 0.0::double)) / ((a is not null)::int + (b is not null)::int)')} as value from p full join q on p.asset_id = q.asset_id and p.d = q.d) select d, rank, asset_id, value from (select *, row_number() over (partition by d order by value desc, asset_id) as rank from j where value >= 0.4) where rank <= 4"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC}, p as (select asset_id, d, up as a from hq where horizon = 7), q as (select asset_id, d, bottom as b from factor where bottom >= 0.45), j as (select coalesce(p.asset_id, q.asset_id) as asset_id, coalesce(p.d, q.d) as d, {r4('(coalesce(a, 0.0::double) + coalesce(b, 0.0::double)) / ((a is not null)::int + (b is not null)::int)')} as value from p full join q on p.asset_id = q.asset_id and p.d = q.d) select d, rank, asset_id, value from (select *, row_number() over (partition by d order by value desc, asset_id) as rank from j where value >= 0.4) where rank <= 4"),
     ),
     "b10_backtest_runs": (backtest, None),
     "b11_backtest_metrics": (lambda s, d: bt.metrics(backtest(s, d)), None),
     "b12_benchmark_coverage": (
         lambda s, d: _covered(s, d),
-        sql("bars calendar macro", f"with {CONTEXTS.strip()}, c as (select count(*) as n, count(*) filter (where exists (select 1 from ctx where starts_at <= d and (ends_at is null or ends_at >= d))) as k from calendar) select n, k, case when n = k then 'point_in_time' else 'equal_weight' end as benchmark from c"),
+        sql("bars assets calendar membership fundamentals", f"with {MEMBERS.strip()}, {RET.strip()}, n as (select count(*) as days, count(ret.d) as covered from calendar left join ret using (d)) select days, covered, case when days = covered then 'point_in_time' else 'equal_weight' end as benchmark from n"),
     ),
     "b14_comparison": (
         comparison,
@@ -282,9 +329,9 @@ QUERIES = {
     ),
     "r2_alerts_batch": (
         lambda s, d: alerts.fired(panel.table(s, d, "events"), 95.0).select("event_type", "event_id"),
-        f"with recursive e as (select event_type, event_id, epoch(ts)::bigint as t, row_number() over (partition by event_type order by ts, event_id) as r from events where value > 95), f as (select event_type, event_id, t, r from e where r = 1 union all select e.event_type, e.event_id, e.t, e.r from f join e on e.event_type = f.event_type and e.r = (select min(x.r) from e x where x.event_type = f.event_type and x.t >= f.t + {alerts.COOLDOWN_S} and x.r > f.r)) select event_type, event_id from f",
+        ALERTS,
     ),
-    "r2_alerts_stream": (alert_stream, None),
+    "r2_alerts_stream": (lambda s, d: alert_stream(s, d).select("event_type", "event_id"), ALERTS),
 }
 
 
@@ -324,6 +371,8 @@ def _combined(s, d):
 
 
 def _covered(s, d):
-    held = pit.coverage(panel.calendar(panel.bars(s, d)), contexts(s, d))
-    x = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > 0).alias("k"))
-    return x.withColumn("benchmark", F.when(F.col("n") == F.col("k"), "point_in_time").otherwise("equal_weight"))
+    """The point-in-time value is the benchmark only if it covers every trading day, else the equal-weight mean."""
+    bars = panel.shared_bars(s, d)
+    nav = cs.weighted_returns(bars, panel.membership(panel.calendar(bars), panel.assets(s, d)), panel.fundamentals(s, d)).select("d", F.lit(1).alias("has"))
+    x = panel.calendar(bars).join(nav, "d", "left").agg(F.count(F.lit(1)).alias("days"), F.count("has").alias("covered"))
+    return x.withColumn("benchmark", F.when(F.col("days") == F.col("covered"), "point_in_time").otherwise("equal_weight"))

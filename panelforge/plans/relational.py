@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import indicators as ind
 from ..operators import pointintime as pit
 from ..operators import text as tx
 from ..sources import panel, sinks
+from . import lexicon
 from .cte import sql
-from .windows import W, r4
+from .windows import RSI, W, r4
 
 FLOOR = "1996-01-01"
 
@@ -29,21 +31,34 @@ def _articles(s, d):
 WORDS = r"""
 tok as (select article_id, published, source, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}0-9]+'), lambda w: w <> '') as w, text from news)"""
 SENT = f"""{WORDS},
-cnt as (select article_id, published, source, len(w) as n, len(list_filter(w, lambda x: x in ({list_of(tx.POSITIVE)}))) as pos, len(list_filter(w, lambda x: x in ({list_of(tx.NEGATIVE)}))) as neg from tok),
+cnt as (select article_id, published, source, len(w) as n, len(list_filter(w, lambda x: x in ({list_of(lexicon.POSITIVE)}))) as pos, len(list_filter(w, lambda x: x in ({list_of(lexicon.NEGATIVE)}))) as neg from tok),
 sent as (select *, case when n > 0 then greatest(-1.0::double, least(1.0::double, (pos - neg) * 8.0::double / n)) else 0.0::double end as s from cnt)"""
 
 TAGS = "tg as (select article_id, published, list_filter([" + ", ".join(
-    f"case when {' or '.join(f'contains(lower(coalesce(text, {chr(39)}{chr(39)})), {chr(39)}{k}{chr(39)})' for k in keys)} then '{name}' end" for name, keys in sorted(tx.CONCEPTS.items())
+    f"case when {' or '.join(f'contains(lower(coalesce(text, {chr(39)}{chr(39)})), {chr(39)}{k}{chr(39)})' for k in keys)} then '{name}' end" for name, keys in sorted(lexicon.CONCEPTS.items())
 ) + "], lambda t: t is not null) as tags from news)"
 
 
-def _daily(s, d):
-    """Mean sentiment of the last seven days for each day with articles, from exact sums in 1e-6."""
-    x = tx.sentiment(_articles(s, d)).select("published", F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
-    day = x.groupBy("published").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"))
-    no = F.datediff("published", F.lit("1970-01-01"))
-    week = Window.orderBy(no).rangeBetween(-6, 0)  # one row a day
-    return day.select("published", F.sum("n").over(week).alias("articles"), (F.sum("m").over(week) / (F.sum("n").over(week) * 1000000.0)).alias("x")).select("published", "articles", F.col("x"))
+ASSET_WEEK = """lk as (select article_id, unnest(list_distinct([article_id % 50 + 1, article_id % 7 + 1])) as asset_id from news),
+ad as (select asset_id, published, sum(cast(floor(s * 1000000 + 0.5) as bigint)) as m, count(*) as n from sent join lk using (article_id) group by 1, 2),
+aw as (select asset_id, published, cast(sum(n) over w as bigint) as articles, cast(sum(m) over w as double) / (cast(sum(n) over w as double) * 1000000.0::double) as x
+       from ad window w as (partition by asset_id order by published range between interval 6 days preceding and current row))"""
+
+
+def linked(s, d):
+    """Articles with up to two linked assets, one bridge row each."""
+    return panel.news(s, d).select("article_id", F.explode(F.array_distinct(F.array(F.col("article_id") % 50 + 1, F.col("article_id") % 7 + 1))).alias("asset_id"))
+
+
+def asset_week(s, d):
+    """asset_id, published, articles, x: mean sentiment of an asset's articles of the last seven days, for each day with some.
+
+    Articles are summed by asset and day first, in 1e-6, so that a window has one row a day.
+    """
+    x = lexicon.sentiment(_articles(s, d)).select("article_id", "published", F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
+    day = x.join(linked(s, d), "article_id").groupBy("asset_id", "published").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"))
+    week = Window.partitionBy("asset_id").orderBy(F.datediff("published", F.lit("1970-01-01"))).rangeBetween(-6, 0)
+    return day.select("asset_id", "published", F.sum("n").over(week).alias("articles"), (F.sum("m").over(week) / (F.sum("n").over(week) * 1000000.0)).alias("x"))
 
 
 def _aliases(s, d):
@@ -96,8 +111,8 @@ QUERIES = {
         sql("news", "select article_id, sha256(concat_ws('|', source, cast(published as varchar), coalesce(text, ''))) as url_hash from news"),
     ),
     "s19_news_dedupe": (
-        lambda s, d: panel.news(s, d).where("published between '1995-06-01' and '1999-06-30'").withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("source", "article_id"))).where("r = 1").select("article_id", "published", "source"),
-        sql("news", "select article_id, published, source from (select *, row_number() over (partition by text order by source, article_id) as r from news where published between '1995-06-01' and '1999-06-30') where r = 1"),
+        lambda s, d: panel.news(s, d).where("published between '1995-06-01' and '1999-06-30'").groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct(F.col("source").isNull(), "source", "article_id", "published")).alias("r")).select("r.article_id", "r.published", "r.source"),
+        sql("news", "select article_id, published, source from (select *, row_number() over (partition by text order by source nulls last, article_id) as r from news where published between '1995-06-01' and '1999-06-30') where r = 1"),
     ),
     "s20_request_windows": (
         lambda s, d: _spans(panel.calendar(panel.bars(s, d)), 60),
@@ -135,8 +150,8 @@ QUERIES = {
     ),
     # filters
     "p1_asset_search": (
-        lambda s, d: panel.assets(s, d).where((F.col("market") == "ASIA") | F.lower("symbol").contains("00001")).where("active").select("asset_id", "symbol", "market"),
-        sql("assets", "select asset_id, symbol, market from assets where (market = 'ASIA' or contains(lower(symbol), '00001')) and active"),
+        lambda s, d: asset_search(panel.assets(s, d), market="ASIA", status="active", text="00001").select("asset_id", "symbol", "country", "market"),
+        sql("assets", "select asset_id, symbol, country, market from assets where market = 'ASIA' and active and (contains(lower(symbol), '00001') or contains(lower(country), '00001'))"),
     ),
     "p2_bar_range": (lambda s, d: panel.bars(s, d).where("d between '1997-01-01' and '1998-12-31'"), sql("bars", "select asset_id, d, c, h, l, v from bars where d between '1997-01-01' and '1998-12-31'")),
     "p4_recent_events": (
@@ -159,8 +174,8 @@ QUERIES = {
     # aggregations
     "a1_count_by_type": (lambda s, d: _events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "select event_type, count(*) as n from events group by event_type"),
     "a2_sentiment_7d": (
-        lambda s, d: _daily(s, d).select("published", "articles", F.floor(F.col("x") * 10000 + 0.5).alias("mean_e4")),
-        sql("news", f"with {SENT.strip()}, dy as (select published, sum(cast(floor(s * 1000000 + 0.5) as bigint)) as m, count(*) as n from sent group by 1) select published, cast(sum(n) over w as bigint) as articles, cast(floor(cast(sum(m) over w as double) / (cast(sum(n) over w as double) * 1000000.0::double) * 10000 + 0.5) as bigint) as mean_e4 from dy window w as (order by published range between interval 6 days preceding and current row)"),
+        lambda s, d: asset_week(s, d).select("asset_id", "published", "articles", F.floor(F.col("x") * 10000 + 0.5).alias("mean_e4")),
+        sql("news", f"with {SENT.strip()}, {ASSET_WEEK} select asset_id, published, articles, cast(floor(x * 10000 + 0.5) as bigint) as mean_e4 from aw"),
     ),
     "a4_extremes": (lambda s, d: panel.bars(s, d).agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count_distinct("asset_id").alias("assets"), F.count_distinct("d").alias("days")), sql("bars", "select min(d) as first_d, max(d) as last_d, count(distinct asset_id) as assets, count(distinct d) as days from bars")),
     "a5_conditional_counts": (
@@ -176,13 +191,9 @@ QUERIES = {
         "select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping_id(o_orderstatus, o_orderpriority) as bigint) as level from orders group by cube (o_orderstatus, o_orderpriority)",
     ),
     "a8_concept_heat": (
-        lambda s, d: tx.tags(panel.news(s, d)).select("published", F.explode("tags").alias("tag")).groupBy("published", "tag").agg(F.count(F.lit(1)).alias("heat")),
+        lambda s, d: lexicon.tags(panel.news(s, d)).select("published", F.explode("tags").alias("tag")).groupBy("published", "tag").agg(F.count(F.lit(1)).alias("heat")),
         sql("news", f"with {TAGS} select published, tag, count(*) as heat from (select published, unnest(tags) as tag from tg) group by 1, 2"),
     ),
-    "a12_win_rate": (
-        lambda s, d: panel.bars(s, d).groupBy("asset_id").agg(F.count_if(F.col("c") % 2 == 0).alias("wins"), F.count(F.lit(1)).alias("n")).withColumn("rate", F.floor(F.col("wins") * 10000 / F.col("n") + 0.5)),
-        sql("bars", "select asset_id, count(*) filter (where c % 2 = 0) as wins, count(*) as n, cast(floor(cast(count(*) filter (where c % 2 = 0) * 10000 as double) / count(*) + 0.5) as bigint) as rate from bars group by 1"),
-    ),
     "a15_monthly_report": (
         lambda s, d: panel.bars(s, d).groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.count_distinct("d").alias("days"), F.count_distinct("asset_id").alias("assets"), F.sum("v").alias("volume")),
         sql("bars", "select strftime(d, '%Y-%m') as month, count(distinct d) as days, count(distinct asset_id) as assets, cast(sum(v) as bigint) as volume from bars group by 1"),
@@ -191,22 +202,22 @@ QUERIES = {
         lambda s, d: _events(s, d).groupBy("user_id").agg(F.count_if(F.to_date("ts") == F.lit("2024-01-30").cast("date")).alias("today"), F.count(F.lit(1)).alias("month"), F.count_distinct("event_type").alias("endpoints")).withColumn("percent", F.floor(F.col("month") * 100.0 / 150)),
         "select user_id, count(*) filter (where cast(ts as date) = date '2024-01-30') as today, count(*) as month, count(distinct event_type) as endpoints, cast(floor(count(*) * 100.0::double / 150) as bigint) as percent from events group by 1",
     ),
-    "a17_accuracy": (
-        lambda s, d: panel.table(s, d, "labels").groupBy("quality").agg(F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("right"), F.count(F.lit(1)).alias("n")),
-        "select quality, cast(sum(case when toxic = 0 then 1 else 0 end) as bigint) as right, count(*) as n from labels group by 1",
+    "a16_top_endpoints": (
+        lambda s, d: _endpoints(s, d),
+        "select user_id, event_type, n, place from (select *, row_number() over (partition by user_id order by n desc, event_type) as place from (select user_id, event_type, count(*) as n from events where cast(ts as date) > date '2024-01-30' - 7 group by 1, 2)) where place <= 10",
     ),
     "a18_importance_totals": (
-        lambda s, d: panel.table(s, d, "part").groupBy("p_brand").agg(F.sum(F.col("p_size").cast("long")).alias("total"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_set("p_size"), asc=False), 1, 3), lambda x: x.cast("string")), ",").alias("top_sizes")),
-        "select p_brand, cast(sum(p_size) as bigint) as total, array_to_string(list_reverse_sort(list(distinct p_size))[1:3], ',') as top_sizes from part group by 1",
+        lambda s, d: _importance_history(s, d),
+        "with one as (select p_partkey % 3 as horizon, p_brand as feature, p_partkey % 15 as model, cast(sum(cast(p_size as bigint)) as bigint) as importance from part group by 1, 2, 3), by_f as (select horizon, feature, cast(sum(importance) as bigint) as total, string_agg(model || ':' || importance, ',' order by model) as history from one group by 1, 2) select horizon, place, feature, total, history from (select *, row_number() over (partition by horizon order by total desc, feature) as place from by_f) where place <= 5",
     ),
     "a20_high_low": (
         lambda s, d: panel.bars(s, d).select("asset_id", "d", F.max("h").over(Window.partitionBy("asset_id").orderBy("d").rowsBetween(-19, 0)).alias("high20"), F.min("l").over(Window.partitionBy("asset_id").orderBy("d").rowsBetween(-19, 0)).alias("low20")),
         sql("bars", f"select asset_id, d, max(h) over w as high20, min(l) over w as low20 from bars window w as ({W} rows between 19 preceding and current row)"),
     ),
     # sorts and sets
-    "t1_top_rows": (
-        lambda s, d: panel.bars(s, d).orderBy(F.desc("v"), "asset_id", "d").limit(20).select("asset_id", "d", "v"),
-        sql("bars", "select asset_id, d, v from bars order by v desc, asset_id, d limit 20"),
+    "t1_rsi_extremes": (
+        lambda s, d: _extreme_rsi(s, d),
+        sql("bars", f"with {RSI.strip()}, x as (select asset_id, d, {r4('rsi')} as rsi from rsi) select * from (select *, 'overbought' as side from x order by rsi desc, asset_id, d limit 20) union all select * from (select *, 'oversold' as side from x order by rsi, asset_id, d limit 20)"),
     ),
     "t5_nulls_order": (
         lambda s, d: panel.fundamentals(s, d).orderBy(F.col("pe").desc_nulls_first(), "asset_id", "report_date").limit(100).select("asset_id", "report_date", "pe"),
@@ -218,7 +229,7 @@ QUERIES = {
     ),
     "t8_order_preserving_dedupe": (
         lambda s, d: panel.news(s, d).select("article_id", F.array_join(F.array_distinct(tx.words(F.col("text"))), " ").alias("distinct_words")),
-        None,
+        sql("news", f"with {WORDS.strip()}, wx as (select article_id, unnest(w) as x, generate_subscripts(w, 1) as i from tok), one as (select article_id, x, min(i) as i from wx group by 1, 2) select article_id, coalesce(words, '') as distinct_words from tok left join (select article_id, string_agg(x, ' ' order by i) as words from one group by 1) using (article_id)"),
     ),
     "u1_index_union": (
         lambda s, d: _index(s, d, "IDX_A").union(_index(s, d, "IDX_B")).distinct(),
@@ -239,11 +250,11 @@ QUERIES = {
     "u6_overlap_count": (lambda s, d: panel.assets(s, d).agg(F.count_if(F.size("tags") > 1).alias("overlap"), F.count(F.lit(1)).alias("n")), sql("assets", "select count(*) filter (where len(tags) > 1) as overlap, count(*) as n from assets")),
     # text
     "m20_lexicon_sentiment": (
-        lambda s, d: tx.sentiment(_articles(s, d)).select("article_id", "n", "pos", "neg", *[F.floor(F.col(c) * 10000 + 0.5).alias(c) for c in ("sentiment", "positive", "neutral", "negative")], "label"),
+        lambda s, d: lexicon.sentiment(_articles(s, d)).select("article_id", "n", "pos", "neg", *[F.floor(F.col(c) * 10000 + 0.5).alias(c) for c in ("sentiment", "positive", "neutral", "negative")], "label"),
         sql("news", f"with {SENT.strip()} select article_id, n, pos, neg, cast(floor(s * 10000 + 0.5) as bigint) as sentiment, cast(floor((case when n > 0 then greatest(0.0::double, s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as positive, cast(floor((case when n > 0 then 1 - abs(s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as neutral, cast(floor((case when n > 0 then greatest(0.0::double, -s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as negative, case when s > 0.15 then 'POSITIVE' when s < -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label from sent"),
     ),
     "m22_concept_tags": (
-        lambda s, d: tx.tags(panel.news(s, d)).select("article_id", F.array_join("tags", ",").alias("tags")),
+        lambda s, d: lexicon.tags(panel.news(s, d)).select("article_id", F.array_join("tags", ",").alias("tags")),
         sql("news", f"with {TAGS} select article_id, array_to_string(tags, ',') as tags from tg"),
     ),
     "j17_text_links": (
@@ -258,6 +269,42 @@ QUERIES = {
 }
 
 
+def asset_search(assets, market: str | None = None, status: str | None = None, text: str = ""):
+    """Assets by exact market and status and by a part of symbol or name (here the country), without case; by symbol."""
+    if market is not None:
+        assets = assets.where(F.col("market") == market)
+    if status is not None:
+        assets = assets.where(F.col("active") == (status == "active"))
+    low = text.strip().lower()
+    if low:
+        assets = assets.where(F.lower("symbol").contains(low) | F.lower("country").contains(low))
+    return assets.orderBy("symbol", "country")
+
+
+def _endpoints(s, d):
+    """The ten most used endpoints of the last seven days, of every user; a user's endpoints are counted first."""
+    week = _events(s, d).where(F.to_date("ts") > F.date_sub(F.lit("2024-01-30").cast("date"), 7)).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))
+    return week.withColumn("place", rank).where("place <= 10")
+
+
+def _importance_history(s, d):
+    """Sum of each feature's importance over the models of a horizon, its place, and its history by model, for the top five."""
+    x = panel.table(s, d, "part").select((F.col("p_partkey") % 3).alias("horizon"), (F.col("p_partkey") % 15).alias("model"), F.col("p_brand").alias("feature"), F.col("p_size").cast("long").alias("n"))
+    one = x.groupBy("horizon", "feature", "model").agg(F.sum("n").alias("importance"))
+    by = one.groupBy("horizon", "feature").agg(F.sum("importance").alias("total"), F.array_sort(F.collect_list(F.struct("model", "importance"))).alias("h"))
+    rank = F.row_number().over(Window.partitionBy("horizon").orderBy(F.desc("total"), "feature"))
+    history = F.array_join(F.transform("h", lambda r: F.concat_ws(":", r["model"].cast("string"), r["importance"].cast("string"))), ",")
+    return by.withColumn("place", rank).where("place <= 5").select("horizon", "place", "feature", "total", history.alias("history"))
+
+
+def _extreme_rsi(s, d):
+    """The 20 highest and the 20 lowest RSI rows."""
+    x = ind.rsi_columns(panel.bars(s, d)).select("asset_id", "d", ind.four(F.col("rsi")).alias("rsi"))
+    top = x.orderBy(F.desc("rsi"), "asset_id", "d").limit(20).withColumn("side", F.lit("overbought"))
+    return top.unionByName(x.orderBy("rsi", "asset_id", "d").limit(20).withColumn("side", F.lit("oversold")))
+
+
 def _incremental(s, d):
     bars = panel.bars(s, d)
     old = bars.where("d < date'1999-01-01' and v >= 20").groupBy("asset_id").agg(F.max("d").alias("last"))
@@ -313,7 +360,7 @@ def _tags(s, d):
 
 
 def _filled(s, d):
-    x = tx.sentiment(_articles(s, d)).select((F.col("article_id") % 50 + 1).alias("asset_id"), F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
+    x = lexicon.sentiment(_articles(s, d)).select((F.col("article_id") % 50 + 1).alias("asset_id"), F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
     got = x.groupBy("asset_id").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"))
     all_ = panel.assets(s, d).where("active").select("asset_id").join(got, "asset_id", "left")
     return all_.select("asset_id", F.coalesce(F.floor(F.col("m") / (F.col("n") * 100.0) + 0.5), F.lit(0)).alias("mean_e4"), F.coalesce("n", F.lit(0)).alias("n"))

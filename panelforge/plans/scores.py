@@ -10,7 +10,9 @@ from ..operators import pointintime as pit
 from ..operators import scoring as sc
 from ..operators import signals as sig
 from ..sources import panel
+from . import lexicon
 from .cte import sql
+from .relational import SENT
 from .windows import SIGNALS, W, mean_sql, r4, spread_sql
 
 
@@ -38,7 +40,7 @@ tech as (select asset_id, d, least(100, case when rsi <= 35 then 35 else 0 end +
                 + 40 * max(case when {sig.RULES['OVERSOLD_COMBINATION']} then 1 else 0 end) over ({W})) / 100.0::double as score from sig_b)"""
 
 FACTORS = f"""{TECH},
-days as (select asset_id, d from bars where day(d) = 15),
+days as (select asset_id, d from bars),
 qoq as (select *, roe_bp - lag(roe_bp) over (partition by asset_id order by report_date) as roe_qoq_bp from fundamentals),
 fw as (select asset_id, d, cast(sum(lg_buy - lg_sell) over ({W} rows between 4 preceding and current row) as bigint) as main_force_5d, balance - lag(balance, 5) over ({W}) as margin_change_5d from flows),
 fx as (select days.asset_id, days.d, q.pe, q.pb, q.roe_qoq_bp, w.main_force_5d, w.margin_change_5d, t.score from days
@@ -52,15 +54,14 @@ fa as (select *, case when pe_rank is null and pb_rank is null and roe_score is
               case when main_force_5d_rank is null and margin_change_5d_rank is null then 0.5::double else
                  (coalesce(main_force_5d_rank, 0.0::double) + coalesce(margin_change_5d_rank, 0.0::double)) / ((main_force_5d_rank is not null)::int + (margin_change_5d_rank is not null)::int) end as flow,
               coalesce(score, 0.0::double) as technical from fr),
-factor as (select asset_id, d, {r4('fundamental')} as fundamental, {r4('flow')} as flow, {r4('technical')} as technical,
+factor as materialized (select asset_id, d, {r4('fundamental')} as fundamental, {r4('flow')} as flow, {r4('technical')} as technical,
                   {r4('0.4::double * fundamental + 0.3::double * flow + 0.3::double * technical')} as composite,
                   {r4('greatest(0.0::double, least(1.0::double, 0.4::double * fundamental + 0.3::double * flow + 0.3::double * technical))')} as bottom from fa)"""
 
 
 def factors(s, d):
     bars = panel.shared_bars(s, d)
-    days = bars.where(F.dayofmonth("d") == 15).select("asset_id", "d")
-    return sc.factor_scores(days, panel.fundamentals(s, d), ind.flow_windows(panel.flows(s, d)), sc.technical_reversal(bars))
+    return sc.factor_scores(bars.select("asset_id", "d"), panel.fundamentals(s, d), ind.flow_windows(panel.flows(s, d)), sc.technical_reversal(bars))
 
 
 def decisions_in(s, d):
@@ -72,30 +73,51 @@ def decisions_in(s, d):
     return x.withColumn("p", p).withColumn("label", F.when(F.col("p") >= 0.5, "UP").otherwise("FLAT"))
 
 
-DECISIONS = f"""
+INPUTS = f"""
 di as (select asset_id, d, c, max(h) over w20 as high20, max(h) over w60 as high60, min(l) over w20 as low20, min(l) over w60 as low60,
-              {mean_sql('c', 20)} as mid, {spread_sql('c', 20)} as dev, coalesce({mean_sql('c', 60)}, {mean_sql('c', 50)}) as average, row_number() over (partition by asset_id order by d desc) as r
-       from bars window w20 as ({W} rows between 19 preceding and current row), w60 as ({W} rows between 59 preceding and current row)),
-dj as (select *, mid + 2 * dev as upper, mid - 2 * dev as lower, cast(c as double) as k, c * 1.01::double as up1, (30 + (asset_id * 7 + horizon) % 60) / 100.0::double as p
-       from di, (values (3), (7), (30)) as hz(horizon) where r = 1),
-dk as (select *, case when p >= 0.5 then 'UP' else 'FLAT' end as label, case when up1 < 10 then 0.5::double when up1 < 50 then 1.0::double when up1 < 100 then 2.0::double when up1 < 500 then 5.0::double else 10.0::double end as step from dj),
+              {mean_sql('c', 20)} as mid, {spread_sql('c', 20)} as dev, coalesce({mean_sql('c', 60)}, {mean_sql('c', 50)}) as average, row_number() over (partition by asset_id order by d desc) as newest
+       from bars window w20 as ({W} rows between 19 preceding and current row), w60 as ({W} rows between 59 preceding and current row))"""
+# from dj: di with upper, lower, k (its close), up1 (1.01 of it), horizon, p and label
+DECIDE = f"""
+dk as (select *, case when up1 < 10 then 0.5::double when up1 < 50 then 1.0::double when up1 < 100 then 2.0::double when up1 < 500 then 5.0::double else 10.0::double end as step from dj),
 dl as (select *, coalesce(list_min(list_filter([high20::double, high60::double, upper, ceil(up1 / step) * step], lambda v: v > k)), k * (1 + {case('horizon', sc.TARGET_FALLBACK, 0.05)})) as t0,
               coalesce(list_max(list_filter([low20::double, low60::double, lower, average], lambda v: v < k)), k * (1 - {case('horizon', sc.STOP_FALLBACK, 0.03)})) as s0 from dk),
 dm as (select *, greatest(t0 - k, k * 0.005::double) as w, greatest(k - s0, k * 0.005::double) as q from dl),
-decided as (select asset_id, d, horizon, c, p, label, {r4('t0')} as target, {r4('s0')} as stop, {r4('w / q')} as reward_risk,
+decided as (select * exclude (w, q, t0, s0), {r4('t0')} as target, {r4('s0')} as stop, {r4('w / q')} as reward_risk,
                    {r4('p * w / (greatest(0.05::double, 1 - p) * q)')} as trade_score, label = 'UP' and w / q >= 1.5 and p * w / (greatest(0.05::double, 1 - p) * q) >= 1 as suggested from dm)"""
+DECISIONS = f"""{INPUTS},
+dh as (select *, mid + 2 * dev as upper, mid - 2 * dev as lower, cast(c as double) as k, c * 1.01::double as up1, (30 + (asset_id * 7 + horizon) % 60) / 100.0::double as p
+       from di, (values (3), (7), (30)) as hz(horizon) where newest = 1),
+dj as (select *, case when p >= 0.5 then 'UP' else 'FLAT' end as label from dh), {DECIDE.strip()}"""
 DECIDED = ("asset_id", "d", "horizon", "c", "p", "label", "target", "stop", "reward_risk", "trade_score", "suggested")
 
 
+def day_sentiment(s, d, days):
+    """d, sentiment: the mean of the newest day with articles at or before each day, from exact sums; one row a day."""
+    x = lexicon.sentiment(panel.news(s, d).select("article_id", "published", "text"))
+    by = x.groupBy("published").agg(F.sum(F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long")).alias("m"), F.count(F.lit(1)).alias("n"))
+    by = by.select(F.lit(1).alias("market"), "published", sc.four(F.col("m") / (F.col("n") * 1000000.0)).alias("sentiment"))
+    return pit.asof(days.withColumn("market", F.lit(1)), by, "market", "d", "published", "sentiment").select("d", "sentiment")
+
+
+DAY_SENTIMENT = f"""{SENT.strip()},
+ds as materialized (select published, {r4('cast(sum(cast(floor(s * 1000000 + 0.5) as bigint)) as double) / (count(*) * 1000000.0::double)')} as sentiment from sent group by 1),
+da as materialized (select c.d, ds.sentiment from (select distinct d from bars) c asof join ds on c.d >= ds.published)"""
+
+
 def heuristics_in(s, d):
-    """The 15th of each month: momentum, sentiment from the id, RS score, bottom probability, phase, by horizon."""
+    """Every bar: momentum, newest sentiment of the market, RS score, bottom probability, phase of the month, by horizon.
+
+    Sentiment and phase have one row a day or month, and are broadcast.
+    """
     bars = panel.shared_bars(s, d)
     mom = ind.momentum(bars).select("asset_id", "d", F.col("mom_5d").alias("mom5"))
     rs = cs.rs_score(bars).select("asset_id", "d", F.col("rs_score").alias("rs"))
     x = factors(s, d).select("asset_id", "d", "bottom").join(mom, ["asset_id", "d"]).join(rs, ["asset_id", "d"])
-    months = _macro_months(s, d).select(F.lit(1).alias("one"), "date", F.col("phase").alias("macro_phase"))
-    x = pit.asof(x.withColumn("month", F.trunc("d", "MM")), months.withColumn("month", F.col("date")), "month", "d", "date", "macro_phase")
-    x = x.withColumn("macro_phase", F.coalesce("macro_phase", F.lit(""))).withColumn("sentiment", (F.col("asset_id") % 21 - 10) / 10.0)
+    months = _macro_months(s, d).select(F.col("date").alias("month"), F.col("phase").alias("macro_phase"))
+    x = x.withColumn("month", F.trunc("d", "MM")).join(F.broadcast(months), "month", "left").drop("month")
+    x = x.join(F.broadcast(day_sentiment(s, d, panel.calendar(bars))), "d", "left")
+    x = x.withColumn("macro_phase", F.coalesce("macro_phase", F.lit(""))).withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))
     return x.crossJoin(F.broadcast(s.createDataFrame([(3,), (7,), (30,)], "horizon int")))
 
 
@@ -103,16 +125,16 @@ HEURISTIC = f"""{FACTORS},
 hm as (select asset_id, d, {r4(f"cast(c - lag(c, 5) over ({W}) as double) / lag(c, 5) over ({W})")} as mom5 from bars),
 h20 as (select asset_id, d, (c - lag(c, 20) over ({W})) * 1.0::double / lag(c, 20) over ({W}) as ret from bars),
 hr as (select asset_id, d, {r4('1 - cast(row_number() over (partition by d order by ret desc, asset_id) - 1 as double) / count(*) over (partition by d)')} as rs from h20 where ret is not null),
-{PHASES.strip()},
-hx as (select f.asset_id, f.d, horizon, bottom, mom5, rs, coalesce(phase, '') as macro_phase, (f.asset_id % 21 - 10) / 10.0::double as sentiment
+{PHASES.strip()}, {DAY_SENTIMENT},
+hx as (select f.asset_id, f.d, horizon, bottom, mom5, rs, coalesce(phase, '') as macro_phase, coalesce(da.sentiment, 0.0::double) as sentiment
        from factor f join hm on hm.asset_id = f.asset_id and hm.d = f.d join hr on hr.asset_id = f.asset_id and hr.d = f.d
-       left join ph on ph.date = date_trunc('month', f.d), (values (3), (7), (30)) as hz(horizon) where mom5 is not null),
+       left join ph on ph.date = date_trunc('month', f.d) left join da on da.d = f.d, (values (3), (7), (30)) as hz(horizon) where mom5 is not null),
 hs as (select *, 1.2::double * mom5 + 0.25::double * sentiment + 0.4::double * (rs - 0.5::double) - (bottom - 0.5::double) as s, {case('horizon', sc.HORIZON_SCALE, 1.0)} as k from hx),
 hu as (select *, greatest(0.0::double, least(1.0::double, 0.33::double + k * s + case macro_phase when 'RECESSION' then -0.02::double when 'RECOVERY' then 0.03::double else 0.0::double end)) as u,
               greatest(0.0::double, least(1.0::double, 0.33::double - k * s + case macro_phase when 'RECESSION' then 0.04::double when 'RECOVERY' then -0.02::double else 0.0::double end)) as dn from hs),
 hf as (select *, greatest(0.0::double, least(1.0::double, 1 - u - dn)) as f from hu),
 hp as (select *, {r4('u / (u + dn + f)')} as up, {r4('f / (u + dn + f)')} as flat, {r4('dn / (u + dn + f)')} as down from hf),
-hq as (select *, list_reverse_sort([up, flat, down]) as o, case when up >= flat and up >= down then 'UP' when down >= up and down >= flat then 'DOWN' else 'FLAT' end as label from hp)"""
+hq as materialized (select *, list_reverse_sort([up, flat, down]) as o, case when up >= flat and up >= down then 'UP' when down >= up and down >= flat then 'DOWN' else 'FLAT' end as label from hp)"""
 
 
 def predictions(s, d):
@@ -149,7 +171,7 @@ QUERIES = {
         lambda s, d: _macro_months(s, d).withColumn("event", F.when(F.month("date") % 3 == 0, "trade_war").when(F.month("date") % 3 == 1, "rate_cut_cycle").otherwise("")).withColumn("w", sc.phase_weights(F.col("phase"), F.col("event"))).select("date", "phase", "event", *[sc.four(F.col(f"w.{n}")).alias(n) for n in ("financial", "flow", "technical")]),
         sql("macro", "with " + PHASES.strip() + ", ev as (select *, case when month(date) % 3 = 0 then 'trade_war' when month(date) % 3 = 1 then 'rate_cut_cycle' else '' end as event from ph), wt as (select *, " + ", ".join(f"({case('phase', sc.PHASE_WEIGHTS, 0, k)}) * ({case('event', sc.EVENT_FACTORS, 1.0, k)}) as w{k}" for k in range(3)) + f" from ev) select date, phase, event, {r4('w0 / (w0 + w1 + w2)')} as financial, {r4('w1 / (w0 + w1 + w2)')} as flow, {r4('w2 / (w0 + w1 + w2)')} as technical from wt"),
     ),
-    "m7_heuristic_predictions": (predictions, sql("bars fundamentals flows macro", f"{HEURISTIC} select asset_id, d, horizon, macro_phase, up, flat, down, label, {r4('greatest(0.0::double, least(1.0::double, 0.5::double + o[1] - o[2]))')} as confidence from hq")),
+    "m7_heuristic_predictions": (predictions, sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, horizon, macro_phase, up, flat, down, label, {r4('greatest(0.0::double, least(1.0::double, 0.5::double + o[1] - o[2]))')} as confidence from hq")),
     "m16_ensemble_weights": (
         lambda s, d: _ensemble(s, d),
         sql("bars", "with a as (select asset_id % 3 as fam, count(*) filter (where v % 3 = 0) as good, count(*) as n from bars group by 1), b as (select fam, cast(good as double) / n as accuracy, sum(cast(good as double) / n) over () as total from a) select fam as family, " + r4("accuracy") + " as accuracy, " + r4("accuracy / total") + " as weight from b"),
@@ -172,12 +194,12 @@ QUERIES = {
         sql("bars fundamentals flows", f"{FACTORS} select d, rank, asset_id, bottom from (select *, row_number() over (partition by d order by bottom desc, asset_id) as rank from factor) where rank <= 3"),
     ),
     "b1_bottom_candidates": (
-        lambda s, d: sc.top_k(factors(s, d).where("bottom >= 0.5"), 5, F.desc("bottom"), F.asc("asset_id")).select("d", "rank", "asset_id", "bottom"),
-        sql("bars fundamentals flows", f"{FACTORS} select d, rank, asset_id, bottom from (select *, row_number() over (partition by d order by bottom desc, asset_id) as rank from factor where bottom >= 0.5) where rank <= 5"),
+        lambda s, d: sc.top_k(factors(s, d).where("bottom >= 0.6"), 5, F.desc("bottom"), F.asc("asset_id")).select("d", "rank", "asset_id", "bottom"),
+        sql("bars fundamentals flows", f"{FACTORS} select d, rank, asset_id, bottom from (select *, row_number() over (partition by d order by bottom desc, asset_id) as rank from factor where bottom >= 0.6) where rank <= 5"),
     ),
     "b6_macro_rerank": (
         lambda s, d: _reranked(s, d),
-        sql("bars fundamentals flows macro", f"{HEURISTIC}, c1 as (select *, row_number() over (partition by d order by up desc, asset_id) as r1 from hq where horizon = 7), c2 as (select asset_id, d, up, macro_phase, {r4('up * (case macro_phase ' + ' '.join(f"when '{p}' then {a}::double + {b}::double * greatest(0.0::double, up - {c}::double)" for p, (a, b, c) in sc.PHASE_MULTIPLIER.items()) + ' else 1.0::double end)')} as value from c1 where r1 <= 6) select d, rank, asset_id, value from (select *, row_number() over (partition by d order by value desc, asset_id) as rank from c2) where rank <= 3"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC}, c1 as (select *, row_number() over (partition by d order by up desc, asset_id) as r1 from hq where horizon = 7), c2 as (select asset_id, d, up, macro_phase, {r4('up * (case macro_phase ' + ' '.join(f"when '{p}' then {a}::double + {b}::double * greatest(0.0::double, up - {c}::double)" for p, (a, b, c) in sc.PHASE_MULTIPLIER.items()) + ' else 1.0::double end)')} as value from c1 where r1 <= 6) select d, rank, asset_id, value from (select *, row_number() over (partition by d order by value desc, asset_id) as rank from c2) where rank <= 3"),
     ),
 }
 

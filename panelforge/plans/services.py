@@ -11,14 +11,15 @@ from ..operators import indicators as ind
 from ..operators import pointintime as pit
 from ..operators import scoring as sc
 from ..operators import signals as sig
-from ..operators import text as tx
 from ..sources import panel, sinks
-from .composites import candidates
+from . import lexicon
+from .composites import CANDIDATES, candidates
 from .cte import sql
-from .joins import CONTEXTS, MEMBERS, contexts
-from .relational import SENT, TAGS
-from .scores import DECISIONS, FACTORS, HEURISTIC, PHASES, decisions_in, factors, predictions
-from .windows import RSI, W, r4
+from .joins import CONTEXTS, MEMBERS, _labels, contexts
+from .relational import SENT, TAGS, linked
+from .scores import DECIDE, DECISIONS, FACTORS, HEURISTIC, INPUTS, PHASES, decisions_in, factors, predictions
+from . import windows
+from .windows import RSI, W, adx_sql, r4
 
 
 def e4(x: str) -> str:
@@ -34,12 +35,7 @@ def _articles(s, d):
 
 
 def _sent_micro(s, d):
-    return tx.sentiment(_articles(s, d)).select("article_id", "published", "source", F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
-
-
-def _linked(s, d):
-    """Articles with up to two linked assets, one bridge row each."""
-    return panel.news(s, d).select("article_id", F.explode(F.array_distinct(F.array(F.col("article_id") % 50 + 1, F.col("article_id") % 7 + 1))).alias("asset_id"))
+    return lexicon.sentiment(_articles(s, d)).select("article_id", "published", "source", F.floor(F.col("sentiment") * 1000000 + 0.5).cast("long").alias("m"))
 
 
 def _registry(s, d):
@@ -117,8 +113,7 @@ def _scaled(s, d):
 def _article_assets(s, d):
     """Market and linked means: an article counts once by itself and once for each linked asset."""
     one = _sent_micro(s, d)
-    linked = one.join(_linked(s, d), "article_id")
-    both = one.select("m").unionByName(linked.select("m"))
+    both = one.select("m").unionByName(one.join(linked(s, d), "article_id").select("m"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum("m") / (F.count(F.lit(1)) * 100.0) + 0.5).alias("mean_e4"))
 
 
@@ -129,8 +124,8 @@ QUERIES = {
         sql("bars assets", "select t as index_code, d, cast(sum(c) as bigint) as level, count(*) as n from bars join (select asset_id, unnest(tags) as t from assets) x using (asset_id) group by 1, 2"),
     ),
     "s10_daily_basic": (
-        lambda s, d: panel.table(s, d, "orders").select("o_orderkey", F.expr("try_to_date(date_format(o_orderdate, 'yyyyMMdd'), 'yyyyMMdd')").alias("d"), F.expr("try_cast(o_orderpriority as double)").alias("pe")),
-        "select o_orderkey, cast(o_orderdate as date) as d, try_cast(o_orderpriority as double) as pe from orders",
+        lambda s, d: _daily_basic(s, d),
+        "select o_orderkey as asset_id, cast(o_orderdate as date) as d, case when o_custkey % 7 <> 0 then cast(o_custkey % 90 as double) end as pe from orders where o_orderkey % 13 <> 0",
     ),
     "s12_flow_last_wins": (
         lambda s, d: panel.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.to_date("l_shipdate").alias("d")).agg(F.max(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))).alias("r")).select("asset_id", "d", F.col("r.l_orderkey").alias("order_key"), F.col("r.q").alias("q")),
@@ -159,7 +154,7 @@ QUERIES = {
     ),
     "p16_prediction_list": (
         lambda s, d: predictions(s, d).where("horizon = 30 and up >= 0.35").select("asset_id", "d", "up", "label"),
-        sql("bars fundamentals flows macro", f"{HEURISTIC} select asset_id, d, up, label from hq where horizon = 30 and up >= 0.35"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, up, label from hq where horizon = 30 and up >= 0.35"),
     ),
     "p17_run_list": (lambda s, d: _runs(s, d).where("status = 'F' and ret_bp > 0").select("run_id", "strategy", "ret_bp"), f"with {RUNS} select run_id, strategy, ret_bp from runs where status = 'F' and ret_bp > 0"),
     "j2_features_labels": (
@@ -171,7 +166,7 @@ QUERIES = {
         sql("bars fundamentals flows", "select b.asset_id, b.d as bar_d, f.d as flow_d, r.d as report_d from (select asset_id, max(d) as d from bars group by 1) b left join (select asset_id, max(d) as d from flows group by 1) f using (asset_id) left join (select asset_id, max(report_date) as d from fundamentals group by 1) r using (asset_id)"),
     ),
     "j16_bridge": (
-        lambda s, d: _linked(s, d).join(panel.assets(s, d).select("asset_id", "symbol"), "asset_id"),
+        lambda s, d: linked(s, d).join(panel.assets(s, d).select("asset_id", "symbol"), "asset_id"),
         sql("news assets", "select asset_id, article_id, symbol from (select article_id, unnest(list_distinct([article_id % 50 + 1, article_id % 7 + 1])) as asset_id from news) join (select asset_id, symbol from assets) using (asset_id)"),
     ),
     "j18_run_deltas": (
@@ -186,6 +181,14 @@ QUERIES = {
         lambda s, d: panel.fundamentals(s, d).select("asset_id", "report_date", _e4(sc.mean_known(F.col("pe") / 100.0, F.when(F.col("pb") > 3, F.col("pb") / 13.0))).alias("mean_e4")),
         sql("fundamentals", f"select asset_id, report_date, {e4('case when pe is null and pb <= 3 then 0.5::double else (coalesce(pe / 100.0::double, 0.0::double) + coalesce(case when pb > 3 then pb / 13.0::double end, 0.0::double)) / ((pe is not null)::int + (pb > 3)::int) end')} as mean_e4 from fundamentals"),
     ),
+    "a12_win_rate": (
+        lambda s, d: _win_rate(s, d),
+        sql("bars fundamentals flows", f"{CANDIDATES}, tr as (select x.asset_id, x.d, x.rank, arg_min(e.c, e.d) as sold, any_value(b.c) as paid from cand x join bars b on b.asset_id = x.asset_id and b.d = x.d join bars e on e.asset_id = x.asset_id and e.d > x.d and e.d <= x.exit_d and (e.c <= x.stop or e.c >= x.target or e.d = x.exit_d) where run_id = 1 group by 1, 2, 3) select rank, count(*) as trades, count(*) filter (where sold > paid) as wins, cast(floor(cast(count(*) filter (where sold > paid) * 10000 as double) / count(*) + 0.5) as bigint) as rate_e4 from tr group by rank"),
+    ),
+    "a17_accuracy": (
+        lambda s, d: _accuracy(s, d),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC}, fx7 as (select b.asset_id, b.d, b.c, min(e.d) as exit_d from bars b join bars e on e.asset_id = b.asset_id and e.d >= b.d + 7 and e.d <= b.d + 14 group by 1, 2, 3), lb as (select x.asset_id, x.d, case when (e.c - x.c) * 100 >= 2 * x.c then 'UP' when (e.c - x.c) * 100 <= -2 * x.c then 'DOWN' else 'FLAT' end as truth from fx7 x join bars e on e.asset_id = x.asset_id and e.d = x.exit_d) select truth, count(*) as n, count(*) filter (where label = truth) as hits, cast(floor(cast(count(*) filter (where label = truth) * 10000 as double) / count(*) + 0.5) as bigint) as accuracy_e4 from lb join (select asset_id, d, label from hq where horizon = 7) p using (asset_id, d) group by truth"),
+    ),
     "a13_sharpe": (
         lambda s, d: _sharpe(s, d),
         sql("bars", f"with {EQ}, x as (select avg(ret_bp) as m, stddev_pop(ret_bp) as s, count(*) as n from eq) select n, round(case when n >= 2 and s > 0 then greatest(-10.0::double, least(10.0::double, m / s * sqrt(252.0::double))) else 0.0::double end, 6) as sharpe from x"),
@@ -229,12 +232,12 @@ QUERIES = {
         sql("membership", "with w as (select trade_date, lag(trade_date) over (order by trade_date) as prev from (select distinct trade_date from membership)), m as (select distinct trade_date, asset_id from membership) select w.trade_date, m.asset_id, 'joined' as change from w join m on m.trade_date = w.trade_date where prev is not null and not exists (select 1 from m x where x.trade_date = w.prev and x.asset_id = m.asset_id) union all select w.trade_date, m.asset_id, 'left' from w join m on m.trade_date = w.prev where not exists (select 1 from m x where x.trade_date = w.trade_date and x.asset_id = m.asset_id)"),
     ),
     "t2_strong_trend": (
-        lambda s, d: ind.adx_latest(panel.bars(s, d)).where("adx >= 15").orderBy(F.desc("adx"), "asset_id").limit(20),
-        None,
+        lambda s, d: ind.adx_latest(panel.bars(s, d)).where("adx >= 25").orderBy(F.desc("adx"), "asset_id").limit(20),
+        adx_sql("select * from adx where adx >= 25 order by adx desc, asset_id limit 20"),
     ),
     "t3_stochastic_extremes": (
-        lambda s, d: ind.stochastic(panel.bars(s, d)).where("slow_k >= 0.8").orderBy(F.desc("slow_k"), "asset_id", "d").limit(20).select("asset_id", "d", "slow_k"),
-        None,
+        lambda s, d: _stochastic_extremes(s, d),
+        f"with x as ({windows.QUERIES['w7_stochastic'][1]}) select * from (select asset_id, d, slow_k, 'high' as side from x where slow_k >= 80 order by slow_k desc, asset_id, d limit 20) union all select * from (select asset_id, d, slow_k, 'low' as side from x where slow_k <= 20 order by slow_k, asset_id, d limit 20)",
     ),
     "t6_decisions_nulls_last": (
         lambda s, d: sc.decide(decisions_in(s, d)).withColumn("key", F.when(F.col("label") == "UP", F.col("trade_score"))).orderBy(F.col("key").desc_nulls_last(), "asset_id", "horizon").limit(25).select("asset_id", "horizon", "key"),
@@ -249,16 +252,21 @@ QUERIES = {
         sql("news", f"with {SENT.strip()} select article_id, {e4('greatest(0.0::double, least(1.0::double, (cast(floor(s * 1000000 + 0.5) as bigint) / 1000000.0::double + 1) / 2))')} as factor_e4 from sent"),
     ),
     "m21_sentiment_labels": (
-        lambda s, d: tx.sentiment(_articles(s, d)).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: lexicon.sentiment(_articles(s, d)).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")),
         sql("news", f"with {SENT.strip()} select source, case when s > 0.15 then 'POSITIVE' when s < -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label, count(*) as n from sent group by 1, 2"),
     ),
     "m8_label_counts": (
         lambda s, d: predictions(s, d).groupBy("horizon", "label").agg(F.count(F.lit(1)).alias("n")),
-        sql("bars fundamentals flows macro", f"{HEURISTIC} select horizon, label, count(*) as n from hq group by 1, 2"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC} select horizon, label, count(*) as n from hq group by 1, 2"),
     ),
     "m29_batch_predictions": (
         _batch,
-        None,
+        sql(
+            "bars fundamentals flows macro news",
+            f"{HEURISTIC}, {INPUTS.strip()}, nq as (select *, row_number() over (partition by asset_id, horizon order by d desc) as r from hq), "
+            f"dj as (select di.*, mid + 2 * dev as upper, mid - 2 * dev as lower, cast(di.c as double) as k, di.c * 1.01::double as up1, nq.horizon, nq.label, nq.up, nq.up as p from nq join di on di.asset_id = nq.asset_id and di.d = nq.d where nq.r = 1), {DECIDE.strip()} "
+            "select asset_id, d, horizon, label, up, target, stop, reward_risk, trade_score, suggested from decided",
+        ),
     ),
     "m30_active_versions": (
         lambda s, d: _registry(s, d).where("status = 'READY'").withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("trained"), F.desc("version")))).select("family", "version", "trained", (F.col("r") == 1).alias("is_active")),
@@ -271,20 +279,20 @@ QUERIES = {
     ),
     "b2_prediction_map": (
         lambda s, d: predictions(s, d).groupBy("asset_id", "d").pivot("horizon", [3, 7, 30]).agg(F.first("up")).withColumnsRenamed({"3": "up_3", "7": "up_7", "30": "up_30"}),
-        sql("bars fundamentals flows macro", f"{HEURISTIC} select asset_id, d, max(case when horizon = 3 then up end) as up_3, max(case when horizon = 7 then up end) as up_7, max(case when horizon = 30 then up end) as up_30 from hq group by 1, 2"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, max(case when horizon = 3 then up end) as up_3, max(case when horizon = 7 then up end) as up_7, max(case when horizon = 30 then up end) as up_30 from hq group by 1, 2"),
     ),
     "b4_top_by_trade_score": (
         lambda s, d: sc.top_k(sc.decide(decisions_in(s, d)), 5, F.desc("trade_score"), F.asc("asset_id"), by="horizon").select("horizon", "rank", "asset_id", "trade_score"),
         sql("bars", f"with {DECISIONS.strip()} select horizon, rank, asset_id, trade_score from (select *, row_number() over (partition by horizon order by trade_score desc, asset_id) as rank from decided) where rank <= 5"),
     ),
-    "b13_entry_decisions": (lambda s, d: candidates(s, d)[0].select("run_id", "asset_id", "d", "rank", "exit_d", "target", "stop"), None),
+    "b13_entry_decisions": (lambda s, d: candidates(s, d)[0].select("run_id", "asset_id", "d", "rank", "exit_d", "target", "stop"), sql("bars fundamentals flows", f"{CANDIDATES} select run_id, asset_id, d, rank, exit_d, target, stop from cand")),
     "k5_export_decisions": (
         lambda s, d: sc.decide(decisions_in(s, d)).where("suggested").select("asset_id", "horizon", F.format_string("%.2f", "target").alias("target_text"), F.date_format("d", "yyyy-MM-dd").alias("day")),
         sql("bars", f"with {DECISIONS.strip()} select asset_id, horizon, printf('%.2f', target) as target_text, strftime(d, '%Y-%m-%d') as day from decided where suggested"),
     ),
     "qf_grouped_predictions": (
         lambda s, d: predictions(s, d).groupBy("asset_id", "d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("horizon", "label"))), lambda x: F.concat_ws(":", x["horizon"].cast("string"), x["label"])), ",").alias("labels")),
-        sql("bars fundamentals flows macro", f"{HEURISTIC} select asset_id, d, array_to_string(list(horizon || ':' || label order by horizon), ',') as labels from hq group by 1, 2"),
+        sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, array_to_string(list(horizon || ':' || label order by horizon), ',') as labels from hq group by 1, 2"),
     ),
     "qh_model_audit": (
         lambda s, d: factors(s, d).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c) == 0.5).alias(f"{c}_neutral") for c in ("fundamental", "flow")], F.count_if(F.col("technical") == 0).alias("technical_zero"), F.max("d").alias("last_d")),
@@ -301,13 +309,46 @@ QUERIES = {
 }
 
 
+def _stochastic_extremes(s, d):
+    """The 20 highest rows from 80 up and the 20 lowest from 20 down, of slow %K on its scale of 100."""
+    x = ind.stochastic(panel.bars(s, d)).select("asset_id", "d", "slow_k")
+    high = x.where("slow_k >= 80").orderBy(F.desc("slow_k"), "asset_id", "d").limit(20).withColumn("side", F.lit("high"))
+    return high.unionByName(x.where("slow_k <= 20").orderBy("slow_k", "asset_id", "d").limit(20).withColumn("side", F.lit("low")))
+
+
+def _daily_basic(s, d):
+    """Raw rows of a provider, all text, as typed columns: dates that are none go, numbers that are none are null."""
+    o = panel.table(s, d, "orders")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("ts_code"), F.when(F.col("o_orderkey") % 13 != 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.lit("n/a")).alias("trade_date"), F.when(F.col("o_custkey") % 7 != 0, (F.col("o_custkey") % 90).cast("string")).otherwise(F.lit("-")).alias("pe"))
+    return raw.select(F.col("ts_code").cast("long").alias("asset_id"), F.expr("try_to_date(trade_date, 'yyyyMMdd')").alias("d"), F.expr("try_cast(pe as double)").alias("pe")).where("d is not null")
+
+
+def _win_rate(s, d):
+    """Trades of the candidates by place: sold at the first bar past stop or target, or at the planned exit; won if above the entry."""
+    x, bars, _ = candidates(s, d)
+    entry = x.where("run_id = 1").join(bars.select("asset_id", "d", F.col("c").alias("paid")), ["asset_id", "d"])
+    days = entry.withColumn("on", F.explode(F.sequence(F.date_add("d", 1), F.col("exit_d"), F.expr("interval 1 day"))))
+    seen = days.join(bars.select("asset_id", F.col("d").alias("on"), "c"), ["asset_id", "on"]).where("c <= stop or c >= target or on = exit_d")
+    sold = seen.groupBy("asset_id", "d", "rank").agg(F.min_by("c", "on").alias("sold"), F.first("paid").alias("paid"))
+    out = sold.groupBy("rank").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("sold") > F.col("paid")).alias("wins"))
+    return out.withColumn("rate_e4", F.floor(F.col("wins") * 10000 / F.col("trades") + 0.5))
+
+
+def _accuracy(s, d):
+    """Share of the seven-day predictions that came true, by what happened."""
+    truth = _labels(s, d).select("asset_id", "d", F.col("label").alias("truth"))
+    both = predictions(s, d).where("horizon = 7").select("asset_id", "d", "label").join(truth, ["asset_id", "d"])
+    out = both.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("truth")).alias("hits"))
+    return out.withColumn("accuracy_e4", F.floor(F.col("hits") * 10000 / F.col("n") + 0.5))
+
+
 def _index_daily(s, d):
     tagged = panel.assets(s, d).select("asset_id", F.explode("tags").alias("index_code"))
     return panel.bars(s, d).join(tagged, "asset_id").groupBy("index_code", "d").agg(F.sum("c").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 def _top_concepts(s, d):
-    h = tx.tags(panel.news(s, d)).select("published", F.explode("tags").alias("tag"))
+    h = lexicon.tags(panel.news(s, d)).select("published", F.explode("tags").alias("tag"))
     last = h.agg(F.max("published").alias("last"))
     return h.join(F.broadcast(last), h["published"] == last["last"]).groupBy("tag").agg(F.count(F.lit(1)).alias("heat")).orderBy(F.desc("heat"), "tag").limit(20)
 

@@ -70,6 +70,25 @@ def _wilder(sign: str) -> str:
     return f"list_reduce(list_prepend({seed}, y[15:]), lambda a, b: (a * 13 + {part}) / 14.0::double)"
 
 
+#: Wilder's sums, row by row: the first 14 are added up, then a fourteenth goes for each that comes.
+ADX = f"""
+mv as (select asset_id, row_number() over ({W}) - 1 as k, h - {lag('h', 1)} as up, {lag('l', 1)} - l as dn, cast(greatest(h - l, abs(h - {lag('c', 1)}), abs(l - {lag('c', 1)})) as double) as t from bars),
+dm as (select asset_id, k, t, case when up > dn and up > 0 then cast(up as double) else 0.0::double end as p, case when dn > up and dn > 0 then cast(dn as double) else 0.0::double end as m from mv where k >= 1),
+ws as (select asset_id, k, p, m, t from dm where k = 1
+       union all select dm.asset_id, dm.k, case when dm.k <= 14 then ws.p + dm.p else ws.p - ws.p / 14.0::double + dm.p end, case when dm.k <= 14 then ws.m + dm.m else ws.m - ws.m / 14.0::double + dm.m end,
+                        case when dm.k <= 14 then ws.t + dm.t else ws.t - ws.t / 14.0::double + dm.t end from ws join dm on dm.asset_id = ws.asset_id and dm.k = ws.k + 1),
+dx as (select *, case when p + m > 0 then 100 * abs(p - m) / (p + m) else 0.0::double end as x from ws where k >= 14),
+ax as (select asset_id, k, x, sum(x) over (partition by asset_id order by k rows between unbounded preceding and current row) as s from dx),
+ad as (select asset_id, k, s / 14.0::double as adx from ax where k = 27
+       union all select ax.asset_id, ax.k, (ad.adx * 13 + ax.x) / 14.0::double from ad join ax on ax.asset_id = ad.asset_id and ax.k = ad.k + 1),
+adx as (select ws.asset_id, {r4('100 * p / t')} as plus_di, {r4('100 * m / t')} as minus_di, {r4('adx')} as adx
+        from ad join ws using (asset_id, k) where k = (select max(k) from dm where dm.asset_id = ad.asset_id))"""
+
+
+def adx_sql(body: str) -> str:
+    return sql("bars", f"with {ADX.strip()} {body}").replace("with ", "with recursive ", 1)
+
+
 QUERIES = {
     "s0_bars": (panel.bars, sql("bars", "select asset_id, d, c, h, l, v from bars")),
     "w2_rsi_rolling": (
@@ -142,7 +161,7 @@ QUERIES = {
         lambda s, d: ind.sequences(panel.bars(s, d)).select("asset_id", "d", ind.F.array_join(ind.F.transform("closes", lambda x: x.cast("string")), ",").alias("closes")),
         sql("bars", f"select asset_id, d, array_to_string(x, ',') as closes from (select asset_id, d, list(c) over ({W} rows between 19 preceding and current row) as x from bars) where len(x) = 20"),
     ),
-    "w6_ema": (_bars(ind.ema_latest), _fold("select asset_id, " + ", ".join(f"{r4(_ema(p))} as ema_{p}" for p in (5, 12, 26, 50)) + " from cl")),
+    "w6_ema": (_bars(ind.ema_latest), _fold("select asset_id, " + ", ".join(f"{r4(_ema(p))} as ema_{p}" for p in ind.SMA_PERIODS) + " from cl")),
     "w3_macd": (_bars(ind.macd_latest), _fold(f"select * from (select asset_id, {r4(_ema(12) + ' - ' + _ema(26))} as macd from cl) where macd is not null")),
     "w1_rsi_wilder": (
         _bars(ind.wilder_rsi_latest),
@@ -152,7 +171,7 @@ QUERIES = {
             select asset_id, {r4('case when g + s > 0 then 100 * g / (g + s) else 50.0::double end')} as rsi from gs"""
         ),
     ),
-    "w9_adx": (_bars(ind.adx_latest), None),
+    "w9_adx": (_bars(ind.adx_latest), adx_sql("select * from adx")),
     "g1_ma_cross": (lambda s, d: sig.fired(panel.bars(s, d), "GOLDEN_CROSS", "DEATH_CROSS"), signal_sql("GOLDEN_CROSS", "DEATH_CROSS")),
     "g2_ma_align": (lambda s, d: sig.fired(panel.bars(s, d), "MA_BULL_ALIGN", "MA_BEAR_ALIGN"), signal_sql("MA_BULL_ALIGN", "MA_BEAR_ALIGN")),
     "g3_bb_squeeze": (lambda s, d: sig.fired(panel.bars(s, d), "BB_SQUEEZE"), signal_sql("BB_SQUEEZE")),

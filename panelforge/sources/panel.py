@@ -35,9 +35,27 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("asset_id", "d", "c", (F.col("c") + F.col("up")).alias("h"), F.greatest(F.col("c") - F.col("dn"), F.lit(1)).alias("l"), "v")
 
 
+_shared: dict[tuple[str, str], DataFrame] = {}
+
+
 def shared_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bars``, kept in memory and on disk for the branches of one query; what a lost executor held is worked out again."""
-    return bars(spark, sf_dir).persist()
+    """``bars``, kept in memory and on disk for the branches of queries; what a lost executor held is worked out again.
+
+    One panel is kept at a time: that of another folder, or session, is released first.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _shared:
+        release()
+        _shared[key] = bars(spark, sf_dir).persist()
+    return _shared[key]
+
+
+def release() -> None:
+    """Let go of the panel that is kept; queries on it read the tables again."""
+    for (app, _), kept in _shared.items():
+        if app == kept.sparkSession.sparkContext.applicationId:
+            kept.unpersist()
+    _shared.clear()
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:

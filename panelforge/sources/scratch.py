@@ -11,12 +11,14 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             root = set_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = "/tmp/panelforge-checkpoints"
             spark.sparkContext.setCheckpointDir(root)

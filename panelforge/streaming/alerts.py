@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 COOLDOWN_S = 6 * 3600
 FIRED = "event_type string, event_id long, ts timestamp_ntz, value double"
 
@@ -30,11 +32,44 @@ def _frame(found: list[tuple]) -> pd.DataFrame:
 def fired(events: DataFrame, threshold: float) -> DataFrame:
     """The batch twin: events over the threshold, less those within the cooldown of a fired one, by type.
 
-    Each event depends on the one that fired before it, so a rule is folded in order; its group holds four
-    narrow columns of the events over its threshold.
+    Time is cut into buckets as long as the cooldown, so that at most one event a bucket fires, and the next one to fire
+    after an event is the first at least a cooldown later: one of the next bucket, or the first of the next bucket that
+    has any.  That is found within the buckets; only firsts of buckets, one row each, are ordered by type.  What fires is
+    then reached from a type's first event by doubling: with 2, 4, 8, ... steps known, n in a row take log n joins.
     """
+    spark = events.sparkSession
     over = events.where(F.col("value") > threshold).select("event_type", "event_id", "ts", "value")
-    return over.groupBy("event_type").applyInPandas(lambda g: _frame(_fold(g, None)[0]), FIRED)
+    over = over.withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).withColumn("b", F.floor(F.col("t") / COOLDOWN_S))
+    order = F.struct("t", "ts", "event_id")
+    firsts = over.groupBy("event_type", "b").agg(F.min(order).alias("first"))
+    by_type = Window.partitionBy("event_type").orderBy("b")  # one row a bucket
+    firsts = _kept(spark, firsts.select("event_type", "b", F.lag("first").over(by_type).isNull().alias("starts"), "first", F.lead("first").over(by_type).alias("after"), F.lead("b").over(by_type).alias("after_b"), F.lead("first", 2).over(by_type).alias("second")), "firsts")
+
+    # an event's time a cooldown later falls into the next bucket: the first event there from then on
+    targets = over.select("event_type", "b", "t", F.lit(1).alias("side"), order.alias("hit"), F.lit(None).cast("long").alias("event_id"))
+    asks = over.select("event_type", (F.col("b") + 1).alias("b"), (F.col("t") + COOLDOWN_S).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(targets.schema["hit"].dataType).alias("hit"), "event_id")
+    ahead = Window.partitionBy("event_type", "b").orderBy("t", "side", "hit.ts", "hit.event_id").rowsBetween(0, Window.unboundedFollowing)
+    hits = targets.unionByName(asks).withColumn("hit", F.first("hit", ignorenulls=True).over(ahead)).where("side = 0")
+    own = firsts.select("event_type", (F.col("b") + 1).alias("b"), "after", "after_b", "second")
+    # a bucket whose rest holds none: the first of the bucket after it
+    beyond = F.when(F.col("after_b") == F.col("b"), F.col("second")).otherwise(F.col("after"))
+    steps = hits.join(own, ["event_type", "b"]).select("event_type", "event_id", F.coalesce("hit", beyond)["event_id"].alias("to"))
+    steps = _kept(spark, steps.where("to is not null"), "steps")
+    reached = _kept(spark, firsts.where("starts").select("event_type", F.col("first.event_id").alias("event_id")), "reached")
+    while True:
+        more = reached.join(steps, ["event_type", "event_id"]).select("event_type", F.col("to").alias("event_id"))
+        if more.isEmpty():
+            return over.join(reached, ["event_type", "event_id"], "left_semi").select("event_type", "event_id", "ts", "value")
+        reached = _kept(spark, reached.unionByName(more).distinct(), "reached")
+        far = steps.select("event_type", F.col("event_id").alias("to"), F.col("to").alias("far"))
+        steps = _kept(spark, steps.join(far, ["event_type", "to"]).select("event_type", "event_id", F.col("far").alias("to")), "steps")
+
+
+def _kept(spark, df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so that a round starts from a table."""
+    path = scratch_path(spark, f"alerts-{name}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _stateful(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

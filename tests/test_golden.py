@@ -176,7 +176,7 @@ def test_sinks(spark):
 
 
 def test_text(spark):
-    docs = spark.createDataFrame([(1, "Thing inter erble! chipco"), (2, None)], "article_id long, text string")
+    docs = spark.createDataFrame([(1, "Buy, upgrade: sell! chipco"), (2, None)], "article_id long, text string")
     got = {r.article_id: r for r in tx.sentiment(docs).collect()}
     assert got[1].sentiment == 1.0 and got[1].label == "POSITIVE" and got[2].sentiment == 0.0
     aliases = spark.createDataFrame([("chipco", 9)], "alias string, asset_id long")
