@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.functions.parameters import Backtest, Screen, aligned_horizon
 from panelforge.operators import backtest as bt
 from panelforge.operators import crosssection as cs
 from panelforge.operators import indicators as ind
@@ -15,6 +16,7 @@ from panelforge.operators import signals as sig
 from panelforge.operators import text as tx
 from panelforge.plans import composites
 from panelforge.plans.scores import prune_plan
+from panelforge.sources import providers as pv
 from panelforge.sources import sinks
 from panelforge.streaming import alerts
 
@@ -217,3 +219,41 @@ def test_alert_stream_reads_files_and_folders(spark, tmp_path, parts):
     got = composites.alert_stream(spark, d).select("event_type", "event_id").collect()
     want = alerts.fired(spark.read.parquet(f"{d}/events.parquet"), 95.0).select("event_type", "event_id").collect()
     assert len(got) > 4 and sorted(got) == sorted(want)
+
+
+def test_parameters_are_clamped_and_checked():
+    assert Screen.of({"limit": "0", "high": "x", "ratio": "99", "suggested": "No"}) == Screen(1, 70.0, 30.0, 20, "", False)
+    assert aligned_horizon("up_prob_30d", 3) == 30 and aligned_horizon("up_prob_9d", 3) == 3 and aligned_horizon("bottom", 7) == 7
+    good = Backtest(DAY, DAY + timedelta(9), metric="up_prob_3d")
+    assert not good.checked() and good.aligned().horizon == 3
+    assert len(Backtest(DAY, DAY, 0, 0, 2.0, 5, top=0).checked()) == 6
+
+
+def test_providers(spark):
+    raw = {"a": spark.createDataFrame([("20240101", "1"), ("none", "2")], "day string, x string"), "b": spark.createDataFrame([(DAY, None)], "day date, y long")}
+    maps = {"a": pv.Mapping({"d": "try_to_date(day, 'yyyyMMdd')", "v": "cast(x as bigint)"}, ("d",)), "b": pv.Mapping({"d": "day", "v": "y"})}
+    assert sorted((r.provider, str(r.d), r.v) for r in pv.dispatch(raw, maps).collect()) == [("a", "2024-01-01", 1), ("b", "2024-01-01", None)]
+    with pytest.raises(ValueError):
+        pv.dispatch(raw, {"a": maps["a"]})
+    got = pv.filled(spark.createDataFrame([(1, None, 5), (2, 3, None)], "k long, x long, y long"), spark.createDataFrame([(1, 7, 8), (3, 9, None)], "k long, x long, y long"), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 5), (2, 3, None), (3, 9, None)]
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "k long, seq long, v long")
+    assert sorted((r.k, r.v) for r in pv.last_wins(rows, ["k"], "seq").collect()) == [(1, 6), (2, 7)]
+    windows = pv.backward_windows(spark.createDataFrame([(DAY,)], "d date"), "2030-01-01", "2023-12-01", 20)
+    assert [(str(r.start_d), str(r.end_d)) for r in windows.orderBy("step").collect()] == [("2023-12-12", "2023-12-31"), ("2023-12-01", "2023-12-11")]
+
+
+def test_alerts_follow_the_fold(spark):
+    """Dense, sparse and tied events, several types: the same as one fold in order."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, f"t{k % 3}", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randrange(60 * 24 * (3 if k % 3 else 40))), 99.0) for k in range(400)]
+    events = spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "event_type", "ts", "value"])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want, last = set(), {}
+    for t, i, kind in sorted((r[2], r[0], r[1]) for r in rows):
+        if kind not in last or (t - last[kind]).total_seconds() >= alerts.COOLDOWN_S:
+            want.add(i)
+            last[kind] = t
+    assert {r.event_id for r in alerts.fired(events, 95.0).collect()} == want
+    assert alerts.fired(events.limit(0), 95.0).count() == 0
