@@ -48,7 +48,7 @@ BLOCK = 512
 PAIRS = 20_000
 #: Buckets with up to so many members are compared whole, in bundles of about so many members.
 SMALL = 128
-BUNDLE = 4096
+BUNDLE = 512
 
 SKETCH = "row long, doc_id long, n_shingles long, digest binary, sketch binary"
 
