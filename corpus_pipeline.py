@@ -1,4 +1,13 @@
-"""A training corpus from documents, in stages; each stage is written and read again by the next."""
+"""A training corpus from documents, in stages; each stage is written and read again by the next.
+
+Defined cases
+- null or empty text: scored like any other by the classifier, and dropped by the rules as it has fewer than ten words;
+- null ids, repeated ids and repeated rows: rows are told apart by a number; one row of each group of copies stays, and
+  the mix may take it up to three times;
+- null source or language: a source of its own in the mix; languages are not looked at;
+- very long texts are read whole by every stage; extra columns go along up to the last stage, whatever their names;
+- no labels: nothing is toxic; an empty table: an empty result.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
 import corpus_pipeline as cp
+from panelforge.llm.sentencepiece_codec import decode
 
 
 def test_stages_change_and_keep(docs, tmp_path, spark):
@@ -21,3 +22,26 @@ def test_stages_change_and_keep(docs, tmp_path, spark):
     assert seen[2][1] == {r[0] for r in clean}
     assert seen[3][1] <= seen[2][1] and seen[4][1] == seen[3][1]
     assert all(r.round_trip for r in frame.collect())
+
+
+def written(docs, tmp_path, spark, rows, labels):
+    docs(*rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return cp.run(spark, str(tmp_path))
+
+
+def test_odd_rows(docs, tmp_path, spark):
+    text = lambda i, n=60: " ".join(f"word{(i * 31 + k * k) % 997}x{i}" for k in range(n))
+    rows = [(i, text(i), "en", "a") for i in range(12)]
+    rows += [(i, f"you are a stupid scumbag {text(i)} moron", "en", "b") for i in range(20, 32)]  # toxic
+    rows += [(3, rows[3][1], "en", "a"), (None, text(50), None, None), (None, text(51), None, None), (7, text(52), "en", "a"), (60, text(60, 40_000), "en", None), (61, None, "en", "a"), (62, "", None, "a")]
+    labels = [(i, 1, int(i >= 20)) for i in [*range(12), *range(20, 32)]]
+    out = written(docs, tmp_path, spark, rows, labels)
+    got = [(r.doc_id, r.text) for r in decode(out, "doc_id").collect()]
+    kept = {r[1] for r in rows[:12]} | {text(50), text(51), text(52), text(60, 40_000)}
+    assert {t for _, t in got} <= kept and all(got.count(x) <= 3 for x in set(got))
+    assert all(r.round_trip for r in out.collect())
+
+
+def test_empty_table(docs, tmp_path, spark):
+    assert written(docs, tmp_path, spark, [], []).count() == 0
