@@ -46,7 +46,8 @@ def technical_reversal(bars: DataFrame) -> DataFrame:
 def factor_scores(days: DataFrame, fundamentals: DataFrame, flows: DataFrame, technical: DataFrame) -> DataFrame:
     """Component, aggregate and composite scores of every asset on every day of ``days`` (asset_id, d).
 
-    Fundamentals and flows are the newest at or before the day; ranks are over the day's assets.
+    Fundamentals and flows are the newest at or before the day; ranks are over the day's assets.  Components are null
+    where their input is.
     """
     trend = F.col("roe_bp") - F.lag("roe_bp").over(by_asset("report_date"))
     facts = fundamentals.withColumn("roe_qoq_bp", trend).select("asset_id", "available_date", "pe", "pb", "roe_qoq_bp")
@@ -62,8 +63,9 @@ def factor_scores(days: DataFrame, fundamentals: DataFrame, flows: DataFrame, te
     x = x.withColumn("technical", F.coalesce("score", F.lit(0.0)))
     a, b, c, _ = FACTOR_WEIGHTS
     composite = a * F.col("fundamental") + b * F.col("flow") + c * F.col("technical")
+    parts = {"pe_percentile": 1 - F.col("pe_rank"), "pb_percentile": 1 - F.col("pb_rank"), "roe_trend": F.col("roe_score"), "main_force": F.col("main_force_5d_rank"), "margin": F.col("margin_change_5d_rank")}
     return x.select(
-        "asset_id", "d", *[four(F.col(n)).alias(n) for n in ("fundamental", "flow", "technical")], four(composite).alias("composite"), four(clamp(composite, 0.0, 1.0)).alias("bottom"),
+        "asset_id", "d", *[four(v).alias(n) for n, v in parts.items()], *[four(F.col(n)).alias(n) for n in ("fundamental", "flow", "technical")], four(composite).alias("composite"), four(clamp(composite, 0.0, 1.0)).alias("bottom"),
     )
 
 

@@ -18,7 +18,7 @@ from . import lexicon
 from .cte import sql
 from .joins import CONTEXTS, MEMBERS, RET, contexts
 from .relational import ASSET_WEEK, asset_week
-from .scores import DAY_SENTIMENT, DECIDE, FACTORS, HEURISTIC, INPUTS, PHASES, case, day_sentiment, factors, predictions
+from .scores import DAY_SENTIMENT, DECIDE, FACTORS, HEURISTIC, INPUTS, PHASES, case, day_sentiment, factors, macro_months, predictions
 from .windows import RSI, W, lag, mean_sql, r4, spread_sql
 from .windows import _ema as ema_sql
 
@@ -194,10 +194,12 @@ def comparison(s, d):
 def feature_matrix(s, d):
     bars = panel.shared_bars(s, d)
     daily = day_sentiment(s, d, panel.calendar(bars)).withColumnRenamed("d", "published")
-    return ft.matrix(bars, cs.rs_score(bars), factors(s, d), panel.macro(s, d), daily)
+    known = macro_months(s, d).select("date", "phase")
+    macro = panel.macro(s, d).join(known, "date", "left").withColumn("phase", F.last("phase", True).over(Window.orderBy("date")))  # one row a month
+    return ft.matrix(bars, cs.rs_score(bars), factors(s, d), macro, daily)
 
 
-MATRIX = f"""{FACTORS}, {DAY_SENTIMENT},
+MATRIX_ROWS = f"""{FACTORS}, {PHASES.strip()}, {DAY_SENTIMENT},
 m20 as (select asset_id, d, (c - lag(c, 20) over ({W})) * 1.0::double / lag(c, 20) over ({W}) as ret from bars),
 mr as (select asset_id, d, {r4('1 - cast(row_number() over (partition by d order by ret desc, asset_id) - 1 as double) / count(*) over (partition by d)')} as rs_score from m20 where ret is not null),
 mb as (select asset_id, d, coalesce(cast(floor(cast((c - {lag('c', 1)}) * 10000 as double) / {lag('c', 1)} + 0.5) as bigint), 0) as bp from bars),
@@ -206,11 +208,17 @@ mx as materialized (select asset_id, d, c, h, l, v, {r4('rsi')} as rsi, {', '.jo
        {', '.join(f"{r4(f'coalesce({lag("rsi", k)}, rsi)')} as rsi_lag_{k}, {r4(f'rsi - coalesce({lag("rsi", k)}, rsi)')} as rsi_delta_{k}" for k in (3, 5, 10))},
        {', '.join(r4(f"coalesce(cast(v * count(v) over w{n} as double) / nullif(cast(sum(v) over w{n} as double), 0), 1.0::double)") + f" as rel_volume_{n}" for n in (5, 20))}
        from rsi window w5 as ({W} rows between 4 preceding and current row), w20 as ({W} rows between 19 preceding and current row)),
-my as (select mx.*, volatility_bp, coalesce(rs_score, 0.5::double) as rs_score, coalesce(f.fundamental, 0.5::double) as fundamental, coalesce(f.flow, 0.5::double) as flow, coalesce(f.technical, 0.5::double) as technical,
-              coalesce(f.composite, 0.5::double) as composite, coalesce(da.sentiment, 0.0::double) as sentiment, coalesce(cast(macro.pmi as double), 50.0::double) as pmi, coalesce((y10 - y2) / 100.0::double, 0.0::double) as curve
-       from mx join mv using (asset_id, d) left join mr using (asset_id, d) left join da on da.d = mx.d left join macro on macro.date = date_trunc('month', mx.d)
-       left join (select mx.asset_id, mx.d, x.fundamental, x.flow, x.technical, x.composite from mx asof join factor x on mx.asset_id = x.asset_id and mx.d >= x.d) f on f.asset_id = mx.asset_id and f.d = mx.d)
-select *, {r4('rsi * rs_score')} as rsi_x_rs, {r4('rs_score * composite')} as rs_x_composite, {r4('rel_volume_5 * ret_5')} as volume_x_ret, {r4('sentiment * pmi')} as sentiment_x_pmi, {r4('flow * technical')} as flow_x_technical from my"""
+mf as (select mx.asset_id, mx.d, {', '.join(f"x.{n}" for n in ft.FACTORS)} from mx asof join factor x on mx.asset_id = x.asset_id and mx.d >= x.d),
+mm as (select macro.*, last_value(ph.phase ignore nulls) over (order by macro.date) as phase from macro left join ph using (date)),
+my as (select mx.*, volatility_bp, coalesce(rs_score, 0.5::double) as rs_score, {', '.join(f"coalesce(mf.{n}, 0.5::double) as {n}" for n in ft.FACTORS)}, 0.5::double as northbound,
+              coalesce(da.sentiment, 0.0::double) as sentiment, coalesce(cast(mm.pmi as double), 50.0::double) as pmi, coalesce(cast(mm.non_pmi as double), 50.0::double) as non_pmi,
+              coalesce((mm.y10 - mm.y2) / 100.0::double, 0.0::double) as curve, {case('mm.phase', ft.PHASE_CODE, 1.0)} as phase_code
+       from mx join mv using (asset_id, d) left join mr using (asset_id, d) left join da on da.d = mx.d left join mm on mm.date = date_trunc('month', mx.d)
+       left join mf on mf.asset_id = mx.asset_id and mf.d = mx.d),
+mz as (select *, {', '.join(r4(f"{n} - coalesce({lag(n, k)}, {n})") + f" as {to}_{k}" for n, to in (('ret_5', 'ret_5_delta'), ('rs_score', 'rs_delta')) for k in ft.LAGS)},
+              {r4('cast(sum(cast(floor(sentiment * 10000 + 0.5) as bigint)) over w20 as double) / (count(*) over w20 * 10000.0::double)')} as sentiment_20
+       from my window w20 as ({W} rows between 19 preceding and current row)),
+matrix as (select *, {', '.join(r4(f'{a} * {b}') + f' as {n}' for n, (a, b) in ft.INTERACTIONS.items())} from mz)"""
 
 
 def forest(s, d):
@@ -291,7 +299,7 @@ QUERIES = {
         lambda s, d: _context_history(s, d),
         sql("macro", f"with {PHASES.strip()} select date as starts_at, lead(date) over (order by date) - 1 as ends_at, phase, lead(date) over (order by date) is null as is_active from ph"),
     ),
-    "m10_feature_matrix": (feature_matrix, sql("bars fundamentals flows macro news", MATRIX)),
+    "m10_feature_matrix": (feature_matrix, sql("bars fundamentals flows macro news", f"{MATRIX_ROWS} select * from matrix")),
     "m13_forest_accuracy": (forest, None),
     "m26_curve_points": (
         curve_points,

@@ -14,7 +14,7 @@ from ..sources import panel, sinks
 from ..sources import providers as pv
 from ..sources.scratch import scratch_path
 from ..streaming import alerts
-from .composites import ALERTS, MATRIX, feature_matrix
+from .composites import ALERTS, MATRIX_ROWS, feature_matrix
 from .cte import sql
 from .relational import ASSET_WEEK, SENT, asset_week
 from .scores import HEURISTIC, predictions
@@ -192,7 +192,7 @@ QUERIES = {
     ),
     "m11_point_features": (
         _point,
-        sql("bars fundamentals flows macro news", MATRIX).replace("select *, floor((rsi * rs_score)", "select asset_id, d, rsi, ret_5, rs_score, composite, sentiment, pmi from (select *, row_number() over (partition by asset_id order by d desc) as newest from (select *, floor((rsi * rs_score)", 1) + " where d <= date '1999-06-30')) where newest = 1",
+        sql("bars fundamentals flows macro news", f"{MATRIX_ROWS} select asset_id, d, rsi, ret_5, rs_score, composite, sentiment, pmi from (select *, row_number() over (partition by asset_id order by d desc) as newest from matrix where d <= date '1999-06-30') where newest = 1"),
     ),
     "m27_mid_rates": (
         _mids,

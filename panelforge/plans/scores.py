@@ -22,7 +22,7 @@ def case(column: str, table: dict, default, k: int | None = None) -> str:
     return "case " + " ".join(f"when {column} = {key(x)} then {pick(v)}::double" for x, v in table.items()) + f" else {default}::double end"
 
 
-def _macro_months(s, d):
+def macro_months(s, d):
     m = panel.macro(s, d).where("pmi is not null")
     from pyspark.sql import Window
 
@@ -54,7 +54,8 @@ fa as (select *, case when pe_rank is null and pb_rank is null and roe_score is
               case when main_force_5d_rank is null and margin_change_5d_rank is null then 0.5::double else
                  (coalesce(main_force_5d_rank, 0.0::double) + coalesce(margin_change_5d_rank, 0.0::double)) / ((main_force_5d_rank is not null)::int + (margin_change_5d_rank is not null)::int) end as flow,
               coalesce(score, 0.0::double) as technical from fr),
-factor as materialized (select asset_id, d, {r4('fundamental')} as fundamental, {r4('flow')} as flow, {r4('technical')} as technical,
+factor as materialized (select asset_id, d, {r4('1 - pe_rank')} as pe_percentile, {r4('1 - pb_rank')} as pb_percentile, {r4('roe_score')} as roe_trend, {r4('main_force_5d_rank')} as main_force, {r4('margin_change_5d_rank')} as margin,
+                  {r4('fundamental')} as fundamental, {r4('flow')} as flow, {r4('technical')} as technical,
                   {r4('0.4::double * fundamental + 0.3::double * flow + 0.3::double * technical')} as composite,
                   {r4('greatest(0.0::double, least(1.0::double, 0.4::double * fundamental + 0.3::double * flow + 0.3::double * technical))')} as bottom from fa)"""
 
@@ -114,7 +115,7 @@ def heuristics_in(s, d):
     mom = ind.momentum(bars).select("asset_id", "d", F.col("mom_5d").alias("mom5"))
     rs = cs.rs_score(bars).select("asset_id", "d", F.col("rs_score").alias("rs"))
     x = factors(s, d).select("asset_id", "d", "bottom").join(mom, ["asset_id", "d"]).join(rs, ["asset_id", "d"])
-    months = _macro_months(s, d).select(F.col("date").alias("month"), F.col("phase").alias("macro_phase"))
+    months = macro_months(s, d).select(F.col("date").alias("month"), F.col("phase").alias("macro_phase"))
     x = x.withColumn("month", F.trunc("d", "MM")).join(F.broadcast(months), "month", "left").drop("month")
     x = x.join(F.broadcast(day_sentiment(s, d, panel.calendar(bars))), "d", "left")
     x = x.withColumn("macro_phase", F.coalesce("macro_phase", F.lit(""))).withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))
@@ -166,9 +167,9 @@ QUERIES = {
         lambda s, d: sc.technical_reversal(panel.bars(s, d)).select("asset_id", "d", sc.four(0.35 + 0.3 * F.col("score")).alias("composite")),
         sql("bars", f"{TECH} select asset_id, d, {r4('0.35::double + 0.3::double * score')} as composite from tech"),
     ),
-    "m6_macro_phase": (lambda s, d: _macro_months(s, d).select("date", "pmi", "slope", "phase"), sql("macro", f"with {PHASES.strip()} select date, pmi, slope, phase from ph")),
+    "m6_macro_phase": (lambda s, d: macro_months(s, d).select("date", "pmi", "slope", "phase"), sql("macro", f"with {PHASES.strip()} select date, pmi, slope, phase from ph")),
     "m5_context_weights": (
-        lambda s, d: _macro_months(s, d).withColumn("event", F.when(F.month("date") % 3 == 0, "trade_war").when(F.month("date") % 3 == 1, "rate_cut_cycle").otherwise("")).withColumn("w", sc.phase_weights(F.col("phase"), F.col("event"))).select("date", "phase", "event", *[sc.four(F.col(f"w.{n}")).alias(n) for n in ("financial", "flow", "technical")]),
+        lambda s, d: macro_months(s, d).withColumn("event", F.when(F.month("date") % 3 == 0, "trade_war").when(F.month("date") % 3 == 1, "rate_cut_cycle").otherwise("")).withColumn("w", sc.phase_weights(F.col("phase"), F.col("event"))).select("date", "phase", "event", *[sc.four(F.col(f"w.{n}")).alias(n) for n in ("financial", "flow", "technical")]),
         sql("macro", "with " + PHASES.strip() + ", ev as (select *, case when month(date) % 3 = 0 then 'trade_war' when month(date) % 3 = 1 then 'rate_cut_cycle' else '' end as event from ph), wt as (select *, " + ", ".join(f"({case('phase', sc.PHASE_WEIGHTS, 0, k)}) * ({case('event', sc.EVENT_FACTORS, 1.0, k)}) as w{k}" for k in range(3)) + f" from ev) select date, phase, event, {r4('w0 / (w0 + w1 + w2)')} as financial, {r4('w1 / (w0 + w1 + w2)')} as flow, {r4('w2 / (w0 + w1 + w2)')} as technical from wt"),
     ),
     "m7_heuristic_predictions": (predictions, sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, horizon, macro_phase, up, flat, down, label, {r4('greatest(0.0::double, least(1.0::double, 0.5::double + o[1] - o[2]))')} as confidence from hq")),
@@ -186,7 +187,7 @@ QUERIES = {
         "with x as (select p_partkey, p_size * 17.3::double as p from part) select p_partkey, case when p < 10 then ceil(p / 0.5::double) * 0.5::double when p < 50 then ceil(p / 1.0::double) * 1.0::double when p < 100 then ceil(p / 2.0::double) * 2.0::double when p < 500 then ceil(p / 5.0::double) * 5.0::double else ceil(p / 10.0::double) * 10.0::double end as step_up from x",
     ),
     "m24_macro_multiplier": (
-        lambda s, d: _macro_months(s, d).select("date", "phase", F.explode(F.array(*[F.lit(x) for x in (0.4, 0.55, 0.7, 0.9)])).alias("up")).withColumn("multiplier", sc.four(sc.macro_multiplier(F.col("phase"), F.col("up")))),
+        lambda s, d: macro_months(s, d).select("date", "phase", F.explode(F.array(*[F.lit(x) for x in (0.4, 0.55, 0.7, 0.9)])).alias("up")).withColumn("multiplier", sc.four(sc.macro_multiplier(F.col("phase"), F.col("up")))),
         sql("macro", "with " + PHASES.strip() + " select date, phase, up, " + r4("case phase " + " ".join(f"when '{p}' then {a}::double + {b}::double * greatest(0.0::double, up - {c}::double)" for p, (a, b, c) in sc.PHASE_MULTIPLIER.items()) + " else 1.0::double end") + " as multiplier from ph, (values (0.4::double), (0.55::double), (0.7::double), (0.9::double)) as u(up)"),
     ),
     "t4_top_candidates": (
