@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.parameters import Backtest, Screen
+from ..operators import features as ft
 from ..operators import indicators as ind
 from ..operators import pointintime as pit
 from ..operators import scoring as sc
@@ -16,6 +17,7 @@ from ..sources.scratch import scratch_path
 from ..streaming import alerts
 from .composites import ALERTS, MATRIX_ROWS, feature_matrix
 from .cte import sql
+from .joins import MEMBERS
 from .relational import ASSET_WEEK, SENT, asset_week
 from .scores import HEURISTIC, predictions
 from .windows import RSI, r4
@@ -126,6 +128,13 @@ def _stored(s, d):
     return both.groupBy((F.col("prediction") == F.col("loaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _training_rows(s, d):
+    """Training: the feature matrix of two years, of assets that were members of an index on the day."""
+    days = panel.calendar(panel.shared_bars(s, d))
+    members = pit.members_on(days, panel.membership(days, panel.assets(s, d)))
+    return ft.point_in_time(feature_matrix(s, d), members, "1996-01-01", "1997-12-31")
+
+
 def _point(s, d):
     """Serving: the newest row of the feature matrix at or before a day, of each asset."""
     return pit.latest(feature_matrix(s, d).where("d <= date'1999-06-30'"), "asset_id", "d").select("asset_id", "d", "rsi", "ret_5", "rs_score", "composite", "sentiment", "pmi")
@@ -190,6 +199,10 @@ QUERIES = {
         _screened,
         sql("bars assets", f"with {RSI.strip()}, x as (select asset_id, max(d) as d, arg_max({r4('rsi')}, d) as rsi from rsi group by 1) select asset_id, d, rsi from x join assets using (asset_id) where (rsi >= 66.5 or rsi <= 30) and contains(lower(symbol), '0') order by rsi desc, asset_id limit 100"),
     ),
+    "m10_training_rows": (
+        _training_rows,
+        sql("bars assets calendar membership fundamentals flows macro news", f"{MATRIX_ROWS}, {MEMBERS.strip()} select matrix.* from matrix join on_day o on o.d = matrix.d and o.asset_id = matrix.asset_id where matrix.d between date '1996-01-01' and date '1997-12-31'"),
+    ),
     "m11_point_features": (
         _point,
         sql("bars fundamentals flows macro news", f"{MATRIX_ROWS} select asset_id, d, rsi, ret_5, rs_score, composite, sentiment, pmi from (select *, row_number() over (partition by asset_id order by d desc) as newest from matrix where d <= date '1999-06-30') where newest = 1"),

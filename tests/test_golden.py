@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.parameters import Backtest, Screen, aligned_horizon
 from panelforge.operators import backtest as bt
 from panelforge.operators import crosssection as cs
+from panelforge.operators import features as ft
 from panelforge.operators import indicators as ind
 from panelforge.operators import pointintime as pit
 from panelforge.operators import scoring as sc
@@ -257,3 +258,25 @@ def test_alerts_follow_the_fold(spark):
             last[kind] = t
     assert {r.event_id for r in alerts.fired(events, 95.0).collect()} == want
     assert alerts.fired(events.limit(0), 95.0).count() == 0
+
+
+def test_feature_matrix_by_hand(spark):
+    """Twelve days: changes over rows, neutral values before scores are known, phases as numbers, members only."""
+    days = [DAY + timedelta(i) for i in range(12)]
+    bars = path(spark, [1000 + 100 * i for i in range(12)])
+    rs = spark.createDataFrame([(1, days[10], 0.9)], "asset_id long, d date, rs_score double")
+    factors = spark.createDataFrame([(1, days[11], *[0.25] * len(ft.FACTORS))], "asset_id long, d date, " + ", ".join(f"{n} double" for n in ft.FACTORS))
+    macro = spark.createDataFrame([(DAY, None, 51, 300, 250, "STAGFLATION")], "date date, pmi long, non_pmi long, y10 long, y2 long, phase string")
+    sentiment = spark.createDataFrame([(days[0], 0.4), (days[1], -0.2)], "published date, sentiment double")
+    x = ft.matrix(bars, rs, factors, macro, sentiment)
+    got = {r.d: r for r in x.collect()}
+    assert len(got) == 12
+    first, last = got[days[0]], got[days[11]]
+    assert (first.ret_5, first.rsi_delta_3, first.ret_5_delta_10, first.rs_score, first.pe_percentile, first.sentiment_20) == (0, 0, 0, 0.5, 0.5, 0.4)
+    assert got[days[1]].sentiment_20 == 0.1
+    assert got[days[10]].rs_delta_3 == 0.4 and last.rs_delta_3 == 0
+    assert last.ret_5 == round(500 / 1600, 4) and last.ret_5_delta_3 == round(last.ret_5 - round(500 / 1300, 4), 4)
+    assert (last.pmi, last.non_pmi, last.curve, last.phase_code, last.northbound) == (50, 51, 0.5, 3, 0.5)
+    assert (last.pe_percentile, last.pe_x_phase, last.rsi_x_phase) == (0.25, 0.75, 150)
+    members = spark.createDataFrame([(days[3], 1), (days[5], 1), (days[8], 2)], "d date, asset_id long")
+    assert [r.d for r in ft.point_in_time(x, members, str(days[4]), str(days[11])).collect()] == [days[5]]
