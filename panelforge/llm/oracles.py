@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import fill_in_middle as fim
+from . import hard_negatives as hn
 from . import quality_rules as q
+from . import topk
 
 QUALITY_RULES = rf"""
 with words as (
@@ -44,5 +47,46 @@ from judged left join verdicts using (host)
 """
 
 
+#: Rows of embeddings that take part, each component as a whole number of 256ths.
+SCALED = "list_transform(embedding, lambda x: floor(x::double * 256)::bigint)"
+WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+INNER = "list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2]))::bigint"
+
+TOPK = rf"""
+with v as (select vec_id, {SCALED} as x from embeddings where vec_id is not null and {WHOLE}),
+s as (select q.vec_id as query_id, r.vec_id, coalesce({INNER}, 0) as score
+      from v q join v r on q.vec_id <> r.vec_id and len(q.x) = len(r.x) where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= {topk.K}
+"""
+
+HARD_NEGATIVES = rf"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {SCALED} as x
+           from embeddings where vec_id is not null and label is not null and {WHOLE}),
+s as (select q.vec_id as anchor_id, r.vec_id, q.label = r.label as same, coalesce({INNER}, 0) as score
+      from v q join v r on q.vec_id <> r.vec_id and len(q.x) = len(r.x) where q.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score
+      from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= {hn.POSITIVES}),
+w as (select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+             row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+      from p join s using (anchor_id)
+      where not same and {hn.LOW} * positive_score <= 100 * score and 100 * score <= {hn.HIGH} * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from w where rank <= {hn.K}
+"""
+
+FILL_IN_MIDDLE = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+g as (select *, len(u) as n, ('0x' || h[1:8])::ubigint as h1, ('0x' || h[9:16])::ubigint as h2, ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= {fim.RATE} then 'plain'
+                  when h4 % 100 < {fim.SUFFIX_FIRST} then 'spm' else 'psm' end as form from g),
+s as (select doc_id, n, form, text, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES}
+    return {"op1_quality_rules": QUALITY_RULES, "op9_topk": TOPK, "op11_hard_negatives": HARD_NEGATIVES, "op12_fill_in_middle": FILL_IN_MIDDLE}

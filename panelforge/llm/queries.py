@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_formatting, html_extraction, language_id, lm_scoring, mixing, near_dedup, sentencepiece_codec, topk, toxicity
+from . import chat_formatting, curves, fill_in_middle, hard_negatives, html_extraction, language_id, lm_scoring, mixing, near_dedup, sentencepiece_codec, topk, toxicity
 from .quality_rules import quality_rules
 
 
@@ -54,6 +55,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 the label is the next of ten."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), with_output=False)
+
+
+def op13_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -66,4 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_topk": op9_topk,
         "op10_mixing": op10_mixing,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_curves": op13_curves,
     }

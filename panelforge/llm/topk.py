@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .vectors import EXACT, LIMIT, can_be_near, finite, of_length, rows_of
 
 K = 5
 SCALE = 256
@@ -43,9 +44,6 @@ LEAF = 128
 #: Vectors that the shards' splits are made from, at most, and bytes of boxes that are sent at once.
 SAMPLE = 20_000
 PART = 32 << 20
-#: Integers up to this size are exact in double arithmetic.
-EXACT = 2.0**53
-LIMIT = 2**63 - 1
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -129,29 +127,15 @@ class WideTree(Tree):
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, starts and all values of a column of lists of doubles, without Python objects."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = lists.offsets.to_numpy()
-    return np.diff(offsets), offsets[:-1], lists.values.to_numpy()
-
-
-def _of_length(rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have a length, and their values, a row each."""
-    lengths, starts, values = rows
-    at = np.flatnonzero(lengths == n)
-    return at, values[starts[at][:, None] + np.arange(n)]
-
-
 def _search(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q_all, i_all, s_all = [], [], []
         ids = left.column("vec_id").to_numpy()
         own_ids, kths = right.column("query_id").to_numpy(), right.column("kth").to_numpy(zero_copy_only=False)
-        points_of, queries_of = _rows(left.column("x")), _rows(right.column("asked"))
+        points_of, queries_of = rows_of(left.column("x")), rows_of(right.column("asked"))
         for n in np.intersect1d(points_of[0], queries_of[0]).tolist():
-            rows, points = _of_length(points_of, n)
-            asked, queries = _of_length(queries_of, n)
+            rows, points = of_length(points_of, n)
+            asked, queries = of_length(queries_of, n)
             wide = float(np.abs(points).max(initial=0)) * float(np.abs(queries).sum(axis=1).max(initial=0)) >= EXACT
             if wide:
                 points, queries = (np.array([[int(v) for v in x] for x in some], object).reshape(some.shape) for some in (points, queries))
@@ -215,10 +199,10 @@ class Splits:
 def _dealer(splits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _rows(batch.column("x"))
+            rows = rows_of(batch.column("x"))
             shard = -1 - rows[0].astype(np.int64)  # a length that the sample has not met is a shard of its own
             for n, some in splits.value.items():
-                at, points = _of_length(rows, n)
+                at, points = of_length(rows, n)
                 shard[at] = some.shards(points)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=[*batch.schema.names, "shard"])
 
@@ -227,8 +211,8 @@ def _dealer(splits):
 
 def _box(table: pa.Table) -> pa.Table:
     """Tight boxes of one shard, one for each length of vectors."""
-    rows = _rows(table.column("x"))
-    found = [(n, _of_length(rows, n)[1]) for n in np.unique(rows[0]).tolist()]
+    rows = rows_of(table.column("x"))
+    found = [(n, of_length(rows, n)[1]) for n in np.unique(rows[0]).tolist()]
     low, high = ([getattr(points, f)(axis=0).astype(np.float64).tobytes() for _, points in found] for f in ("min", "max"))
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(found), pa.int64()), "n": pa.array([n for n, _ in found], pa.int64()), "low": pa.array(low, pa.binary()), "high": pa.array(high, pa.binary())})
 
@@ -244,10 +228,10 @@ def _router(boxes):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                rows, home = _rows(batch.column("asked")), batch.column("home").to_numpy()
+                rows, home = rows_of(batch.column("asked")), batch.column("home").to_numpy()
                 kth = batch.column("kth").to_numpy(zero_copy_only=False)
                 for n, (shards, low, high) in found.items():
-                    at, queries = _of_length(rows, n)
+                    at, queries = of_length(rows, n)
                     if not len(at):
                         continue
                     limit = bounds(queries, low, high)
@@ -258,36 +242,24 @@ def _router(boxes):
     return run
 
 
-def _candidates(clean: DataFrame, k: int) -> DataFrame:
-    """Rows that can be among a query's nearest: of equal vectors those of the k + 1 smallest ids, k rows an id at most."""
-    hashed = clean.withColumn("h", F.xxhash64("x"))
-    rows, ids = clean.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first()
-    if rows > ids:
-        each = Window.partitionBy("h", "x", "vec_id").orderBy("vec_id")
-        hashed = hashed.withColumn("r", F.row_number().over(each)).where(F.col("r") <= k).drop("r")
-    alike = Window.partitionBy("h", "x").orderBy("vec_id")
-    return hashed.withColumn("r", F.dense_rank().over(alike)).where(F.col("r") <= k + 1).drop("r", "h")
-
-
 def nearest(vectors: DataFrame, *, every: int = 50, k: int = K, shard: int = SHARD, block: int = QUERIES, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest of every vector whose id is divisible by ``every``."""
     context = vectors.sparkSession.sparkContext
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    clean = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    clean = vectors.where(F.col("vec_id").isNotNull() & finite("embedding"))
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
     clean = materialize(clean.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("x")), "vectors")
 
     rows = clean.count()
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, 2 * rows)) * (1 << 30)))
-    sample = _rows(clean.where(share).select("x").limit(SAMPLE).toArrow().column("x"))  # for splits only; every row is dealt
+    sample = rows_of(clean.where(share).select("x").limit(SAMPLE).toArrow().column("x"))  # for splits only; every row is dealt
     splits, first = {}, 0
     for n in np.unique(sample[0]).tolist():
-        some = _of_length(sample, n)[1]
+        some = of_length(sample, n)[1]
         splits[n] = Splits(some, max(1, round(rows * len(some) / len(sample[0]) / shard)), first)
         first += splits[n].leaves
     deal = _dealer(context.broadcast(splits))  # SAMPLE bounds its size
 
-    dealt = materialize(_candidates(clean, k).select("vec_id", "x").mapInArrow(deal, "vec_id long, x array<double>, shard long"), "dealt")
+    dealt = materialize(can_be_near(clean, k).select("vec_id", "x").mapInArrow(deal, "vec_id long, x array<double>, shard long"), "dealt")
     sizes = materialize(dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).alias("parts")), "shards")
     at = F.pmod(F.xxhash64("vec_id"), F.col("parts")) * (1 << 40) + F.col("shard")
     points = materialize(dealt.join(sizes, "shard").select("vec_id", "x", at.alias("shard")), "points")
