@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def plain_docs(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in columns])
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the ``needed`` ones under names that no operator uses, and what gives them back.
+
+    So an operator can add working columns, whatever the names of those that go along.
+    """
+    names = {c: c if c in needed else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 #: Bytes of a side that is broadcast, at most.
 MOST_BROADCAST = 16 << 20
 

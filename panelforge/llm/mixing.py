@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, partitions, small_side
+from .common import WORD, materialize, partitions, set_aside, small_side
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -88,11 +88,13 @@ def targets(sized: DataFrame) -> DataFrame:
     sorted_ = sources.repartitionByRange(partitions(sized), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
     sorted_ = materialize(sorted_.withColumn("at", F.monotonically_increasing_id()), "sources")
     task = F.shiftright(F.col("at"), 33)
-    counts = sorted_.groupBy(task.alias("task")).count().orderBy("task").collect()  # as many as there are partitions
-    begins, start = F.lit(0), 0
-    for r in counts:
-        begins, start = F.when(task == r["task"], F.lit(start)).otherwise(begins), start + r["count"]
-    place = (begins + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % len(WEIGHTS)
+    starts, start = [], 0
+    for r in sorted_.groupBy(task.alias("task")).count().orderBy("task").collect():  # as many as there are partitions
+        starts.append((r["task"], start))
+        start += r["count"]
+    begins = F.broadcast(sized.sparkSession.createDataFrame(starts, "task long, start long"))
+    sorted_ = sorted_.join(begins, task == F.col("task"))
+    place = (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % len(WEIGHTS)
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (place + 1).cast("int"))
     sources = materialize(sorted_.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST_COPIES).alias("cap")), "sources")
     total = float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
@@ -222,6 +224,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns it came with."""
+    docs, as_they_came = set_aside(docs, "doc_id", "source", "text")
     narrow = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if narrow["rows"] == narrow["ids"]:
         numbered = docs.withColumn("_row", F.col("doc_id").cast("long"))
@@ -230,4 +233,4 @@ def take(docs: DataFrame) -> DataFrame:
     plan = copies(numbered.select(F.col("_row").alias("row"), "doc_id", "source", "text")).where("copies > 0")
     plan = materialize(plan.select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "plan")
     taken = numbered.join(small_side(plan), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return as_they_came(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))

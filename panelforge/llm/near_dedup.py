@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch as ss
-from .common import materialize, small_side
+from .common import materialize, set_aside, small_side
 
 PERCENT = 80
 #: Pairs whose estimate is lower are not compared in full: six standard errors below the threshold.
@@ -369,7 +369,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = PERCENT
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row of each group, the one with the smallest id; of equal ids, the first."""
+    docs, as_they_came = set_aside(docs, "doc_id", "text")
     numbered, number = _numbered(docs)
     kept = _grouped(numbered, number, shingle, percent).where("kept").select(F.col("row").alias(number))
     kept = materialize(kept, "kept")
-    return numbered.join(small_side(kept), number, "left_semi").select(*docs.columns)
+    return as_they_came(numbered.join(small_side(kept), number, "left_semi"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, small_side
+from .common import SPACE, materialize, set_aside, small_side
 
 #: Symbols that are counted.
 SYMBOLS = "[#*$%&|<>]"
@@ -142,12 +142,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    tagged = docs.withColumn("_host", host_of(F.col("source").cast("string")))
-    carried = [F.col(c).alias(f"_kept_{c}") for c in docs.columns]
-    rules = base_rules(tagged.select("text", "_host", *carried), "_host", *[f"_kept_{c}" for c in docs.columns])
+    docs, as_they_came = set_aside(docs, "text", "source")
+    tagged = docs.withColumns({"_host": host_of(F.col("source").cast("string")), "_text": F.col("text")}).drop("text")
+    kept = [c for c in tagged.columns if c not in ("_host", "_text")]
+    rules = base_rules(tagged.select(F.col("_text").alias("text"), "_host", "_text", *kept), "_host", "_text", *kept)
     # written before anything is filtered: a filter pushed below the counts would split a text anew for every window
     rules = materialize(rules, "quality-docs")
     bad = host_verdicts(rules.select(F.col("_host").alias("host"), "base_failed")).where("host_failed")
     bad = materialize(bad.select(F.col("host").alias("_host")), "bad-hosts")
     passed = rules.where(~F.col("base_failed")).join(small_side(bad), "_host", "left_anti")
-    return passed.select(*[F.col(f"_kept_{c}").alias(c) for c in docs.columns])
+    return as_they_came(passed.withColumnRenamed("_text", "text"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fold, materialize, small_side
+from .common import SPACE, fold, materialize, small_side, set_aside
 
 FOLDS = 3
 HELD_OUT = 1
@@ -416,6 +416,7 @@ def score(docs: DataFrame, labels: DataFrame, *, each: int = EACH) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, each: int = EACH) -> DataFrame:
     """The documents that are not predicted toxic, with the columns they came with."""
-    others = [c for c in docs.columns if c != "text"]
-    scored = with_scores(docs.select(*others, "text").withColumnRenamed("score", "_score"), train(docs, labels, each))
-    return scored.where(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("_score", "score").select(*docs.columns)
+    model = train(docs, labels, each)
+    docs, as_they_came = set_aside(docs, "text")
+    scored = with_scores(docs.select(*[c for c in docs.columns if c != "text"], "text"), model)
+    return as_they_came(scored.where(F.col("score") < THRESHOLD))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import mixing
 
@@ -85,3 +86,17 @@ def test_empty_and_wordless(docs):
     assert mixing.mix(docs()).count() == 0 and mixing.take(docs()).count() == 0
     got = mixing.mix(docs((1, None, None, None), (2, "", None, "s"))).collect()
     assert all(r.taken == 0 and r.target == 0 for r in got)
+
+
+def test_sources_over_many_partitions(spark):
+    """As many range partitions as a large job has; each source has the weight of its place."""
+    n = 5000
+    sized = spark.range(n).select(F.format_string("s%05d", "id").alias("source"), F.lit(10).cast("long").alias("size"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = targets({f"s{i:05d}": 10 for i in range(n)})
+    assert len(got) == n and all(got[s] == pytest.approx(t) for s, t in want.items())

@@ -45,3 +45,21 @@ def test_odd_rows(docs, tmp_path, spark):
 
 def test_empty_table(docs, tmp_path, spark):
     assert written(docs, tmp_path, spark, [], []).count() == 0
+
+
+CLASHING = ["_host", "_row", "_copy", "_copies", "score", "_score", "row", "node", "_text", "source_size", "kept", "_kept0", "host", "a.b"]
+
+
+def test_columns_of_any_name_go_along(tmp_path, spark):
+    text = lambda i, n=60: " ".join(f"word{(i * 31 + k * k) % 997}x{i}" for k in range(n))
+    rows = [(i, text(i), "en", "a" if i % 2 else None, *[f"{c} {i}" for c in CLASHING]) for i in [*range(20), 3]]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        frame = cp.materialize(stage(spark, frame, str(tmp_path)), "stage")
+        assert frame.columns == ["doc_id", "text", "lang", "source", *CLASHING], name
+        got = {tuple(r) for r in frame.collect()}
+        assert got and got <= set(rows), name
+    assert cp.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
