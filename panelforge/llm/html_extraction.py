@@ -2,8 +2,9 @@
 
 The markup is cut into blocks.  The first pass labels each block by itself: boilerplate elements, link density,
 length and stop-word density make it good, bad or leave it open.  The second pass lets open blocks inherit the
-label of the nearest decided neighbours.  Where a page marks its article, blocks outside are bad, and open
-blocks inherit only from blocks of the same article, where good is the default.
+label of the nearest decided neighbours.  Where a page marks its article, and that holds most of what the passes find
+good on the whole page, blocks outside are bad, and open blocks inherit only from blocks of the same article, where good
+is the default; articles that hold less are cards among others.
 
 Defined cases
 - null or empty html, or no good block: empty text, 0 characters;
@@ -14,7 +15,9 @@ Defined cases
 - a name that speaks of boilerplate does not hide an article: parts named for search or sharing, and forms, that
   an article or main part is in or is itself do not count; other names, as of sidebars, don't if the page marks no
   other article; those of comments only if there would be no text.  A page without any text is read again, past such
-  names of layout;
+  names of layout; then the longest run of blocks that are no links is taken if it is over 200 characters (short
+  paragraphs, other languages);
+- an iframe or title without its end is a tag like others; a page is read in time in proportion to its length;
 - omitted end tags: as in HTML, p, li, dt, dd, option, optgroup, tr, td, th, table sections, captions and headings end
   where a sibling or, for p and option, a block starts; every element ends with the one around it; an end tag of
   nothing that is open, or of something outside the table cell it stands in, is ignored;
@@ -55,12 +58,12 @@ NAMES = [
     (COMMENT, r"comments?|disqus|replies|reviews|discussion"),
     (
         PART,
-        r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|related|recommended|cookies?|consent|gdpr|popups?|newsletter|notices?|alerts?|modals?|overlays?|"
-        r"sidebars?|side-?bars?|widgets?|footers?|breadcrumbs?|complementary|contentinfo|alertdialog|menus?|navigation|pagination|pager",
+        r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|related|recommended|cookies?|consent|gdpr|popups?|newsletter|notices?|modals?|overlays?|"
+        r"sidebars?|side-?bars?|footers?|breadcrumbs?|complementary|contentinfo|alertdialog|menus?|navigation|pagination|pager",
     ),
-    (LAYOUT, r"banners?|nav|navbar|site-?header|masthead|topbar|toolbar|share|sharing|social|subscribe|signup|login|search"),
+    (LAYOUT, r"banners?|nav|navbar|site-?header|masthead|topbar|toolbar|share|sharing|social|subscribe|signup|login|search|alerts?|widgets?"),
 ]
-BOILERPLATE_NAME = re.compile("(?:^|[\\s_-])(?<!\\bhas[_-])(?<!\\bwith[_-])(?<!\\bno[_-])(?:" + "|".join(f"({names})" for _, names in NAMES) + ")(?=$|[\\s_-])")
+BOILERPLATE_NAME = re.compile("(?:^|[\\s_-])(?<!\\bhas[_-])(?<!\\bwith[_-])(?<!\\bno[_-])(?:" + "|".join(f"({names})" for _, names in NAMES) + ")(?=$|[\\s_-])(?![_-](?:layout|template)\\b)")
 BLOCKS = frozenset(
     """
     address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6
@@ -98,15 +101,36 @@ OPENED = BLOCKS - VOID - {"html", "body"} | {"button", "datalist", "optgroup"}
 
 #: A quote delimits a value only where the value starts.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-#: Comments; elements of plain text with all they hold; tags; what else is no text.
-TAG = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    rf"|<(?:script|style)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</(?:script|style)(?=[\s/>])[^>]*>|\Z)|\Z)"
-    rf"|<(?P<raw>title|iframe)(?=[\s/>]){_ATTRIBUTES}>.*?</(?P=raw)(?=[\s/>])[^>]*>"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<with>{_ATTRIBUTES})>"
-    r"|<!\[CDATA\[|<[/!?]?[a-zA-Z?!/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: Elements of plain text that a missing end leaves open.
+RAW = ("title", "iframe")
+
+
+def _pattern(raw: tuple[str, ...]) -> re.Pattern:
+    """Comments; elements of plain text with all they hold, of RAW those in ``raw``; tags; what else is no text."""
+    plain = rf"|<(?P<raw>{'|'.join(raw)})(?=[\s/>]){_ATTRIBUTES}>.*?</(?P=raw)(?=[\s/>])[^>]*>" if raw else ""
+    return re.compile(
+        r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+        rf"|<(?:script|style)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</(?:script|style)(?=[\s/>])[^>]*>|\Z)|\Z)"
+        rf"{plain}"
+        rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<with>{_ATTRIBUTES})>"
+        r"|<!\[CDATA\[|<[/!?]?[a-zA-Z?!/][^>]*(?:>|\Z)",
+        re.S | re.I,
+    )
+
+
+PATTERNS = {raw: _pattern(raw) for raw in ((), RAW[:1], RAW[1:], RAW)}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+def tags(page: str) -> Iterator[re.Match]:
+    """The matches in order.  Behind the last end of an element of RAW no other end is looked for, so a page is read once."""
+    last = {name: max((m.start() for m in end.finditer(page)), default=-1) for name, end in RAW_END.items()}
+    at = 0
+    while tag := PATTERNS[tuple(name for name in RAW if last[name] >= at)].search(page, at):
+        yield tag
+        at = tag.end()
+
+
 # Elements that can't be part of a drawing, and parts of one that may hold them.
 NOT_DRAWN = BLOCKS - {"title"} | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
 HOLDS = frozenset("foreignobject desc title".split())
@@ -240,7 +264,7 @@ def blocks(page: str, around: int = LAYOUT, anywhere: int = 0) -> list[Block]:
                 links += len(text.strip())
 
     at = drawn = held = 0
-    for tag in TAG.finditer(page):
+    for tag in tags(page):
         if not drawn:
             add(page[at : tag.start()])
         at = tag.end()
@@ -357,18 +381,49 @@ def second_pass(found: list[Block], marked: bool) -> None:
             block.label = first[min(near, key=lambda j: (abs(j - i), first[j] == "bad"))]
 
 
-def _good(page: str, around: int, anywhere: int) -> tuple[str, bool]:
-    """The good blocks, joined by an empty line, and whether the page marks an article."""
-    found = blocks(page, around, anywhere)
-    marked = any(b.article and not b.boilerplate for b in found)
+def judged(found: list[Block], marked: bool) -> list[Block]:
+    """The good blocks by both passes; ``marked``: only an article holds any."""
     for block in found:
         block.label = first_pass(block, marked)
     second_pass(found, marked)
-    return "\n\n".join(b.text for b in found if b.label == "good"), marked
+    return [b for b in found if b.label == "good"]
+
+
+def _size(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found)
+
+
+def _good(page: str, around: int, anywhere: int) -> tuple[str, bool]:
+    """The good blocks, joined by an empty line, and whether they are those of a marked article.
+
+    An article, of which a page may have some for cards, is *the* article only if it holds most of what the rules
+    find good on the page as if nothing were marked.
+    """
+    found = blocks(page, around, anywhere)
+    marked = any(b.article and not b.boilerplate for b in found)
+    good = judged(found, False)
+    if marked:
+        outside = _size([b for b in good if not b.article])
+        inside = judged(found, True)
+        marked = _size(inside) >= outside
+        good = inside if marked else judged(found, False)
+    return "\n\n".join(b.text for b in good), marked
+
+
+def last_resort(page: str, anywhere: int) -> str:
+    """Where the rules find nothing: the longest run of blocks that are neither boilerplate nor links; '' if it is short."""
+    runs: list[list[Block]] = [[]]
+    for block in blocks(page, COMMENT, anywhere):
+        if block.links > MAX_LINK_DENSITY * len(block.text):
+            runs.append([])
+        elif not block.boilerplate:
+            runs[-1].append(block)
+    best = max(runs, key=_size)
+    return "\n\n".join(b.text for b in best) if _size(best) > LONG else ""
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: read once, and again only where names may have hidden it."""
+    """The main text of a page: read once, and again only where names may have hidden it, or no rule finds any."""
     text, marked = _good(page or "", LAYOUT, 0)
     if not marked and page:
         again, marked = _good(page, PART, 0)
@@ -377,7 +432,7 @@ def main_text(page: str | None) -> str:
         if text or not page:
             break
         text, _ = _good(page, around, anywhere)
-    return text
+    return text or last_resort(page or "", LAYOUT)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +175,33 @@ def test_large_products_are_exact():
     for q in (0, 7, 50):
         best = sorted((-sum(int(a) * int(b) for a, b in zip(v[q], x, strict=True)), i) for i, x in enumerate(v) if i != q)[:5]
         assert [(-r["score"], r["vec_id"]) for r in got if r["query_id"] == q] == best
+
+
+STORY = [f"It was the {n} night of the year, and all that he had to say to her was in the letter that she had on the table by the window, where they had been when we last saw them and where it is still." for n in ("first", "second", "third")]
+RUSSIAN = [f"Это была {n} ночь, и никто не знал, что будет дальше с этим старым домом на краю леса, где жили люди." for n in ("тёмная", "бурная", "тихая")]
+CARD = '<article class="card"><h3><a href="/x">More</a></h3><p>It is a short teaser.</p></article>'
+WRAPPERS = ['<div class="entry-content">{}</div>', '<div class="elementor-widget widget">{}</div>', '<main><div class="elementor-widget widget">{}</div></main>', '<div class="story alert">{}</div>', '<div class="layout related-layout">{}</div>', "{}", "<article>{}</article>", '<article class="post"><div class="widget-body">{}</div></article>']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("cards", [("", ""), ("", CARD), ("", '<article class="card"><a href="/x">Go</a></article>'), (CARD, CARD * 3)])
+@pytest.mark.parametrize("story", [STORY, RUSSIAN, ["It was a dark night number %d." % i for i in range(12)]])
+def test_articles_in_any_wrapper(wrapper, cards, story):
+    menu = '<nav><a href="/">Home</a> <a href="/a">About us</a></nav>'
+    if story is not STORY and cards != ("", "") and "article" not in wrapper:
+        pytest.skip("nothing tells a card's words from such a story")
+    page = f"<html><body>{menu}{cards[0]}{wrapper.format(''.join(f'<p>{p}</p>' for p in story))}{cards[1]}<footer>All rights reserved</footer></body></html>"
+    text = main_text(page)
+    assert all(p in text for p in story)
+    assert "Home" not in text and "rights" not in text
+
+
+def test_pages_without_an_article_are_empty():
+    assert main_text('<nav><a href="/">Home</a></nav><p>Short.</p><footer>All of the rights are reserved by us</footer>') == ""
+
+
+@pytest.mark.parametrize("part", ["<iframe>", "<title>", "<p><title>x", "<title>x</title ", "<a href=x>y"])
+def test_long_pages_are_read_once(part):
+    began = time.time()
+    main_text(part * (600_000 // len(part)) + "<p>end")
+    assert time.time() - began < 30
