@@ -24,7 +24,6 @@ Defined cases
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,9 +32,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .json_schema import canonical, errors, read
+from .json_schema import canonical, checked, errors, read
 
-MARKED = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
+MARK, END_MARK = "<tool_call>", "</tool_call>"
 
 
 def _tool(required: str, **properties: dict) -> dict:
@@ -59,9 +58,18 @@ PARSED = (
 )
 
 
+def marked(text: str) -> list[str]:
+    """What stands between marks, in one pass: each mark with the next end behind it."""
+    found, at = [], 0
+    while (start := text.find(MARK, at)) >= 0 and (end := text.find(END_MARK, start + len(MARK))) >= 0:
+        found.append(text[start + len(MARK) : end].strip())
+        at = end + len(END_MARK)
+    return found
+
+
 def calls_in(text: str) -> list[dict]:
     """The calls that a text is or holds."""
-    bodies = MARKED.findall(text)
+    bodies = marked(text)
     if not bodies and text.lstrip()[:1] in ("{", "["):
         bodies = [text]
     found = []
@@ -215,7 +223,7 @@ def format_messages(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, role, n_calls, n_invalid, n_linked, unmatched and json of every message."""
     columns = [F.col(c).cast("long") for c in ("conv_id", "turn")] + [F.col(c).cast("string") for c in ("role", "text")]
     once = turns.select(*columns).distinct().select(F.monotonically_increasing_id().alias("row"), "*")
-    parsed = materialize(once.mapInArrow(_parser(schemas), PARSED), "turns")
+    parsed = materialize(once.mapInArrow(_parser({name: checked(schema) for name, schema in schemas.items()}), PARSED), "turns")
     calls, results = link(parsed.where("kind = 'call'"), parsed.where("kind = 'result'"))
     calls = order(materialize(calls, "calls"))
     status = (

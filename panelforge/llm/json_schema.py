@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
 
 #: Brackets within brackets that a text may have.
 NESTING = 200
@@ -71,10 +72,39 @@ def _same(a: object, b: object) -> bool:
     return a == b
 
 
+def _multiple(value: int | float, of: int | float) -> bool:
+    """Exactly, as the numbers are written: 0.3 is a multiple of 0.1."""
+    return of > 0 and (Fraction(repr(value) if isinstance(value, float) else value) / Fraction(repr(of) if isinstance(of, float) else of)).denominator == 1
+
+
+#: Keywords of schemas that are looked at, and those that say nothing about a value.
+KEYWORDS = frozenset(
+    """
+    type const enum minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern minItems maxItems uniqueItems minProperties
+    maxProperties properties required additionalProperties prefixItems items allOf anyOf oneOf not
+    """.split()
+)
+SILENT = frozenset("$schema $id $comment title description default examples deprecated readOnly writeOnly format contentMediaType contentEncoding".split())
+
+
+def checked(schema: dict | bool) -> dict | bool:
+    """The schema itself; ValueError if it has a keyword that would go unseen, such as ``$ref`` or ``if``."""
+    if isinstance(schema, bool):
+        return schema
+    if not isinstance(schema, dict):
+        raise ValueError(f"a schema is an object or a boolean, not {schema!r}")
+    if unknown := sorted(set(schema) - KEYWORDS - SILENT):
+        raise ValueError(f"keywords of a schema that are not supported: {', '.join(unknown)}")
+    parts = [*schema.get("properties", {}).values(), *schema.get("prefixItems", ()), *(schema[k] for k in ("additionalProperties", "items", "not") if k in schema)]
+    for part in [*parts, *(x for way in ("allOf", "anyOf", "oneOf") for x in schema.get(way, ()))]:
+        checked(part)
+    return schema
+
+
 def _bounds(value, schema: dict) -> list[str]:
     """Names of the bounds of a number, or of a length, that are not kept."""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        kept = {"minimum": lambda b: value >= b, "maximum": lambda b: value <= b, "exclusiveMinimum": lambda b: value > b, "exclusiveMaximum": lambda b: value < b, "multipleOf": lambda b: (value / b).is_integer() if isinstance(value, float) or isinstance(b, float) else value % b == 0}
+        kept = {"minimum": lambda b: value >= b, "maximum": lambda b: value <= b, "exclusiveMinimum": lambda b: value > b, "exclusiveMaximum": lambda b: value < b, "multipleOf": lambda b: _multiple(value, b)}
     elif isinstance(value, str):
         kept = {"minLength": lambda b: len(value) >= b, "maxLength": lambda b: len(value) <= b, "pattern": lambda b: re.search(b, value) is not None}
     elif isinstance(value, list):

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -203,3 +204,25 @@ def test_thousands_of_calls_match_brute_force(spark):
     for r in got:
         calls = [(c["id"], c["status"]) for c in json.loads(r.json)["tool_calls"]]
         assert (r.n_calls, r.n_invalid, r.n_linked, r.unmatched, calls) == want[texts[(r.conv_id, r.turn, r.role)]]
+
+
+def test_marks_are_read_once():
+    assert cf.marked("a <tool_call> x </tool_call><tool_call>\ny <tool_call> z</tool_call> <tool_call> open") == ["x", "y <tool_call> z"]
+    began = time.time()
+    assert cf.marked("<tool_call>" * 500_000) == []
+    assert cf.marked("<tool_call>x</tool_call>" * 200_000) == ["x"] * 200_000
+    assert time.time() - began < 5
+
+
+def test_multiples_are_exact():
+    of = lambda value, number: js.errors(value, {"multipleOf": number})
+    assert of(int("9" * 400), 0.5) == of(0.3, 0.1) == of(1e300, 2) == of(6, 3) == []
+    assert of(0.35, 0.1) and of(7, 2) and of(int("9" * 400), 2)
+
+
+@pytest.mark.parametrize("keyword", ["$ref", "if", "patternProperties", "contains", "dependentRequired", "propertyNames"])
+def test_keywords_that_would_go_unseen_are_refused(keyword):
+    for schema in ({keyword: {}}, {"properties": {"a": {keyword: {}}}}, {"anyOf": [True, {"items": {keyword: {}}}]}):
+        with pytest.raises(ValueError, match="not supported"):
+            js.checked(schema)
+    assert js.checked({"type": "object", "properties": {"if": {"type": "string"}}, "description": "x"})
