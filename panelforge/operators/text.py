@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clamp
 
@@ -26,6 +32,10 @@ CONCEPTS = {
     "航空": ("航空", "客机", "机场"),
 }
 
+# Endings of company names that are no part of the name, and further names of companies.
+SUFFIXES = ("股份有限公司", "有限公司", "股份", "集团", "科技", "控股")
+FURTHER = {"贵州茅台": ("茅台",), "比亚迪": ("BYD",), "中国平安": ("平安",)}
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}0-9]+"), lambda w: w != "")
@@ -72,22 +82,92 @@ def link(articles: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("article_id", "asset_id", F.col("b.alias").alias("alias"), "rank")
 
 
-def link_anywhere(articles: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
-    """article_id, asset_id, alias, rank: as ``link``, for aliases that stand anywhere in the text, as the reference links.
+class Finder:
+    """Where aliases stand: one automaton over all of them, so a text is read once whatever their number."""
+
+    def __init__(self, aliases: list[tuple[int, str]]):
+        self.entries: dict[str, list[tuple[int, str]]] = {}
+        self.numbers: dict[str, list[tuple[int, str]]] = {}
+        for asset, alias in aliases:
+            if alias.isdecimal():
+                self.numbers.setdefault(alias, []).append((asset, alias))
+            elif piece := bare(alias):
+                self.entries.setdefault(piece, []).append((asset, alias))
+        self.machine = ahocorasick.Automaton()
+        for piece in self.entries:
+            self.machine.add_word(piece, piece)
+        if self.entries:
+            self.machine.make_automaton()
+
+    def find(self, text: str) -> dict[int, tuple[int, str]]:
+        """The longest alias of each asset that is in the text, with its length; of equally long ones the last by code points."""
+        hits = [(piece, self.entries[piece]) for piece in ({p for _, p in self.machine.iter(bare(text))} if self.entries else ())]
+        if self.numbers:
+            hits += [(run, self.numbers[run]) for run in set(DIGITS.findall(text)) if run in self.numbers]
+        best: dict[int, tuple[int, str]] = {}
+        for piece, named in hits:
+            for asset, alias in named:
+                best[asset] = max(best.get(asset, (0, "")), (len(piece), alias))
+        return best
+
+
+def bare(text: str) -> str:
+    """In lower case and without white space."""
+    return "".join(text.lower().split())
+
+
+DIGITS = re.compile(r"\d+")
+#: Bytes of aliases that an automaton is built from, at most; more are dealt to several.
+MOST_ALIASES = 8 << 20
+
+
+def _linker(aliases):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(aliases.value)
+        for batch in batches:
+            rows = [(i, asset, n, alias) for i, text in zip(range(batch.num_rows), batch.column("text").to_pylist(), strict=True) for asset, (n, alias) in finder.find(text or "").items()]
+            at, asset, n, alias = zip(*rows, strict=True) if rows else ((), (), (), ())
+            ids = batch.column("article_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(asset, pa.int64()), pa.array(n, pa.int32()), pa.array(alias, pa.string())], names=["article_id", "asset_id", "n", "alias"])
+
+    return run
+
+
+def link_anywhere(articles: DataFrame, aliases: DataFrame, most: int = 8, most_bytes: int = MOST_ALIASES) -> DataFrame:
+    """article_id, asset_id, alias, rank: as ``link``, for aliases that stand anywhere in the text.
 
     An alias of digits is a whole run of digits of the text as it is; any other is part of the lower-cased text, both
-    without white space.  The text's pieces of the lengths that aliases have are joined to aliases by equality.
+    without white space.  The aliases are sent to all tasks once, in parts of at most ``most_bytes`` (an automaton each,
+    and a reading of the texts each), so the work follows the length of the texts and the tasks' memory is bounded.
+    Null and empty texts and aliases link nothing; rows of one article are read together.
     """
-    bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", "")
-    digits = F.col("alias").rlike(r"^(?U)\d+$")
-    known = aliases.select("asset_id", "alias", digits.alias("digits"), F.when(digits, F.col("alias")).otherwise(bare(F.col("alias"))).alias("piece")).where("piece <> ''")
-    sizes = known.where("not digits").agg(F.array_sort(F.collect_set(F.length("piece")))).first()[0]  # as many as there are lengths
-    text = F.coalesce(F.col("text"), F.lit(""))
-    runs = articles.select("article_id", F.lit(True).alias("digits"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(\d+)")))).alias("piece"))
-    each = articles.select("article_id", bare(text).alias("t"), F.explode(F.lit(sizes).cast("array<int>")).alias("n")).where(F.length("t") >= F.col("n"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda at: F.substring(F.col("t"), at, F.col("n")))
-    pieces = each.select("article_id", F.lit(False).alias("digits"), F.explode(F.array_distinct(cut)).alias("piece"))
-    hits = runs.unionByName(pieces).join(known, ["digits", "piece"])
-    one = hits.groupBy("article_id", "asset_id").agg(F.max(F.struct(F.length("piece").alias("n"), F.col("alias"))).alias("b"))
+    context = articles.sparkSession.sparkContext
+    known = aliases.where("asset_id is not null and alias is not null").select(F.col("asset_id").cast("long").alias("asset_id"), "alias").distinct()
+    size = known.agg(F.coalesce(F.sum(F.octet_length("alias") + 32), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most_bytes))
+    texts = articles.select("article_id", "text")
+    schema = T.StructType([texts.schema["article_id"], T.StructField("asset_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("alias", T.StringType())])
+    hits = None
+    for i in range(parts):
+        some = [(r["asset_id"], r["alias"]) for r in known.where(F.pmod(F.xxhash64("asset_id", "alias"), F.lit(parts)) == i).collect()]  # ``most_bytes``, about
+        found = texts.mapInArrow(_linker(context.broadcast(some)), schema)
+        hits = found if hits is None else hits.unionByName(found)
+    one = hits.groupBy("article_id", "asset_id").agg(F.max(F.struct("n", "alias")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("b.n"), "asset_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("article_id", "asset_id", F.col("b.alias").alias("alias"), "rank")
+
+
+def aliases_of(assets: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, further: dict[str, tuple[str, ...]] = FURTHER) -> DataFrame:
+    """asset_id, alias: an asset's name, symbol and lower-cased code, its name without legal suffixes, and ``further`` names.
+
+    ``assets`` has asset_id, name, symbol and code.  Each suffix is taken off once, in order, and what is left counts if
+    it has two letters or more; blank names don't count.
+    """
+    name = F.trim(F.coalesce(F.col("name"), F.lit("")))
+    cut = lambda x, suffix: F.when(F.endswith(x, suffix), F.trim(F.left(x, F.length(x) - F.length(suffix)))).otherwise(x)
+    short = F.aggregate(F.array(*map(F.lit, suffixes)), name, cut) if suffixes else name
+    table = F.create_map(*[x for of, names in further.items() for x in (F.lit(of), F.array(*map(F.lit, names)))]) if further else F.lit(None).cast("map<string,array<string>>")
+    other = F.coalesce(F.element_at(table, name), F.array().cast("array<string>"))
+    known = F.array(name, F.trim("symbol"), F.lower(F.trim("code")), F.when(F.length(short) >= 2, short))
+    each = assets.select("asset_id", F.explode(F.array_distinct(F.concat(known, other))).alias("alias"))
+    return each.where("alias <> ''")

@@ -169,11 +169,11 @@ pk as (select d, asset_id, bottom, row_number() over (partition by d order by bo
 ex as (select b.asset_id, b.d, min(e.d) as exit_d from (select b.* from bars b join pk on pk.asset_id = b.asset_id and pk.d = b.d and pk.rank <= 3) b join bars e on e.asset_id = b.asset_id and e.d >= b.d + 20 and e.d <= b.d + 40 group by 1, 2),
 dj as (select di.*, mid + 2 * dev as upper, mid - 2 * dev as lower, cast(di.c as double) as k, di.c * 1.01::double as up1, 7 as horizon, 'UP' as label, bottom as p, pk.rank, ex.exit_d
        from pk join di on di.asset_id = pk.asset_id and di.d = pk.d join ex on ex.asset_id = pk.asset_id and ex.d = pk.d where pk.rank <= 3), {DECIDE.strip()},
-cand as (select run_id, asset_id, d, rank, exit_d, target, stop from decided, (values (1), (2), (3)) as rn(run_id))"""
+cand as materialized (select run_id, asset_id, d, rank, exit_d, target, stop from decided, (values (1), (2), (3)) as rn(run_id))"""
 
 
 def _runs(s):
-    return s.createDataFrame([(1, 2, 1.0), (2, 5, 0.5), (3, 10, 0.2)], "run_id long, slots long, fraction double")
+    return s.createDataFrame([(1, 2, 1.0, True), (2, 5, 0.5, True), (3, 10, 0.2, False)], "run_id long, slots long, fraction double, stop_target boolean")
 
 
 def backtest(s, d):
@@ -181,6 +181,76 @@ def backtest(s, d):
     return bt.run(x, bars, runs)
 
 
+def resumed_backtest(s, d):
+    """The same runs, stopped after one chunk of days, and taken up again from the written state."""
+    x, bars, runs = candidates(s, d)
+    folder = scratch_path(s, "resumed")
+    bt.run(x, bars, runs, chunk=900, folder=folder, most_chunks=1)
+    return bt.run(x, bars, runs, chunk=900, folder=folder)
+
+
+def backtest_curve(states):
+    cents = lambda c: F.floor(F.col(c) * 100 + 0.5).alias(f"{c}_cents")
+    return bt.curve(states).select("run_id", "d", cents("equity"), cents("cash"), "open_positions", "closed", "wins")
+
+
+def backtest_trades(states):
+    return bt.trades(states).select("run_id", "d", "side", "asset_id", *[F.floor(F.col(c) * 100 + 0.5).alias(f"{c}_e2") for c in ("qty", "price", "fee", "amount", "pnl")], "reason")
+
+
+def backtest_metrics(states):
+    return bt.metrics(bt.curve(states)).select("run_id", *[sc.four(F.col(c)).alias(c) for c in ("total_return", "annualized", "sharpe", "max_drawdown", "win_rate")], "trades")
+
+
+def backtest_sql(select: str) -> str:
+    """The run loop as a recursion over days: one row a run and day with its positions, sales and purchases."""
+    sell, paid = f"(1 - {bt.SLIPPAGE_BPS}::double / 1e4::double)", f"(1 + {bt.FEE}::double)"
+    at = f"(x.c * (1 + {bt.SLIPPAGE_BPS}::double / 1e4::double))"
+    ends = "coalesce(px[x.asset_id] > 0 and ((stop_target and (px[x.asset_id] <= x.stop or px[x.asset_id] >= x.target)) or day >= x.exit_d), false)"
+    body = f"""{CANDIDATES},
+rr as (select * from (values (1, 2, 1.0::double, true), (2, 5, 0.5::double, true), (3, 10, 0.2::double, false)) as rn(run_id, slots, fraction, stop_target)),
+able as (select * from cand where exit_d > d),
+sp as (select distinct run_id, asset_id, cast(unnest(generate_series(d, exit_d, interval 1 day)) as date) as d from able),
+pr as (select run_id, d, map_from_entries(list(struct_pack(a := asset_id, c := c::double))) as px from sp join bars using (asset_id, d) group by 1, 2),
+pi as (select run_id, able.d, list(struct_pack(asset_id := asset_id, c := c::double, exit_d := exit_d, target := target::double, stop := stop::double) order by rank, asset_id) as picks from able left join bars using (asset_id, d) group by 1, 2),
+tl as (select run_id, d, row_number() over (partition by run_id order by d) as no from calendar join (select run_id, min(d) as a, max(exit_d) as z from able group by 1) on d between a and z),
+dy as materialized (select tl.run_id, no, tl.d as day, coalesce(px, map([]::bigint[], []::double[])) as px, coalesce(picks, []) as picks from tl left join pr on pr.run_id = tl.run_id and pr.d = tl.d left join pi on pi.run_id = tl.run_id and pi.d = tl.d),
+st as (select run_id, slots, fraction, stop_target, 0::bigint as no, date '1900-01-01' as day, {bt.CAPITAL}::double as cash, {bt.CAPITAL}::double as equity,
+              []::struct(asset_id bigint, qty double, cost double, buy double, exit_d date, target double, stop double)[] as held,
+              []::struct(asset_id bigint, qty double, c double, cost double, reason varchar)[] as sold,
+              []::struct(asset_id bigint, qty double, cost double, buy double, exit_d date, target double, stop double)[] as bought from rr
+       union all
+       select run_id, slots, fraction, stop_target, no, day, cash, cash + coalesce(list_sum(list_transform(held, lambda x: x.qty * coalesce(px[x.asset_id], x.buy))), 0.0::double), held, sold, bought
+       from (select *, list_concat(kept, bought) as held, cash1 - len(bought) * coalesce(part, 0.0::double) * {paid} as cash
+             from (select *, list_transform(list_filter(chosen, lambda x: coalesce(x.c > 0, false) and part is not null), lambda x: struct_pack(asset_id := x.asset_id, qty := part / {at}, cost := part * {paid}, buy := {at}, exit_d := x.exit_d, target := x.target, stop := x.stop)) as bought
+                   from (select *, case when len(chosen) > 0 and cash1 >= {bt.LEAST_CASH}::double then least(cash1, {bt.CAPITAL}::double * fraction) / len(chosen) / {paid} end as part
+                         from (select *, cash0 + coalesce(list_sum(list_transform(sold, lambda x: x.qty * x.c * {sell} * (1 - {bt.FEE}::double))), 0.0::double) as cash1, picks[1:greatest(slots - len(kept), 0)] as chosen
+                               from (select st.run_id, slots, fraction, stop_target, y.no, y.day, px, picks, cash as cash0, list_filter(held, lambda x: not {ends.replace('day >=', 'y.day >=')}) as kept,
+                                            list_transform(list_filter(held, lambda x: {ends.replace('day >=', 'y.day >=')}), lambda x: struct_pack(asset_id := x.asset_id, qty := x.qty, c := px[x.asset_id], cost := x.cost,
+                                              reason := case when stop_target and px[x.asset_id] <= x.stop then 'STOP_LOSS' when stop_target and px[x.asset_id] >= x.target then 'TARGET_PRICE' else 'SCHEDULED' end)) as sold
+                                     from st join dy y on y.run_id = st.run_id and y.no = st.no + 1)))))),
+curve as (select run_id, day as d, equity, cash, len(held)::bigint as open_positions, len(sold)::bigint as closed, len(list_filter(sold, lambda x: x.qty * x.c * {sell} * (1 - {bt.FEE}::double) - x.cost > 0))::bigint as wins from st where no > 0)
+{select}"""
+    return sql("bars calendar fundamentals flows macro news", body).replace("with ", "with recursive ", 1)
+
+
+CURVE = backtest_sql("select run_id, d, cast(floor(equity * 100 + 0.5) as bigint) as equity_cents, cast(floor(cash * 100 + 0.5) as bigint) as cash_cents, open_positions, closed, wins from curve")
+_E2 = lambda name, x: f"cast(floor({x} * 100 + 0.5) as bigint) as {name}_e2"
+_SOLD = f"x.qty * x.c * (1 - {bt.SLIPPAGE_BPS}::double / 1e4::double)"
+TRADES = backtest_sql(
+    f"select run_id, day as d, 'SELL' as side, x.asset_id as asset_id, {_E2('qty', 'x.qty')}, {_E2('price', f'x.c * (1 - {bt.SLIPPAGE_BPS}::double / 1e4::double)')}, {_E2('fee', f'{_SOLD} * {bt.FEE}::double')}, {_E2('amount', _SOLD)}, "
+    f"{_E2('pnl', f'({_SOLD} * (1 - {bt.FEE}::double) - x.cost)')}, x.reason as reason from (select run_id, day, unnest(sold) as x from st) union all "
+    f"select run_id, day, 'BUY', x.asset_id, {_E2('qty', 'x.qty')}, {_E2('price', 'x.buy')}, {_E2('fee', f'x.cost / (1 + {bt.FEE}::double) * {bt.FEE}::double')}, {_E2('amount', f'x.cost / (1 + {bt.FEE}::double)')}, 0, null from (select run_id, day, unnest(bought) as x from st)"
+)
+METRICS = backtest_sql(
+    f""", ch as (select *, equity / nullif(lag(equity) over w, 0) - 1 as r, 1 - equity / max(equity) over w as fall from curve window w as (partition by run_id order by d)),
+me as (select run_id, arg_max(equity, d) / {bt.CAPITAL}::double - 1 as total, greatest(1, max(d) - min(d)) as days, avg(r) as mean, stddev_pop(r) as dev, count(r) as n, max(fall) as fall, cast(sum(closed) as bigint) as trades, cast(sum(wins) as bigint) as wins from ch group by run_id)
+select run_id, {r4('total')} as total_return, {r4('least(greatest(case when 1 + total <= 0 then -1.0::double else pow(1 + total, 365.0::double / days) - 1 end, -1.0::double), 10.0::double)')} as annualized,
+       {r4('case when n >= 2 and dev > 0 then least(greatest(mean / dev * sqrt(252.0::double), -10.0::double), 10.0::double) else 0.0::double end')} as sharpe, {r4('least(greatest(fall, 0.0::double), 1.0::double)')} as max_drawdown,
+       {r4('case when trades > 0 then wins / trades::double else 0.0::double end')} as win_rate, trades from me"""
+)
+
+
 def comparison(s, d):
     """The market's total and one of equal weights, both from the same base, with drawdowns."""
     bars = panel.bars(s, d)
@@ -317,8 +387,10 @@ QUERIES = {
         lambda s, d: _combined(s, d),
         sql("bars fundamentals flows macro news", f"{HEURISTIC}, p as (select asset_id, d, up as a from hq where horizon = 7), q as (select asset_id, d, bottom as b from factor where bottom >= 0.45), j as (select coalesce(p.asset_id, q.asset_id) as asset_id, coalesce(p.d, q.d) as d, {r4('(coalesce(a, 0.0::double) + coalesce(b, 0.0::double)) / ((a is not null)::int + (b is not null)::int)')} as value from p full join q on p.asset_id = q.asset_id and p.d = q.d) select d, rank, asset_id, value from (select *, row_number() over (partition by d order by value desc, asset_id) as rank from j where value >= 0.4) where rank <= 4"),
     ),
-    "b10_backtest_runs": (backtest, None),
-    "b11_backtest_metrics": (lambda s, d: bt.metrics(backtest(s, d)), None),
+    "b7_backtest_trades": (lambda s, d: backtest_trades(backtest(s, d)), TRADES),
+    "b10_backtest_runs": (lambda s, d: backtest_curve(backtest(s, d)), CURVE),
+    "b11_backtest_metrics": (lambda s, d: backtest_metrics(backtest(s, d)), METRICS),
+    "r8_resumed_backtest": (lambda s, d: backtest_curve(resumed_backtest(s, d)), CURVE),
     "b12_benchmark_coverage": (
         lambda s, d: _covered(s, d),
         sql("bars assets calendar membership fundamentals", f"with {MEMBERS.strip()}, {RET.strip()}, n as (select count(*) as days, count(ret.d) as covered from calendar left join ret using (d)) select days, covered, case when days = covered then 'point_in_time' else 'equal_weight' end as benchmark from n"),

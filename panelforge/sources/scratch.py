@@ -47,3 +47,9 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a folder, by the file system that Spark reads it with."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -1,7 +1,9 @@
 """Hand-computed cases of the operators."""
 
+import re
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -153,13 +155,68 @@ def test_adx_of_a_trend(spark):
     assert got.adx == pytest.approx(100.0) and got.minus_di == 0
 
 
-def test_backtest_closes_at_the_target():
-    d = [pd.Timestamp("2024-01-01") + pd.Timedelta(days=i) for i in range(3)]
-    rows = pd.DataFrame({"run_id": 1, "slots": 1, "fraction": 1.0, "d": d, "asset_id": 7, "c": [10.0, 11.0, 12.0], "candidate": [True, False, False], "rank": [1.0, None, None], "exit_d": [d[1], pd.NaT, pd.NaT], "target": [20.0, None, None], "stop": [5.0, None, None]})
-    got = bt.fold(rows)
-    assert got["closed"].tolist() == [0, 1, 0] and got["wins"].tolist() == [0, 1, 0]
+CANDS = "run_id long, d date, asset_id long, rank long, exit_d date, target double, stop double"
+RUNS = "run_id long, slots long, fraction double, stop_target boolean"
+
+
+def test_backtest_closes_at_the_target(spark, tmp_path):
+    days = [DAY + timedelta(i) for i in range(4)]
+    prices = spark.createDataFrame([(7, d, c) for d, c in zip(days, [10.0, 11.0, 12.0, 13.0], strict=True)], "asset_id long, d date, c double")
+    picks = spark.createDataFrame([(k, days[0], 7, 1, days[2], 11.0, 5.0) for k in (1, 2)] + [(3, days[0], 7, 1, days[1], 9.5, 10.5), (4, days[0], 7, 1, days[0], 1.0, 1.0)], CANDS)
+    runs = spark.createDataFrame([(1, 1, 1.0, True), (2, 1, 1.0, False), (3, 1, 0.5, True), (4, 1, 1.0, True)], RUNS)
+    states = bt.run(picks, prices, runs)
+    got = {(r.run_id, r.d): r for r in bt.curve(states).collect()}
+    assert [got[1, d].closed for d in days[:3]] == [0, 1, 0] and [got[2, d].closed for d in days[:3]] == [0, 0, 1]
     paid = 10 * 1.0005
-    assert got["equity"].iloc[-1] == pytest.approx(100000 / 1.001 / paid * 11 * 0.9995 * 0.999, rel=1e-9)
+    assert got[1, days[1]].equity == pytest.approx(100000 / 1.001 / paid * 11 * 0.9995 * 0.999, rel=1e-12)
+    assert got[2, days[1]].equity == pytest.approx(100000 / 1.001 / paid * 11, rel=1e-12)
+    sold = {r.run_id: r.reason for r in bt.trades(states).collect() if r.side == "SELL"}
+    assert sold == {1: "TARGET_PRICE", 2: "SCHEDULED", 3: "TARGET_PRICE"}  # a candidate that exits on its day is never bought
+    assert not [r for r in got if r[0] == 4]
+
+
+def by_hand(days, prices, picks, slots, fraction):
+    """The run loop as a plain loop."""
+    cash, held, out = 100000.0, [], []
+    for d in days:
+        kept, closed, wins = [], 0, 0
+        for x in held:
+            c = prices.get((x["asset"], d))
+            if c is None or not (c <= x["stop"] or c >= x["target"] or d >= x["exit"]):
+                kept.append(x)
+                continue
+            got = x["qty"] * c * 0.9995 * 0.999
+            cash, closed, wins = cash + got, closed + 1, wins + (got > x["cost"])
+        held = kept
+        chosen = picks.get(d, [])[: max(0, slots - len(held))]
+        if chosen and cash >= 0.01:
+            part = min(cash, 100000 * fraction) / len(chosen) / 1.001
+            for asset, exit_d, target, stop in chosen:
+                if (c := prices.get((asset, d))) is not None:
+                    cash -= part * 1.001
+                    held.append({"asset": asset, "qty": part / (c * 1.0005), "cost": part * 1.001, "buy": c * 1.0005, "exit": exit_d, "target": target, "stop": stop})
+        out.append((d, cash + sum(x["qty"] * prices.get((x["asset"], d), x["buy"]) for x in held), cash, len(held), closed, wins))
+    return out
+
+
+def test_a_stopped_backtest_goes_on_where_it_ended(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    days = [DAY + timedelta(i) for i in range(30)]
+    prices = {(a, d): float(np.round(20 + 3 * rng.normal(), 2)) for a in range(6) for d in days if rng.random() < 0.85}
+    picks = {d: [(int(a), days[min(29, i + int(rng.integers(1, 6)))], 23.0, 17.0) for a in rng.permutation(6)[:3]] for i, d in enumerate(days[:-1])}
+    bars = spark.createDataFrame([(a, d, c) for (a, d), c in prices.items()], "asset_id long, d date, c double")
+    rows = [(run, d, a, k, e, t, s) for run in (1, 2) for d, some in picks.items() for k, (a, e, t, s) in enumerate(some)]
+    cands, runs = spark.createDataFrame(rows, CANDS), spark.createDataFrame([(1, 4, 1.0, True), (2, 2, 0.3, True)], RUNS)
+    whole = sorted(map(tuple, bt.curve(bt.run(cands, bars, runs)).collect()))
+    for run, slots, fraction in ((1, 4, 1.0), (2, 2, 0.3)):
+        want = by_hand(days, prices, picks, slots, fraction)
+        got = [r[1:] for r in whole if r[0] == run]
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[3:] for g in got] == [w[3:] for w in want]
+        assert np.allclose([g[1:3] for g in got], [w[1:3] for w in want], rtol=1e-12, atol=1e-6)
+    folder = f"file://{tmp_path}/run"
+    for stop in (1, 2, 1, None):
+        states = bt.run(cands, bars, runs, chunk=7, folder=folder, most_chunks=stop)
+    assert sorted(map(tuple, bt.curve(states).collect())) == whole
 
 
 def test_metrics_and_rebase(spark):
@@ -198,6 +255,35 @@ def test_aliases_are_linked_anywhere_in_the_text(spark):
     assert [r.asset_id for r in tx.link_anywhere(docs, aliases).where("article_id = 6").orderBy("rank").collect()] == list(range(10, 18))
 
 
+def test_aliases_in_several_parts_link_the_same(spark):
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("abC1 ")) for _ in range(n))
+    texts = [(i, word(60)) for i in range(40)] + [(0, "second row of an article a1b")]
+    names = [(k, word(int(rng.integers(1, 5)))) for k in range(60)]
+    docs, aliases = spark.createDataFrame(texts, "article_id long, text string"), spark.createDataFrame(names, "asset_id long, alias string")
+    best = {}
+    for i, text in texts:
+        low = "".join(text.lower().split())
+        for asset, alias in names:
+            piece = alias if alias.isdigit() else "".join(alias.lower().split())
+            if piece and (re.search(rf"(?<![0-9]){alias}(?![0-9])", text) if alias.isdigit() else piece in low):
+                best[i, asset] = max(best.get((i, asset), (0, "")), (len(piece), alias))
+    want = {}
+    for (i, asset), (n, alias) in best.items():
+        want.setdefault(i, []).append((-n, asset, alias))
+    want = sorted((i, asset, alias, k + 1) for i, hits in want.items() for k, (_, asset, alias) in enumerate(sorted(hits)[:8]))
+    for most in (1, 10**6):
+        assert sorted(map(tuple, tx.link_anywhere(docs, aliases, most_bytes=600 if most == 1 else most).collect())) == want
+
+
+def test_aliases_of_a_company(spark):
+    rows = [(1, "比亚迪股份有限公司", "002594", "002594.SZ"), (2, "贵州茅台", "600519", "600519.SH"), (3, "A集团", "3", None), (4, None, " 4 ", "4.X"), (5, "中国科技集团", "5", "5.Y")]
+    got = {}
+    for r in tx.aliases_of(spark.createDataFrame(rows, "asset_id long, name string, symbol string, code string")).collect():
+        got.setdefault(r.asset_id, set()).add(r.alias)
+    assert got == {1: {"比亚迪股份有限公司", "比亚迪", "002594", "002594.sz"}, 2: {"贵州茅台", "茅台", "600519", "600519.sh"}, 3: {"A集团", "3"}, 4: {"4", "4.x"}, 5: {"中国科技集团", "中国", "5", "5.y"}}
+
+
 def test_alert_cooldown(spark):
     ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h) for h in (0, 1, 6, 7, 13)]
     events = spark.createDataFrame(pd.DataFrame({"event_type": "a", "event_id": range(5), "ts": ts, "value": 99.0}), "event_type string, event_id long, ts timestamp_ntz, value double")
