@@ -74,14 +74,16 @@ def _all_aliases(s, d):
     return names.groupBy("alias").agg(F.min("asset_id").alias("asset_id")).select("asset_id", "alias").unionByName(tx.aliases_of(known))
 
 
-ALIAS_LINKS = r"""with al as (
-  select min(item_id % 50 + 1) as asset_id, a as alias from (select item_id, unnest(string_split_regex(lower(text), '[^\p{L}0-9]+')) as a from benchmark) where a <> '' group by a
+def alias_links(texts: str = "news", which: str = "true") -> str:
+    """CTEs up to lk (article_id, asset_id, alias, rank): the aliases for which ``which`` holds in the texts of a CTE."""
+    return rf"""al as (
+  select min(item_id % 50 + 1) as asset_id, a as alias from (select item_id, unnest(string_split_regex(lower(text), '[^\p{{L}}0-9]+')) as a from benchmark) where a <> '' group by a
   union select asset_id, unnest([symbol, lpad(asset_id::varchar, 6, '0'), lpad(asset_id::varchar, 6, '0') || '.sz']) from assets),
-pc as (select asset_id, alias, regexp_full_match(alias, '[0-9]+') as digits, case when regexp_full_match(alias, '[0-9]+') then alias else regexp_replace(lower(alias), '\s+', '', 'g') end as piece from al),
-tx as (select article_id, regexp_replace(lower(text), '\s+', '', 'g') as t, text from news where text is not null),
+pc as (select *, case when digits then alias else regexp_replace(lower(alias), '\s+', '', 'g') end as piece from (select *, regexp_full_match(alias, '[0-9]+') as digits from al) where {which}),
+tx as (select article_id, regexp_replace(lower(text), '\s+', '', 'g') as t, text from {texts} where text is not null),
 hit as (select article_id, asset_id, alias, length(piece) as n from tx join pc on case when digits then regexp_matches(text, '(^|[^0-9])' || piece || '($|[^0-9])') else contains(t, piece) end),
-one as (select article_id, asset_id, max(n) as n, arg_max(alias, (n, alias)) as alias from hit group by 1, 2)
-select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"""
+one as (select article_id, asset_id, max(n) as n, arg_max(alias, (n, alias)) as alias from hit group by 1, 2),
+lk as (select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8)"""
 
 
 QUERIES = {
@@ -270,7 +272,7 @@ QUERIES = {
         lambda s, d: tx.link(panel.news(s, d), _aliases(s, d)),
         sql("news", rf"with {WORDS.strip()}, al as (select a as alias, min(item_id % 50 + 1) as asset_id from (select item_id, unnest(string_split_regex(lower(text), '[^\p{{L}}0-9]+')) as a from benchmark) where length(a) >= 8 group by 1), hit as (select distinct article_id, alias, asset_id from (select article_id, unnest(list_distinct(w)) as alias from tok) join al using (alias)), one as (select article_id, asset_id, max(length(alias)) as n, arg_max(alias, (length(alias), alias)) as alias from hit group by 1, 2) select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"),
     ),
-    "j17_alias_links": (lambda s, d: tx.link_anywhere(panel.news(s, d), _all_aliases(s, d)), sql("news assets", ALIAS_LINKS)),
+    "j17_alias_links": (lambda s, d: tx.link_anywhere(panel.news(s, d), _all_aliases(s, d)), sql("news assets", f"with {alias_links()} select * from lk")),
     "m23_neutral_fill": (
         lambda s, d: _filled(s, d),
         sql("news assets", f"with {SENT.strip()}, sc as (select article_id % 50 + 1 as asset_id, sum(cast(floor(s * 1000000 + 0.5) as bigint)) as m, count(*) as n from sent group by 1) select asset_id, coalesce(cast(floor(cast(m as double) / (n * 100.0::double) + 0.5) as bigint), 0) as mean_e4, coalesce(n, 0) as n from assets left join sc using (asset_id) where active"),

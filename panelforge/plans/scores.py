@@ -173,10 +173,6 @@ QUERIES = {
         sql("macro", "with " + PHASES.strip() + ", ev as (select *, case when month(date) % 3 = 0 then 'trade_war' when month(date) % 3 = 1 then 'rate_cut_cycle' else '' end as event from ph), wt as (select *, " + ", ".join(f"({case('phase', sc.PHASE_WEIGHTS, 0, k)}) * ({case('event', sc.EVENT_FACTORS, 1.0, k)}) as w{k}" for k in range(3)) + f" from ev) select date, phase, event, {r4('w0 / (w0 + w1 + w2)')} as financial, {r4('w1 / (w0 + w1 + w2)')} as flow, {r4('w2 / (w0 + w1 + w2)')} as technical from wt"),
     ),
     "m7_heuristic_predictions": (predictions, sql("bars fundamentals flows macro news", f"{HEURISTIC} select asset_id, d, horizon, macro_phase, up, flat, down, label, {r4('greatest(0.0::double, least(1.0::double, 0.5::double + o[1] - o[2]))')} as confidence from hq")),
-    "m16_ensemble_weights": (
-        lambda s, d: _ensemble(s, d),
-        sql("bars", "with a as (select asset_id % 3 as fam, count(*) filter (where v % 3 = 0) as good, count(*) as n from bars group by 1), b as (select fam, cast(good as double) / n as accuracy, sum(cast(good as double) / n) over () as total from a) select fam as family, " + r4("accuracy") + " as accuracy, " + r4("accuracy / total") + " as weight from b"),
-    ),
     "w27_importance_pruning": (
         lambda s, d: prune_plan(_importances(s, d)),
         sql("bars", f"with {IMPORTANCES}, r as (select model, importance, row_number() over w as rank, sum(importance) over (w rows between unbounded preceding and current row) as cum, sum(importance) over (partition by model) as total from imp window w as (partition by model order by importance desc, feature)), n as (select model, " + ", ".join(f"min(case when cum * 100 >= {x} * total then rank end) as need_{x}" for x in (80, 85, 90)) + ", count(*) as n from r group by model) select *, cast(least(n, greatest(20, least(25, need_80))) as integer) as keep from n"),
@@ -205,12 +201,6 @@ QUERIES = {
 }
 
 
-def _ensemble(s, d):
-    a = panel.bars(s, d).groupBy((F.col("asset_id") % 3).alias("family")).agg((F.count_if(F.col("v") % 3 == 0) / F.count(F.lit(1)).cast("double")).alias("x"))
-    total = a.agg(F.sum("x").alias("total"))
-    return a.crossJoin(F.broadcast(total)).select("family", sc.four(F.col("x")).alias("accuracy"), sc.four(F.col("x") / F.col("total")).alias("weight"))
-
-
 def _reranked(s, d):
     first = sc.top_k(predictions(s, d).where("horizon = 7"), 6, F.desc("up"), F.asc("asset_id"))
     value = sc.four(F.col("up") * sc.macro_multiplier(F.col("macro_phase"), F.col("up")))
