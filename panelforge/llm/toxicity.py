@@ -153,7 +153,7 @@ class Features:
             values.append(weight)
         self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         #: Weight of each subsequence in each landmark.
-        self.table = np.zeros((len(self.keys) + 1, len(landmarks)), np.float32)
+        self.table = np.zeros((len(self.keys), len(landmarks)))
         np.add.at(self.table, (at, np.concatenate(rows)), np.concatenate(values))
         self.memory: dict[str, list[tuple[int, float]] | None] = {}
         self.older: dict[str, list[tuple[int, float]] | None] = {}
@@ -168,9 +168,9 @@ class Features:
         at[at == len(self.keys)] = 0
         word, column = np.nonzero(self.keys[at] == found)
         if len(word):
-            parts = self.table[at[word, column]] * weight[column, None].astype(np.float32)
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            out[word[first]] = np.add.reduceat(parts, first)
+            met, entry = np.unique(at[word, column], return_inverse=True)
+            each = np.bincount(word * len(met) + entry, weights=weight[column], minlength=len(codes) * len(met))
+            out[:] = each.reshape(len(codes), len(met)) @ self.table[met]
         return out
 
     def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ class Features:
                     some[0].append(part)
                     some[1].append(token)
         for n, (words, owners) in parts.items():
-            step = max(64, 2_000_000 // (n * n * n + 1))
+            step = max(64, 500_000 // (n * n * n + 1))
             for at in range(0, len(words), step):
                 w, m, value = self.near(code(words[at : at + step], n))
                 for i, j, v in zip(w.tolist(), m.tolist(), value.tolist(), strict=True):
