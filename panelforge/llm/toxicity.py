@@ -59,6 +59,8 @@ MEMORY = 200_000
 #: Letters of a subsequence are packed into one number.
 BITS = np.uint64(21)
 PAIRS = 4096
+#: More than a model has landmarks.
+FEW = 4096
 NOT_LETTER = re.compile(r"[\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 
@@ -155,8 +157,7 @@ class Features:
         #: Weight of each subsequence in each landmark.
         self.table = np.zeros((len(self.keys), len(landmarks)))
         np.add.at(self.table, (at, np.concatenate(rows)), np.concatenate(values))
-        self.memory: dict[str, list[tuple[int, float]] | None] = {}
-        self.older: dict[str, list[tuple[int, float]] | None] = {}
+        self.memory, self.older = Known(), Known()
 
     def kernels(self, codes: np.ndarray) -> np.ndarray:
         """Kernels of words of one length with all landmarks."""
@@ -189,48 +190,70 @@ class Features:
         return w[good], m[good], value[good]
 
     def _learn(self, new: list[str]) -> None:
-        """Remember the similarities of tokens with landmarks; None where all are about 0."""
-        memory = self.memory
-        parts: dict[int, tuple[list[str], list[str]]] = {}
-        for token in new:
-            memory[token] = None
+        """Remember the similarities of tokens with landmarks, the largest of a long token's parts; most have none."""
+        parts: dict[int, tuple[list[str], list[int]]] = {}
+        for owner, token in enumerate(new):
             word = letters(token)
             if len(word) >= LENGTH:
                 for at in range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2):
                     part = word[at : at + WINDOW]
                     some = parts.setdefault(len(part), ([], []))
                     some[0].append(part)
-                    some[1].append(token)
+                    some[1].append(owner)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for n, (words, owners) in parts.items():
-            step = max(64, 500_000 // (n * n * n + 1))
+            step = max(64, min(512, 500_000 // (n * n * n + 1)))
+            of = np.array(owners)
             for at in range(0, len(words), step):
                 w, m, value = self.near(code(words[at : at + step], n))
-                for i, j, v in zip(w.tolist(), m.tolist(), value.tolist(), strict=True):
-                    token = owners[at + i]
-                    if memory[token] is None:
-                        memory[token] = []
-                    memory[token].append((j, v))
+                found.append((of[at + w], m, value.astype(np.float32)))
+        owner, m, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.memory.add(new, owner, m, value)
 
     def of(self, texts: list[str]) -> np.ndarray:
         """One row a text: the largest kernel with each landmark."""
         split = [set(tokens(t)) for t in texts]
         met = set().union(*split)
-        if len(self.memory) + len(met) > MEMORY:  # what was not met since the last time is forgotten
-            self.memory, self.older = {}, self.memory
-        new = met - self.memory.keys()
-        again = new & self.older.keys()
-        self.memory |= {w: self.older[w] for w in again}
-        self._learn(sorted(new - again))
+        if len(self.memory.at) + len(met) > MEMORY:  # what was not met since the last time is forgotten
+            self.memory, self.older = Known(), self.memory
+        new = met - self.memory.at.keys()
+        again = sorted(new & self.older.at.keys())
+        self.memory.add(again, *self.older.of(again))
+        self._learn(sorted(new.difference(again)))
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
-        get = self.memory.get
         for i, x in enumerate(split):
-            for near in filter(None, map(get, x)):
-                for m, value in near:
-                    if value > out[i, m]:
-                        out[i, m] = value
+            _, m, value = self.memory.of(x)
+            np.maximum.at(out[i], m, value)
         return out
 
 
+class Known:
+    """Similarities of tokens with landmarks: for each token where its entries begin in two arrays, and how many it has."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.m, self.value = np.zeros(0, np.int16), np.zeros(0, np.float32)
+
+    def add(self, names: list[str], owner: np.ndarray, m: np.ndarray, value: np.ndarray) -> None:
+        """New tokens, and entries by their number; of one token and landmark the largest counts."""
+        order = np.lexsort((-value, m, owner))
+        owner, m, value = owner[order], m[order], value[order]
+        first = np.append(True, (owner[1:] != owner[:-1]) | (m[1:] != m[:-1]))[: len(owner)]
+        owner = owner[first]
+        counts = np.bincount(owner, minlength=len(names))
+        starts = len(self.m) + np.cumsum(counts) - counts
+        self.at.update(zip(names, np.where(counts > 0, starts * FEW + counts, 0).tolist(), strict=True))
+        self.m, self.value = np.concatenate([self.m, m[first].astype(np.int16)]), np.concatenate([self.value, value[first]])
+
+    def of(self, names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the name, landmark and similarity of all entries of the names."""
+        where = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        counts = where % FEW
+        begin = np.cumsum(counts) - counts
+        index = np.arange(int(counts.sum())) + np.repeat(where // FEW - begin, counts)
+        return np.repeat(np.arange(len(where)), counts), self.m[index], self.value[index]
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Weights, the last of them the offset, of a linear machine with squared hinge loss and balanced classes.
 
