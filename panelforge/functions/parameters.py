@@ -6,6 +6,9 @@ import re
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 HORIZONS = (3, 7, 30)
 
 
@@ -85,3 +88,20 @@ class Backtest:
 
     def aligned(self) -> Backtest:
         return Backtest(self.start, self.end, self.capital, self.slots, self.fraction, aligned_horizon(self.metric, self.horizon), self.metric, self.top)
+
+
+def backtest_errors() -> Column:
+    """What is wrong with the runs of a table (start, end, capital, slots, fraction, horizon, top), as ``Backtest.checked`` says.
+
+    A null is wrong wherever a value is needed.
+    """
+    rules = {
+        "start is not before end": F.col("start") < F.col("end"),
+        "capital is not above 0": F.col("capital") > 0,
+        "slots are not within 1 and 100": F.col("slots").between(1, 100),
+        "fraction is not within 0 and 1": (F.col("fraction") > 0) & (F.col("fraction") <= 1),
+        f"horizon is none of {', '.join(map(str, HORIZONS))}": F.col("horizon").isin(*HORIZONS),
+        "top is not above 0": F.col("top") >= 1,
+    }
+    found = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(None)).otherwise(F.lit(text)) for text, rule in rules.items()])
+    return F.filter(found, lambda text: text.isNotNull())

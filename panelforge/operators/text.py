@@ -58,7 +58,7 @@ def sentiment(articles: DataFrame, positive: tuple[str, ...] = POSITIVE, negativ
             "positive": F.when(some, F.greatest(F.lit(0.0), "sentiment")).otherwise(third),
             "negative": F.when(some, F.greatest(F.lit(0.0), -F.col("sentiment"))).otherwise(third),
             "neutral": F.when(some, 1 - F.abs("sentiment")).otherwise(third),
-            "label": F.when(F.col("sentiment") > 0.15, "POSITIVE").when(F.col("sentiment") < -0.15, "NEGATIVE").otherwise("NEUTRAL"),
+            "label": F.when(F.col("sentiment") >= 0.15, "POSITIVE").when(F.col("sentiment") <= -0.15, "NEGATIVE").otherwise("NEUTRAL"),
         }
     )
 

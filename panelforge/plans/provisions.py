@@ -107,7 +107,8 @@ def _screened(s, d):
 
 def _aligned(s, d):
     run = Backtest(date(1997, 1, 1), date(1998, 12, 31), horizon=3, metric="up_prob_30d").aligned()
-    assert not run.checked()
+    if wrong := run.checked():
+        raise ValueError("; ".join(wrong))
     picks = predictions(s, d).where(F.col("horizon") == run.horizon).where(F.col("d").between(str(run.start), str(run.end)))
     return sc.top_k(picks, run.top, F.desc("up"), F.asc("asset_id")).select("d", "rank", "asset_id", "up")
 

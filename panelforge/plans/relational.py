@@ -262,7 +262,7 @@ QUERIES = {
     # text
     "m20_lexicon_sentiment": (
         lambda s, d: lexicon.sentiment(_articles(s, d)).select("article_id", "n", "pos", "neg", *[F.floor(F.col(c) * 10000 + 0.5).alias(c) for c in ("sentiment", "positive", "neutral", "negative")], "label"),
-        sql("news", f"with {SENT.strip()} select article_id, n, pos, neg, cast(floor(s * 10000 + 0.5) as bigint) as sentiment, cast(floor((case when n > 0 then greatest(0.0::double, s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as positive, cast(floor((case when n > 0 then 1 - abs(s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as neutral, cast(floor((case when n > 0 then greatest(0.0::double, -s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as negative, case when s > 0.15 then 'POSITIVE' when s < -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label from sent"),
+        sql("news", f"with {SENT.strip()} select article_id, n, pos, neg, cast(floor(s * 10000 + 0.5) as bigint) as sentiment, cast(floor((case when n > 0 then greatest(0.0::double, s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as positive, cast(floor((case when n > 0 then 1 - abs(s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as neutral, cast(floor((case when n > 0 then greatest(0.0::double, -s) else {1 / 3!r}::double end) * 10000 + 0.5) as bigint) as negative, case when s >= 0.15 then 'POSITIVE' when s <= -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label from sent"),
     ),
     "m22_concept_tags": (
         lambda s, d: lexicon.tags(panel.news(s, d)).select("article_id", F.array_join("tags", ",").alias("tags")),

@@ -253,7 +253,7 @@ QUERIES = {
     ),
     "m21_sentiment_labels": (
         lambda s, d: lexicon.sentiment(_articles(s, d)).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")),
-        sql("news", f"with {SENT.strip()} select source, case when s > 0.15 then 'POSITIVE' when s < -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label, count(*) as n from sent group by 1, 2"),
+        sql("news", f"with {SENT.strip()} select source, case when s >= 0.15 then 'POSITIVE' when s <= -0.15 then 'NEGATIVE' else 'NEUTRAL' end as label, count(*) as n from sent group by 1, 2"),
     ),
     "m8_label_counts": (
         lambda s, d: predictions(s, d).groupBy("horizon", "label").agg(F.count(F.lit(1)).alias("n")),

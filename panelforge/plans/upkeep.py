@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parameters import backtest_errors
 from ..operators import contexts as ctx
 from ..operators import serving
 from ..sources import panel
@@ -82,7 +83,29 @@ def registered(s, d):
     return serving.registry(serving.stored(s, folder, serving.REGISTRATION))
 
 
+def checked_runs(s, d):
+    """Runs as the orders would ask for them, with what is wrong with each."""
+    o, key = panel.table(s, d, "orders"), F.col("o_orderkey")
+    runs = o.select(
+        key.alias("run_id"),
+        F.to_date("o_orderdate").alias("start"),
+        F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 5 - 1).cast("int")).alias("end"),
+        (F.col("o_custkey") % 50 - 2).alias("capital"),
+        (key % 104).alias("slots"),
+        ((F.col("o_custkey") % 12) / 10.0).alias("fraction"),
+        F.element_at(F.array(*map(F.lit, (3, 7, 30, 5))), (key % 4 + 1).cast("int")).alias("horizon"),
+        (F.col("o_custkey") % 7).alias("top"),
+    )
+    return runs.select("run_id", F.array_join(backtest_errors(), "; ").alias("errors"))
+
+
 QUERIES = {
+    "b15_parameter_checks": (
+        checked_runs,
+        "with r as (select o_orderkey as run_id, o_custkey % 5 - 1 as days, o_custkey % 50 - 2 as capital, o_orderkey % 104 as slots, (o_custkey % 12) / 10.0::double as fraction, [3, 7, 30, 5][o_orderkey % 4 + 1] as horizon, o_custkey % 7 as top from orders) "
+        "select run_id, array_to_string(list_filter([case when days <= 0 then 'start is not before end' end, case when capital <= 0 then 'capital is not above 0' end, case when slots not between 1 and 100 then 'slots are not within 1 and 100' end, "
+        "case when not (fraction > 0 and fraction <= 1) then 'fraction is not within 0 and 1' end, case when horizon not in (3, 7, 30) then 'horizon is none of 3, 7, 30' end, case when top < 1 then 'top is not above 0' end], lambda x: x is not null), '; ') as errors from r",
+    ),
     "m32_context_patch": (
         context_patch,
         sql(
