@@ -18,7 +18,7 @@ from . import lexicon
 from .cte import sql
 from .joins import CONTEXTS, MEMBERS, RET, contexts
 from .relational import ASSET_WEEK, asset_week
-from .scores import DAY_SENTIMENT, DECIDE, FACTORS, HEURISTIC, INPUTS, PHASES, case, day_sentiment, factors, macro_months, predictions
+from .scores import DAY_SENTIMENT, DECIDE, FACTORS, HEURISTIC, INPUTS, PHASES, case, day_sentiment, factors, macro_months, newest_days, predictions
 from .windows import RSI, W, lag, mean_sql, r4, spread_sql
 from .windows import _ema as ema_sql
 
@@ -26,17 +26,19 @@ from .windows import _ema as ema_sql
 def board(s, d):
     """Each active asset's newest bar, factors, predictions by horizon, RSI, bands, averages, MACD, RS score and sentiment.
 
-    All parts are one row an asset, from aggregates that keep the newest row.
+    All parts are one row an asset, from aggregates that keep the newest row.  Factors and predictions are worked out for
+    those days only that are an asset's newest: an asset without a prediction on its newest day has none before.
     """
     bars = panel.shared_bars(s, d)
     newest = lambda x: pit.latest(x, "asset_id", "d").drop("d")
     out = pit.latest(bars, "asset_id", "d").select("asset_id", F.col("d").alias("bar_d"), "c")
     out = out.join(panel.assets(s, d).where("active").select("asset_id", "symbol", "market"), "asset_id")
     newest_of = lambda c, h: F.max_by(c, F.when(F.col("horizon") == h, F.col("d")))
-    ups = predictions(s, d).groupBy("asset_id").agg(*[newest_of("up", h).alias(f"up_{h}") for h in (3, 7, 30)], newest_of("label", 7).alias("label_7"))
+    days = newest_days(s, d)
+    ups = predictions(s, d, days).groupBy("asset_id").agg(*[newest_of("up", h).alias(f"up_{h}") for h in (3, 7, 30)], newest_of("label", 7).alias("label_7"))
     week = pit.latest(asset_week(s, d), "asset_id", "published").select("asset_id", F.floor(F.col("x") * 10000 + 0.5).alias("sentiment_e4"))
     parts = [
-        newest(factors(s, d).select("asset_id", "d", "composite", "bottom")),
+        newest(factors(s, d, days).select("asset_id", "d", "composite", "bottom")),
         newest(ind.rsi_columns(bars).select("asset_id", "d", sc.four(F.col("rsi")).alias("rsi"))),
         newest(ind.bollinger(bars).select("asset_id", "d", "middle", "upper", "lower")),
         newest(ind.sma(bars).select("asset_id", "d", "sma_20", "sma_50")),
@@ -88,13 +90,14 @@ board as (select asset_id, bar_d, lb.c, symbol, market, composite, bottom, rsi,
 
 def bottom_candidates(s, d):
     """Newest factor rows re-weighted by the current macro phase, with the 7-day prediction."""
-    newest = pit.latest(factors(s, d), "asset_id", "d")
+    days = newest_days(s, d)
+    newest = pit.latest(factors(s, d, days), "asset_id", "d")
     months = panel.macro(s, d).where("pmi is not null")
     slope = F.col("pmi") - F.lag("pmi").over(Window.orderBy("date"))
     now = months.withColumn("phase", sc.phase(F.col("pmi"), slope, F.col("non_pmi"), F.col("cpi10") / 10.0)).agg(F.max_by("phase", "date").alias("phase"))
     x = newest.crossJoin(F.broadcast(now)).withColumn("w", sc.phase_weights(F.col("phase"), F.lit("")))
     value = sc.four(F.col("fundamental") * F.col("w.financial") + F.col("flow") * F.col("w.flow") + F.col("technical") * F.col("w.technical"))
-    p = pit.latest(predictions(s, d).where("horizon = 7"), "asset_id", "d").select("asset_id", "up", "label")
+    p = pit.latest(predictions(s, d, days).where("horizon = 7"), "asset_id", "d").select("asset_id", "up", "label")
     x = x.withColumn("value", value).join(p, "asset_id", "left")
     return x.orderBy(F.desc("value"), "asset_id").limit(20).select("asset_id", "d", "phase", "value", "up", "label")
 

@@ -60,9 +60,18 @@ factor as materialized (select asset_id, d, {r4('1 - pe_rank')} as pe_percentile
                   {r4('greatest(0.0::double, least(1.0::double, 0.4::double * fundamental + 0.3::double * flow + 0.3::double * technical))')} as bottom from fa)"""
 
 
-def factors(s, d):
+def newest_days(s, d):
+    """d: the days that are some asset's newest; ranks of a day are over all assets, so these days suffice for newest rows."""
+    return panel.shared_bars(s, d).groupBy("asset_id").agg(F.max("d").alias("d")).select("d").distinct()
+
+
+def factors(s, d, days=None):
+    """Factor scores of all days, or of ``days`` (d, no more than the calendar has)."""
     bars = panel.shared_bars(s, d)
-    return sc.factor_scores(bars.select("asset_id", "d"), panel.fundamentals(s, d), ind.flow_windows(panel.flows(s, d)), sc.technical_reversal(bars))
+    rows = bars.select("asset_id", "d")
+    if days is not None:
+        rows = rows.join(F.broadcast(days), "d", "left_semi")
+    return sc.factor_scores(rows, panel.fundamentals(s, d), ind.flow_windows(panel.flows(s, d)), sc.technical_reversal(bars))
 
 
 def decisions_in(s, d):
@@ -106,15 +115,17 @@ ds as materialized (select published, {r4('cast(sum(cast(floor(s * 1000000 + 0.5
 da as materialized (select c.d, ds.sentiment from (select distinct d from bars) c asof join ds on c.d >= ds.published)"""
 
 
-def heuristics_in(s, d):
-    """Every bar: momentum, newest sentiment of the market, RS score, bottom probability, phase of the month, by horizon.
+def heuristics_in(s, d, days=None):
+    """Every bar, or those of ``days``: momentum, newest sentiment of the market, RS score, bottom probability, phase of the month, by horizon.
 
     Sentiment and phase have one row a day or month, and are broadcast.
     """
     bars = panel.shared_bars(s, d)
     mom = ind.momentum(bars).select("asset_id", "d", F.col("mom_5d").alias("mom5"))
     rs = cs.rs_score(bars).select("asset_id", "d", F.col("rs_score").alias("rs"))
-    x = factors(s, d).select("asset_id", "d", "bottom").join(mom, ["asset_id", "d"]).join(rs, ["asset_id", "d"])
+    if days is not None:
+        mom, rs = (x.join(F.broadcast(days), "d", "left_semi") for x in (mom, rs))
+    x = factors(s, d, days).select("asset_id", "d", "bottom").join(mom, ["asset_id", "d"]).join(rs, ["asset_id", "d"])
     months = macro_months(s, d).select(F.col("date").alias("month"), F.col("phase").alias("macro_phase"))
     x = x.withColumn("month", F.trunc("d", "MM")).join(F.broadcast(months), "month", "left").drop("month")
     x = x.join(F.broadcast(day_sentiment(s, d, panel.calendar(bars))), "d", "left")
@@ -138,8 +149,8 @@ hp as (select *, {r4('u / (u + dn + f)')} as up, {r4('f / (u + dn + f)')} as fla
 hq as materialized (select *, list_reverse_sort([up, flat, down]) as o, case when up >= flat and up >= down then 'UP' when down >= up and down >= flat then 'DOWN' else 'FLAT' end as label from hp)"""
 
 
-def predictions(s, d):
-    return sc.heuristic(heuristics_in(s, d)).select("asset_id", "d", "horizon", "macro_phase", "up", "flat", "down", "label", "confidence")
+def predictions(s, d, days=None):
+    return sc.heuristic(heuristics_in(s, d, days)).select("asset_id", "d", "horizon", "macro_phase", "up", "flat", "down", "label", "confidence")
 
 
 def prune_plan(importances):

@@ -56,7 +56,8 @@ def served_predictions(s, d):
     folder = scratch_path(s, "predictions")
 
     def compute(missing):
-        return predictions(s, d).join(missing, KEYS, "left_semi").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields])
+        days = missing.select("d").distinct()
+        return predictions(s, d, days).join(missing, KEYS, "left_semi").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields])
 
     serving.read_through(wanted.where("asset_id % 2 = 0 and horizon = 7"), folder, KEYS, PREDICTION, compute)
     return serving.read_through(wanted, folder, KEYS, PREDICTION, compute)
