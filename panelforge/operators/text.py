@@ -64,10 +64,13 @@ def sentiment(articles: DataFrame, positive: tuple[str, ...] = POSITIVE, negativ
 
 
 def tags(articles: DataFrame, concepts: dict[str, tuple[str, ...]] = CONCEPTS) -> DataFrame:
-    """Adds tags: the concepts, sorted, any of whose keywords is in the lower-cased text."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = [F.when(F.greatest(*[low.contains(k) for k in keys]) if len(keys) > 1 else low.contains(keys[0]), F.lit(name)) for name, keys in sorted(concepts.items())]
-    return articles.withColumn("tags", F.filter(F.array(*found), lambda t: t.isNotNull()))
+    """Adds tags: the concepts, sorted, any of whose keywords is in the text, both in lower case and without white space."""
+    low = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+", "")
+    each = {name: [bare(k) for k in keys] for name, keys in sorted(concepts.items())}
+    found = lambda text: [F.when(F.greatest(*[text.contains(k) for k in keys]) if len(keys) > 1 else text.contains(keys[0]), F.lit(name)) for name, keys in each.items()]
+    # the text is made bare once, however many keywords it is searched for
+    sought = F.element_at(F.transform(F.array(low), lambda text: F.array(*found(text))), 1)
+    return articles.withColumn("tags", F.filter(sought, lambda t: t.isNotNull()))
 
 
 def link(articles: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:

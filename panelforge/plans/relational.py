@@ -34,9 +34,13 @@ SENT = f"""{WORDS},
 cnt as (select article_id, published, source, len(w) as n, len(list_filter(w, lambda x: x in ({list_of(lexicon.POSITIVE)}))) as pos, len(list_filter(w, lambda x: x in ({list_of(lexicon.NEGATIVE)}))) as neg from tok),
 sent as (select *, case when n > 0 then greatest(-1.0::double, least(1.0::double, (pos - neg) * 8.0::double / n)) else 0.0::double end as s from cnt)"""
 
-TAGS = "tg as (select article_id, published, list_filter([" + ", ".join(
-    f"case when {' or '.join(f'contains(lower(coalesce(text, {chr(39)}{chr(39)})), {chr(39)}{k}{chr(39)})' for k in keys)} then '{name}' end" for name, keys in sorted(lexicon.CONCEPTS.items())
-) + "], lambda t: t is not null) as tags from news)"
+def tags_sql(concepts: dict[str, tuple[str, ...]], name: str = "tg") -> str:
+    """CTEs with the concepts of each article whose keywords are in its text, in lower case and without white space."""
+    cases = ", ".join(f"case when {' or '.join(f'contains(t, {chr(39)}{tx.bare(k)}{chr(39)})' for k in keys)} then '{concept}' end" for concept, keys in sorted(concepts.items()))
+    return f"{name}_t as (select article_id, published, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') as t from news), {name} as (select article_id, published, list_filter([{cases}], lambda t: t is not null) as tags from {name}_t)"
+
+
+TAGS = tags_sql(lexicon.CONCEPTS)
 
 
 ASSET_WEEK = """lk as (select article_id, unnest(list_distinct([article_id % 50 + 1, article_id % 7 + 1])) as asset_id from news),
@@ -268,6 +272,10 @@ QUERIES = {
         lambda s, d: lexicon.tags(panel.news(s, d)).select("article_id", F.array_join("tags", ",").alias("tags")),
         sql("news", f"with {TAGS} select article_id, array_to_string(tags, ',') as tags from tg"),
     ),
+    "m22_default_concepts": (
+        lambda s, d: tx.tags(panel.news(s, d)).select("article_id", F.array_join("tags", ",").alias("tags")),
+        sql("news", f"with {tags_sql(tx.CONCEPTS)} select article_id, array_to_string(tags, ',') as tags from tg"),
+    ),
     "j17_text_links": (
         lambda s, d: tx.link(panel.news(s, d), _aliases(s, d)),
         sql("news", rf"with {WORDS.strip()}, al as (select a as alias, min(item_id % 50 + 1) as asset_id from (select item_id, unnest(string_split_regex(lower(text), '[^\p{{L}}0-9]+')) as a from benchmark) where length(a) >= 8 group by 1), hit as (select distinct article_id, alias, asset_id from (select article_id, unnest(list_distinct(w)) as alias from tok) join al using (alias)), one as (select article_id, asset_id, max(length(alias)) as n, arg_max(alias, (length(alias), alias)) as alias from hit group by 1, 2) select article_id, asset_id, alias, rank from (select *, row_number() over (partition by article_id order by n desc, asset_id) as rank from one) where rank <= 8"),
