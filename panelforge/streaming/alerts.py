@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
@@ -18,13 +18,18 @@ def _fold(rows: pd.DataFrame, last: int | None) -> tuple[list[tuple], int | None
     """Events that fire, and the time of the last one: each at least the cooldown after the one before."""
     out = []
     for t, e, k, v in sorted(zip(rows["ts"], rows["event_id"], rows["event_type"], rows["value"], strict=True)):
-        s = int(t.value // 10**9)
+        s = round(t.value // 1000 / 1e6)  # whole seconds, halves to even, as in ``_seconds``
         if last is None or s - last >= COOLDOWN_S:
             out.append((k, e, t, v))
             last = s
     return out, last
 
 
+def _seconds(ts: str) -> Column:
+    """Whole seconds since 1970, halves to even, as SQL casts them."""
+    return F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).cast("long")
+
+
 def _frame(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["event_type", "event_id", "ts", "value"])
 
@@ -39,30 +44,32 @@ def fired(events: DataFrame, threshold: float) -> DataFrame:
     """
     spark = events.sparkSession
     over = events.where(F.col("value") > threshold).select("event_type", "event_id", "ts", "value")
-    over = over.withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).withColumn("b", F.floor(F.col("t") / COOLDOWN_S))
-    order = F.struct("t", "ts", "event_id")
-    firsts = over.groupBy("event_type", "b").agg(F.min(order).alias("first"))
+    over = over.withColumn("t", _seconds("ts")).withColumn("b", F.floor(F.col("t") / COOLDOWN_S))
+    key = F.struct("t", "ts", "event_id")  # ids may be repeated: an event is its time and id
+    over = over.groupBy("event_type", "ts", "event_id", "t", "b").agg(F.min("value").alias("value")).withColumn("key", key)
+    firsts = over.groupBy("event_type", "b").agg(F.min("key").alias("first"))
     by_type = Window.partitionBy("event_type").orderBy("b")  # one row a bucket
     firsts = _kept(spark, firsts.select("event_type", "b", F.lag("first").over(by_type).isNull().alias("starts"), "first", F.lead("first").over(by_type).alias("after"), F.lead("b").over(by_type).alias("after_b"), F.lead("first", 2).over(by_type).alias("second")), "firsts")
 
     # an event's time a cooldown later falls into the next bucket: the first event there from then on
-    targets = over.select("event_type", "b", "t", F.lit(1).alias("side"), order.alias("hit"), F.lit(None).cast("long").alias("event_id"))
-    asks = over.select("event_type", (F.col("b") + 1).alias("b"), (F.col("t") + COOLDOWN_S).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(targets.schema["hit"].dataType).alias("hit"), "event_id")
+    none = F.lit(None).cast(over.schema["key"].dataType)
+    targets = over.select("event_type", "b", "t", F.lit(1).alias("side"), F.col("key").alias("hit"), none.alias("key"))
+    asks = over.select("event_type", (F.col("b") + 1).alias("b"), (F.col("t") + COOLDOWN_S).alias("t"), F.lit(0).alias("side"), none.alias("hit"), "key")
     ahead = Window.partitionBy("event_type", "b").orderBy("t", "side", "hit.ts", "hit.event_id").rowsBetween(0, Window.unboundedFollowing)
     hits = targets.unionByName(asks).withColumn("hit", F.first("hit", ignorenulls=True).over(ahead)).where("side = 0")
     own = firsts.select("event_type", (F.col("b") + 1).alias("b"), "after", "after_b", "second")
     # a bucket whose rest holds none: the first of the bucket after it
     beyond = F.when(F.col("after_b") == F.col("b"), F.col("second")).otherwise(F.col("after"))
-    steps = hits.join(own, ["event_type", "b"]).select("event_type", "event_id", F.coalesce("hit", beyond)["event_id"].alias("to"))
+    steps = hits.join(own, ["event_type", "b"]).select("event_type", "key", F.coalesce("hit", beyond).alias("to"))
     steps = _kept(spark, steps.where("to is not null"), "steps")
-    reached = _kept(spark, firsts.where("starts").select("event_type", F.col("first.event_id").alias("event_id")), "reached")
+    reached = _kept(spark, firsts.where("starts").select("event_type", F.col("first").alias("key")), "reached")
     while True:
-        more = reached.join(steps, ["event_type", "event_id"]).select("event_type", F.col("to").alias("event_id"))
+        more = reached.join(steps, ["event_type", "key"]).select("event_type", F.col("to").alias("key"))
         if more.isEmpty():
-            return over.join(reached, ["event_type", "event_id"], "left_semi").select("event_type", "event_id", "ts", "value")
+            return over.join(reached, ["event_type", "key"], "left_semi").select("event_type", "event_id", "ts", "value")
         reached = _kept(spark, reached.unionByName(more).distinct(), "reached")
-        far = steps.select("event_type", F.col("event_id").alias("to"), F.col("to").alias("far"))
-        steps = _kept(spark, steps.join(far, ["event_type", "to"]).select("event_type", "event_id", F.col("far").alias("to")), "steps")
+        far = steps.select("event_type", F.col("key").alias("to"), F.col("to").alias("far"))
+        steps = _kept(spark, steps.join(far, ["event_type", "to"]).select("event_type", "key", F.col("far").alias("to")), "steps")
 
 
 def _kept(spark, df: DataFrame, name: str) -> DataFrame:

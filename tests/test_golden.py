@@ -346,6 +346,16 @@ def test_alerts_follow_the_fold(spark):
     assert alerts.fired(events.limit(0), 95.0).count() == 0
 
 
+def test_alert_seconds_and_repeated_ids(spark):
+    """Whole seconds are rounded, halves to even, as in SQL; events of one id at several times are several, and equal ones are one."""
+    ms = (400, 21_600_000 - 600, 21_600_000 - 400, 43_200_000 - 600, 43_200_000 - 500)
+    frame = pd.DataFrame([("a", 7, pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=t), 99.0) for t in (*ms, ms[0])], columns=["event_type", "event_id", "ts", "value"])
+    events = spark.createDataFrame(frame).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = [frame["ts"][k] for k in (0, 2, 4)]
+    assert [r[2] for r in alerts._fold(frame, None)[0]] == want
+    assert sorted(r.ts for r in alerts.fired(events, 95.0).collect()) == want
+
+
 def test_feature_matrix_by_hand(spark):
     """Twelve days: changes over rows, neutral values before scores are known, phases as numbers, members only."""
     days = [DAY + timedelta(i) for i in range(12)]
