@@ -17,7 +17,7 @@ from panelforge.operators import pointintime as pit
 from panelforge.operators import scoring as sc
 from panelforge.operators import signals as sig
 from panelforge.operators import text as tx
-from panelforge.plans import composites
+from panelforge.plans import composites, services
 from panelforge.plans.scores import prune_plan
 from panelforge.sources import providers as pv
 from panelforge.sources import sinks
@@ -356,6 +356,16 @@ def test_alert_seconds_and_repeated_ids(spark):
     assert sorted(r.ts for r in alerts.fired(events, 95.0).collect()) == want
 
 
+def test_feature_scaler_beyond_long(spark, tmp_path):
+    """Rows times the sum of squares exceeds a long: the sums are decimals."""
+    n = 200_000
+    spark.range(n).selectExpr("id as l_suppkey", "timestamp_ntz '1998-01-01' as l_shipdate", "4.01D + id % 7 as l_extendedprice", "cast(id % 50 + 1 as double) as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = np.array([max(20000 + (401 + 100 * (i % 7)) % 801 - 400, 100) for i in range(n)], dtype=float)
+    v = np.arange(n) % 50 + 1.0
+    got = services.QUERIES["m31_feature_scaler"][0](spark, f"file://{tmp_path}").first()
+    assert np.allclose([got.c_mean, got.c_dev, got.v_mean, got.v_dev], [x * 10000 for x in (c.mean(), c.std(), v.mean(), v.std())], atol=1)
+
+
 def test_feature_matrix_by_hand(spark):
     """Twelve days: changes over rows, neutral values before scores are known, phases as numbers, members only."""
     days = [DAY + timedelta(i) for i in range(12)]
