@@ -54,11 +54,15 @@ def _members(s, d):
     return pit.members_on(days, panel.membership(days, panel.assets(s, d)))
 
 
-def _labels(s, d, h=7):
-    x = pit.next_row(panel.bars(s, d), h).where("exit_d is not null")
+def with_label(rows, h=7):
+    """``rows`` (one a bar, with its asset_id, d and c) and the label at ``h`` days, null without a bar then; in the rows' own partitions."""
     move = (F.col("exit_c") - F.col("c")) * 100
     label = F.when(move >= 2 * F.col("c"), "UP").when(move <= -2 * F.col("c"), "DOWN").otherwise("FLAT")
-    return x.select("asset_id", "d", "exit_d", label.alias("label"))
+    return pit.next_row(rows, h).withColumn("label", F.when(F.col("exit_d").isNotNull(), label)).drop("exit_c")
+
+
+def _labels(s, d, h=7):
+    return with_label(panel.bars(s, d), h).where("exit_d is not null").select("asset_id", "d", "exit_d", "label")
 
 
 def _three_sides(s, d):
