@@ -15,11 +15,11 @@ STEPS = 20
 RECENT_DAYS = 120
 
 
-def windows(rows: DataFrame, features: list[str], steps: int = STEPS) -> DataFrame:
-    """asset_id, d and steps: the vectors of the ``steps`` rows that end at each row; rows with fewer behind them are left out."""
+def windows(rows: DataFrame, features: list[str], steps: int = STEPS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """asset_id, d, steps and ``keep``: the vectors of the ``steps`` rows that end at each row; rows with fewer behind them are left out."""
     back = Window.partitionBy("asset_id").orderBy("d").rowsBetween(1 - steps, 0)
     vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    x = rows.select("asset_id", "d", F.collect_list(vector).over(back).alias("steps"))
+    x = rows.select("asset_id", "d", F.collect_list(vector).over(back).alias("steps"), *keep)
     return x.where(F.size("steps") == steps)
 
 
@@ -71,13 +71,17 @@ def score(sequences: DataFrame, scorer: Scorer, classes: tuple[str, ...] = ("DOW
     return sequences.select("asset_id", "d", "steps").mapInArrow(run, T.StructType([*kinds, *[T.StructField(c.lower(), T.DoubleType()) for c in classes]]))
 
 
-def perceptron(sequences: DataFrame, labels: DataFrame, classes: tuple[str, ...] = ("DOWN", "FLAT", "UP"), hidden: int = 16, rounds: int = 60) -> Scorer:
-    """A stand-in for a recurrent network: a perceptron over the flattened steps of labelled sequences, as a scorer."""
+def perceptron(sequences: DataFrame, labels: DataFrame | None = None, classes: tuple[str, ...] = ("DOWN", "FLAT", "UP"), hidden: int = 16, rounds: int = 60) -> Scorer:
+    """A stand-in for a recurrent network: a perceptron over the flattened steps of labelled sequences, as a scorer.
+
+    Labels come by asset_id and d, or, without ``labels``, as a column of the sequences, which then need no shuffle.
+    """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
     target = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("double") - 1
-    rows = sequences.join(labels.select("asset_id", "d", "label"), ["asset_id", "d"]).where(F.col("label").isin(*classes))
+    rows = sequences if labels is None else sequences.join(labels.select("asset_id", "d", "label"), ["asset_id", "d"])
+    rows = rows.where(F.col("label").isin(*classes))
     rows = rows.select(array_to_vector(F.flatten("steps")).alias("features"), target.alias("target"))
     first = rows.first()
     if first is None:
