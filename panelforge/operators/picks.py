@@ -34,6 +34,13 @@ def combined(scores: DataFrame) -> DataFrame:
     return scores.groupBy("asset_id", "d", "horizon").agg(mean("up"), mean("trade_score")).withColumn("source", F.lit(COMBINED)).select(*SCORE)
 
 
+def combined_value(*values: Column) -> Column:
+    """The mean that ``combined`` has, of the sources' values of one row."""
+    whole = [F.floor(v * 10000 + 0.5).cast("long") for v in values]
+    known = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+    return F.when(known > 0, sum((F.coalesce(w, F.lit(0)) for w in whole), F.lit(0).cast("long")) / (known * 10000.0))
+
+
 def picked(runs: DataFrame, scores: DataFrame, phases: DataFrame, most: int | None = None, eligible: DataFrame | None = None) -> DataFrame:
     """run_id, d, rank, asset_id, value: the candidates of every run and day, best first.
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import picks as pk
 from ..operators import scoring as sc
 from ..sources import panel
-from ..sources.scratch import scratch_path
 from .cte import sql
-from .scores import DECIDE, HEURISTIC, INPUTS, factors, macro_months, predictions
+from .scores import DECIDE, HEURISTIC, INPUTS, macro_months, predicted, scored
 from .windows import r4
 
 #: run_id, strategy, mode, metric, scope, source, horizon, up_threshold, threshold, top_n, max_positions, macro
@@ -26,15 +25,18 @@ COLUMNS = "run_id long, strategy string, mode string, metric string, scope strin
 
 def scores(s, d):
     """Up probability and trade score at seven days of the heuristic and of technical reversal, their mean, and factors."""
-    bars = panel.shared_bars(s, d)
-    heuristic = predictions(s, d).where("horizon = 7").select(F.lit("heuristic").alias("source"), "horizon", "asset_id", "d", "up", "label")
-    technical = sc.technical_reversal(bars).select(F.lit("technical").alias("source"), F.lit(7).alias("horizon"), "asset_id", "d", F.col("score").alias("up"), F.when(F.col("score") >= 0.5, "UP").otherwise("FLAT").alias("label"))
-    x = heuristic.unionByName(technical).withColumn("p", F.col("up")).join(sc.decision_inputs(bars), ["asset_id", "d"])
-    x = sc.decide(x).select(*pk.SCORE)
-    path = scratch_path(s, "scores")  # read for each source and for their mean
-    x.write.parquet(path)
-    x = s.read.schema(x.schema).parquet(path)
-    return x.unionByName(pk.combined(x)).unionByName(pk.factor_rows(factors(s, d)))
+    # gain and loss look at an asset's bars alone: they are there before the ranks of the day, and all sources are one row
+    more = lambda rows: sc.bounds(sc.decision_columns(rows).withColumn("horizon", F.lit(7))).withColumn("reversal", F.col("score"))
+    x = predicted(scored(s, d, None, "gain", "loss", "reversal", more=more).withColumn("horizon", F.lit(7)))
+    trade = {c: F.when(F.col(c).isNotNull(), sc.four(sc.trade_score(F.col(c)))) for c in ("up", "reversal")}
+    x = x.withColumns({f"_{c}": v for c, v in trade.items()})
+    row = lambda source, up, value, horizon=7: F.struct(F.lit(source).alias("source"), F.lit(horizon).alias("horizon"), up.cast("double").alias("up"), value.alias("trade_score"))
+    sources = F.array(
+        row("heuristic", F.col("up"), F.col("_up")), row("technical", F.col("reversal"), F.col("_reversal")),
+        row(pk.COMBINED, pk.combined_value(F.col("up"), F.col("reversal")), pk.combined_value(F.col("_up"), F.col("_reversal"))), row(pk.FACTOR, F.lit(None), F.col("bottom"), 0),
+    )
+    x = x.select("asset_id", "d", F.explode(F.filter(sources, lambda r: (r["source"] != "heuristic") | r["up"].isNotNull())).alias("r"))
+    return x.select("r.source", "r.horizon", "asset_id", "d", "r.up", "r.trade_score")
 
 
 def picked(s, d):
