@@ -39,21 +39,35 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*ISSUE).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
 
 
-def missing_related(bars: DataFrame, related: dict[str, DataFrame]) -> DataFrame:
-    """Issues of asset and source: days with a bar for which a related table (asset_id, d) has no row; one shuffle for all."""
+def missing_related(bars: DataFrame, related: dict[str, DataFrame], parts: int | None = None) -> DataFrame:
+    """Issues of asset and source: days with a bar for which a related table (asset_id, d) has no row; one shuffle for all.
+
+    The shuffle has ``parts`` partitions, if given; what is kept of a day is a flag a table.
+    """
     x = bars.select("asset_id", "d", F.lit(None).cast("string").alias("source"))
     for name, rows in related.items():
         x = x.unionByName(rows.select("asset_id", "d", F.lit(name).alias("source")))
-    x = x.where("asset_id is not null and d is not null").groupBy("asset_id", "d").agg(F.max(F.col("source").isNull()).alias("traded"), F.collect_set("source").alias("have"))
-    lacking = F.array_except(F.array(*map(F.lit, related)), "have")
+    x = _dealt(x.where("asset_id is not null and d is not null"), parts)
+    have = {name: F.max(F.when(F.col("source") == name, True)) for name in related}
+    x = x.groupBy("asset_id", "d").agg(F.max(F.col("source").isNull()).alias("traded"), *[v.alias(f"have_{k}") for k, v in enumerate(have.values())])
+    lacking = F.filter(F.array(*[F.when(F.col(f"have_{k}").isNull(), F.lit(name)) for k, name in enumerate(have)]), lambda s: s.isNotNull())
     x = x.where("traded").select("asset_id", "d", F.explode(lacking).alias("source"))
     return _counted(x.select("asset_id", F.lit("missing_related").alias("issue"), "source", F.lit("").alias("field"), "d"))
 
 
-def fields(rows: DataFrame, source: str, nulls: list[str] = [], neutral: list[str] = [], value: float = 0.5) -> DataFrame:  # noqa: B006
-    """Issues of asset and field of one table: nulls, and values that equal the ``neutral`` default; the table is read once."""
+def _dealt(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows if parts is None else rows.repartition(parts, "asset_id", "d")
+
+
+def fields(rows: DataFrame, source: str, nulls: list[str] = [], neutral: list[str] = [], value: float = 0.5, parts: int | None = None) -> DataFrame:  # noqa: B006
+    """Issues of asset and field of one table: nulls, and values that equal the ``neutral`` default; the table is read once.
+
+    Only rows that have an issue are told apart from their copies, in a shuffle of ``parts`` partitions, if given.
+    """
     found = [F.when(F.col(c).isNull(), F.struct(F.lit("null_field").alias("issue"), F.lit(c).alias("field"))) for c in nulls]
     found += [F.when(F.col(c) == value, F.struct(F.lit("neutral_default").alias("issue"), F.lit(c).alias("field"))) for c in neutral]
-    x = rows.where("asset_id is not null and d is not null").select("asset_id", "d", *{*nulls, *neutral}).distinct()
-    x = x.select("asset_id", "d", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
+    x = rows.where("asset_id is not null and d is not null")
+    issues = F.filter(F.array(*found), lambda f: f.isNotNull())
+    x = x.select("asset_id", "d", *dict.fromkeys([*nulls, *neutral])).where(F.size(issues) > 0)
+    x = _dealt(x, parts).distinct().select("asset_id", "d", F.explode(issues).alias("f"))
     return _counted(x.select("asset_id", "f.issue", F.lit(source).alias("source"), "f.field", "d"))

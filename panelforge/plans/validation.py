@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as ind
 from ..operators import quality as ql
 from ..sources import panel
+from ..sources.scratch import scratch_path
 from .cte import sql
 from .scores import FACTORS, factors
 
@@ -22,10 +23,14 @@ def asset_ranges(s, d):
 
 def asset_issues(s, d):
     """By asset: bars without flows, factors or RSI, fundamentals without a pe, factors at their neutral default."""
-    bars, scored = panel.shared_bars(s, d), factors(s, d)
+    bars, parts = panel.shared_bars(s, d), panel.parts(s, d)
+    path = scratch_path(s, "factors")  # read for their rows and for their values
+    scored = factors(s, d).select("asset_id", "d", *SCORES)
+    scored.write.parquet(path)
+    scored = s.read.schema(scored.schema).parquet(path)
     related = {"flow": panel.flows(s, d), "factor": scored, "indicator": ind.rsi_columns(bars).where("rsi is not null")}
     reports = panel.fundamentals(s, d).withColumnRenamed("report_date", "d")
-    return ql.missing_related(bars, related).unionByName(ql.fields(reports, "fundamental", nulls=["pe"])).unionByName(ql.fields(scored, "factor", neutral=list(SCORES)))
+    return ql.missing_related(bars, related, parts).unionByName(ql.fields(reports, "fundamental", nulls=["pe"], parts=parts)).unionByName(ql.fields(scored, "factor", neutral=list(SCORES), parts=parts))
 
 
 RANGES = """with al as (select asset_id, date '1995-01-02' + cast(asset_id % 700 as integer) as list_date from assets where active),
