@@ -110,6 +110,7 @@ def days_of(candidates: DataFrame, prices: DataFrame, chunk: int) -> DataFrame:
     able = candidates.where("exit_d > d").select("run_id", F.col("asset_id").cast("long").alias("asset_id"), "d", "rank", "exit_d", F.col("target").cast("double").alias("target"), F.col("stop").cast("double").alias("stop"))
     # spans are some days long: each day of one meets its bar by equality
     spans = able.select("run_id", "asset_id", F.explode(F.sequence("d", "exit_d", F.expr("interval 1 day"))).alias("d")).distinct()
+    bars = bars.join(F.broadcast(able.select("asset_id").distinct()), "asset_id", "left_semi")  # an id an asset: no more than there are
     seen = spans.join(bars, ["asset_id", "d"]).groupBy("run_id", "d").agg(F.collect_list(F.struct("asset_id", "c")).alias("prices"))
     picks = able.join(bars, ["asset_id", "d"], "left").groupBy("run_id", "d").agg(F.array_sort(F.collect_list(F.struct("rank", "asset_id", "c", "exit_d", "target", "stop"))).alias("picks"))
     calendar = prices.agg(F.array_sort(F.collect_set("d")).alias("days"))  # one row, as long as the calendar

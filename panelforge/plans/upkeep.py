@@ -52,7 +52,7 @@ KEYS = ["asset_id", "d", "horizon"]
 
 def served_predictions(s, d):
     """Predictions for each asset's last day at three horizons: those of even assets at seven days are stored, the others missing."""
-    wanted = panel.bars(s, d).groupBy("asset_id").agg(F.max("d").alias("d")).select("asset_id", "d", F.explode(F.array(*map(F.lit, (3, 7, 30)))).alias("horizon"))
+    wanted = panel.shared_bars(s, d).groupBy("asset_id").agg(F.max("d").alias("d")).select("asset_id", "d", F.explode(F.array(*map(F.lit, (3, 7, 30)))).alias("horizon"))
     folder = scratch_path(s, "predictions")
 
     def compute(missing):
