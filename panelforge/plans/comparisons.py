@@ -19,11 +19,12 @@ MEMBERS = [(1, "run-1", True), (1, "run-2", False), (1, "run-3", False), (1, "ID
 def _curves(s, d):
     """The runs' equity by trading day, one index by weekday and one by month: three calendars."""
     runs = backtest_curve(backtest(s, d)).select(F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("series"), "d", F.col("equity_cents").alias("value"))
-    x = panel.bars(s, d).join(panel.assets(s, d).select("asset_id", "tags"), "asset_id")
-    daily = x.where(F.array_contains("tags", "IDX_A") & (F.weekday("d") < 5)).groupBy("d").agg(F.sum("c").alias("value")).select(F.lit("IDX_A").alias("series"), "d", "value")
-    monthly = x.where(F.array_contains("tags", "IDX_B")).groupBy(F.trunc("d", "MM").alias("m")).agg(F.min("d").alias("d"), F.sum("c").alias("value")).select(F.lit("IDX_B").alias("series"), "d", "value")
+    # the runs have the panel kept: both indices are one pass over it, and no line is shuffled again
+    x = panel.shared_bars(s, d).join(panel.assets(s, d).select("asset_id", F.explode("tags").alias("series")), "asset_id")
+    x = x.where("series <> 'IDX_A' or weekday(d) < 5").withColumn("since", F.when(F.col("series") == "IDX_A", F.col("d")).otherwise(F.trunc("d", "MM")))
+    indices = x.groupBy("series", "since").agg(F.min("d").alias("d"), F.sum("c").alias("value")).drop("since")
     path = scratch_path(s, "curves")  # a row a series and day, read for the days, the base and the values
-    rows = runs.unionByName(daily).unionByName(monthly)
+    rows = runs.unionByName(indices)
     rows.write.parquet(path)
     return s.read.schema(rows.schema).parquet(path)
 

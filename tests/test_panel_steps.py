@@ -10,7 +10,7 @@ from panelforge.functions.columns import mean, run_mean, run_spread, running, sp
 from panelforge.operators import crosssection as cs
 from panelforge.operators import picks as pk
 from panelforge.operators import scoring as sc
-from panelforge.plans import composites
+from panelforge.plans import comparisons, composites
 from panelforge.plans import scores as plans
 from panelforge.sources import panel
 from tests.test_shuffles import exchanges
@@ -70,6 +70,40 @@ def test_partitions_follow_the_panel(spark, monkeypatch):
     panel.release()
 
 
+def test_a_panel_beyond_a_partition_a_core_is_not_merged_to_fewer(spark, monkeypatch):
+    panel.release()
+    need = -(-panel.table(spark, DATA, "lineitem").count() // 500)
+    monkeypatch.setattr(panel, "ROWS_EACH", 500)
+    session = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(need + 9))
+        assert panel.parts(spark, DATA) == need + 9  # none before: partitions of a day's rows were merged by their compressed bytes
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", session)
+
+
+def test_a_kept_panel_with_partitions_of_its_own_meets_fundamentals_where_it_lies(spark, monkeypatch):
+    panel.release()
+    want = {tuple(r) for r in plans.factors(spark, DATA).collect()}
+    plan = lambda: plans.factors(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    few = plan().count("Exchange hashpartitioning")
+    panel.release()
+    monkeypatch.setattr(panel, "ROWS_EACH", 500)
+    assert {tuple(r) for r in plans.factors(spark, DATA).collect()} == want
+    assert plan().count("Exchange hashpartitioning") == few  # one more before: all rows of the panel by asset again
+    panel.release()
+
+
+def test_indices_of_a_comparison_are_read_from_the_kept_panel(spark, monkeypatch):
+    panel.release()
+    read = []
+    daily = panel.daily
+    monkeypatch.setattr(panel, "daily", lambda s, d: read.append(d) or daily(s, d))
+    comparisons.run_comparison(spark, DATA)
+    assert read == [DATA]  # twice before, and shuffled for each index
+    panel.release()
+
+
 def test_scores_and_ranks_share_their_shuffles(spark):
     queries = entry.queries()
     for name, most in (("m3_factor_scores", 5), ("m7_heuristic_predictions", 10), ("b3_combined_candidates", 10), ("qa_stock_board", 23)):  # 8, 18, 29 and 59 before
