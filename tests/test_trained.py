@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import boosting as bo
 from panelforge.operators import sequences as sq
+from panelforge.plans import models
+from panelforge.sources import panel
 from panelforge.streaming import ingest
 
 DAY = date(2024, 1, 1)
@@ -42,6 +44,28 @@ def test_boosted_probabilities_are_calibrated_and_survive_saving(spark, labelled
         bo.fit(labelled.limit(50), ["a", "b"])
 
 
+def test_nothing_is_kept_beside_the_written_features(spark, monkeypatch):
+    """On large tables shuffles, the panel and scaled vectors outgrew the disk beside the features that training reads."""
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    panel.release()
+    others = kept()
+    panel.shared_panel(spark, "/root/testdata/sf0.001").count()  # the kept panel's own shuffle goes with its garbage
+    before = files()
+    rows = models.labelled(spark, "/root/testdata/sf0.001")
+    left = {f for f in files() - before if f.endswith(".data")}
+    want = models.with_label(models.feature_matrix(spark, "/root/testdata/sf0.001")).select(rows.columns)
+    assert not left and kept() - others == set()
+    assert rows.columns[:3] == ["asset_id", "d", "label"] and not {"c", "h", "l", "v", "exit_d"} & set(rows.columns) and len(rows.columns) == 44
+    assert rows.exceptAll(want).count() == 0 and rows.count() == want.count()
+    panel.release()
+    levels = []
+    fit = bo.GBTClassifier.fit
+    monkeypatch.setattr(bo.GBTClassifier, "fit", lambda self, data: levels.append((data.storageLevel.useDisk, self.getCheckpointInterval())) or fit(self, data))
+    bo.fit(rows, ["rsi", "ret_3"], rounds=1)
+    assert levels == [(False, -1)] * 3
+
+
 def test_a_class_that_training_lacks(spark, labelled):
     model = bo.fit(labelled.where("label <> 'UP'"), ["a", "b"], rounds=3)
     assert model.score(labelled.limit(200)).where("label_predicted = 'UP'").count() <= 2
