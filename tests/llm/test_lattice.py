@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from panelforge.llm import lm_scoring
 from panelforge.llm import sentencepiece_codec as codec
-from panelforge.llm.lattice import Lattice, entry_scores, exit_states, load_vocabulary, log_sum, max_plus, product_tree, total
+from panelforge.llm.lattice import LITERAL, MARK, Lattice, entry_scores, exit_states, lattice_of, load_vocabulary, log_sum, max_plus, product_tree, total
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,32 @@ def test_long_neighbours_are_not_split_at_once():
     assert [k for at, n in found for k in range(at, at + n)] == list(range(len(texts)))
     sizes = [[len(t or "") for t in texts.slice(at, n).to_pylist()] for at, n in found]
     assert all(len(s) <= 500 and (sum(s) <= codec.TOGETHER or len(s) == 1) for s in sizes) and list(codec.runs(texts[:0])) == []
+
+
+def test_every_word_counts_for_the_learnt_pieces(spark):
+    """No part of the rarer words stands for all, and frequent words that are too long for a piece count by their characters."""
+    chars = [MARK, "w", "x", "\n", *"0123456789"]
+    table = {"pieces": {p: (i, -4.0) for i, p in enumerate([*chars, "zz"])}, "bytes": {b: 20 + b for b in range(256)}, "byte_weight": -20.0, "end_weight": -4.0}
+    n = 250_000
+    counts = spark.range(n).selectExpr("cast(concat('w', id) as binary) as word", "1L + id % 2 as c")
+    more = spark.createDataFrame([(bytearray(w), c) for w, c in ((b"x" * 5, 9_000), (b"w", 800), (lm_scoring.END, 100), (lm_scoring.LINE, 0), (lm_scoring.SPACE, n + n // 2 + 9_700))], "word binary, c long")
+    got = lm_scoring.learnt(table, counts.unionByName(more), words=2)
+    found = collections.Counter({"x": 45_000, MARK: 9_000})
+    for i in range(n):
+        for ch in f"{MARK}w{i}":
+            found[ch] += 1 + i % 2
+    prior = lm_scoring.PRIOR * sum(found.values()) * math.exp(-4.0)
+    for p in "0123456789x":
+        assert abs(got["pieces"][p][1] - got["pieces"]["w"][1] - math.log((found[p] + prior) / (found["w"] + prior))) < 1e-6
+    assert MARK + "w" in got["pieces"]
+
+
+def test_tallies_are_those_of_single_paths():
+    table = load_vocabulary(codec.MODEL)
+    lattice, rng = Lattice(table), random.Random(5)
+    words = sorted({MARK + "".join(rng.choices("etaoinshr\u00e9\u4e2d" + LITERAL, k=rng.choice((1, 3, 9, 50)))) for _ in range(400)})
+    times, want = [rng.randint(1, 9) for _ in words], collections.Counter()
+    for w, n in zip(words, times):
+        for i in lattice.encode(w)[1].tolist():
+            want[i] += n
+    assert lattice.tally(words, times) == want and lattice_of(table) is lattice_of(table)
